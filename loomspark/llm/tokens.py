@@ -1,9 +1,9 @@
 """Token ids of documents, the packed Parquet token format, and balanced sequence packing.
 
-Tokenizers are read from a path and never trained. A text is encoded word by word: the
+Tokenizers are read from a path and never trained. A text is encoded piece by piece: the
 tokenizer's pre-tokenisation never joins characters across ASCII white space, so the ids of a
-text are those of its white-space separated chunks in order, and each distinct chunk of a batch
-is encoded once. (A test holds this against encoding whole texts.)
+text are those of its pieces in order, and each distinct piece of a batch is encoded once. (A test
+holds this against encoding whole texts.)
 
 Edge cases: a null or empty text has the end id alone; repeated rows are separate documents; a
 null doc_id sorts first; extra columns are ignored.
@@ -13,21 +13,22 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import scratch_path, within
+from loomspark.llm.common import scratch_path, text_bytes, within, word_spans
 
 END_ID = 2
-#: Distinct chunks whose ids a Python worker keeps at once (about 100 MB).
-MEMO = 400_000
+#: Distinct chunks whose ids a Python worker keeps at once (about 200 MB).
+MEMO = 1_000_000
 
 
 def tokenizer_path() -> str:
@@ -36,49 +37,100 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_PUNCT = np.zeros(256, bool)
+_PUNCT[list(b".,!?#$%&*|:;()+=-")] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased bytes, and the ends of contiguous pieces: white space, words, and punctuation at a word's end.
+
+    Letters of ASCII and Latin-1 are lower-cased, as the tokenizer's own normaliser would; a run of
+    punctuation is split off where a letter of these or a digit stands before it, which always ends
+    a pre-token of the tokenizer.
+    """
+    low = _LOWER[data]
+    second = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
+    low[second] += 32
+    starts, ends, _ = word_spans(data, offsets)
+    last = np.maximum.accumulate(np.where(_PUNCT[data], -1, np.arange(len(data)))) if len(data) else np.zeros(0, np.int64)
+    body = np.maximum(last[ends - 1] + 1, starts)
+    before = low[np.maximum(body - 1, 0)]
+    lead = low[np.maximum(body - 2, 0)]
+    plain = ((before >= 97) & (before <= 122)) | ((before >= 48) & (before <= 57)) | ((lead == 0xC3) & (body - 2 >= starts) & (before >= 0x9F) & (before <= 0xBF) & (before != 0xB7))
+    cut = body[(body > starts) & (body < ends) & plain]
+    mark = np.zeros(len(data) + 1, bool)
+    for x in (starts, cut, ends, offsets):
+        mark[x] = True
+    mark[0] = False
+    return low, np.flatnonzero(mark)
+
+
 class Encoder:
-    """Encodes Arrow string columns; keeps the ids of recent chunks, up to MEMO of them."""
+    """Encodes Arrow string columns; keeps the ids of recent pieces, up to MEMO of them."""
 
     def __init__(self, path: str, end_id: int | None = END_ID):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends_word[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
         self.flat, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Words of letters only are one pre-token each, so that many go in one call and end at ids of word ends."""
+        if self.ends_word.any():
+            words = [w for w in fresh if _LETTERS.fullmatch(w)]
+            others = [w for w in fresh if not _LETTERS.fullmatch(w)]
+        else:
+            words, others = [], fresh
+        flat, _ = self._encode([" ".join(words[i : i + 200]) for i in range(0, len(words), 200)])
+        ends = np.flatnonzero(self.ends_word[flat]) + 1
+        assert len(ends) == len(words)
+        more, counts = self._encode(others)
+        counts = np.concatenate([np.diff(ends, prepend=0), counts])
+        n = len(self.counts)
+        self.known.update(zip(chain(words, others), range(n, n + len(fresh)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
+        self.flat = np.concatenate([self.flat, flat, more])
+        self.counts = np.concatenate([self.counts, counts])
+
     def _codes(self, words: list[str]) -> np.ndarray:
         if len(self.known) > MEMO:
             self._forget()
-        fresh = [w for w in words if w not in self.known]
-        if fresh:
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.known.update(zip(fresh, range(len(self.counts), len(self.counts) + len(fresh)), strict=True))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))])
-            self.counts = np.concatenate([self.counts, counts])
+        if fresh := [w for w in words if w not in self.known]:
+            self._learn(fresh)
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) and the offsets of each text's ids."""
-        lists = pc.ascii_split_whitespace(texts.fill_null(""))
-        chunks = lists.flatten().dictionary_encode()
-        at = np.asarray(lists.offsets, np.int64)
-        at = at - at[0]
-        codes = self._codes(chunks.dictionary.to_pylist())[np.asarray(chunks.indices)] if len(chunks) else np.zeros(0, np.int64)
-        counts = self.counts[codes] if len(codes) else codes
-        upto = np.zeros(len(codes) + 1, np.int64)
-        np.cumsum(counts, out=upto[1:])
-        ids = self.flat[within(self.starts[codes], counts)] if len(codes) else np.zeros(0, np.uint32)
-        offsets = upto[at]
+        data, at = text_bytes(texts)
+        if b"<|" in data.tobytes():  # may hold a special token, whose letters must stay as they are
+            ids, n = self._encode(texts.fill_null("").to_pylist())
+        else:
+            low, ends = _pieces(data, at)
+            bounds = np.concatenate([np.zeros(1, np.int64), ends])
+            pieces = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(bounds), pa.py_buffer(low)).dictionary_encode()
+            codes = self._codes(pieces.dictionary.to_pylist())[np.asarray(pieces.indices)] if len(pieces) else np.zeros(0, np.int64)
+            counts = self.counts[codes] if len(codes) else codes
+            ids = self.flat[within(self.starts[codes], counts)] if len(codes) else np.zeros(0, np.uint32)
+            upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+            n = np.diff(upto[np.searchsorted(bounds, at)])
+        offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
         if self.end_id is None:
             return ids, offsets
-        n = np.diff(offsets)
         out = np.full(len(ids) + len(n), self.end_id, np.uint32)
         out[within(offsets[:-1] + np.arange(len(n)), n)] = ids
         return out, offsets + np.arange(len(n) + 1)
@@ -114,7 +166,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, base = Encoder(tokenizer, end_id), 0
-        for batch in _small(batches):
+        for batch in _small(batches, 2000):
             ids, offsets = encoder(_texts(batch))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(base + offsets[:-1]), pa.array(np.diff(offsets)), lists], ["doc_id", "start_in_file", "n_tokens", "ids"])
