@@ -1,0 +1,6 @@
+"""Registered queries for the graph operators, and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
