@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from loomspark.llm import tokens
+from loomspark.llm import secrets, simhash, templates, tokens
 
 QUERIES = {
     "op2_cost_balanced_packing": tokens.op2_cost_balanced_packing,
+    "op5_markov_secrets": secrets.op5_markov_secrets,
+    "op7_simhash_pigeonhole": simhash.op7_simhash_pigeonhole,
+    "op10_template_leaks": templates.op10_template_leaks,
     "op9_token_files": tokens.op9_token_files,
 }
 
