@@ -91,12 +91,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(33))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(out, dtype=np.uint64)
+    """base**0, base**1, ... (n of them); the longest list so far is kept, up to a few million."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 16), base, np.uint64)
+        known[0] = 1
+        with np.errstate(over="ignore"):
+            known = np.cumprod(known, dtype=np.uint64)
+        if len(known) <= 1 << 22:
+            _POWERS[base] = known
+    return known[:n]
 
 
 class Sums:

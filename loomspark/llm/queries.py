@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from loomspark.llm import secrets, simhash, templates, tokens
+from loomspark.llm import secrets, simhash, substrings, templates, tokens
 
 QUERIES = {
     "op2_cost_balanced_packing": tokens.op2_cost_balanced_packing,
+    "op4_prefix_free_parse": substrings.op4_prefix_free_parse,
     "op5_markov_secrets": secrets.op5_markov_secrets,
+    "op6_relative_lempel_ziv": substrings.op6_relative_lempel_ziv,
     "op7_simhash_pigeonhole": simhash.op7_simhash_pigeonhole,
     "op10_template_leaks": templates.op10_template_leaks,
     "op9_token_files": tokens.op9_token_files,
