@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomspark.llm import linecrf, secrets, simhash, substrings, templates, tokens
+from loomspark.llm import langmix, linecrf, secrets, simhash, substrings, templates, tokens
 
 QUERIES = {
     "op1_line_crf": linecrf.op1_line_crf,
     "op2_cost_balanced_packing": tokens.op2_cost_balanced_packing,
+    "op3_language_mixture": langmix.op3_language_mixture,
     "op4_prefix_free_parse": substrings.op4_prefix_free_parse,
     "op5_markov_secrets": secrets.op5_markov_secrets,
     "op6_relative_lempel_ziv": substrings.op6_relative_lempel_ziv,
