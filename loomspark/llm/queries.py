@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.llm import langmix, linecrf, secrets, simhash, substrings, templates, tokens
+from loomspark.llm import langmix, linecrf, mincut, secrets, simhash, substrings, templates, tokens
 
 QUERIES = {
     "op1_line_crf": linecrf.op1_line_crf,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_relative_lempel_ziv": substrings.op6_relative_lempel_ziv,
     "op7_simhash_pigeonhole": simhash.op7_simhash_pigeonhole,
     "op10_template_leaks": templates.op10_template_leaks,
+    "op8_minimum_cut": mincut.op8_minimum_cut,
     "op9_token_files": tokens.op9_token_files,
 }
 
