@@ -239,5 +239,5 @@ def op7_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id names their component, one for each; rows without a doc_id stay."""
     kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    known = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = docs.filter("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(docs.filter("doc_id is null"))

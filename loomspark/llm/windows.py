@@ -264,7 +264,7 @@ def repeated(docs: DataFrame, symbols: Symbols, shape: Shape) -> DataFrame:
     found = stored(met, "phrases")
     places = found.filter(F.col("kind") == CONTESTED).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("places"))
     keyed = texts.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
-    contested = keyed.join(places, "doc").select("doc_id", "text", "places")
+    contested = keyed.join(places.hint("merge"), "doc").select("doc_id", "text", "places")
     windows = contested.mapInArrow(_compare(symbols, shape, blocks), BLOB).groupBy("block").applyInArrow(_met(shape, 8, False), EVENT)
     return found.filter(F.col("kind") == REPEAT).unionByName(windows).select("doc", "start", "n")
 
@@ -273,7 +273,7 @@ def with_repeats(docs: DataFrame, symbols: Symbols, shape: Shape) -> DataFrame:
     """doc_id, text and places (the repeated windows as (start, n) lists) of every row."""
     places = repeated(docs, symbols, shape).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("places"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))).join(places, "doc", "left").select("doc_id", "text", "places")
+    return texts.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))).join(places.hint("merge"), "doc", "left").select("doc_id", "text", "places")
 
 
 def covered(at: np.ndarray, places: pa.Array, ids: np.ndarray, window: int) -> np.ndarray:
