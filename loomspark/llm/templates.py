@@ -30,6 +30,8 @@ MIN_WORDS = 4
 #: Matched windows of one alignment that make a leak (or all that the item has, if fewer).
 MIN_WINDOWS = 3
 BROADCAST_WINDOWS = 1_000_000
+#: Documents with a matched window whose keys (longs) are still broadcast, rather than shuffling all texts.
+BROADCAST_KEYS = 1_000_000
 #: Units, in lower case.
 UNITS = "km m cm mm mi ft in kg g mg lb oz t l ml s sec min h hr hours hour minutes minute seconds second days day weeks week months month years year usd eur gbp dollars dollar euros euro cents percent degrees".split()
 
@@ -84,7 +86,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_windows:
     places = tokens.select("doc_id", "key", F.explode(_window_hashes(F.col("tpl"), sizes)).alias("w")).select("doc_id", "key", "w.hash", "w.at", "w.size")
     hits = stored(places.join(probes, "hash").distinct(), "hits")
 
-    found = keyed.join(hits.select("key").distinct(), "key", "left_semi").select("doc_id", "key", "text").dropDuplicates(["key"])
+    found = keyed.join(_small_side(stored(hits.select("key").distinct(), "keys")), "key", "left_semi").select("doc_id", "key", "text").dropDuplicates(["key"])
     cut = found.select("key", raw_tokens(F.col("text")).alias("raw"), template_tokens(F.col("text")).alias("tpl"))
     mine = hits.join(cut, "key").select("doc_id", "key", "hash", F.col("at").alias("here"), F.slice("raw", F.col("at"), F.col("size")).alias("words"), F.slice("tpl", F.col("at"), F.col("size")).alias("mine"))
     same = mine.join(asked, "hash").filter(F.col("mine") == F.col("tpl"))
@@ -98,10 +100,16 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_windows:
     return good.groupBy("doc_id", "item_id").agg(F.max("n").cast("long").alias("n_windows"), F.max("item_windows").cast("long").alias("item_windows"), F.max(F.col("n_slots")).cast("long").alias("n_slots"), F.min(changed).cast("long").alias("n_changed_slots"))
 
 
+def _small_side(keys: DataFrame) -> DataFrame:
+    """keys for a join with texts: broadcast if there are at most BROADCAST_KEYS of them, else both sides are shuffled."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("merge")
+
+
 def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item; rows without a doc_id stay."""
-    return docs.join(leaks(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = stored(leaks(docs, items).select("doc_id").distinct(), "leaks")
+    return docs.join(_small_side(found), "doc_id", "left_anti").select(*docs.columns)
