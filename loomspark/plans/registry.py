@@ -1,6 +1,366 @@
-"""Registered queries for the graph operators, and their SQL."""
+"""Registered queries for the graph operators over the relational tables, and their SQL.
+
+Every query reads whole tables. A limit stands only where it is the feature: a page of a list, the
+first few of a group, the k best.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspark.functions import names
+from loomspark.operators import build, catalog, chunks, graph, mining, search
+from loomspark.plans import adapters as A
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of the tables under its name, with the SQL for its rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(A.Tables(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _graph(t: A.Tables) -> tuple[DataFrame, DataFrame]:
+    return A.key_nodes(t), A.key_edges(t)
+
+
+WITH_GRAPH = f"WITH RECURSIVE {A.KEY_NODES_SQL}, {A.KEY_EDGES_SQL}"
+BOTH = """both_ways AS (SELECT src AS node_id, dst AS other, 'outgoing' AS direction, relation FROM key_edges
+  UNION ALL SELECT dst, src, 'incoming', relation FROM key_edges)"""
+
+
+# --- graph ------------------------------------------------------------------------------------
+
+
+@query(f"""{WITH_GRAPH}, parts AS (SELECT 'node' AS category, kind AS label FROM key_nodes UNION ALL SELECT 'relation', relation FROM key_edges),
+n AS (SELECT category, label, count(*) AS n FROM parts GROUP BY ALL)
+SELECT category, label, n, round(100.0 * n / sum(n) OVER (PARTITION BY category), 4) AS pct FROM n""")
+def graph_stats(t):
+    return graph.graph_stats(*_graph(t))
+
+
+@query(f"""{WITH_GRAPH}, {BOTH}, deg AS (SELECT node_id, count(*) FILTER (direction = 'outgoing') AS n_out, count(*) FILTER (direction = 'incoming') AS n_in FROM both_ways GROUP BY 1),
+kid AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM key_edges),
+top AS (SELECT src, string_agg(dst, ',' ORDER BY dst) AS kids FROM kid WHERE r <= 10 GROUP BY 1)
+SELECT k.node_id, kind, name, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in, coalesce(kids, '') AS first_children
+FROM key_nodes k LEFT JOIN deg USING (node_id) LEFT JOIN top ON k.node_id = top.src""")
+def node_info(t):
+    return graph.node_info(*_graph(t))
+
+
+@query(f"""{WITH_GRAPH}, {BOTH}, r AS (SELECT *, row_number() OVER (PARTITION BY node_id, direction ORDER BY other, relation) AS rank, count(*) OVER (PARTITION BY node_id, direction) AS n_total FROM both_ways)
+SELECT node_id, direction, CAST(rank AS INT) AS rank, other, relation, n_total, n_total > 20 AS has_more FROM r WHERE rank <= 20""")
+def node_edges(t):
+    return graph.node_edges(A.key_edges(t))
+
+
+@query(f"""{WITH_GRAPH}, {BOTH}, e AS (SELECT node_id, other, max(direction || '/' || relation) AS e FROM both_ways WHERE node_id <> other GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY other) AS rank FROM e)
+SELECT r.node_id, CAST(rank AS INT) AS rank, other AS neighbor, split_part(e, '/', 1) AS direction, split_part(e, '/', 2) AS relation, kind, name FROM r JOIN key_nodes k ON k.node_id = other WHERE rank <= 20""")
+def neighbors(t):
+    return graph.neighbors(*_graph(t))
+
+
+@query(f"""{WITH_GRAPH}, reach AS (SELECT 'r:0' AS node_id, 0 AS depth UNION ALL SELECT dst, depth + 1 FROM reach JOIN key_edges ON src = node_id AND relation = 'contains' WHERE depth < 2)
+SELECT k.node_id, kind, name, depth FROM reach JOIN key_nodes k USING (node_id)""")
+def subgraph_nodes(t):
+    nodes, edges = _graph(t)
+    return graph.subgraph(nodes, edges, t.spark.createDataFrame([("r:0",)], "node_id string"), 2, ["contains"])[0].select("node_id", "kind", "name", "depth")
+
+
+@query(f"""{WITH_GRAPH}, reach AS (SELECT 'r:0' AS node_id, 0 AS depth UNION ALL SELECT dst, depth + 1 FROM reach JOIN key_edges ON src = node_id AND relation = 'contains' WHERE depth < 2)
+SELECT src, dst, relation FROM key_edges WHERE src IN (SELECT node_id FROM reach) AND dst IN (SELECT node_id FROM reach)""")
+def subgraph_edges(t):
+    nodes, edges = _graph(t)
+    return graph.subgraph(nodes, edges, t.spark.createDataFrame([("r:0",)], "node_id string"), 2, ["contains"])[1].select("src", "dst", "relation")
+
+
+@query(f"""{WITH_GRAPH}, walk AS (SELECT 'r:1' AS node_id, 0 AS depth, 'r:1' AS path UNION ALL SELECT dst, depth + 1, path || '>' || dst FROM walk JOIN key_edges ON src = node_id AND relation = 'contains' WHERE depth < 5)
+SELECT k.node_id AS target, CASE WHEN w.node_id IS NULL THEN 'none' ELSE 'found' END AS status, coalesce(depth, -1) AS length, coalesce(path, '') AS path FROM key_nodes k LEFT JOIN walk w USING (node_id) WHERE kind = 'orders'""")
+def find_paths(t):
+    nodes, edges = _graph(t)
+    return graph.find_paths(edges, t.spark.createDataFrame([("r:1",)], "node_id string"), nodes.filter("kind = 'orders'").select("node_id"), 5, ["contains"]).fillna(-1, ["length"])
+
+
+@query(f"""{WITH_GRAPH}, walk AS (SELECT node_id AS root, node_id, 0 AS depth, node_id AS path FROM key_nodes WHERE kind = 'region'
+  UNION ALL SELECT root, dst, depth + 1, path || '>' || dst FROM walk JOIN key_edges ON src = node_id AND relation = 'contains' WHERE depth < 3)
+SELECT root, k.node_id, kind, name, depth, path FROM walk JOIN key_nodes k USING (node_id)""")
+def print_tree(t):
+    nodes, edges = _graph(t)
+    return graph.tree(nodes, edges, nodes.filter("kind = 'region'").select("node_id"), 3)
+
+
+@query(f"""{WITH_GRAPH} SELECT e.src, e.dst, k.name FROM key_edges e JOIN key_nodes k ON k.node_id = e.dst WHERE relation = 'called_by'""")
+def related_chunks(t):
+    nodes, edges = _graph(t)
+    return edges.filter("relation = 'called_by'").join(nodes.select(F.col("node_id").alias("dst"), "name"), "dst").select("src", "dst", "name")
+
+
+@query(f"""{WITH_GRAPH} SELECT src, dst, relation FROM key_edges WHERE src IN (SELECT node_id FROM key_nodes WHERE kind <> 'region') AND dst IN (SELECT node_id FROM key_nodes WHERE kind <> 'region')""")
+def complete_edges(t):
+    from loomspark.sources.tree import complete_edges as complete
+
+    nodes, edges = _graph(t)
+    return complete(nodes.filter("kind != 'region'"), edges).select("src", "dst", "relation")
+
+
+# --- listings ---------------------------------------------------------------------------------
+
+NEEDLE, FUZZY = "red", "rdg"
+
+
+@query("""WITH r AS (SELECT p_partkey, p_name, lower(p_type) AS node_type, row_number() OVER (PARTITION BY lower(p_type) ORDER BY lower(p_name), p_partkey) AS rank FROM part)
+SELECT p_partkey, p_name, node_type, CAST(rank AS INT) AS rank, CAST(ceil(rank / 20.0) AS BIGINT) AS page FROM r""")
+def list_nodes_by_type(t):
+    return catalog.nodes_by_type(t.part, "p_type", "p_name", "p_partkey").select("p_partkey", "p_name", "node_type", "rank", "page")
+
+
+@query("""WITH s AS (SELECT p_partkey, p_name, p_type, CASE WHEN lower(p_name) = 'rdg' THEN 0 WHEN contains(lower(p_name), 'rdg') THEN 1 WHEN regexp_matches(lower(p_name), 'r.*d.*g') THEN 2 END AS score FROM part)
+SELECT p_partkey, p_name, p_type, score FROM s WHERE score IS NOT NULL""")
+def search_by_type_and_name(t):
+    return catalog.search_by_type_and_name(t.part, FUZZY, None, True, "p_type", "p_name").select("p_partkey", "p_name", "p_type", "score")
+
+
+@query(f"""WITH {A.EVENT_SQL}, d AS (SELECT entity, count(*) AS n, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM decl GROUP BY 1), c AS (SELECT entity, count(*) AS n FROM call GROUP BY 1)
+SELECT coalesce(d.entity, c.entity) AS entity, coalesce(types, '') AS types, coalesce(d.n, 0) AS n_decl, coalesce(c.n, 0) AS n_call, d.n IS NOT NULL AS declared_in_repo, c.n IS NOT NULL AS called_in_repo FROM d FULL JOIN c ON d.entity = c.entity""")
+def list_all_entities(t):
+    return catalog.entity_list(*A.event_entities(t))
+
+
+@query(f"WITH {A.EVENT_SQL} SELECT DISTINCT entity FROM decl WHERE entity NOT IN (SELECT entity FROM call)")
+def list_all_entities_unused(t):
+    return catalog.declared_entities(*A.event_entities(t), called=False)
+
+
+@query(f"WITH {A.EVENT_SQL} SELECT DISTINCT entity FROM decl WHERE entity IN (SELECT entity FROM call)")
+def list_all_entities_declared(t):
+    return catalog.declared_entities(*A.event_entities(t), called=True)
+
+
+@query(f"WITH {A.EVENT_SQL} SELECT DISTINCT entity FROM call WHERE entity NOT IN (SELECT entity FROM decl)")
+def list_all_entities_external(t):
+    return catalog.external_entities(*A.event_entities(t))
+
+
+@query(f"""WITH {A.EVENT_SQL}, r AS (SELECT entity, chunk_id, pos, row_number() OVER (PARTITION BY entity ORDER BY pos, chunk_id) AS rank, count(*) OVER (PARTITION BY entity) AS n_total FROM decl),
+ch AS (SELECT chunk_id, count(*) AS n_events FROM ev GROUP BY 1)
+SELECT entity, CAST(rank AS INT) AS rank, chunk_id, n_total, n_events FROM r JOIN ch USING (chunk_id) WHERE rank <= 5""")
+def go_to_definition(t):
+    return catalog.definitions(A.event_entities(t)[0], A.event_chunks(t)).select("entity", "rank", "chunk_id", "n_total", "n_events")
+
+
+@query(f"""WITH {A.EVENT_SQL}, r AS (SELECT entity, chunk_id, pos, row_number() OVER (PARTITION BY entity ORDER BY pos, chunk_id) AS rank FROM call),
+ch AS (SELECT chunk_id, count(*) AS n_events FROM ev GROUP BY 1)
+SELECT entity, CAST(rank AS INT) AS rank, chunk_id, n_events FROM r JOIN ch USING (chunk_id) WHERE rank <= 20""")
+def find_usages(t):
+    return catalog.usages(A.event_entities(t)[1], A.event_chunks(t)).select("entity", "rank", "chunk_id", "n_events")
+
+
+@query("""SELECT doc_id AS path, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END AS BIGINT) AS n_lines,
+length(text) AS n_characters, CAST(ceil(length(text) / 2000.0) AS BIGINT) AS n_chunks FROM documents""")
+def file_stats(t):
+    files = t.documents.select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    return catalog.file_stats(files, chunks.fixed_chunks(files))
+
+
+@query("""SELECT d.doc_id AS path, CAST(i AS INT) AS ord, substr(text, CAST(i * 2000 + 1 AS BIGINT), 2000) AS content FROM documents d, unnest(range(CAST(ceil(length(text) / 2000.0) AS BIGINT))) AS u(i)""")
+def chunk_documents(t):
+    return chunks.fixed_chunks(t.documents.select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
+
+
+@query("SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https?://.*/en/.*$')")
+def list_files_glob(t):
+    return catalog.list_files(t.pages.select("page_id", "url"), glob="http*://*/en/*", path="url")
+
+
+@query("SELECT page_id, url, list_last(string_split(url, '/')) AS name FROM pages WHERE regexp_matches(list_last(string_split(url, '/')), '^[0-9]+\\.html$')")
+def file_names_regex(t):
+    return catalog.file_names_by_regex(t.pages.select("page_id", "url"), r"^[0-9]+\.html$", "url")
+
+
+@query("""SELECT page_id, kind, name, count(*) AS n FROM (SELECT page_id, 'class' AS kind, unnest(regexp_extract_all(html, ' class="([^"]+)"', 1)) AS name FROM pages
+UNION ALL SELECT page_id, 'link', unnest(regexp_extract_all(html, ' href="([^"]+)"', 1)) FROM pages) GROUP BY ALL""")
+def html_entities(t):
+    found = [t.pages.select("page_id", F.lit(k).alias("kind"), F.explode(F.regexp_extract_all("html", F.lit(p), F.lit(1))).alias("name")) for k, p in (("class", ' class="([^"]+)"'), ("link", ' href="([^"]+)"'))]
+    return found[0].unionByName(found[1]).groupBy("page_id", "kind", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, ' href="([^"]+)"', 1)) AS called FROM pages), named AS (SELECT page_id AS path, min(called) AS match FROM l WHERE contains(lower(called), 'the') GROUP BY 1)
+SELECT path, 'called_entity' AS match_type, match FROM named""")
+def files_importing(t):
+    calls = t.pages.select(F.col("page_id").alias("path"), F.explode(F.regexp_extract_all("html", F.lit(' href="([^"]+)"'), F.lit(1))).alias("called"))
+    pieces = t.pages.select(F.col("page_id").alias("path"), F.lit(0).alias("ord"), F.lit("").alias("content"))
+    return catalog.files_importing(calls, pieces, "the")
+
+
+@query("""WITH p AS (SELECT 'part' AS category, p_partkey AS k FROM part WHERE contains(lower(p_name), 'ring') ORDER BY k LIMIT 15), d AS (SELECT 'document' AS category, doc_id AS k FROM documents WHERE contains(lower(text), 'ring') ORDER BY k LIMIT 7),
+g AS (SELECT 'page' AS category, page_id AS k FROM pages WHERE contains(lower(url), 'ring') ORDER BY k LIMIT 15), a AS (SELECT * FROM p UNION ALL SELECT * FROM d UNION ALL SELECT * FROM g)
+SELECT category, CAST(k AS VARCHAR) AS id, CAST(row_number() OVER (PARTITION BY category ORDER BY k) AS INT) AS rank FROM a""")
+def concept_overview(t):
+    sources = {"part": (t.part, "p_partkey", ["p_name"]), "document": (t.documents, "doc_id", ["text"]), "page": (t.pages, "page_id", ["url"])}
+    return catalog.concept_overview("ring", sources, {"part": 15, "document": 7, "page": 15})
+
+
+@query(f"""WITH {A.EVENT_SQL}, f AS (SELECT DISTINCT file FROM ev), d AS (SELECT file, count(*) AS n FROM decl GROUP BY 1),
+r AS (SELECT file, CAST(entity AS VARCHAR) AS name, row_number() OVER (PARTITION BY file ORDER BY pos) AS r FROM decl), top AS (SELECT file, string_agg(name, ',' ORDER BY r) AS names FROM r WHERE r <= 15 GROUP BY 1),
+c AS (SELECT file, chunk_id, row_number() OVER (PARTITION BY file ORDER BY chunk_id) - 1 AS ord FROM (SELECT DISTINCT file, chunk_id FROM ev)), g AS (SELECT file, count(*) AS n, string_agg(chunk_id, ',' ORDER BY ord) FILTER (ord < 10) AS ids FROM c GROUP BY 1)
+SELECT f.file, coalesce(d.n, 0) AS n_declared, coalesce(names, '') AS declared, coalesce(g.n, 0) AS n_chunks, coalesce(ids, '') AS chunk_ids FROM f LEFT JOIN d USING (file) LEFT JOIN top USING (file) LEFT JOIN g USING (file)""")
+def file_structure(t):
+    decl, call = A.event_entities(t)
+    every = decl.unionByName(call)
+    pieces = graph.ranked(every.select("file", "chunk_id").distinct(), ["file"], [F.col("chunk_id")]).withColumn("ord", F.col("rank") - 1)
+    return catalog.file_structure(every.select("file").distinct(), decl.withColumn("name", F.col("entity").cast("string")), pieces, "file")
+
+
+# --- chunks -----------------------------------------------------------------------------------
+
+
+@query("""WITH w AS (SELECT conv_id AS path, turn AS ord, text, lag(turn) OVER w AS p, lag(text) OVER w AS pt, lead(turn) OVER w AS n, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT path, ord, coalesce(p, -1) AS prev_ord, coalesce(n, -1) AS next_ord, CASE WHEN p IS NULL THEN '' ELSE pt || CASE WHEN p + 1 <> ord THEN chr(10) || '[...]' ELSE '' END || chr(10) END || text || CASE WHEN n IS NULL THEN '' ELSE CASE WHEN ord + 1 <> n THEN chr(10) || '[...]' ELSE '' END || chr(10) || nt END AS context FROM w""")
+def chunk_context(t):
+    return chunks.chunk_context(A.turns(t)).fillna(-1, ["prev_ord", "next_ord"])
+
+
+@query("""WITH w AS (SELECT conv_id AS path, turn AS ord, text, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)
+SELECT path, repeat('=', 48) || chr(10) || path || chr(10) || repeat('=', 48) || chr(10) || string_agg(CASE WHEN p IS NULL THEN '' WHEN p + 1 <> ord THEN chr(10) || '[...]' || chr(10) ELSE chr(10) END || text, '' ORDER BY ord) AS text FROM w GROUP BY path""")
+def join_chunks(t):
+    return chunks.join_files(A.turns(t))
+
+
+@query("""WITH o AS (SELECT conv_id AS path, turn AS ord, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations)
+SELECT a.path, a.ord AS first_ord, b.ord AS last_ord, b.r - a.r + 1 AS n FROM o a JOIN o b ON a.path = b.path AND b.r > a.r AND b.r < a.r + 4""")
+def neighbouring_chunks(t):
+    return chunks.ngrams(A.turns(t))
+
+
+@query()
+def diff_chunks(t):
+    """Each turn against the next one of its conversation."""
+    rows = A.turns(t)
+    after = rows.select("path", (F.col("ord") - 1).alias("ord"), F.col("content").alias("text_b"))
+    name = F.concat_ws("_", "path", "ord")
+    return chunks.diff_pairs(rows.join(after, ["path", "ord"]).select(name.alias("id_a"), F.col("content").alias("text_a"), F.concat_ws("_", "path", F.col("ord") + 1).alias("id_b"), "text_b"))
+
+
+# --- search -----------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'license') OR contains(lower(text), 'token')")
+def keyword_scan(t):
+    return search.keyword_scan(t.documents, "license token", ["text"]).select("doc_id", "lang")
+
+
+@query("""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents),
+c AS (SELECT doc_id, len(t) AS dl, len(list_filter(t, lambda x: x = 'license')) AS a, len(list_filter(t, lambda x: x = 'token')) AS b FROM d),
+f AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c)
+SELECT doc_id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM c, f WHERE a > 0 OR b > 0""")
+def bm25(t):
+    return search.bm25(t.documents, "doc_id", "text", "license token")
+
+
+def _first_vector(t) -> list[float]:
+    return [float(x) for x in t.embeddings.orderBy("vec_id").select("embedding").first()[0]]
+
+
+@query("""WITH q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1), d AS (SELECT vec_id, label, list_sum(list_transform(list_zip(embedding, q), lambda z: (z[1] - z[2])::DOUBLE * (z[1] - z[2])::DOUBLE)) AS d FROM embeddings, q)
+SELECT vec_id, label, round(d, 4) AS distance FROM d ORDER BY d.d, vec_id LIMIT 10""")
+def knn(t):
+    return search.nearest(t.embeddings, _first_vector(t), 10).select("vec_id", "label", F.round("distance", 4).alias("distance"))
+
+
+@query("""WITH q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1), d AS (SELECT vec_id, CAST(label AS VARCHAR) AS text, list_sum(list_transform(list_zip(embedding, q), lambda z: (z[1] - z[2])::DOUBLE * (z[1] - z[2])::DOUBLE)) AS d FROM embeddings, q),
+n AS (SELECT * FROM d ORDER BY d, vec_id LIMIT 60), k AS (SELECT *, CASE WHEN contains(text, '3') THEN 13.0 ELSE 0.0 END AS kw FROM n),
+s AS (SELECT vec_id, round(0.7 * (1 - d / CASE WHEN max(d) OVER () > 0 THEN max(d) OVER () ELSE 1 END) + 0.3 * kw / CASE WHEN max(kw) OVER () > 0 THEN max(kw) OVER () ELSE 1 END, 4) AS score FROM k)
+SELECT vec_id, score FROM s ORDER BY score DESC, vec_id LIMIT 20""")
+def hybrid_search(t):
+    rows = t.embeddings.withColumn("text", F.col("label").cast("string"))
+    found = search.hybrid(rows, "3", _first_vector(t), 20, ["text"], "text", "vec_id")
+    return found.select("vec_id", F.round("score", 4).alias("score")).orderBy(F.desc("score"), "vec_id")
+
+
+# --- mining -----------------------------------------------------------------------------------
+
+
+@query(f"""WITH {A.EVENT_SQL}, m AS (SELECT d.entity, d.chunk_id AS decl_chunk, c.chunk_id AS call_chunk, d.file AS decl_file, c.file AS call_file, row_number() OVER (PARTITION BY d.entity ORDER BY d.pos, c.pos) AS r FROM decl d JOIN call c ON d.entity = c.entity AND d.file <> c.file AND d.chunk_id <> c.chunk_id)
+SELECT entity, decl_chunk, call_chunk, decl_file, call_file FROM m WHERE r = 1""")
+def decl_call_pairs(t):
+    return mining.decl_call_pairs(*A.event_entities(t))
+
+
+TRIPLETS = f"""WITH {A.EVENT_SQL}, f AS (SELECT entity, arg_min(chunk_id, pos) AS decl_chunk FROM decl GROUP BY 1), u AS (SELECT DISTINCT c.entity, c.chunk_id, decl_chunk FROM call c JOIN f ON f.entity = c.entity)
+SELECT a.entity AS a, b.entity AS b, min(a.chunk_id) AS chunk_id, min(a.decl_chunk) AS decl_a, min(b.decl_chunk) AS decl_b FROM u a JOIN u b ON a.chunk_id = b.chunk_id AND a.entity <> b.entity GROUP BY 1, 2"""
+
+
+@query(TRIPLETS)
+def interacting_triplets(t):
+    return mining.interacting(*A.event_entities(t))
+
+
+@query(f"""WITH {A.EVENT_SQL}, m AS (SELECT d.entity, d.chunk_id AS decl_chunk, c.chunk_id AS call_chunk, row_number() OVER (PARTITION BY d.entity ORDER BY d.pos, c.pos) AS r FROM decl d JOIN call c ON d.entity = c.entity AND d.file <> c.file AND d.chunk_id <> c.chunk_id),
+p AS (SELECT entity, decl_chunk, call_chunk FROM m WHERE r = 1), one AS (SELECT *, row_number() OVER (PARTITION BY decl_chunk ORDER BY entity) AS r FROM p)
+SELECT entity, decl_chunk, call_chunk FROM one WHERE r = 1 ORDER BY decl_chunk, entity LIMIT 20""")
+def diverse_pairs(t):
+    return mining.diverse_pairs(mining.decl_call_pairs(*A.event_entities(t))).select("entity", "decl_chunk", "call_chunk")
+
+
+@query("""WITH k AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '/[0-9]+', '/{param}', 'g'), '/+$', '') AS key FROM pages)
+SELECT key, count(*) AS n, min(page_id) AS first_page FROM k GROUP BY 1""")
+def endpoint_keys(t):
+    return t.pages.select("page_id", mining.endpoint_key(F.col("url")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page"))
+
+
+@query("""SELECT source, lang, count(*) AS n, count(*) FILTER (quality = 1) AS n_success, count(*) FILTER (quality <> 1) AS n_failed, CAST(sum(n_chars) AS BIGINT) AS total_n_chars, CAST(sum(toxic) AS BIGINT) AS total_toxic FROM labels JOIN documents USING (doc_id) GROUP BY ALL""")
+def eval_summary(t):
+    rows = t.labels.join(t.documents.select("doc_id", "source", "lang", "n_chars"), "doc_id").withColumn("ok", F.col("quality") == 1)
+    return mining.run_summary(rows, ["source", "lang"], "ok", ["n_chars", "toxic"])
+
+
+# --- names and roll-ups -----------------------------------------------------------------------
+
+
+@query("""SELECT coalesce(source, '*') AS source, coalesce(lang, '*') AS lang, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY ROLLUP (source, lang)""")
+def dir_rollup(t):
+    rows = t.documents.rollup("source", "lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").cast("long").alias("n_chars"))
+    return rows.select(F.coalesce("source", F.lit("*")).alias("source"), F.coalesce("lang", F.lit("*")).alias("lang"), "n_docs", "n_chars")
+
+
+@query("""WITH p AS (SELECT DISTINCT source, lang, list_transform(range(1, len(string_split(split_part(split_part(url, '://', 2), '?', 1), '/'))), lambda i: array_to_string(list_slice(string_split(split_part(split_part(url, '://', 2), '?', 1), '/'), 1, i), '/')) AS dirs FROM (SELECT url, '' AS source, '' AS lang FROM pages))
+SELECT DISTINCT unnest(list_concat([''], dirs)) AS directory FROM p""")
+def directories(t):
+    path = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("?"), F.lit(1))
+    return build.rolled_up(t.pages.select(path.alias("path")), [])
+
+
+@query("SELECT url, list_last(string_split(split_part(url, '?', 1), '.')) AS name FROM pages WHERE NOT contains(url, '::')")
+def simple_names(t):
+    return t.pages.select("url", names.simple_name(F.split_part("url", F.lit("?"), F.lit(1))).alias("name"))
+
+
+@query("""WITH o AS (SELECT p_partkey, replace(p_name, ' ', '.') AS called FROM part), c AS (SELECT called AS canonical, min(p_partkey) AS seq FROM o WHERE p_partkey % 2 = 0 GROUP BY 1),
+s AS (SELECT list_last(string_split(canonical, '.')) AS simple, arg_min(canonical, (length(canonical), seq)) AS near FROM c GROUP BY 1)
+SELECT o.p_partkey, o.called, coalesce(c.canonical, s.near, o.called) AS resolved, CASE WHEN c.canonical IS NOT NULL THEN 'exact' WHEN s.near IS NOT NULL THEN 'simple' ELSE 'none' END AS match_kind
+FROM o LEFT JOIN c ON o.called = c.canonical LEFT JOIN s ON s.simple = list_last(string_split(o.called, '.'))""")
+def alias_resolve(t):
+    """Part names as calls; names of parts with even keys are the known entities."""
+    calls = t.part.select("p_partkey", F.translate("p_name", " ", ".").alias("called"))
+    known = calls.filter("p_partkey % 2 = 0").select(F.col("called").alias("name"), F.lit("").alias("path"), F.col("p_partkey").alias("seq"))
+    table = build.alias_table(known)
+    return build.resolve_calls(calls, table).select("p_partkey", "called", "resolved", "match_kind")
+
+
+@query()
+def register_entities(t):
+    """Parts as declarations that may share a name: each joins the first entity that it is an alias of."""
+    rows = t.part.select(F.col("p_partkey").alias("occ"), F.floor(F.col("p_partkey") / 8).alias("chunk_seq"), F.translate("p_name", " ", "_").alias("name"), F.concat(F.lower("p_type"), F.lit("/"), F.lower("p_brand"), F.lit(".py")).alias("path"))
+    return build.register(rows).select("occ", "name", "entity")
