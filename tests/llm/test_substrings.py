@@ -58,9 +58,9 @@ def test_phrases_hold_each_window_once():
 
 
 def test_packing_round_trip():
-    rows = windows.Rows(*(np.array([5, 2**63], np.uint64),) * 2, *(np.array([7, 0], np.uint16),) * 2, np.array([-(2**63), 4]), np.array([1, 2], np.int32), np.array([3, 4], np.int32))
+    rows = windows.Rows(*(np.array([5, 2**63], np.uint64),) * 2, *(np.array([7, 0], np.uint16),) * 2, np.array([-(2**63), 4]), np.array([1, 2], np.int32), np.array([3, 4], np.int32), np.array([0, 2], np.int32))
     back = windows._unpack(windows._pack(rows, windows.WINDOW), windows.WINDOW)
-    assert all((a == b).all() for a, b in zip(rows, back, strict=True) if a.dtype != np.uint16)
+    assert all((a == b).all() for a, b in zip(rows[4:], back[4:], strict=True)) and (back.one == rows.one >> np.uint64(16) << np.uint64(16)).all()
     assert (windows._unpack(windows._pack(rows, windows.PHRASE), windows.PHRASE).left == rows.left).all()
 
 
