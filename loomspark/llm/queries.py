@@ -17,4 +17,26 @@ QUERIES = {
     "op9_token_files": tokens.op9_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP4_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS win FROM (SELECT doc_id, h, unnest(range(greatest(len(h) // 2 - 49, 0))) AS s FROM d)),
+dup AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY win) AS least FROM win) WHERE least < doc_id),
+edge AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM dup),
+isle AS (SELECT doc_id, s, sum(CASE WHEN p IS NULL OR s > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM edge),
+gone AS (SELECT doc_id, g, min(s) AS a, max(s) + 50 AS b FROM isle GROUP BY 1, 2),
+gap AS (SELECT doc_id, g, b AS x, lead(a) OVER (PARTITION BY doc_id ORDER BY g) AS y FROM gone UNION ALL SELECT doc_id, 0, 0, min(a) FROM gone GROUP BY 1),
+kept AS (SELECT gap.doc_id, string_agg(CASE WHEN y IS NULL THEN substr(h, 2 * x + 1) ELSE substr(h, 2 * x + 1, 2 * (y - x)) END, '' ORDER BY g) AS k FROM gap JOIN d USING (doc_id) GROUP BY 1),
+sums AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM gone GROUP BY 1)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(list_slice(w, s, s + 19), ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) AS s FROM d)),
+dup AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM dup),
+word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS k, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op4_prefix_free_parse": OP4_SQL, "op6_relative_lempel_ziv": OP6_SQL}
