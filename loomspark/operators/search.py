@@ -6,6 +6,7 @@ normalise them first for cosine order.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,16 +37,15 @@ def inverted_index(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Dat
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
-    """(key, score) of all documents with a query word. Only the query's words are counted, in one pass over the texts."""
+    """(key, score) of all documents with a query word. Only the query's words are counted; one pass gives the corpus' figures, one the scores."""
     words = words_of(query)
     cut = docs.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), "t")
     counted = cut.select(key, "dl", *[_count(w).alias(f"tf{i}") for i, w in enumerate(words)])
-    facts = counted.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
-    rows = counted.crossJoin(F.broadcast(facts))  # one row
-    norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    parts = [F.log(1 + (F.col("n_docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + norm) for i in range(len(words))]
+    facts = counted.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]).first()
+    norm = k1 * (1 - b + b * F.col("dl") / F.lit(facts.avgdl or 1.0))
+    parts = [math.log(1 + (facts.n_docs - facts[f"df{i}"] + 0.5) / (facts[f"df{i}"] + 0.5)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + norm) for i in range(len(words))]
     score = reduce(lambda x, y: x + y, parts)
-    return rows.filter(reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(words))])).select(key, F.round(score, 6).alias("score"))
+    return counted.filter(reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(words))])).select(key, F.round(score, 6).alias("score"))
 
 
 def _count(word: str) -> Column:
