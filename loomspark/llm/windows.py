@@ -9,14 +9,16 @@ different triggers share none. So the work is:
 1. Each task cuts its documents, drops phrases that it has seen before (they are repeats), and
    sends one row per distinct phrase and task to the block of its trigger.
 2. A block keeps the first place of each phrase (the dictionary), reports the others as repeats,
-   and reports first phrases that share their trigger with a different phrase as contested.
-3. Only windows of contested phrases are compared one by one: they are hashed (128 bits), grouped
+   and reports as contested the windows of first phrases that agree with a different one on the
+   trigger and on one side of it, where the window has half of its other symbols: no others can be
+   shared.
+3. Only windows of contested phrases are compared one by one: they are hashed (96 bits), grouped
    by hash, and all but the first place are repeats.
 4. The repeats of each document are joined to its text.
 
 A phrase or window that fills much of the corpus costs one row per task, not one per place.
-Phrases are compared by two independent hashes (96 bits and the block), windows by 128 bits.
-Rows move in packed arrays, so a shuffled phrase takes about 15 bytes.
+Phrases are compared by independent hashes of 40, 48, 16 and 16 bits and the block, windows by 96
+bits and the block. Rows move in packed arrays, so a shuffled phrase takes about 18 bytes.
 
 doc_id names a text: rows that share one are taken as copies of one row, and what repeats in one
 of them counts in all. A null doc_id stands before all others and comes back as null.
@@ -36,10 +38,11 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import Sums, split_batches, stored, text_bytes
 
 NO_ID = -(2**63)
-#: Phrases that a task holds before it sends them on.
+#: Phrases or windows that a task holds before it sends them on.
 HELD = 1_500_000
-#: Blocks for each shuffle partition, so that they spread evenly.
-BLOCKS = 8
+#: Bytes of text for which there is a block, and the most blocks (then each has more).
+BLOCK_BYTES = 4 << 20
+LEAST_BLOCKS, MOST_BLOCKS = 64, 1_000_000
 
 
 class Shape(NamedTuple):
@@ -49,6 +52,11 @@ class Shape(NamedTuple):
     gram: int
     other_document: bool
 
+    @property
+    def half(self) -> int:
+        """Of the symbols of a window beside its trigger, so many stand on one side at least."""
+        return (self.window - self.gram + 1) // 2
+
 
 #: Grams are ordered by these bits of their hashes and then by place, for which the others leave room (a billion symbols in a batch).
 _ORDER = np.uint64(2**64 - 2**30)
@@ -66,12 +74,17 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def phrases(symbols: np.ndarray, at: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
-    """Row, start within it, number of windows, trigger and content hash of all phrases."""
+    """Row, start within it, number of windows, place of the trigger in it, trigger, content, and hashes left and right of the trigger, of all phrases.
+
+    Windows of one trigger agree on half of their other symbols to its left or to its right; a side
+    on which a phrase has fewer symbols than that has hash 0, which agrees with nothing.
+    """
     total, window = len(symbols), shape.window
     if total < window:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint16, np.uint16))
     grams = np.arange(total - shape.gram + 1)
-    value = Sums(symbols).of(grams, grams + shape.gram)
+    sums = Sums(symbols)
+    value = sums.of(grams, grams + shape.gram)
     place = sliding_minimum((value & _ORDER) | grams.astype(np.uint64), window - shape.gram + 1) & ~_ORDER
     ends = np.repeat(at[1:], np.diff(at))[: len(place)]
     places = np.flatnonzero(np.arange(window, window + len(place)) <= ends)
@@ -79,52 +92,110 @@ def phrases(symbols: np.ndarray, at: np.ndarray, shape: Shape) -> tuple[np.ndarr
     fresh = np.ones(len(places), bool)
     fresh[1:] = place[1:] != place[:-1]
     first = np.flatnonzero(fresh)
-    start, n, trigger = places[first], np.diff(np.append(first, len(places))), value[place[first]]
+    start, n, at_gram = places[first], np.diff(np.append(first, len(places))), place[first].astype(np.int64)
+    end, half = start + n + window - 1, shape.half
+    left, right = np.maximum(at_gram - half, start), np.minimum(at_gram + shape.gram + half, end)
+    sides = [_short(sums.of(a, b), b - a == half) for a, b in ((left, at_gram), (at_gram + shape.gram, right))]
     row = np.searchsorted(at, start, "right") - 1
-    return row, start - at[row], n, trigger, Sums(symbols, 1).of(start, start + n + window - 1)
+    return row, start - at[row], n, at_gram - start, value[at_gram], Sums(symbols, 1).of(start, end), *sides
+
+
+def _short(hashes: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return np.where(whole, np.maximum(hashes >> np.uint64(48), np.uint64(1)), np.uint64(0)).astype(np.uint16)
 
 
 # --- packed rows ------------------------------------------------------------------------------
 
 
-def _pack(one: np.ndarray, two: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, wide: int) -> bytes:
-    """Hashes in `wide` bytes each, and places (documents as differences) compressed."""
-    rest = np.concatenate([np.diff(doc, prepend=0).astype("<i8").view(np.uint8), start.astype("<i4").view(np.uint8), n.astype("<i4").view(np.uint8)])
+class Rows(NamedTuple):
+    """Hashed things and their places; left and right are hashes of a trigger's sides and mid is its place (0 for windows)."""
+
+    one: np.ndarray
+    two: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    doc: np.ndarray
+    start: np.ndarray
+    n: np.ndarray
+    mid: np.ndarray
+
+    def take(self, which: np.ndarray) -> Rows:
+        return Rows(*(x[which] for x in self))
+
+
+def _joined(parts: list[Rows]) -> Rows:
+    return Rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+class Width(NamedTuple):
+    """Bytes of each hash that are sent."""
+
+    one: int
+    two: int
+    sides: int
+
+
+PHRASE, WINDOW, PLACE = Width(5, 6, 2), Width(6, 6, 0), Width(0, 0, 0)
+
+
+def _pack(rows: Rows, width: Width) -> bytes:
+    """The leading bytes of each hash, and places (documents as differences) compressed."""
+    rest = np.concatenate([np.diff(rows.doc, prepend=0).astype("<i8").view(np.uint8), rows.start.astype("<i4").view(np.uint8), rows.n.astype("<i4").view(np.uint8), rows.mid.astype("<i4").view(np.uint8)])
     rest = zstandard.ZstdCompressor(level=1).compress(rest.tobytes())
-    hashes = [x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - wide :].tobytes() for x in (one, two)]
-    return b"".join([len(doc).to_bytes(4, "little"), len(rest).to_bytes(4, "little"), rest, *hashes])
+    hashes = [x.astype(kind).view(np.uint8).reshape(len(x), -1)[:, x.dtype.itemsize - wide :].tobytes() for x, kind, wide in zip(rows[:4], ("<u8", "<u8", "<u2", "<u2"), (width.one, width.two, width.sides, width.sides), strict=True)]
+    return b"".join([len(rows.doc).to_bytes(4, "little"), len(rest).to_bytes(4, "little"), rest, *hashes])
 
 
-def _unpack(blob: bytes, wide: int) -> tuple[np.ndarray, ...]:
+def _unpack(blob: bytes, width: Width) -> Rows:
     rows, size = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
     rest = zstandard.ZstdDecompressor().decompress(blob[8 : 8 + size])
-    doc = np.cumsum(np.frombuffer(rest, "<i8", rows))
-    start, n = np.frombuffer(rest, "<i4", rows, 8 * rows), np.frombuffer(rest, "<i4", rows, 12 * rows)
-    out = []
-    for k in range(2):
-        x = np.zeros((rows, 8), np.uint8)
-        x[:, 8 - wide :] = np.frombuffer(blob, np.uint8, rows * wide, 8 + size + k * rows * wide).reshape(rows, wide)
-        out.append(x.view("<u8").ravel())
-    return out[0], out[1], doc, start, n
+    at, out = 8 + size, []
+    for kind, full, wide in (("<u8", 8, width.one), ("<u8", 8, width.two), ("<u2", 2, width.sides), ("<u2", 2, width.sides)):
+        x = np.zeros((rows, full), np.uint8)
+        x[:, full - wide :] = np.frombuffer(blob, np.uint8, rows * wide, at).reshape(rows, wide)
+        out.append(x.view(kind).ravel())
+        at += rows * wide
+    return Rows(*out, np.cumsum(np.frombuffer(rest, "<i8", rows)), np.frombuffer(rest, "<i4", rows, 8 * rows), np.frombuffer(rest, "<i4", rows, 12 * rows), np.frombuffer(rest, "<i4", rows, 16 * rows))
 
 
-def _order(one: np.ndarray, two: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return np.lexsort((start, doc, two, one))
+def _sorted(parts: list[Rows]) -> Rows:
+    rows = _joined(parts)
+    return rows.take(np.lexsort((rows.start, rows.doc, rows.right, rows.left, rows.two, rows.one)))
 
 
-def _repeats(one: np.ndarray, two: np.ndarray, doc: np.ndarray, start: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows in _order: where a new (one, two) starts, and which rows repeat an earlier place."""
-    fresh = np.ones(len(one), bool)
-    fresh[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+def _repeats(rows: Rows, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows: where a new thing starts, and which rows repeat an earlier place."""
+    fresh = np.ones(len(rows.one), bool)
+    fresh[1:] = np.any([x[1:] != x[:-1] for x in rows[:4]], axis=0)
+    head = np.flatnonzero(fresh)
+    of = np.repeat(head, np.diff(np.append(head, len(fresh))))
     if shape.other_document:
+        return fresh, rows.doc > rows.doc[of]
+    # a place that is named twice (repeated rows) counts as the first both times
+    return fresh, (rows.doc != rows.doc[of]) | (rows.start != rows.start[of])
+
+
+def _several(rows: Rows, side: np.ndarray) -> np.ndarray:
+    """Which phrases agree with a different one on the trigger and on this side of it."""
+    out = np.zeros(len(rows.one), bool)
+    some = np.flatnonzero(side)
+    if len(some):
+        order = some[np.lexsort((rows.two[some], side[some], rows.one[some]))]
+        one, key, two = rows.one[order], side[order], rows.two[order]
+        fresh = np.append(True, (one[1:] != one[:-1]) | (key[1:] != key[:-1]))
         head = np.flatnonzero(fresh)
-        least = np.repeat(doc[head], np.diff(np.append(head, len(one))))
-        return fresh, doc > least
-    first = fresh.copy()  # a place that is named twice (repeated rows) counts as the first both times
-    head = np.flatnonzero(fresh)
-    of = np.repeat(head, np.diff(np.append(head, len(one))))
-    first |= (doc == doc[of]) & (start == start[of])
-    return fresh, ~first
+        differs = ~fresh & np.append(False, two[1:] != two[:-1])
+        out[order[np.repeat(np.add.reduceat(differs.astype(np.int64), head) > 0, np.diff(np.append(head, len(order))))]] = True
+    return out
+
+
+def _disputed(rows: Rows, shape: Shape) -> Rows:
+    """The windows that a different phrase may hold too: those with enough symbols on a side on which the phrases agree."""
+    left, right = _several(rows, rows.left), _several(rows, rows.right)
+    last = np.where(right, rows.n, np.minimum(rows.n, rows.mid - shape.half + 1))
+    first = np.where(left, 0, np.maximum(0, rows.mid - (shape.window - shape.gram - shape.half)))
+    some = (left | right) & (first < last)
+    return rows._replace(start=(rows.start + first).astype(np.int32), n=(last - first).astype(np.int32)).take(some)
 
 
 BLOB = "block int, kind int, blob binary"
@@ -132,42 +203,39 @@ EVENT = "doc long, start int, n int, kind int"
 REPEAT, CONTESTED = 0, 1
 
 
-def _sent(held: list[tuple[np.ndarray, ...]], shape: Shape, blocks: int, wide: int) -> Iterator[pa.RecordBatch]:
-    """Rows (one, two, doc, start, n) of a task, without those that repeat in it; the repeats as merged runs."""
-    if not held:
+def _merged(rows: Rows) -> Rows:
+    """The runs of windows that rows cover, without their hashes."""
+    rows = rows.take(np.lexsort((rows.start, rows.doc)))
+    doc, start, end = rows.doc, rows.start.astype(np.int64), rows.start.astype(np.int64) + rows.n
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])
+    head = np.flatnonzero(fresh)
+    none = np.zeros(len(head), np.uint64)
+    return Rows(none, none, none.astype(np.uint16), none.astype(np.uint16), doc[head], start[head], np.maximum.reduceat(end, head) - start[head], np.zeros(len(head), np.int32))
+
+
+def _sent(held: list[Rows], shape: Shape, blocks: int, width: Width) -> Iterator[pa.RecordBatch]:
+    """Packed rows of a task, without those that repeat in it; the repeats as merged runs."""
+    if not held or not sum(len(x.one) for x in held):
         return
-    one, two, doc, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = _order(one, two, doc, start)
-    one, two, doc, start, n = (x[order] for x in (one, two, doc, start, n))
-    _, again = _repeats(one, two, doc, start, shape)
-    block, kind, blob = [], [], []
+    rows = _sorted(held)
+    _, again = _repeats(rows, shape)
+    out = []
     if again.any():
-        d, s, m = doc[again], start[again].astype(np.int64), n[again].astype(np.int64)
-        by = np.lexsort((s, d))
-        d, s, m = d[by], s[by], m[by]
-        fresh = np.ones(len(d), bool)
-        fresh[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + m[:-1])
-        head = np.flatnonzero(fresh)
-        d, s, m = d[head], s[head], np.maximum.reduceat(s + m, head) - s[head]
-        none = np.zeros(0, np.uint64)
-        part = np.arange(0, len(d), 5000)
-        for k in part:
-            cut = slice(k, k + 5000)
-            block.append(int(abs(int(d[k])) % blocks))
-            kind.append(REPEAT)
-            blob.append(_pack(none, none, d[cut], s[cut], m[cut], wide))
-    keep = ~again
-    one, two, doc, start, n = (x[keep] for x in (one, two, doc, start, n))
-    to = (one % np.uint64(blocks)).astype(np.int64)
-    order = np.lexsort((start, doc, to))
-    to, one, two, doc, start, n = (x[order] for x in (to, one, two, doc, start, n))
+        runs = _merged(rows.take(again))
+        for k in range(0, len(runs.doc), 5000):
+            part = runs.take(np.arange(k, min(k + 5000, len(runs.doc))))
+            out.append((abs(int(part.doc[0])) % blocks, REPEAT, _pack(part, PLACE)))
+    rows = rows.take(~again)
+    to = (rows.one % np.uint64(blocks)).astype(np.int64)
+    order = np.lexsort((rows.start, rows.doc, to))
+    rows, to = rows.take(order), to[order]
     head = np.flatnonzero(np.diff(to, prepend=-1))
     for a, b in zip(head.tolist(), np.append(head[1:], len(to)).tolist(), strict=True):
-        block.append(int(to[a]))
-        kind.append(CONTESTED)
-        blob.append(_pack(one[a:b], two[a:b], doc[a:b], start[a:b], n[a:b], wide))
-    for k in range(0, len(block), 256):
-        yield pa.RecordBatch.from_arrays([pa.array(block[k : k + 256], pa.int32()), pa.array(kind[k : k + 256], pa.int32()), pa.array(blob[k : k + 256], pa.binary())], ["block", "kind", "blob"])
+        out.append((int(to[a]), CONTESTED, _pack(rows.take(np.arange(a, b)), width)))
+    for k in range(0, len(out), 256):
+        block, kind, blob = zip(*out[k : k + 256], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["block", "kind", "blob"])
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -179,49 +247,42 @@ def _cut(symbols: Symbols, shape: Shape, blocks: int):
         held, rows = [], 0
         for whole in batches:
             for batch in split_batches(whole, "text"):
-                row, start, n, trigger, content = phrases(*symbols(batch.column("text")), shape)
-                held.append((trigger, content, _ids(batch.column("doc_id"))[row], start.astype(np.int32), n.astype(np.int32)))
+                row, start, n, mid, trigger, content, left, right = phrases(*symbols(batch.column("text")), shape)
+                held.append(Rows(trigger, content, left, right, _ids(batch.column("doc_id"))[row], start.astype(np.int32), n.astype(np.int32), mid.astype(np.int32)))
                 rows += len(row)
                 if rows >= HELD:
-                    yield from _sent(held, shape, blocks, 6)
+                    yield from _sent(held, shape, blocks, PHRASE)
                     held, rows = [], 0
-        yield from _sent(held, shape, blocks, 6)
+        yield from _sent(held, shape, blocks, PHRASE)
 
     return run
 
 
-def _met(shape: Shape, wide: int, contested: bool):
-    """What a block knows: repeats, and (for phrases) first phrases whose trigger has several."""
+def _met(shape: Shape, width: Width):
+    """What a block knows: repeats, and (of phrases) first ones that may share windows with another."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts: list[tuple[np.ndarray, ...]] = []
-        ready: list[tuple[np.ndarray, ...]] = []
-        for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob"), strict=True):
+        parts: list[Rows] = []
+        ready: list[tuple[Rows, int]] = []
+        for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
             if kind == REPEAT:
-                _, _, doc, start, n = _unpack_places(blob.as_buffer())
-                ready.append((doc, start, n, np.zeros(len(doc), np.int32)))
+                ready.append((_unpack(blob, PLACE), REPEAT))
             else:
-                parts.append(_unpack(blob.as_buffer().to_pybytes(), wide))
+                parts.append(_unpack(blob, width))
         if parts:
-            one, two, doc, start, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = _order(one, two, doc, start)
-            one, two, doc, start, n = (x[order] for x in (one, two, doc, start, n))
-            fresh, again = _repeats(one, two, doc, start, shape)
-            ready.append((doc[again], start[again], n[again], np.full(int(again.sum()), REPEAT, np.int32)))
-            if contested:
-                head = np.flatnonzero(np.append(True, one[1:] != one[:-1]))
-                several = np.repeat(np.add.reduceat(fresh, head) > 1, np.diff(np.append(head, len(one)))) & ~again
-                ready.append((doc[several], start[several], n[several], np.full(int(several.sum()), CONTESTED, np.int32)))
-        doc, start, n, kind = (np.concatenate(x) for x in zip(*ready, strict=True)) if ready else [np.zeros(0)] * 4
-        return pa.Table.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(kind, pa.int32())], ["doc", "start", "n", "kind"])
+            rows = _sorted(parts)
+            _, again = _repeats(rows, shape)
+            ready.append((rows.take(again), REPEAT))
+            if width.sides:
+                first = rows.take(~again)
+                ready.append((_disputed(first, shape), CONTESTED))
+        found = _joined([r for r, _ in ready])
+        kinds = np.repeat([k for _, k in ready], [len(r.doc) for r, _ in ready])
+        return pa.Table.from_arrays([pa.array(found.doc, pa.int64()), pa.array(found.start.astype(np.int32)), pa.array(found.n.astype(np.int32)), pa.array(kinds.astype(np.int32))], ["doc", "start", "n", "kind"])
 
     return run
 
 
-def _unpack_places(blob: pa.Buffer) -> tuple[np.ndarray, ...]:
-    return _unpack(blob.to_pybytes()[: 8 + int.from_bytes(blob.to_pybytes()[4:8], "little")], 0)
-
-
 def _places(lists: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, starts and numbers of windows of a column of (start, n) lists."""
     lists = lists.fill_null([])
@@ -245,27 +306,28 @@ def _compare(symbols: Symbols, shape: Shape, blocks: int):
                 from_ = at[row] + place
                 inside = from_ + shape.window <= at[row + 1]
                 row, place, from_ = row[inside], place[inside], from_[inside]
-                held.append((Sums(values).of(from_, from_ + shape.window), Sums(values, 1).of(from_, from_ + shape.window), ids[row], place.astype(np.int32), np.ones(len(row), np.int32)))
+                none = np.zeros(len(row), np.uint16)
+                held.append(Rows(Sums(values).of(from_, from_ + shape.window), Sums(values, 1).of(from_, from_ + shape.window), none, none, ids[row], place.astype(np.int32), np.ones(len(row), np.int32), np.zeros(len(row), np.int32)))
                 rows += len(row)
                 if rows >= HELD:
-                    yield from _sent(held, shape, blocks, 8)
+                    yield from _sent(held, shape, blocks, WINDOW)
                     held, rows = [], 0
-        yield from _sent(held, shape, blocks, 8)
+        yield from _sent(held, shape, blocks, WINDOW)
 
     return run
 
 
 def repeated(docs: DataFrame, symbols: Symbols, shape: Shape) -> DataFrame:
     """Events (doc, start, n): the n windows that start at symbol `start` of document doc are repeats."""
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = BLOCKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = texts.mapInArrow(_cut(symbols, shape, blocks), BLOB).groupBy("block").applyInArrow(_met(shape, 6, True), EVENT)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = min(max(LEAST_BLOCKS, size // BLOCK_BYTES), MOST_BLOCKS)
+    met = texts.mapInArrow(_cut(symbols, shape, blocks), BLOB).groupBy("block").applyInArrow(_met(shape, PHRASE), EVENT)
     found = stored(met, "phrases")
     places = found.filter(F.col("kind") == CONTESTED).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("places"))
     keyed = texts.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
     contested = keyed.join(places.hint("merge"), "doc").select("doc_id", "text", "places")
-    windows = contested.mapInArrow(_compare(symbols, shape, blocks), BLOB).groupBy("block").applyInArrow(_met(shape, 8, False), EVENT)
+    windows = contested.mapInArrow(_compare(symbols, shape, blocks), BLOB).groupBy("block").applyInArrow(_met(shape, WINDOW), EVENT)
     return found.filter(F.col("kind") == REPEAT).unionByName(windows).select("doc", "start", "n")
 
 
