@@ -65,7 +65,7 @@ def repeated_bytes(docs: DataFrame, shape: Shape = BYTES) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in split_batches(whole, "text"):
+            for batch in split_batches(whole, "text", 1 << 20):
                 data, at = text_bytes(batch.column("text"))
                 mask = covered(at, batch.column("places"), _ids(batch.column("doc_id")), shape.window)
                 spans, _ = _spans(mask, at)
@@ -81,7 +81,7 @@ def repeated_words(docs: DataFrame, shape: Shape = WORDS) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in split_batches(whole, "text"):
+            for batch in split_batches(whole, "text", 1 << 20):
                 data, at = text_bytes(batch.column("text"))
                 starts, ends, first = word_spans(data, at)
                 mask = covered(first, batch.column("places"), _ids(batch.column("doc_id")), shape.window)

@@ -39,7 +39,7 @@ from loomspark.llm.common import Sums, split_batches, stored, text_bytes
 
 NO_ID = -(2**63)
 #: Phrases or windows that a task holds before it sends them on.
-HELD = 1_500_000
+HELD = 500_000
 #: Bytes of text for which there is a block, and the most blocks (then each has more).
 BLOCK_BYTES = 4 << 20
 LEAST_BLOCKS, MOST_BLOCKS = 64, 1_000_000
@@ -246,7 +246,7 @@ def _cut(symbols: Symbols, shape: Shape, blocks: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for whole in batches:
-            for batch in split_batches(whole, "text"):
+            for batch in split_batches(whole, "text", 1 << 20):
                 row, start, n, mid, trigger, content, left, right = phrases(*symbols(batch.column("text")), shape)
                 held.append(Rows(trigger, content, left, right, _ids(batch.column("doc_id"))[row], start.astype(np.int32), n.astype(np.int32), mid.astype(np.int32)))
                 rows += len(row)
@@ -297,7 +297,7 @@ def _compare(symbols: Symbols, shape: Shape, blocks: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for whole in batches:
-            for batch in split_batches(whole, "text"):
+            for batch in split_batches(whole, "text", 1 << 20):
                 values, at = symbols(batch.column("text"))
                 ids = _ids(batch.column("doc_id"))
                 row, start, n = _places(batch.column("places"), ids)
