@@ -5,7 +5,8 @@ pattern: the pieces and the matches alternate, so that running sums of their len
 points) are the matches' places.
 
 Two first-order Markov models over characters are trained from labelled samples: values that
-the patterns found (random strings) and words of ordinary text (identifiers). A token of
+the patterns found (random strings) and words of letters, perhaps numbered, of ordinary text
+(identifiers). A token of
 letters and digits is a further secret if its log-likelihood ratio per transition exceeds a
 threshold and it overlaps no pattern's match.
 
@@ -32,12 +33,15 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Runs of 20 characters or more, with a letter and a digit.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
-WORD = r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]{5,}"
+#: Ordinary identifiers: letters and underscores, with at most a short number at the end.
+WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z_]{4,}[0-9]{0,3}(?![A-Za-z0-9+/_=-])"
 
 #: Labelled samples for the two models: this many random strings, and the words of this many documents (chosen by hash).
 SAMPLE_STRINGS = 20_000
 SAMPLE_DOCS = 2_000
 THRESHOLD = 0.5
+#: Weight of a character's own frequency against its frequency after the one before.
+BACK_OFF = 10
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 BLOCK = 256
 SPAN = "array<struct<start: long, end: long, value: string>>"
@@ -99,17 +103,21 @@ def _transitions(strings: DataFrame) -> dict[str, int]:
 
 
 def likelihood_weights(docs: DataFrame, scan: DataFrame) -> dict[str, float]:
-    """log P(random) - log P(identifier) of each character pair, with add-one smoothing; empty if there is no random sample."""
+    """log P(random) - log P(identifier) of each character pair, smoothed by the characters' own frequencies; empty if there is no random sample."""
     values = scan.select(F.explode(F.concat("x_assign", "x_access", "x_hex")).alias("s")).select(F.col("s.value").alias("value")).distinct()
     random = _transitions(values.orderBy(F.xxhash64("value"), "value").limit(SAMPLE_STRINGS))
     if not random:
         return {}
-    some = docs.select("text").filter("text is not null").orderBy(F.xxhash64("text")).limit(SAMPLE_DOCS)
-    plain = _transitions(some.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("value")))
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").filter("text is not null")
+    some = texts.join(F.broadcast(texts.select("h").orderBy("h").limit(SAMPLE_DOCS).distinct()), "h", "left_semi")
+    clear = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ")
+    plain = _transitions(some.select(F.explode(F.regexp_extract_all(clear, F.lit(WORD), F.lit(0))).alias("value")))
 
     def logs(counts: dict[str, int]) -> dict[str, float]:
         rows = {a: sum(counts.get(a + b, 0) for b in ALPHABET) for a in ALPHABET}
-        return {a + b: math.log((counts.get(a + b, 0) + 1) / (rows[a] + len(ALPHABET))) for a in ALPHABET for b in ALPHABET}
+        into = {b: sum(counts.get(a + b, 0) for a in ALPHABET) + 1 for b in ALPHABET}
+        total = sum(into.values())
+        return {a + b: math.log((counts.get(a + b, 0) + BACK_OFF * into[b] / total) / (rows[a] + BACK_OFF)) for a in ALPHABET for b in ALPHABET}
 
     one, other = logs(random), logs(plain)
     return {pair: round(one[pair] - other[pair], 6) for pair in one}
