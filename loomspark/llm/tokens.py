@@ -187,22 +187,30 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     )
 
 
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).withColumn("file", F.col("_metadata.file_name"))
+
+
+def _started(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """rows(file, start_in_file, ...) with start, the ids before a document in all files; sizes are summed over files, one row each, in the order of their names."""
+    files = _rows(spark, path).groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.join(files, "file").withColumn("start", F.col("before") + F.col("start_in_file"))
+
+
 def read_tokens(spark: SparkSession, path: str, where: Column | None = None, columns: tuple[str, ...] = ("n_tokens", "ids")) -> DataFrame:
     """doc_id, start (ids of all documents before it) and the columns asked for.
 
-    A condition on doc_id reaches the scan; columns not asked for are not read. The ids before
-    each file are summed over files (one row each), in the order of their names.
+    A condition on doc_id reaches the scan, which skips row groups and pages; columns not asked for
+    are not read.
     """
-    rows = spark.read.parquet(path).withColumn("file", F.col("_metadata.file_name"))
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    found = rows if where is None else rows.filter(where)
-    return found.join(files, "file").select("doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), *columns)
+    rows = _rows(spark, path)
+    return _started(rows if where is None else rows.filter(where), spark, path).select("doc_id", "start", *columns)
 
 
-def token_digest(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the CRC-32 of the ids that were read."""
+def token_digest(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and the CRC-32 of the ids that were read; only digests are joined and shuffled, not ids."""
 
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,15 +218,16 @@ def token_digest(tokens: DataFrame) -> DataFrame:
             ids = np.asarray(lists.flatten()).view(np.uint32)
             offsets = np.asarray(lists.offsets, np.int64)
             offsets = offsets - offsets[0]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(np.diff(offsets)), pa.array(_crc(ids, offsets))], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("file"), batch.column("start_in_file"), pa.array(np.diff(offsets)), pa.array(_crc(ids, offsets))], ["doc_id", "file", "start_in_file", "n_tokens", "ids_crc32"])
 
-    return tokens.select("doc_id", "start", "ids").mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = _rows(spark, path).select("doc_id", "file", "start_in_file", "ids").mapInArrow(digest, "doc_id long, file string, start_in_file long, n_tokens long, ids_crc32 long")
+    return _started(rows, spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    return token_digest(read_tokens(spark, path))
+    return token_digest(spark, path)
 
 
 # --- packing ----------------------------------------------------------------------------------
