@@ -45,7 +45,11 @@ CONTENT_NAMES = re.compile(r"(?:^|[-_ ])(?:article|post|entry|story|content|main
 
 TAG = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 RAW = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Elements that a head may hold; any other one, or text, ends it.
+HEAD_TAGS = frozenset("base link meta title style script noscript template head html".split())
+#: Classes that describe the layout of what they stand on (has-sidebar, sidebar-right), rather than name a part of the page.
+LAYOUT_NAMES = re.compile(r"(?:nav|navbar|menu|header|footer|sidebar|side|aside|banner|search|toolbar|widget)", re.I)
 SPACE = re.compile(r"\s+")
 
 
@@ -65,14 +69,26 @@ class _Open(NamedTuple):
     number: int
     inside: bool
     other: bool
+    layout: bool  # below a layout class, and no article or main since
     named: bool
     silent: bool
 
 
+def _marks(label: str) -> tuple[bool, bool]:
+    """Whether a label names another part of the page, and whether it has a layout class."""
+    other = layout = False
+    for token in label.split():
+        if OTHER_NAMES.search(token):
+            parts = {x for x in re.split(r"[-_]", token) if OTHER_NAMES.search(x)}
+            soft = not OTHER_NAMES.fullmatch(token) and all(LAYOUT_NAMES.fullmatch(x) for x in parts)
+            other, layout = other or not soft, layout or soft
+    return other, layout
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks of visible text in page order."""
     out: list[Block] = []
-    stack = [_Open("", 0, False, False, False, False)]
+    stack = [_Open("", 0, False, False, False, False, False)]
     words: list[str] = []
     links = opened = at = linked = 0
 
@@ -82,7 +98,7 @@ def blocks(page: str) -> list[Block]:
             text = SPACE.sub(" ", html.unescape("".join(words))).strip()
             top = stack[-1]
             if text and not top.silent:
-                out.append(Block(text, top.tag, stack[-2].number if len(stack) > 1 else 0, len(stack), linked, top.inside, top.other, top.named))
+                out.append(Block(text, top.tag, stack[-2].number if len(stack) > 1 else 0, len(stack), linked, top.inside, top.other or top.layout, top.named))
         words.clear()
         linked = 0
 
@@ -96,15 +112,22 @@ def blocks(page: str) -> list[Block]:
     while at < len(page):
         m = TAG.search(page, at)
         if not m:
-            say(page[at:])
+            until = len(page)
+        else:
+            until = m.start()
+        if stack[-1].tag == "head" and page[at:until].strip():
+            stack.pop()
+        say(page[at:until])
+        if not m:
             break
-        say(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             if m[0].startswith("<![CDATA["):
                 say(html.escape(m[0][9:-3]))
             continue
+        if stack[-1].tag == "head" and not m[1] and name not in HEAD_TAGS:
+            stack.pop()
         if name == "a":
             links = 0 if m[1] else 1
         elif name == "br":
@@ -130,12 +153,16 @@ def blocks(page: str) -> list[Block]:
         if stack[-1].tag == "p" and name in BLOCK_TAGS or stack[-1].tag == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
             stack.pop()
         opened += 1
-        found = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(m[3])} if m[3] else {}
+        found: dict[str, str] = {}
+        for a, b, c, d in ATTRIBUTE.findall(m[3] or ""):
+            found.setdefault(a.lower(), b or c or d)
         label = " ".join(found.get(k, "") for k in ("class", "id", "role"))
         top = stack[-1]
-        other = top.other or name in OTHER_TAGS and not (name == "header" and top.inside) or bool(label and OTHER_NAMES.search(label))
+        main = name in CONTENT_TAGS or found.get("role") == "main"
+        own, layout = _marks(label) if name not in ("html", "body") else (False, False)
+        other = top.other or name in OTHER_TAGS and not (name == "header" and top.inside) or own
         named = top.named or bool(label and CONTENT_NAMES.search(label))
-        stack.append(_Open(name, opened, top.inside or name in CONTENT_TAGS or found.get("role") == "main", other, named, top.silent or silent or "hidden" in found))
+        stack.append(_Open(name, opened, top.inside or main, other, layout or top.layout and not main, named, top.silent or silent or "hidden" in found))
     close()
     return out
 
