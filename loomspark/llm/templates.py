@@ -4,7 +4,7 @@ A text is cut into tokens (runs of letters, or numbers). In its template a numbe
 capitalised word inside a sentence `1`, a unit right after a number `2`, any other word its
 lower-case form. Windows of template tokens of documents and items are joined by hash; then the
 slots of all matched windows of one alignment are compared: one value of the item must stand for
-one value of the document throughout. That finds an item also when its numbers or names were
+one value of the document throughout, unless enough windows are equal word for word. That finds an item also when its numbers or names were
 exchanged, but not a text that merely has slots in the same places.
 
 All steps are DataFrame functions. The item windows are broadcast only if there are at most
@@ -92,10 +92,12 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_windows:
     same = mine.join(asked, "hash").filter(F.col("mine") == F.col("tpl"))
     pairs = F.transform(F.arrays_zip(F.col("tpl").alias("t"), F.col("raw").alias("a"), F.col("words").alias("b")), lambda z: F.struct(z["t"].alias("t"), F.lower(z["a"]).alias("a"), F.lower(z["b"]).alias("b")))
     slots = F.filter(pairs, lambda z: z["t"].isin("0", "1", "2"))
-    per = same.select("doc_id", "key", "item_id", "at", (F.col("here") - F.col("at")).alias("shift"), F.explode_outer(slots).alias("slot"))
-    aligned = per.groupBy("doc_id", "key", "item_id", "shift").agg(F.countDistinct("at").alias("n"), F.collect_set("slot").alias("slots"), F.count_distinct("slot.t", "slot.a").alias("n_slots"))
+    verbatim = F.transform("words", F.lower) == F.transform("raw", F.lower)
+    per = same.select("doc_id", "key", "item_id", "at", F.when(verbatim, F.col("at")).alias("equal"), (F.col("here") - F.col("at")).alias("shift"), F.explode_outer(slots).alias("slot"))
+    aligned = per.groupBy("doc_id", "key", "item_id", "shift").agg(F.countDistinct("at").alias("n"), F.size(F.collect_set("equal")).alias("n_equal"), F.collect_set("slot").alias("slots"), F.count_distinct("slot.t", "slot.a").alias("n_slots"))
     total = asked.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
-    good = aligned.filter(F.size("slots") == F.col("n_slots")).join(total, "item_id").filter(F.col("n") >= F.least(F.lit(min_windows), F.col("item_windows")))
+    enough = F.least(F.lit(min_windows), F.col("item_windows"))
+    good = aligned.join(total, "item_id").filter((F.size("slots") == F.col("n_slots")) & (F.col("n") >= enough) | (F.col("n_equal") >= enough))
     changed = F.size(F.filter("slots", lambda s: s["a"] != s["b"]))
     return good.groupBy("doc_id", "item_id").agg(F.max("n").cast("long").alias("n_windows"), F.max("item_windows").cast("long").alias("item_windows"), F.max(F.col("n_slots")).cast("long").alias("n_slots"), F.min(changed).cast("long").alias("n_changed_slots"))
 
