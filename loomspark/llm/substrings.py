@@ -1,18 +1,22 @@
 """Removal of repeated substrings: bytes by prefix-free parsing, words by relative Lempel-Ziv factors.
 
-`repeated_bytes` (prefix-free parsing): rolling-hash triggers cut texts into overlapping phrases;
-the dictionary holds each distinct phrase once, the parse says where it occurs. Suffixes of
-dictionary phrases that can agree with others are ordered by their first 50 bytes (as 128-bit
-hashes; only equality matters, not the alphabet), ties in corpus order through the parse, and a
-suffix that follows one of a smaller document is a repeat.
-
-`repeated_words` (relative Lempel-Ziv): each document is factored against the reference blocks
-that its triggers point to. A phrase known to its block is a factor as a whole; where a block has
-other phrases with the trigger, its windows are probed one by one, which also checks the windows
-across factor boundaries. Runs of 20 words or more that occur earlier become duplicate spans.
-
-Both use loomspark.llm.windows, where the steps and edge cases are described. A null or empty text
+`repeated_bytes` (prefix-free parsing): rolling-hash triggers cut texts into phrases. The
+dictionary holds each distinct phrase once; the parse says where it occurs. The suffixes of
+dictionary phrases are sorted by their bytes, and equal ones by the parse's places, which gives the
+suffixes of the corpus in order up to 50 bytes; a suffix that shares these with one of a smaller
+document is a repeat. Phrases overlap by 49 bytes, so that no suffix needs the phrases after its
+own. Phrases that can share no suffix with another one are not sorted.
+
+`repeated_words` (relative Lempel-Ziv): a block of phrases with common triggers is a reference.
+Each phrase is factored greedily against all that stands before it in its block: the next factor
+is the longest match that starts there. Factors of 20 words or more become duplicate spans, and
+the windows that begin in a factor and end beyond it are looked up one by one. A text's phrases are
+factored against every block that can hold a match, since a match of 20 words has a trigger.
+
+Both use loomspark.llm.windows, where the common steps are described. A null or empty text
 has no bytes and no words; texts shorter than a window repeat nothing; other columns are ignored.
+Rows that share a doc_id (or have none) are separate texts: for bytes they take nothing from each
+other, for words the later of them in stored order loses what an earlier one holds.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspark.llm.common import split_batches, text_bytes, within, word_hashes, word_spans
-from loomspark.llm.windows import Shape, _ids, byte_symbols, covered, with_repeats
+from loomspark.llm.windows import Pieces, Shape, byte_symbols, covered, with_repeats
 
 BYTES = Shape(window=50, gram=16, other_document=True)
 WORDS = Shape(window=20, gram=6, other_document=False)
@@ -36,6 +40,98 @@ def word_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64), first
 
 
+# --- suffixes of dictionary phrases, in corpus order ------------------------------------------
+
+
+def suffix_order(pieces: Pieces, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The piece and offset of every suffix of `depth` bytes or more, in the order of their first `depth` bytes and then of their places; and which of them differ from the one before."""
+    n = np.maximum(np.diff(pieces.at) - depth + 1, 0)
+    of, offset = np.repeat(np.arange(len(n)), n), within(np.zeros(len(n), np.int64), n)
+    if not len(of):
+        return of, offset, np.zeros(0, bool)
+    suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(pieces.symbols, depth)[pieces.at[of] + offset])
+    # the pieces stand in the order of their places, and so do their suffixes: a stable sort keeps that among equal ones
+    order = np.argsort(suffixes.view(f"S{depth}").ravel(), kind="stable")
+    suffixes = suffixes[order]
+    return of[order], offset[order], np.append(True, (suffixes[1:] != suffixes[:-1]).any(axis=1))
+
+
+def repeated_suffixes(pieces: Pieces, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, offset, number) runs of the suffixes that follow an equal one of a smaller document in corpus order."""
+    of, offset, fresh = suffix_order(pieces, shape.window)
+    if not len(of):
+        return of, offset, offset
+    head = np.flatnonzero(fresh)
+    first = np.repeat(pieces.doc[of[head]], np.diff(np.append(head, len(of))))
+    again = pieces.doc[of] > first
+    return _stretches(of[again], offset[again])
+
+
+def _stretches(of: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places as runs of neighbours."""
+    order = np.lexsort((offset, of))
+    of, offset = of[order], offset[order]
+    head = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (offset[1:] != offset[:-1] + 1))) if len(of) else np.zeros(0, np.int64)
+    return of[head], offset[head], np.diff(np.append(head, len(of)))
+
+
+# --- relative Lempel-Ziv factors --------------------------------------------------------------
+
+
+def longest_earlier(words: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
+    """For each word the length of the longest match that starts there, ends in its piece and also starts earlier in the block; 0 under `least` words.
+
+    Ranks of runs of 1, 2, 4... words index the block; a match of any length is the pair of two
+    overlapping runs. Only places that still match are looked at again for a longer one.
+    """
+    out = np.zeros(len(words), np.int64)
+    left = np.repeat(at[1:], np.diff(at)) - np.arange(len(words))
+    rank = np.unique(words, return_inverse=True)[1].astype(np.uint64)
+    size, length, some = 1, least, np.flatnonzero(left >= least)
+    while len(some):
+        while 2 * size <= length:
+            pairs = rank[:-size] << np.uint64(32) | rank[size:]
+            rank, size = np.unique(pairs, return_inverse=True)[1].astype(np.uint64), 2 * size
+        keys = rank[some] << np.uint64(32) | rank[some + length - size]
+        order = np.argsort(keys, kind="stable")
+        same = keys[order[1:]] == keys[order[:-1]]
+        again, shared = np.append(False, same), np.append(False, same) | np.append(same, False)
+        out[some[order[again]]] = length
+        some = np.sort(some[order[shared]])
+        length += 1
+        some = some[left[some] >= length]
+    return out
+
+
+def factors(longest: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (in the block) of the greedy factors of all pieces, piece by piece at once; words without a match are left out."""
+    following = np.where(longest > 0, np.arange(len(longest)), len(longest))
+    following = np.append(np.minimum.accumulate(following[::-1])[::-1], len(longest))
+    here, end, starts, ends = at[:-1].copy(), at[1:], [], []
+    while len(here):
+        here = following[here]
+        going = here < end
+        here, end = here[going], end[going]
+        starts.append(here)
+        here = here + longest[here]
+        ends.append(here)
+    starts, ends = np.concatenate([*starts, np.zeros(0, np.int64)]), np.concatenate([*ends, np.zeros(0, np.int64)])
+    order = np.argsort(starts)
+    return starts[order], ends[order]
+
+
+def repeated_factors(pieces: Pieces, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, offset, number) runs of the windows inside factors, and of those across a factor's end that also occur earlier."""
+    longest = longest_earlier(pieces.symbols, pieces.at, shape.window)
+    start, end = factors(longest, pieces.at)
+    inside = end - start - shape.window + 1
+    piece_end = pieces.at[np.searchsorted(pieces.at, start, "right")]
+    across = within(start + inside, np.minimum(end, piece_end) - start - inside)
+    windows = np.unique(np.concatenate([within(start, inside), across[longest[across] > 0]]))
+    of = np.searchsorted(pieces.at, windows, "right") - 1
+    return _stretches(of, windows - pieces.at[of])
+
+
 def _runs(mask: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of the mask, broken at row ends."""
     edge = np.zeros(len(mask) + 1, bool)
@@ -67,13 +163,13 @@ def repeated_bytes(docs: DataFrame, shape: Shape = BYTES) -> DataFrame:
         for whole in batches:
             for batch in split_batches(whole, "text", 1 << 20):
                 data, at = text_bytes(batch.column("text"))
-                mask = covered(at, batch.column("places"), _ids(batch.column("doc_id")), shape.window)
+                mask = covered(at, batch.column("places"), shape.window)
                 spans, _ = _spans(mask, at)
                 upto = np.concatenate([[0], np.cumsum(_per_row(~mask, at))])
                 kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(data[~mask])]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), spans, kept], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return with_repeats(docs, byte_symbols, shape).mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return with_repeats(docs, byte_symbols, np.dtype(np.uint8), shape, repeated_suffixes).mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def repeated_words(docs: DataFrame, shape: Shape = WORDS) -> DataFrame:
@@ -84,7 +180,7 @@ def repeated_words(docs: DataFrame, shape: Shape = WORDS) -> DataFrame:
             for batch in split_batches(whole, "text", 1 << 20):
                 data, at = text_bytes(batch.column("text"))
                 starts, ends, first = word_spans(data, at)
-                mask = covered(first, batch.column("places"), _ids(batch.column("doc_id")), shape.window)
+                mask = covered(first, batch.column("places"), shape.window)
                 spans, _ = _spans(mask, first)
                 left = np.flatnonzero(~mask)
                 sizes = (ends - starts)[left]
@@ -98,7 +194,7 @@ def repeated_words(docs: DataFrame, shape: Shape = WORDS) -> DataFrame:
                 text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(put[head].astype(np.int64)), pa.py_buffer(kept)]).cast(pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), spans, text], ["doc_id", "n_words", "spans", "kept"])
 
-    return with_repeats(docs, word_symbols, shape).mapInArrow(run, "doc_id long, n_words long, spans array<struct<start: long, end: long>>, kept string")
+    return with_repeats(docs, word_symbols, np.dtype(np.uint64), shape, repeated_factors).mapInArrow(run, "doc_id long, n_words long, spans array<struct<start: long, end: long>>, kept string")
 
 
 def op4_prefix_free_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
