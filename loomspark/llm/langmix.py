@@ -2,8 +2,9 @@
 
 Counts of byte trigrams per language come from all labelled training documents. A document is
 taken as words drawn from a mixture of languages; expectation-maximisation finds the mixture's
-proportions, and the set of languages is the one of 1, 2, 3... most frequent languages whose
-log-likelihood, less a penalty for each language, is largest. The prediction is the language
+proportions, and the set of languages is the one of 1, 2, 3... most frequent languages (up to all that
+were learned) whose log-likelihood, less a penalty for each language, is largest. A larger set is tried as
+long as a bound on its likelihood does not rule it out. The prediction is the language
 with the largest share of that set, and the score its share.
 
 Edge cases: a null text or one without a letter is `und` with score 0, as is every text when no
@@ -29,7 +30,6 @@ CELLS = 1 << 15
 ROUNDS = 8
 #: Penalty per further language, in halves of the logarithm of the number of words.
 PENALTY = 3.0
-MOST_LANGUAGES = 4
 
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[97:123] = np.arange(97, 123)
@@ -138,9 +138,11 @@ def mixtures(logs: np.ndarray, n: np.ndarray, head: np.ndarray, rounds: int = RO
     rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
     best = (rank == 0).astype(np.float64)
     value = gain(best, everyone)
-    second = np.sort(full, axis=1)[:, -2] if k > 1 else np.zeros(len(head))
-    open_ = second > 0.01
-    for m in range(2, min(k, MOST_LANGUAGES) + 1):
+    # the logarithm is concave: no proportions gain more over `full` than this
+    mean = np.add.reduceat(p * (n / (p * full[owner]).sum(axis=1))[:, None], head, axis=0) / words[:, None]
+    bound = gain(full, everyone) + words * np.log(np.maximum(mean.max(axis=1), 1))
+    for m in range(2, k + 1):
+        open_ = bound - penalty * (m - 1) * 0.5 * np.log(np.maximum(words, 2)) > value
         docs = np.flatnonzero(open_)
         if not len(docs):
             break
@@ -153,7 +155,6 @@ def mixtures(logs: np.ndarray, n: np.ndarray, head: np.ndarray, rounds: int = RO
         now = gain(everywhere, which) - penalty * (m - 1) * 0.5 * np.log(np.maximum(words[docs], 2))
         better = now > value[docs]
         best[docs[better]], value[docs[better]] = share[better], now[better]
-        open_[docs[~better]] = False
     return best
 
 

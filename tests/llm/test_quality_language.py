@@ -94,3 +94,39 @@ def test_penalty_keeps_a_stray_word_out():
     logs = np.log(np.array([[0.9, 0.1]] * 50 + [[0.1, 0.9]]))
     share = langmix.mixtures(logs, np.ones(51, int), np.array([0]))
     assert share.tolist() == [[1.0, 0.0]]
+
+
+def test_language_sets_of_any_size():
+    rng = np.random.default_rng(1)
+    for k in (6, 9):
+        for size in (1, 3, 6):
+            owner = np.repeat(np.arange(size), 60)
+            logs = np.full((len(owner), k), -12.0) + rng.normal(0, 1, (len(owner), k))
+            logs[np.arange(len(owner)), owner] = 0
+            share = langmix.mixtures(logs, np.ones(len(owner)), np.array([0]))[0]
+            assert np.allclose(share[:size], 1 / size, atol=0.02) and np.allclose(share[size:], 0, atol=1e-9)
+
+
+def test_language_set_is_the_best_of_all_sizes():
+    rng = np.random.default_rng(7)
+    for _ in range(25):
+        k, n = 5, int(rng.integers(5, 80))
+        logs, count = rng.normal(0, 2, (n, k)), rng.integers(1, 4, n)
+        p = np.exp(logs - logs.max(axis=1, keepdims=True))
+
+        def mixture(allowed):
+            share = np.array(allowed, float) / sum(allowed)
+            for _ in range(langmix.ROUNDS):
+                r = p * share
+                share = ((count / r.sum(axis=1))[:, None] * r).sum(axis=0) / count.sum()
+                share = np.where(allowed, np.maximum(share, 1e-6), 0)
+                share = share / share.sum()
+            return share
+
+        rank = np.argsort(np.argsort(-mixture([True] * k), kind="stable"), kind="stable")
+        worth = []
+        for m in range(1, k + 1):
+            share = mixture(list(rank < m)) if m > 1 else (rank == 0).astype(float)
+            worth.append((count * np.log(p @ share)).sum() - langmix.PENALTY * (m - 1) / 2 * np.log(max(count.sum(), 2)))
+        got = langmix.mixtures(logs, count, np.array([0]))[0]
+        assert (got > 0).sum() == int(np.argmax(worth)) + 1
