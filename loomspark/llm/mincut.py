@@ -36,7 +36,9 @@ CLIP = 8.0
 
 #: Tags that end a block, tags whose content is no text, tags without content, and names of page parts.
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-SILENT_TAGS = frozenset("head script style noscript template title svg math iframe object canvas audio video select option button textarea label".split())
+SILENT_TAGS = frozenset("head script style noscript template title iframe canvas audio video select option textarea".split())
+#: Elements that may close themselves.
+FOREIGN_TAGS = frozenset(["svg", "math"])
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT_TAGS = frozenset(["article", "main"])
 OTHER_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
@@ -96,9 +98,11 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         if words:
             text = SPACE.sub(" ", html.unescape("".join(words))).strip()
-            top = stack[-1]
-            if text and not top.silent:
-                out.append(Block(text, top.tag, stack[-2].number if len(stack) > 1 else 0, len(stack), linked, top.inside, top.other or top.layout, top.named))
+            # words are held only while they show; a silent element that is still open takes none of them back
+            k = max(i for i, x in enumerate(stack) if not x.silent)
+            top = stack[k]
+            if text:
+                out.append(Block(text, top.tag, stack[k - 1].number if k else 0, k + 1, linked, top.inside, top.other or top.layout, top.named))
         words.clear()
         linked = 0
 
@@ -148,7 +152,7 @@ def blocks(page: str) -> list[Block]:
                     del stack[k:]
                     break
             continue
-        if name in VOID_TAGS:
+        if name in VOID_TAGS or name in FOREIGN_TAGS and m[0].endswith("/>"):
             continue
         if stack[-1].tag == "p" and name in BLOCK_TAGS or stack[-1].tag == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
             stack.pop()
@@ -182,14 +186,15 @@ def features(page: list[Block]) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, steps: int = 400, ridge: float = 1e-3) -> np.ndarray:
-    """Logistic regression by gradient ascent; each row also without its structure."""
+def fit(x: np.ndarray, y: np.ndarray, times: np.ndarray, steps: int = 400, ridge: float = 1e-3) -> np.ndarray:
+    """Logistic regression by gradient ascent; each row counts so many times, and also without its structure."""
     bare = x.copy()
     bare[:, STRUCTURE] = 0
-    x, y = np.concatenate([x, bare]), np.concatenate([y, y])
+    x, y, times = np.concatenate([x, bare]), np.concatenate([y, y]), np.concatenate([times, times])
+    times = times / times.sum()
     w, m, v = np.zeros(FEATURES), np.zeros(FEATURES), np.zeros(FEATURES)
     for k in range(1, steps + 1):
-        slope = x.T @ (y - 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))) / len(x) - ridge * w
+        slope = x.T @ (times * (y - 1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))) - ridge * w
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         w = w + 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     return w
@@ -217,8 +222,7 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> np.ndarray:
     counted = found.select("html").mapInArrow(run, "x array<double>, y int").groupBy("x", "y").count().orderBy("x", "y").collect()
     if len({r.y for r in counted}) < 2:
         return PLAIN
-    times = np.array([min(r["count"], 50) for r in counted])
-    return fit(np.repeat(np.array([r.x for r in counted]), times, axis=0), np.repeat(np.array([r.y for r in counted], float), times))
+    return fit(np.array([r.x for r in counted]), np.array([r.y for r in counted], float), np.array([float(r["count"]) for r in counted]))
 
 
 # --- the cut ----------------------------------------------------------------------------------
