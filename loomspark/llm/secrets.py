@@ -7,8 +7,8 @@ points) are the matches' places.
 Two first-order Markov models over characters are trained from labelled samples: values that
 the patterns found (random strings) and words of letters, perhaps numbered, of ordinary text
 (identifiers). A token of
-letters and digits is a further secret if its log-likelihood ratio per transition exceeds a
-threshold and it overlaps no pattern's match.
+letters and digits is a further secret if its log-likelihood ratio exceeds a
+threshold, which short tokens reach only if they look the more random, and it lies in no pattern's match.
 
 Edge cases: a null or empty text has no spans; equal rows give equal results; without any
 random sample no token is added; columns of other names are ignored. Digits and letters are
@@ -31,8 +31,8 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ASSIGN_MIN = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: Runs of 20 characters or more, with a letter and a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+#: Runs of 12 characters or more, with a letter and a digit, or with a capital after a small letter twice.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?:(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])|(?=[A-Za-z+/_=-]*[a-z][A-Z][A-Za-z+/_=-]*[a-z][A-Z]))[A-Za-z0-9+/_=-]{12,}"
 #: Ordinary identifiers: letters and underscores, with at most a short number at the end.
 WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z_]{4,}[0-9]{0,3}(?![A-Za-z0-9+/_=-])"
 
@@ -40,6 +40,8 @@ WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z_]{4,}[0-9]{0,3}(?![A-Za-z0-9+/_=-])"
 SAMPLE_STRINGS = 20_000
 SAMPLE_DOCS = 2_000
 THRESHOLD = 0.5
+#: The whole ratio is as large at least as that of a string of so many transitions, so that short strings need more each.
+LEAST_TRANSITIONS = 19
 #: Weight of a character's own frequency against its frequency after the one before.
 BACK_OFF = 10
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -89,10 +91,10 @@ PATTERNS = {"assign": (ASSIGN, 2, ASSIGN_MIN), "access": (ACCESS, 0, 0), "hex":
 
 
 def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns of `keep` and, for each text, the spans of the three patterns and the candidate tokens outside them."""
+    """The columns of `keep` and, for each text, the spans of the three patterns and the candidate tokens that lie in none of them."""
     found = _spans_of(docs, keep, PATTERNS)
     taken = F.concat("x_assign", "x_access", "x_hex")
-    free = F.filter("x_all", lambda c: ~F.exists(taken, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
+    free = F.filter("x_all", lambda c: ~F.exists(taken, lambda s: (s["start"] <= c["start"]) & (c["end"] <= s["end"])))
     return found.withColumn("x_free", F.when(F.size("x_all") > 0, free).otherwise(F.col("x_all"))).drop("x_all")
 
 
@@ -102,14 +104,14 @@ def _transitions(strings: DataFrame) -> dict[str, int]:
     return {r.pair: r["count"] for r in pairs.filter(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$")).groupBy("pair").count().collect()}
 
 
-def likelihood_weights(docs: DataFrame, scan: DataFrame) -> dict[str, float]:
+def likelihood_weights(docs: DataFrame, scan: DataFrame, sample_strings: int = SAMPLE_STRINGS, sample_docs: int = SAMPLE_DOCS) -> dict[str, float]:
     """log P(random) - log P(identifier) of each character pair, smoothed by the characters' own frequencies; empty if there is no random sample."""
     values = scan.select(F.explode(F.concat("x_assign", "x_access", "x_hex")).alias("s")).select(F.col("s.value").alias("value")).distinct()
-    random = _transitions(values.orderBy(F.xxhash64("value"), "value").limit(SAMPLE_STRINGS))
+    random = _transitions(values.orderBy(F.xxhash64("value"), "value").limit(sample_strings))
     if not random:
         return {}
     texts = docs.select(F.xxhash64("text").alias("h"), "text").filter("text is not null")
-    some = texts.join(F.broadcast(texts.select("h").orderBy("h").limit(SAMPLE_DOCS).distinct()), "h", "left_semi")
+    some = texts.join(F.broadcast(texts.select("h").orderBy("h").limit(sample_docs).distinct()), "h", "left_semi")
     clear = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ")
     plain = _transitions(some.select(F.explode(F.regexp_extract_all(clear, F.lit(WORD), F.lit(0))).alias("value")))
 
@@ -124,7 +126,7 @@ def likelihood_weights(docs: DataFrame, scan: DataFrame) -> dict[str, float]:
 
 
 def looks_random(token: Column, weights: dict[str, float], threshold: float = THRESHOLD) -> Column:
-    """Whether the log-likelihood ratio per transition exceeds the threshold."""
+    """Whether the log-likelihood ratio exceeds the threshold for each transition, and for LEAST_TRANSITIONS in all."""
     if not weights:
         return F.lit(False)
     n = len(ALPHABET)
@@ -132,7 +134,7 @@ def looks_random(token: Column, weights: dict[str, float], threshold: float = TH
     codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     pairs = F.zip_with(F.slice(codes, 1, F.length(token) - 1), F.slice(codes, 2, F.length(token) - 1), lambda a, b: a * n + b)
     total = F.aggregate(pairs, F.lit(0.0), lambda acc, i: acc + F.get(table, i))
-    return total > threshold * (F.length(token) - 1)
+    return total > threshold * F.greatest(F.length(token) - 1, F.lit(LEAST_TRANSITIONS))
 
 
 def _spans(kinds: list[tuple[str, Column]]) -> Column:
@@ -155,10 +157,10 @@ def with_secrets(scan: DataFrame, weights: dict[str, float]) -> DataFrame:
     return scan.withColumn("x_spans", _spans([(k, F.col(f"x_{k}")) for k in KINDS]))
 
 
-def secret_spans(docs: DataFrame) -> DataFrame:
-    """doc_id and the spans of every row of docs(doc_id, text)."""
+def secret_spans(docs: DataFrame, sample_strings: int = SAMPLE_STRINGS, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """doc_id and the spans of every row of docs(doc_id, text); the models are trained on bounded samples."""
     scan = stored(scanned(docs.select("doc_id", F.col("text").cast("string")), ["doc_id"]), "secrets")
-    return with_secrets(scan, likelihood_weights(docs, scan))
+    return with_secrets(scan, likelihood_weights(docs, scan, sample_strings, sample_docs))
 
 
 def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,8 +177,9 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with every secret in text replaced by a mark and n_chars counted anew; other rows and columns stay."""
     scan = scanned(docs.select(F.col("text").cast("string").alias("text")), [])
     weights = likelihood_weights(docs, stored(scan.drop("x_free").filter("size(x_assign) + size(x_access) + size(x_hex) > 0"), "secrets"))
-    kept = [c for c in docs.columns if not c.startswith("x_")]
-    found = with_secrets(scanned(docs.select(*kept), kept), weights)
+    # the row moves as one column, so that no name of it meets those of the steps
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    found = with_secrets(scanned(packed, ["row", "text"]), weights)
     text = F.col("text")
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
@@ -187,4 +190,5 @@ def redact(docs: DataFrame) -> DataFrame:
     done = F.aggregate("x_spans", state, step, lambda acc: F.concat(acc["out"], text.substr((acc["at"] + 1).cast("int"), F.length(text))))
     clean = F.when(F.size("x_spans") > 0, done).otherwise(text)
     out = found.withColumn("x_text", clean)
-    return out.select(*[F.col("x_text").alias("text") if c == "text" else F.length("x_text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    new = {"text": F.col("x_text"), "n_chars": F.length("x_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

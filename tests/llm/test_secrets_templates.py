@@ -58,6 +58,39 @@ def test_redaction_keeps_the_rest(spark):
     assert got[6].text.endswith(" [SECRET]g[SECRET]") and HEX not in got[8].text
 
 
+def test_columns_of_any_name_come_back(spark):
+    names = ["doc_id", "text", "x_spans", "x_foo", "n_assign", "m_hex", "row", "a.b"]
+    rows = [(1, f'token = "{HEX}"', "s", "f", 7, "m", "r", "d"), (2, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, x_spans string, x_foo string, n_assign int, m_hex string, row string, `a.b` string")
+    out = secrets.redact(df)
+    assert out.columns == names and out.schema.simpleString() == df.schema.simpleString()
+    got = {r[0]: tuple(r) for r in out.collect()}
+    assert got[1][2:] == rows[0][2:] and HEX not in got[1][1] and got[2] == rows[1]
+
+
+def test_short_and_reaching_tokens(spark):
+    rng = random.Random(5)
+    chars = secrets.ALPHABET[:62]
+    make = lambda n: "".join(rng.choice(chars) for _ in range(n))
+    letters = lambda n: "".join(rng.choice(chars[:52]) for _ in range(n))
+    plain = "connection_timeout_seconds maximum_number_of_retries default_connection_pool request_handler_factory getElementById parseHttpResponse".split()
+    rows = [(i, f"token={make(30)} " + " ".join(rng.sample(plain, 4) * 3)) for i in range(150)]
+    rows += [(1000 + i, f"value {make(16)} here") for i in range(40)] + [(2000 + i, f"value {letters(24)} here") for i in range(40)]
+    rows += [(3000, f"key {make(10)}q{HEX}Z{make(12)} end"), (3001, " ".join(plain))]
+    got = {r.doc_id: r for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(len(got[1000 + i].x_markov) for i in range(40)) >= 28 and sum(len(got[2000 + i].x_markov) for i in range(40)) >= 34
+    assert [(s.start, s.end) for s in got[3000].x_markov] == [(4, 4 + 10 + 1 + 32 + 1 + 12)] and not got[3001].x_markov
+
+
+def test_markov_ratio_like_plain_sums(spark):
+    rng = random.Random(8)
+    weights = {a + b: round(rng.uniform(-2, 3), 3) for a in secrets.ALPHABET for b in secrets.ALPHABET}
+    tokens = ["".join(rng.choice(secrets.ALPHABET) for _ in range(rng.randint(12, 60))) for _ in range(200)]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.looks_random(F.col("t"), weights).alias("y")).collect()
+    plain = {t: sum(weights[a + b] for a, b in zip(t, t[1:], strict=False)) > secrets.THRESHOLD * max(len(t) - 1, secrets.LEAST_TRANSITIONS) for t in tokens}
+    assert {r.t: r.y for r in got} == plain and 0 < sum(plain.values()) < 200
+
+
 ITEM = "A train leaves Boston at 60 km per hour and reaches the lake after 3 hours of quiet travel past Dover"
 OTHER = "The committee met on a rainy evening to discuss whether the harbour wall should be raised again next spring"
 
