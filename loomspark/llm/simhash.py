@@ -1,7 +1,7 @@
 """SimHash near-duplicates by generalised pigeonhole over groups of correlated bits.
 
-Two 64-bit fingerprints are linked at `most` or fewer differing bits. The bits are split into m
-groups with thresholds t_1..t_m that add up to most - m + 1; then any linked pair is within t_i
+Two 64-bit fingerprints are linked at MOST or fewer differing bits. The bits are split into m
+groups with thresholds t_1..t_m that add up to MOST - m + 1; then any linked pair is within t_i
 on the bits of some group i (a threshold of -1 leaves a group out). Correlated bits go into the
 same group, m and the thresholds come from a dynamic programme over estimated costs, and every
 candidate pair is verified on all bits.
@@ -10,7 +10,7 @@ Only different fingerprints are compared, so a group of equal texts counts once.
 bits whose value is shared by very many fingerprints is not compared pair by pair: each of its
 fingerprints is sent to the 65 values within one bit of it, and those that meet at a value are
 within two bits of each other; one link to the smallest there keeps them connected. That is
-exact for most = 2 and takes 65 rows per fingerprint. (Other distances have no such step.)
+exact for MOST = 2 and takes 65 rows per fingerprint. (Other distances have no such step.)
 
 Edge cases: a null text or one without words has fingerprint zero and is linked like any other;
 rows with the same doc_id are separate documents; a null doc_id never names a component unless
@@ -137,13 +137,13 @@ def best_thresholds(costs: list[dict[int, float]], total: int) -> tuple[float, l
     return best.get(total, (float("inf"), []))
 
 
-def plan_groups(fps: DataFrame, most: int = MOST, estimate_rows: int = ESTIMATE_ROWS) -> list[tuple[list[int], int]]:
+def plan_groups(fps: DataFrame, estimate_rows: int = ESTIMATE_ROWS) -> list[tuple[list[int], int]]:
     """Bit groups with their thresholds (groups left out are omitted)."""
     n, both = bit_statistics(fps)
     p = np.diag(both) / max(n, 1)
     agree = np.clip(p * p + (1 - p) ** 2, 0.5, 1)
     odds = (1 - agree) / agree
-    options = {m: correlated_groups(n, both, m) for m in range(2, most + 3)}
+    options = {m: correlated_groups(n, both, m) for m in range(2, MOST + 3)}
     share = max(1, n // estimate_rows)
     sample = fps.filter(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0)
     keys = [F.struct(F.lit(m * 100 + i).alias("g"), projected(F.col("fp"), bits).alias("v")) for m, groups in options.items() for i, bits in enumerate(groups)]
@@ -156,8 +156,8 @@ def plan_groups(fps: DataFrame, most: int = MOST, estimate_rows: int = ESTIMATE_
             o = odds[bits]
             near = [1.0, 1 + o.sum(), 1 + o.sum() + (o.sum() ** 2 - (o**2).sum()) / 2]
             pairs = max(same.get(m * 100 + i, 0.0), n * n / 2 * float(np.prod(agree[bits])))
-            costs.append({t: 0.0 if t < 0 else n * (1.0 + ball(len(bits), t)) + pairs * near[t] for t in range(-1, most + 1)})
-        cost, chosen = best_thresholds(costs, most - m + 1)
+            costs.append({t: 0.0 if t < 0 else n * (1.0 + ball(len(bits), t)) + pairs * near[t] for t in range(-1, MOST + 1)})
+        cost, chosen = best_thresholds(costs, MOST - m + 1)
         found.append((cost, [(bits, t) for bits, t in zip(groups, chosen, strict=True) if t >= 0]))
     return min(found, key=lambda x: x[0])[1]
 
@@ -174,8 +174,8 @@ def _signed(x: int) -> int:
 # --- links and components ---------------------------------------------------------------------
 
 
-def links(fps: DataFrame, plan: list[tuple[list[int], int]], most: int = MOST, pairwise: int = PAIRWISE) -> DataFrame:
-    """Pairs (a, b) of different fingerprints of fps(fp) that connect all pairs within `most` bits."""
+def links(fps: DataFrame, plan: list[tuple[list[int], int]], pairwise: int = PAIRWISE) -> DataFrame:
+    """Pairs (a, b) of different fingerprints of fps(fp) that connect all pairs within MOST bits."""
     index = [F.struct(F.lit(i).alias("g"), projected(F.col("fp"), bits).alias("v")) for i, (bits, _) in enumerate(plan)]
     probe = []
     for i, (bits, t) in enumerate(plan):
@@ -188,16 +188,14 @@ def links(fps: DataFrame, plan: list[tuple[list[int], int]], most: int = MOST, p
     asked = asked.join(counts.filter("n > 1") if not probe else counts, ["g", "v"])
     few, many = asked.filter(F.col("n") <= pairwise), asked.filter(F.col("n") > pairwise)
     pairs = few.select("g", "v", F.col("fp").alias("a")).join(indexed.withColumnRenamed("fp", "b"), ["g", "v"])
-    near = pairs.filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)).select("a", "b")
-    if most != 2:
-        raise ValueError("links are exact for two bits only")
+    near = pairs.filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST)).select("a", "b")
     around = many.select("fp").distinct().select("fp", F.expr("explode(concat(array(fp), transform(sequence(0, 63), b -> fp ^ shiftleft(1L, b)))) as v"))
     centres = around.groupBy("v").agg(F.min("fp").alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = around.join(centres, "v").filter("fp != c").select(F.col("fp").alias("a"), F.col("c").alias("b"))
     return near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(met).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(a, b): root is the smallest node of its component.
 
     Alternating star contraction: nodes hang larger neighbours below the smallest node they know,
@@ -205,7 +203,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     state = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
     mark = None
-    for _ in range(rounds):
+    while True:
         now = state.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("h"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)")).alias("s")).first()
         if mark == (now.n, now.h, now.s) or not now.n:
             break
@@ -216,16 +214,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a != b").distinct()
         state = stored(small, "edges")
-    else:
-        raise RuntimeError("the components did not settle")
     return state.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id of the linked documents) of every row of docs."""
     table = stored(fingerprints(docs, shingle), "fingerprints")
     distinct = stored(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = components(links(distinct.select("fp"), plan_groups(distinct, most), most))
+    found = components(links(distinct.select("fp"), plan_groups(distinct)))
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return table.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
@@ -236,8 +232,9 @@ def op7_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id names their component, one for each; rows without a doc_id stay."""
+    """The rows of docs whose doc_id names their component, equal rows once; other texts with that doc_id stay, as do rows without a doc_id."""
     kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    known = docs.filter("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = docs.filter("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return known.unionByName(docs.filter("doc_id is null"))

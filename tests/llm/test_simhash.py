@@ -62,3 +62,5 @@ def test_keep_one_and_edge_cases(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
     assert sorted(((r.doc_id, r.text) for r in simhash.keep_one(df).collect()), key=str) == sorted([(2, "A B C D"), (None, "a b c d"), (8, " ")], key=str)
     assert simhash.near_duplicates(df.limit(0)).count() == 0 == simhash.keep_one(df.limit(0)).count()
+    other = spark.createDataFrame([(2, "a b c d", "k"), (2, "quite another text that shares the id", "k")], df.schema)
+    assert simhash.keep_one(other).count() == 2
