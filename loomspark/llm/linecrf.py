@@ -5,7 +5,7 @@ neighbouring labels, and Viterbi decoding marks lines as content or boilerplate.
 kept if lines of content hold at least CONTENT_SHARE of its words and no fixed rule fails it.
 
 The field is trained by maximum likelihood on a bounded sample of labelled documents (quality 0
-or 1, chosen by a hash of doc_id): lines of good documents are content; lines of bad ones start
+or 1, chosen by a hash of doc_id, of SAMPLE_LINES lines at most): lines of good documents are content; lines of bad ones start
 as boilerplate, and after a first fit those that the fit finds surely content are relabelled.
 Without labelled documents nothing is held to be boilerplate.
 
@@ -33,6 +33,8 @@ REPEAT_WINDOW = 3
 SYMBOLS = b"#*$%&|<>"
 CONTENT_SHARE = 0.5
 SAMPLE_DOCS = 2_000
+#: Documents of more lines are not trained on, since the fit takes time by the longest of them.
+SAMPLE_LINES = 1_000
 STEPS = 150
 RIDGE = 1e-3
 
@@ -217,8 +219,8 @@ def fit(x: np.ndarray, at: np.ndarray, labels: np.ndarray, steps: int = STEPS, r
     return Field(weights[: 2 * FEATURES].reshape(FEATURES, 2), weights[2 * FEATURES :].reshape(2, 2))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field | None:
-    """A field from at most sample_docs labelled documents; the sample of labels is joined by broadcast, so no text is shuffled."""
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Field | None:
+    """A field from at most sample_docs labelled documents, those of up to sample_lines lines; the sample of labels is joined by broadcast, so no text is shuffled."""
     some = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     found = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(some), "doc_id")
 
@@ -227,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
             for batch in split_batches(whole, "text"):
                 lines, _ = analysed(*text_bytes(batch.column("text")))
                 bits = np.packbits(lines.features, axis=1)
-                raw = [bits[a:b].tobytes() for a, b in zip(lines.at[:-1], lines.at[1:], strict=True)]
+                raw = [bits[a:b].tobytes() if b - a <= sample_lines else b"" for a, b in zip(lines.at[:-1], lines.at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int32()), pa.array(raw, pa.binary())], ["doc_id", "quality", "lines"])
 
     rows = sorted((r.doc_id, r.quality, bytes(r.lines)) for r in found.mapInArrow(run, "doc_id long, quality int, lines binary").collect() if r.lines)
