@@ -1,5 +1,8 @@
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
 from loomspark.llm import tokens as T
@@ -19,8 +22,6 @@ def test_pieces_encode_as_whole_texts():
 
 
 def test_format_and_digest(spark, tmp_path):
-    import zlib
-
     rows = [(i * 3 % 17, TEXTS[i % len(TEXTS)], "x") for i in range(17)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string")
     T.write_tokens(docs, str(tmp_path / "t"))
@@ -51,6 +52,20 @@ def test_packing_covers_each_id_once(spark):
             total += n
         assert total <= 64 and total & (total - 1) == 0
     assert sum(r.length for r in out) == sum(len(x) for x in plain([t for _, t in rows]))
+    # the pieces of each document follow each other, and their ids are its ids
+    given, held = {}, {}
+    for d, t in rows:
+        given.setdefault((d, len(plain([t])[0])), []).append(plain([t])[0])
+    for r in out:
+        held.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.ids))
+    assert set(given) == set(held) == set(by_doc)
+    for name, ids in given.items():
+        assert len(ids) == 1
+        assert sum((x for _, x in sorted(held[name])), []) == ids[0]
+        assert [s for s, _ in sorted(by_doc[name])] == [sum(n for _, n in sorted(by_doc[name])[:k]) for k in range(len(by_doc[name]))]
+    digest = T.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), capacity=64, group_tokens=900, finish=T._piece_digest, schema=T.PIECE_DIGEST).collect()
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert sorted((r.sequence_id, r.offset, r.ids_crc32) for r in digest) == sorted((r.sequence_id, r.offset, crc(r.ids)) for r in out)
     assert not T.pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect()
 
 
@@ -58,3 +73,20 @@ def test_balance_prefers_the_cheapest_with_room():
     pieces = T.balanced(np.array([6, 5, 4, 3, 2]), 10, 1.0, 0.1)
     where = {d: s for d, _, _, s in pieces}
     assert where[0] != where[1] and where[2] == where[1]
+
+
+def test_footers_show_encodings_groups_and_indexes(spark, tmp_path):
+    rows = [(i, " ".join(f"w{(i * k) % 500}" for k in range(300))) for i in range(2500)]
+    T.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), str(tmp_path / "t"), row_group_bytes=256 << 10, page_bytes=16 << 10)
+    groups = 0
+    for path in (tmp_path / "t").glob("*.parquet"):
+        footer = pq.ParquetFile(path).metadata
+        groups += footer.num_row_groups
+        for g in range(footer.num_row_groups):
+            for c in range(footer.num_columns):
+                column = footer.row_group(g).column(c)
+                wanted = "DELTA_BINARY_PACKED" if column.path_in_schema != "ids.list.element" else "RLE_DICTIONARY"
+                assert wanted in column.encodings, (column.path_in_schema, column.encodings)
+                assert column.has_offset_index
+                assert column.has_column_index
+    assert groups > len(list((tmp_path / "t").glob("*.parquet")))
