@@ -56,7 +56,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def split_batches(batch: pa.RecordBatch, column: str, most: int = 1 << 21):
+def split_batches(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Slices of a batch with about `most` bytes of text each (one row at least)."""
     i = batch.schema.get_field_index(column)
     _, at = text_bytes(batch.column(i))

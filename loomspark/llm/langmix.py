@@ -31,6 +31,9 @@ ROUNDS = 8
 #: Penalty per further language, in halves of the logarithm of the number of words.
 PENALTY = 3.0
 
+#: Bytes of text whose words are looked at at once: each takes some arrays of the number of languages.
+BATCH = 1 << 19
+
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[97:123] = np.arange(97, 123)
 _LETTERS[65:91] = np.arange(97, 123)
@@ -80,7 +83,7 @@ def train(docs: DataFrame, smooth: float = 0.5) -> Model | None:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for whole in batches:
-            for batch in split_batches(whole, "text"):
+            for batch in split_batches(whole, "text", BATCH):
                 data, at = text_bytes(batch.column("text"))
                 low, starts, ends, first = _words(data, at)
                 if not len(starts):
@@ -192,7 +195,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in split_batches(whole, "text"):
+            for batch in split_batches(whole, "text", BATCH):
                 share = _shares(batch.column("text"), sent.value) if sent.value is not None else np.zeros((batch.num_rows, 1))
                 top = share.argmax(axis=1)
                 score = np.minimum(share[np.arange(len(share)), top], 1.0)
@@ -213,7 +216,7 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = LEAST_S
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in split_batches(whole, "text"):
+            for batch in split_batches(whole, "text", BATCH):
                 texts = batch.column(batch.schema.get_field_index("text"))
                 kept = _shares(texts, sent.value).max(axis=1) >= least if sent.value is not None else np.array([_has_letter(x) for x in texts.to_pylist()])
                 yield batch.filter(pa.array(kept))
