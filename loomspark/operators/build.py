@@ -29,11 +29,11 @@ def resolve_calls(calls: DataFrame, table: DataFrame) -> DataFrame:
     return rows.withColumn("resolved", F.coalesce("exact", "near", "called")).withColumn("match_kind", kind).drop("exact", "near", "simple")
 
 
-def alias_components(occurrences: DataFrame, rounds: int = 50) -> DataFrame:
+def alias_components(occurrences: DataFrame) -> DataFrame:
     """occurrences(occ, aliases) with the least occ of those connected through shared aliases."""
     pairs = stored(occurrences.select("occ", F.explode("aliases").alias("alias")).distinct(), "alias_pairs")
     label = stored(occurrences.select("occ", F.col("occ").alias("component")), "labels")
-    for _ in range(rounds):
+    while True:
         by_alias = pairs.join(label, "occ").groupBy("alias").agg(F.min("component").alias("least"))
         new = pairs.join(by_alias, "alias").groupBy("occ").agg(F.min("least").alias("component"))
         jumped = new.join(label.select(F.col("occ").alias("component"), F.col("component").alias("up")), "component", "left").select("occ", F.least("component", "up").alias("component"))
@@ -42,7 +42,6 @@ def alias_components(occurrences: DataFrame, rounds: int = 50) -> DataFrame:
         if changed.isEmpty():
             return jumped
         label = jumped
-    raise RuntimeError("the alias components did not settle")
 
 
 def register(declared: DataFrame) -> DataFrame:

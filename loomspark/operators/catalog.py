@@ -37,7 +37,7 @@ def name_score(column: Column, name: str, partial: bool = True) -> Column:
 
 
 def search_by_type_and_name(nodes: DataFrame, name: str, node_type: str | None = None, partial: bool = True, kind: str = "kind", column: str = "name") -> DataFrame:
-    """Nodes whose name matches, best first, with their score and rank."""
+    """Nodes whose name matches, with their score (see name_score); `paged` by score puts the best first."""
     rows = nodes.withColumn("score", name_score(F.col(column), name, partial)).filter("score is not null")
     return rows if node_type is None else rows.filter(F.lower(kind) == node_type.lower())
 

@@ -105,6 +105,12 @@ class _Python(ast.NodeVisitor):
         if name:
             self.rows.append(("called", name, None, None, None, None))
 
+    @staticmethod
+    def methods(call: ast.Call) -> list[str]:
+        """The verbs that a decorator lists as methods."""
+        listed = [k.value for k in call.keywords if k.arg == "methods" and isinstance(k.value, (ast.List, ast.Tuple, ast.Set))]
+        return [x.value.upper() for given in listed for x in given.elts if isinstance(x, ast.Constant) and isinstance(x.value, str)]
+
     @staticmethod
     def dotted(node: ast.AST) -> str | None:
         parts = []
@@ -127,7 +133,8 @@ class _Python(ast.NodeVisitor):
         for d in node.decorator_list:
             verb = d.func.attr if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) else d.func.id if isinstance(d, ast.Call) and isinstance(d.func, ast.Name) else None
             if verb in VERBS and d.args and isinstance(d.args[0], ast.Constant) and isinstance(d.args[0].value, str):
-                self.declare(name, "api_endpoint", None, d.args[0].value, "GET" if verb in ("route", "api_view") else verb.upper())
+                for method in self.methods(d) or ["GET"] if verb in ("route", "api_view") else [verb.upper()]:
+                    self.declare(name, "api_endpoint", None, d.args[0].value, method)
         for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]:
             if a.arg not in ("self", "cls"):
                 dtype = ast.unparse(a.annotation) if a.annotation else None

@@ -1,5 +1,6 @@
 """Operators on small hand-made inputs, and against plain Python."""
 
+import ast
 import random
 import zipfile
 
@@ -208,6 +209,8 @@ def test_search(spark):
     v = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(6)], "vec_id long, embedding array<float>")
     near = search.nearest_to_each(v, v.filter("vec_id in (0, 5)"), 2)
     assert sorted((r.query, r.rank, r.vec_id) for r in near.collect()) == [(0, 1, 1), (0, 2, 2), (5, 1, 4), (5, 2, 3)]
+    blocks = search.nearest_to_each(v, v, 2, most_queries=2).collect()
+    assert sorted(map(tuple, blocks)) == sorted(map(tuple, search.nearest_to_each(v, v, 2).collect())) and len(blocks) == 12
     d = spark.createDataFrame([(1, "red fish red"), (2, "blue fish"), (3, "")], "id long, text string")
     assert [r.id for r in search.bm25(d, "id", "text", "red fish").orderBy(F.desc("score")).collect()] == [1, 2]
     post, size = search.inverted_index(d, "id", "text")
@@ -219,6 +222,8 @@ def test_search(spark):
 def test_mining(spark):
     trip = spark.createDataFrame([("a", "b", "c1"), ("b", "c", "c2"), ("c", "d", "c3")], "a string, b string, chunk_id string")
     assert [(r.a, r.b) for r in mining.diverse_triplets(trip)] == [("a", "b"), ("c", "d")]
+    many = spark.createDataFrame([("a", x, "c1") for x in "bcdefgh"] + [("x", "y", "c2"), ("y", "z", "c3"), ("u", "v", "c4")], "a string, b string, chunk_id string")
+    assert [(r.a, r.b) for r in mining.diverse_triplets(many, considered=3)] == [("a", "b"), ("x", "y"), ("u", "v")]
     calls = spark.createDataFrame([(1, "GET", "http://h/api/users/7?x=1"), (2, "POST", "/api/users/{id}/")], "call_id long, verb string, url string")
     ends = spark.createDataFrame([(1, "/api/users/{user}", ["GET"])], "endpoint_id long, path string, methods array<string>")
     assert [r.call_id for r in mining.endpoint_matches(calls, ends).collect()] == [1]
@@ -238,3 +243,9 @@ def test_stream_of_files(spark, tmp_path):
         spark.createDataFrame([("f", text)], "path string, content string").coalesce(1).write.mode("append").parquet(source)
         ingest.stream_chunks(spark, source, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert [r.content for r in ingest.latest_chunks(spark, str(tmp_path / "out")).collect()] == ["new"]
+
+
+def test_python_route_methods():
+    parsed = extract._Python()
+    parsed.visit(ast.parse('@app.route("/a", methods=["POST", "put"])\ndef a(): pass\n@app.route("/b")\ndef b(): pass\n@bp.delete("/c")\ndef c(): pass\n'))
+    assert [(r[4], r[5]) for r in parsed.rows if r[2] == "api_endpoint"] == [("/a", "POST"), ("/a", "PUT"), ("/b", "GET"), ("/c", "DELETE")]
