@@ -8,7 +8,8 @@ content from boilerplate; content blocks in page order are the text.
 Training labels are weak: blocks inside article or main count as content, blocks inside menus,
 headers, footers, sidebars, forms and elements named for adverts, notices or comments as
 boilerplate, others are left out. Half of the sample is shown without the structural features, so
-that the words' own features have weights too. The sample is bounded (SAMPLE_PAGES).
+that the words' own features have weights too. Equal rows of features weigh by the logarithm of their
+number, so that a page of many like blocks does not outweigh all others. The sample is bounded (SAMPLE_PAGES).
 
 Edge cases: a null or empty page has an empty text; broken markup is read as far as it goes (an
 unclosed comment, script or style takes the rest; an unclosed tag is text); equal costs go to
@@ -222,7 +223,7 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> np.ndarray:
     counted = found.select("html").mapInArrow(run, "x array<double>, y int").groupBy("x", "y").count().orderBy("x", "y").collect()
     if len({r.y for r in counted}) < 2:
         return PLAIN
-    return fit(np.array([r.x for r in counted]), np.array([r.y for r in counted], float), np.array([float(r["count"]) for r in counted]))
+    return fit(np.array([r.x for r in counted]), np.array([r.y for r in counted], float), 1 + np.log([float(r["count"]) for r in counted]))
 
 
 # --- the cut ----------------------------------------------------------------------------------

@@ -39,7 +39,7 @@ def test_visible_text_is_kept_around_silent_and_foreign_elements():
     assert all(b.other for b in mincut.blocks("<article><form><label>Mail</label><button>Send</button></form></article>"))
 
 
-def test_training_counts_all_rows():
+def test_training_weighs_rows():
     rng = np.random.default_rng(2)
     x = np.concatenate([np.ones((40, 1)), rng.random((40, mincut.FEATURES - 1))], axis=1)
     y, times = rng.integers(0, 2, 40).astype(float), rng.integers(1, 200, 40)
