@@ -32,16 +32,31 @@ def simple_name(name: Column) -> Column:
     return F.when(name.contains("::"), F.element_at(F.split(name, "::"), -1)).otherwise(F.element_at(F.split(name, r"\."), -1))
 
 
+def include_path(include: Column) -> Column:
+    """The module path of an included file, written in angle brackets, quotes or plain."""
+    return module_path(F.regexp_replace(include, r"^[<>\"]+|[<>\"]+$", ""))
+
+
+#: When a path component looks like a temporary folder's name.
+TEMPORARY_PREFIX, LONGER_THAN, MORE_DIGITS_THAN = "tmp", 8, 2
+
+
 def _temporary(part: Column) -> Column:
-    """Whether a path component looks like a temporary folder's name."""
-    low = F.regexp_replace(part, "[^a-z]", "")
+    low = F.regexp_replace(part, r"[^\p{Ll}]", "")
     digits = F.regexp_replace(part, "[^0-9]", "")
-    return part.startswith("tmp") | ((F.length(part) > 8) & part.rlike("^[A-Za-z0-9_]+$") & (F.length(low) * 2 > F.length(part)) & (F.length(digits) > 2))
+    long_id = (F.length(part) > LONGER_THAN) & part.rlike(r"^[\p{L}\p{Nd}_-]*[\p{L}\p{Nd}][\p{L}\p{Nd}_-]*$") & (F.length(low) * 2 > F.length(part)) & (F.length(digits) > MORE_DIGITS_THAN)
+    return (part == "") | (part.startswith(TEMPORARY_PREFIX) & (F.length(part) > len(TEMPORARY_PREFIX))) | long_id
 
 
 def aliases(name: Column, path: Column) -> Column:
-    """The names by which an entity of a file can be called: its own, the last part of it, and it after each suffix of the file's module path."""
-    parts = F.filter(F.split(module_path(path), r"\."), lambda p: (p != "") & ~_temporary(p))
+    """The names by which an entity of a file can be called.
+
+    Its own; its part after the last `::`; with a dot first, it after each suffix of the file's
+    module path, parts that look temporary aside; it after that whole path; it after the path as it is.
+    """
+    raw = module_path(path)
+    parts = F.filter(F.split(raw, r"\."), lambda p: ~_temporary(p))
     n = F.size(parts)
-    suffixes = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat_ws(".", F.slice(parts, n - i + 1, i), name))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(name, F.element_at(F.split(name, "::"), -1)), suffixes, F.transform(suffixes, lambda s: F.concat(F.lit("."), s))))
+    dotted = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("."), F.concat_ws(".", F.slice(parts, n - i + 1, i), name)))).otherwise(F.array().cast("array<string>"))
+    whole = F.when(n > 0, F.array(F.concat_ws(".", parts, name))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(name, F.element_at(F.split(name, "::"), -1)), dotted, whole, F.array(F.concat(raw, F.lit("."), name))))

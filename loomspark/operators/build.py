@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -51,32 +51,40 @@ def register(declared: DataFrame) -> DataFrame:
     its aliases stands for; else it is an entity of its own. Which names stand for what is fixed at
     each new chunk (first entity wins, canonical names win over aliases), and within a chunk the
     last one wins. Occurrences that share no alias, directly or through others, cannot affect each
-    other, so that each connected group is replayed by itself.
+    other. Each connected group's rows reach one task in order of occ and pass through it; it holds
+    the group's names, not its rows.
+    """
+    rows = declared.withColumn("aliases", aliases(F.col("name"), F.col("path"))).select("occ", "chunk_seq", "name", "aliases")
+    grouped = rows.join(alias_components(rows.select("occ", "aliases")), "occ").repartition("component").sortWithinPartitions("component", "occ")
+    return declared.join(grouped.mapInPandas(_joined, "occ long, entity string"), "occ")
+
+
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The entity of each occurrence of rows ordered by (component, occ).
+
+    `first` holds for each alias the earliest entity that has it. A canonical name stands for
+    itself, and what the current chunk has said so far (`now`) goes before both.
     """
-    rows = declared.withColumn("aliases", aliases(F.col("name"), F.col("path")))
-    grouped = rows.join(alias_components(rows.select("occ", "aliases")), "occ")
-
-    def replay(group: pd.DataFrame) -> pd.DataFrame:
-        entities: dict[str, list[str]] = {}
-        table: dict[str, str] = {}
-        chunk, out = None, []
-        for r in group.sort_values("occ").itertuples():
-            if r.chunk_seq != chunk:
-                chunk, table = r.chunk_seq, {}
-                for name, names in entities.items():
-                    for a in names:
-                        table.setdefault(a, name)
-                table.update((name, name) for name in entities)
-            found = next((table[a] for a in [r.name, *r.aliases] if a in table), r.name)
-            known = entities.setdefault(found, [])
-            known.extend(a for a in r.aliases if a not in known)
-            table.update((a, found) for a in r.aliases)
-            table[found] = found
-            out.append((r.occ, found))
-        return pd.DataFrame(out, columns=["occ", "entity"])
-
-    found = grouped.groupBy("component").applyInPandas(replay, "occ long, entity string")
-    return declared.join(found, "occ")
+    component, chunk = None, None
+    order: dict[str, int] = {}
+    first: dict[str, str] = {}
+    now: dict[str, str] = {}
+    for batch in batches:
+        out = []
+        for occ, chunk_seq, name, names, group in batch[["occ", "chunk_seq", "name", "aliases", "component"]].itertuples(index=False):
+            if group != component:
+                component, chunk, order, first = group, None, {}, {}
+            if chunk_seq != chunk:
+                chunk, now = chunk_seq, {}
+            found = next((now.get(a) or (a if a in order else first[a]) for a in (name, *names) if a in now or a in order or a in first), name)
+            order.setdefault(found, len(order))
+            for a in names:
+                if a not in first or order[found] < order[first[a]]:
+                    first[a] = found
+                now[a] = found
+            now[found] = found
+            out.append((occ, found))
+        yield pd.DataFrame(out, columns=["occ", "entity"])
 
 
 def directories(path: Column) -> Column:

@@ -1,8 +1,7 @@
 """Declared and called entities of source files.
 
-Python is read with the standard library's parser; other languages by tables of patterns, one row
-per kind of entity, which Spark's regular expressions apply to whole files. The tables find what is
-written in the usual way; they do not follow macros or nested scopes.
+Python is read with the standard library's parser, languages with braces by the forms of `scopes`,
+and HTML by Spark's regular expressions, its scripts like other scripts.
 """
 
 from __future__ import annotations
@@ -14,76 +13,51 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.names import EXTRACTED, extension, language
+from loomspark.functions.names import EXTRACTED, extension, language, simple_name
+from loomspark.operators.scopes import ENTITY, scoped_entities
 
-ENTITY = "path string, role string, pos int, name string, type string, dtype string, endpoint string, method string"
 #: Decorators that declare an endpoint.
 VERBS = {"get", "post", "put", "patch", "delete", "head", "options", "route", "api_view"}
 
-#: Fixed values: (language, role, type, pattern, group of the name).
-RULES = [
-    ("java", "declared", "class", r"\bclass\s+([A-Za-z_]\w*)", 1),
-    ("java", "declared", "interface", r"\binterface\s+([A-Za-z_]\w*)", 1),
-    ("java", "declared", "enum", r"\benum\s+([A-Za-z_]\w*)", 1),
-    ("java", "declared", "method", r"\b(?:public|protected|private|static|final)\s+(?:[\w<>\[\],.]+\s+)+([a-z_]\w*)\s*\(", 1),
-    ("java", "declared", "api_endpoint", r"@(?:Get|Post|Put|Patch|Delete|Request)Mapping\(\s*(?:value\s*=\s*)?\"([^\"]+)\"", 1),
-    ("java", "called", "import", r"\bimport\s+(?:static\s+)?([\w.]+)\s*;", 1),
-    ("java", "called", "base", r"\b(?:extends|implements)\s+([A-Za-z_][\w.]*)", 1),
-    ("java", "called", "call", r"\b([a-zA-Z_]\w*)\s*\(", 1),
-    ("js", "declared", "class", r"\bclass\s+([A-Za-z_$][\w$]*)", 1),
-    ("js", "declared", "function", r"\bfunction\s*\*?\s+([A-Za-z_$][\w$]*)", 1),
-    ("js", "declared", "variable", r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=", 1),
-    ("js", "called", "import", r"(?:\bfrom\s+|\brequire\(\s*)['\"]([^'\"]+)['\"]", 1),
-    ("js", "called", "base", r"\bextends\s+([A-Za-z_$][\w$.]*)", 1),
-    ("js", "called", "call", r"\b([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\(", 1),
-    ("js", "request", "api", r"\b(?:axios|http|request|superagent)\.(?:get|post|put|patch|delete|head)\(\s*[`'\"][^`'\"]+[`'\"]|\bfetch\(\s*[`'\"][^`'\"]+[`'\"]", 0),
-    ("c", "declared", "struct", r"\bstruct\s+([A-Za-z_]\w*)\s*\{", 1),
-    ("c", "declared", "typedef", r"\btypedef\b[^;{]*\b([A-Za-z_]\w*)\s*;", 1),
-    ("c", "declared", "function", r"(?m)^[A-Za-z_][\w\s*]*?\b([A-Za-z_]\w*)\s*\([^;{}]*\)\s*\{", 1),
-    ("c", "called", "import", r"#\s*include\s*[<\"]([^>\"]+)[>\"]", 1),
-    ("c", "called", "call", r"\b([A-Za-z_]\w*)\s*\(", 1),
-    ("cpp", "declared", "class", r"\b(?:class|struct)\s+([A-Za-z_]\w*)\s*(?:final\s*)?[:{]", 1),
-    ("cpp", "declared", "method", r"\b([A-Za-z_]\w*::~?[A-Za-z_]\w*)\s*\([^;{}]*\)\s*(?:const\s*)?\{", 1),
-    ("cpp", "declared", "function", r"(?m)^[A-Za-z_][\w\s*&:<>]*?\s\*?&?([A-Za-z_]\w*)\s*\([^;{}]*\)\s*\{", 1),
-    ("cpp", "called", "import", r"#\s*include\s*[<\"]([^>\"]+)[>\"]", 1),
-    ("cpp", "called", "base", r":\s*(?:public|protected|private)\s+([A-Za-z_][\w:]*)", 1),
-    ("cpp", "called", "call", r"\b([A-Za-z_]\w*(?:::[A-Za-z_]\w*)*)\s*\(", 1),
-    ("rust", "declared", "struct", r"\bstruct\s+([A-Za-z_]\w*)", 1),
-    ("rust", "declared", "enum", r"\benum\s+([A-Za-z_]\w*)", 1),
-    ("rust", "declared", "trait", r"\btrait\s+([A-Za-z_]\w*)", 1),
-    ("rust", "declared", "function", r"\bfn\s+([A-Za-z_]\w*)", 1),
-    ("rust", "declared", "module", r"\bmod\s+([A-Za-z_]\w*)", 1),
-    ("rust", "declared", "constant", r"\bconst\s+([A-Z_][A-Z0-9_]*)\s*:", 1),
-    ("rust", "declared", "static", r"\bstatic\s+(?:mut\s+)?([A-Za-z_]\w*)\s*:", 1),
-    ("rust", "declared", "type_alias", r"\btype\s+([A-Za-z_]\w*)\s*=", 1),
-    ("rust", "declared", "api_endpoint", r"#\[(?:get|post|put|patch|delete)\(\"([^\"]+)\"", 1),
-    ("rust", "called", "import", r"\buse\s+([^;]+);", 1),
-    ("rust", "called", "call", r"\b([A-Za-z_]\w*(?:::[A-Za-z_]\w*)*!?)\s*\(", 1),
-    ("html", "declared", "element", r"(?i)\s(?:id|name)\s*=\s*\"([^\"]+)\"", 1),
-    ("html", "declared", "class", r"(?i)\sclass\s*=\s*\"([^\"]+)\"", 1),
-    ("html", "called", "script", r"(?i)<script[^>]*\ssrc\s*=\s*\"([^\"]+)\"", 1),
-]
-#: Words before a parenthesis that call nothing.
-KEYWORDS = ["if", "for", "while", "switch", "catch", "return", "function", "sizeof", "match", "fn", "super", "new", "else", "do", "typeof"]
-FAMILIES = {"js": ["js", "jsx", "ts", "tsx", "mjs"], "cpp": ["cpp", "hpp", "h"]}
-
-
-def by_patterns(files: DataFrame) -> DataFrame:
-    """Entities (path, role, pos, name, type) of files(path, content) in languages that have patterns."""
-    rows = files.withColumn("lang", F.when(extension(F.col("path")).isin("h", "hpp"), "cpp").otherwise(language(F.col("path")))).filter(extension(F.col("path")).isin(EXTRACTED))
-    found = []
-    for lang in dict.fromkeys(r[0] for r in RULES):
-        mine = rows.filter(F.col("lang").isin(FAMILIES.get(lang, [lang])))
-        hits = [F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(group)), _as_entity(role, kind, k)) for k, (of, role, kind, pattern, group) in enumerate(RULES) if of == lang]
-        found.append(mine.select("path", F.explode(F.flatten(F.array(*hits))).alias("e")).select("path", "e.*"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    out = out.filter(~((F.col("type") == "call") & F.col("name").isin(KEYWORDS)))
-    classes = (F.col("type") == "class") & F.col("path").rlike(r"\.html?$")
-    out = out.withColumn("name", F.explode(F.when(classes, F.split("name", r"\s+")).otherwise(F.array("name")))).filter("name != ''")
-    request = F.concat(F.lit("API:"), F.upper(F.coalesce(F.nullif(F.regexp_extract("name", r"\.(get|post|put|patch|delete|head)\(", 1), F.lit("")), F.lit("get"))), F.lit(":"), F.regexp_replace(F.regexp_extract("name", r"[`'\"](.*)[`'\"]$", 1), r"\$\{[^}]*\}", "{param}"))
-    return out.withColumn("name", F.when(F.col("role") == "request", request).otherwise(F.col("name"))).withColumn("role", F.when(F.col("role") == "request", "called").otherwise(F.col("role")))
+#: What HTML declares and calls: (role, type, pattern, groups of which one holds the name).
+VALUE = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+HTML = [("declared", "element", rf"(?i)<[a-z][^<>]*?\sid{VALUE}"), ("declared", "element", rf"(?i)<[a-z][^<>]*?\sname{VALUE}"), ("declared", "class", rf"(?i)<[a-z][^<>]*?\sclass{VALUE}"), ("called", "script", rf"(?i)<script\b[^<>]*?\ssrc{VALUE}")]
+#: Scripts within a page: handlers and the text of script elements without a source.
+HANDLER, SCRIPT = rf"(?i)\son[a-z]+{VALUE}", r"(?is)<script(?![^>]*\ssrc\s*=)[^>]*>(.*?)</script"
+#: Languages that are read as another one.
+READ_AS = {"jsx": "js", "ts": "js", "tsx": "js"}
+
+
+def _found(pattern: str) -> Column:
+    """Values of an attribute, in order, whichever way they are quoted."""
+    groups = [F.regexp_extract_all("content", F.lit(pattern), F.lit(k)) for k in (1, 2, 3)]
+    return F.transform(groups[0], lambda x, i: F.concat(x, F.get(groups[1], i), F.get(groups[2], i)))
+
+
+def html_entities(pages: DataFrame) -> DataFrame:
+    """Entities (path, role, pos, name, type) of the markup of pages(path, content): ids, names, each class, sources of scripts; each once."""
+    hits = [F.transform(_found(pattern), _as_entity(role, kind, k)) for k, (role, kind, pattern) in enumerate(HTML)]
+    rows = pages.select("path", F.explode(F.flatten(F.array(*hits))).alias("e")).select("path", "e.*")
+    names = F.when(F.col("type") == "class", F.split(F.trim("name"), r"\s+")).otherwise(F.array("name"))
+    rows = rows.select("path", "role", "pos", F.posexplode(names).alias("k", "name"), "type").filter("name != ''")
+    return rows.groupBy("path", "role", "name", "type").agg(F.min(F.struct("pos", "k")).alias("first")).select("path", "role", F.col("first.pos").alias("pos"), "name", "type")
+
+
+def page_scripts(pages: DataFrame) -> DataFrame:
+    """(path, lang, content) of the scripts of each page: handlers, then script elements, in one text."""
+    parts = F.concat(_found(HANDLER), F.regexp_extract_all("content", F.lit(SCRIPT), F.lit(1)))
+    return pages.select("path", F.lit("js").alias("lang"), F.array_join(parts, "\n;\n").alias("content")).filter("content != ''")
+
+
+def by_forms(files: DataFrame) -> DataFrame:
+    """Entities (as ENTITY) of files(path, content) in the languages read by forms and scopes, HTML and its scripts included."""
+    ext = extension(F.col("path"))
+    pages = files.filter(ext == "html")
+    other = files.filter(ext.isin([e for e in EXTRACTED if e not in ("py", "html")]))
+    read_as = F.create_map(*[F.lit(x) for pair in READ_AS.items() for x in pair])
+    lang = F.when(ext.isin("h", "hpp"), "cpp").otherwise(language(F.col("path")))
+    code = other.select("path", F.coalesce(F.element_at(read_as, lang), lang).alias("lang"), "content")
+    return scoped_entities(code.unionByName(page_scripts(pages))).unionByName(html_entities(pages), allowMissingColumns=True)
 
 
 def _as_entity(role: str, kind: str, order: int):
@@ -202,7 +176,7 @@ def python_entities(files: DataFrame) -> DataFrame:
 
 def entities(files: DataFrame) -> DataFrame:
     """Entities of all files in languages that are read."""
-    return python_entities(files).unionByName(by_patterns(files.filter(extension(F.col("path")) != "py")), allowMissingColumns=True)
+    return python_entities(files).unionByName(by_forms(files))
 
 
 def without_comments(content: Column, lang: str) -> Column:
@@ -212,13 +186,42 @@ def without_comments(content: Column, lang: str) -> Column:
     return F.regexp_replace(F.regexp_replace(content, r"(?s)/\*.*?(?:\*/|\z)", ""), r"(?m)//.*$", "")
 
 
+#: How a declaration or call shows in a chunk, by language and type; {} is its simple name. Types without a rule are not looked up.
+PYTHON_RULES = {"class": r"(?m)^\s*class\s+{}[\s:(]|\b{}\s*\(", "function": r"\b{}\s*\(", "method": r"\b{}\s*\(", "api_endpoint": r"(?m)^\s*(?:async\s+)?def\s+{}\s*\(", "variable": r"\b{}\b", "called": r"\b{}\b"}
+C_RULES = {"class": r"(?m)^\s*(?:class|struct)\s+{}[\s:{{]", "function": r"\b{}\s*\(", "method": r"\b{}\s*\(", "variable": r"\b{}\b", "called": r"\b{}\s*\("}
+JAVA_RULES = {"class": r"\b{}\b", "function": r"\b{}\s*\(", "method": r"\b{}\s*\(", "api_endpoint": r"\b{}\s*\(", "variable": r"\b{}\b", "called": r"\b{}\b"}
+
+
+def _rule(rules: dict[str, str], kind: Column, base: Column) -> Column:
+    """The pattern for an entity of a kind, null where there is none."""
+    quoted = F.concat(F.lit(r"\Q"), base, F.lit(r"\E"))
+    out = F.lit(None).cast("string")
+    for name, pattern in rules.items():
+        pieces = [F.lit(p.replace("{{", "{")) for p in pattern.split("{}")]
+        whole = F.concat(*[x for k, p in enumerate(pieces) for x in ((quoted, p) if k else (p,))])
+        out = F.when(kind == name, whole).otherwise(out)
+    return out
+
+
 def entities_in_chunks(found: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Which chunks of its file an entity's name stands in: found(path, role, pos, name, type), chunks(path, ord, chunk_id, language, content)."""
+    """Which chunks of its file an entity shows in, comments aside: found(path, role, pos, name, type), chunks(path, ord, chunk_id, language, content).
+
+    Entities meet chunks by a word of their simple name, so no file's entities meet all its chunks;
+    the language's rule for the entity's type then decides. C and C++ classes, variables and calls
+    with a namespace also show where the chunk uses that namespace. Languages without rules of
+    their own follow Python's.
+    """
     clean = chunks.withColumn("code", F.when(F.col("language") == "python", without_comments(F.col("content"), "python")).otherwise(without_comments(F.col("content"), "c")))
-    last = F.element_at(F.split(F.element_at(F.split("name", "::"), -1), r"\."), -1)
     words = F.array_distinct(F.regexp_extract_all("code", F.lit(r"[\w$]+"), F.lit(0)))
-    whole = F.regexp_extract(F.col("name"), r"[\w$]+$", 0)
-    per_word = clean.select("path", "ord", "chunk_id", "code", F.explode(words).alias("word"))
-    named = found.withColumn("word", F.when(whole != "", whole).otherwise(last))
-    keyword = F.when(F.col("type") == "class", F.col("code").rlike(r"\b(class|struct)\b")).when(F.col("type").isin("function", "method"), F.col("code").rlike(r"\b(def|fn|function)\b|\(")).otherwise(F.lit(True))
-    return named.join(per_word, ["path", "word"]).filter(F.when(F.col("role") == "declared", keyword).otherwise(F.lit(True))).select("path", "role", "pos", "name", "type", "chunk_id", "ord")
+    per_word = clean.select("path", "ord", "chunk_id", "language", "code", F.explode(words).alias("word"))
+    base = simple_name(F.col("name"))
+    named = found.withColumn("base", base).withColumn("word", F.element_at(F.regexp_extract_all("base", F.lit(r"[\w$]+"), F.lit(0)), -1)).filter("word is not null")
+    rows = named.join(per_word, ["path", "word"])
+    kind = F.when(F.col("role") == "called", "called").otherwise(F.col("type"))
+    family = F.when(F.col("language").isin("c", "cpp"), "c").when(F.col("language") == "java", "java").otherwise("python")
+    rule = F.when(family == "c", _rule(C_RULES, kind, F.col("base"))).when(family == "java", _rule(JAVA_RULES, kind, F.col("base"))).otherwise(_rule(PYTHON_RULES, kind, F.col("base")))
+    spaces = F.regexp_extract_all("code", F.lit(r"(?m)^\s*using\s+namespace\s+([A-Za-z_][\w:]*)\s*;"), F.lit(1))
+    in_reach = ~F.col("name").contains("::") | F.exists(spaces, lambda n: F.col("name").startswith(F.concat(n, F.lit("::"))))
+    identifier = F.rlike("code", F.concat(F.lit(r"\b\Q"), F.col("base"), F.lit(r"\E\b")))
+    by_space = (family == "c") & kind.isin("class", "variable", "called") & in_reach & identifier
+    return rows.filter(by_space | F.coalesce(F.rlike("code", rule), F.lit(False))).select("path", "role", "pos", "name", "type", "chunk_id", "ord")

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import names
-from loomspark.operators import build, catalog, chunks, graph, mining, search
+from loomspark.operators import build, catalog, chunks, extract, graph, mining, search
 from loomspark.plans import adapters as A
+from loomspark.plans import sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -364,3 +365,59 @@ def register_entities(t):
     """Parts as declarations that may share a name: each joins the first entity that it is an alias of."""
     rows = t.part.select(F.col("p_partkey").alias("occ"), F.floor(F.col("p_partkey") / 8).alias("chunk_seq"), F.translate("p_name", " ", "_").alias("name"), F.concat(F.lower("p_type"), F.lit("/"), F.lower("p_brand"), F.lit(".py")).alias("path"))
     return build.register(rows).select("occ", "name", "entity")
+
+
+# --- the build path ---------------------------------------------------------------------------
+
+
+def _extraction(lang: str):
+    template = sources.TEMPLATES[lang]
+
+    def run(t):
+        return sources.entities(t, template)
+
+    run.__name__ = f"extract_{lang}"
+    query(sources.entities_sql(template))(run)
+
+
+for _lang in sources.TEMPLATES:
+    _extraction(_lang)
+
+
+@query(f"WITH {sources.PLACES_SQL} SELECT DISTINCT path, role, name, type, ord FROM places")
+def entities_in_chunks(t):
+    return sources.mapped(t)[2].select("path", "role", "name", F.coalesce("type", F.lit("")).alias("type"), "ord").distinct()
+
+
+@query(f"""{sources.GRAPH_SQL} SELECT 'root' AS node_id, 'root' AS kind, 'root' AS name, '' AS path UNION ALL SELECT 'directory:shop', 'directory', 'shop', 'shop'
+UNION ALL SELECT DISTINCT 'directory:' || folder, 'directory', list_last(string_split(folder, '/')), folder FROM f UNION ALL SELECT 'file:' || path, 'file', list_last(string_split(path, '/')), path FROM f
+UNION ALL SELECT 'chunk:' || chunk_id, 'chunk', chunk_id, path FROM ch UNION ALL SELECT 'entity:' || entity, 'entity', entity, '' FROM (SELECT entity FROM d UNION SELECT entity FROM c)""")
+def build_nodes(t):
+    return sources.graph(t)[0]
+
+
+@query(f"""{sources.GRAPH_SQL} SELECT 'root' AS src, 'directory:shop' AS dst, 'contains' AS relation UNION ALL SELECT DISTINCT 'directory:shop', 'directory:' || folder, 'contains' FROM f
+UNION ALL SELECT 'directory:' || folder, 'file:' || path, 'contains' FROM f UNION ALL SELECT 'file:' || path, 'chunk:' || chunk_id, 'contains' FROM ch
+UNION ALL SELECT 'chunk:' || chunk_id, 'entity:' || entity, 'declares' FROM d
+UNION ALL SELECT 'entity:' || entity, 'chunk:' || chunk_id, 'called_by' FROM (SELECT entity, chunk_id FROM c EXCEPT SELECT entity, chunk_id FROM d)""")
+def build_edges(t):
+    return sources.graph(t)[1]
+
+
+@query("""SELECT c_custkey AS caller, p_partkey AS part, '/parts/p' || p_partkey || '/{param}' AS key FROM customer JOIN part ON p_partkey = c_custkey""")
+def endpoint_calls(t):
+    """Requests of the scripts against the routes of the Python files, on addresses without their numbers."""
+    calls = extract.entities(sources.files(t, sources.JAVASCRIPT)).filter("name like 'API:GET:/parts/%'")
+    asked = calls.select(F.regexp_extract("path", r"_(\d+)\.ts$", 1).cast("long").alias("caller"), F.lit("GET").alias("verb"), F.regexp_extract("name", "^API:GET:(.*)$", 1).alias("url"))
+    routes = extract.entities(sources.files(t, sources.PYTHON)).filter("type = 'api_endpoint'").groupBy("path", "endpoint").agg(F.collect_set("method").alias("methods"))
+    routes = routes.select(F.regexp_extract("path", r"_(\d+)\.py$", 1).cast("long").alias("part"), F.col("endpoint").alias("path"), "methods")
+    return mining.endpoint_matches(asked, routes).select("caller", "part", "key")
+
+
+@query("""WITH c AS (SELECT page_id, unnest(regexp_extract_all(html, '<[a-zA-Z][^<>]*? class="([^"]*)"', 1)) AS names FROM pages), e AS (
+SELECT page_id, 'element' AS type, unnest(regexp_extract_all(html, '<[a-zA-Z][^<>]*? id="([^"]*)"', 1)) AS name FROM pages UNION ALL SELECT page_id, 'element', unnest(regexp_extract_all(html, '<[a-zA-Z][^<>]*? name="([^"]*)"', 1)) FROM pages
+UNION ALL SELECT page_id, 'class', unnest(string_split(trim(names), ' ')) FROM c UNION ALL SELECT page_id, 'script', unnest(regexp_extract_all(html, '<script[^<>]*? src="([^"]*)"', 1)) FROM pages)
+SELECT DISTINCT page_id, type, name FROM e WHERE name <> ''""")
+def extract_html(t):
+    rows = extract.html_entities(t.pages.select(F.col("page_id").alias("path"), F.col("html").alias("content")))
+    return rows.select(F.col("path").alias("page_id"), "type", "name")
