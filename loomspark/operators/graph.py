@@ -74,6 +74,14 @@ def neighbors(nodes: DataFrame, edges: DataFrame, limit: int = 20, page: int = 1
     return got.join(far, "other").select("node_id", "rank", F.col("other").alias("neighbor"), F.col("e.direction").alias("direction"), F.col("e.relation").alias("relation"), "kind", "name")
 
 
+def related(nodes: DataFrame, edges: DataFrame, relation: str = "all", limit: int | None = None, page: int = 1) -> DataFrame:
+    """(src, dst, relation, name): the nodes that edges of a relation (or any: "all" or "") lead to from each node; with a limit one page of them by id."""
+    rows = edges if relation in ("", "all") else edges.filter(F.col("relation") == relation)
+    if limit is not None:
+        rows = ranked(rows.select("src", "dst", "relation"), ["src"], [F.col("dst"), F.col("relation")], limit * page).filter(F.col("rank") > limit * (page - 1))
+    return rows.join(nodes.select(F.col("node_id").alias("dst"), "name"), "dst").select("src", "dst", "relation", "name")
+
+
 def _only(edges: DataFrame, relations: list[str] | None) -> DataFrame:
     return edges if not relations else edges.filter(F.col("relation").isin(relations))
 
@@ -108,6 +116,16 @@ def subgraph(nodes: DataFrame, edges: DataFrame, start: DataFrame, depth: int =
     return nodes.join(near.select("node_id", "depth"), "node_id"), among
 
 
+def summary(nodes: DataFrame, edges: DataFrame, samples: int = 5) -> DataFrame:
+    """(category, label, n, samples) of a subgraph: nodes by kind and edges by relation, with the first ids of each."""
+    rows = nodes.select(F.lit("node").alias("category"), F.col("kind").alias("label"), F.col("node_id").alias("id"))
+    rows = rows.unionByName(edges.select(F.lit("relation").alias("category"), F.col("relation").alias("label"), F.concat_ws(">", "src", "dst").alias("id")))
+    counts = rows.groupBy("category", "label").agg(F.count(F.lit(1)).alias("n"))
+    labelled = rows.select(F.struct("category", "label").alias("group"), "id")
+    few = _first_per(labelled, "group", "id", samples, "samples").select("group.category", "group.label", "samples")
+    return counts.join(few, ["category", "label"]).select("category", "label", "n", "samples")
+
+
 def find_paths(edges: DataFrame, source: DataFrame, targets: DataFrame, max_depth: int = 5, relations: list[str] | None = None) -> DataFrame:
     """(target, status, length, path) of a shortest directed path from the one node of source to each target.
 

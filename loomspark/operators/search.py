@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Parameters of BM25.
@@ -48,6 +48,51 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: fl
     return counted.filter(reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(words))])).select(key, F.round(score, 6).alias("score"))
 
 
+def save_index(docs: DataFrame, key: str, text: str, path: str) -> None:
+    """Stores what BM25 needs: postings (token, key, tf, dl) ordered by token within files, and the corpus' figures."""
+    cut = docs.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").cast("long").alias("dl"), "t")
+    postings = cut.select(key, "dl", F.explode("t").alias("token")).groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    postings.repartitionByRange("token", key).sortWithinPartitions("token", key).write.mode("overwrite").parquet(f"{path}/postings")
+    cut.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/figures")
+
+
+def indexed_bm25(spark: SparkSession, path: str, key: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
+    """The scores of `bm25` from a stored index: only the postings of the query's tokens are read."""
+    rows = spark.read.parquet(f"{path}/postings").filter(F.col("token").isin(words_of(query)))
+    figures = spark.read.parquet(f"{path}/figures").first()
+    df = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.lit(figures.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = k1 * (1 - b + b * F.col("dl") / F.lit(figures.avgdl or 1.0))
+    scored = rows.join(F.broadcast(df), "token").withColumn("part", idf * F.col("tf") * (k1 + 1) / (F.col("tf") + norm))
+    return scored.groupBy(key).agg(F.round(F.sum("part"), 6).alias("score"))
+
+
+MODES = ("keyword", "vector", "hybrid")
+
+
+def search(rows: DataFrame, query: str, vector: list[float] | None = None, mode: str = "hybrid", limit: int = 10, page: int = 1, text: list[str] | None = None, name: str = "name", key: str = "node_id", column: str = "embedding") -> DataFrame:
+    """One page of (key, rank, score) of rows, best first: by BM25 over the text columns, by nearness (score is the distance), or by both."""
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    if limit < 1 or page < 1:
+        raise ValueError("limit and page start at 1")
+    if mode != "keyword" and vector is None:
+        raise ValueError("a vector is needed")
+    text, n = text or ["content", "name", "description"], limit * page
+    if mode == "keyword":
+        found = bm25(rows.select(key, F.concat_ws(" ", *text).alias("text")), key, "text", query).orderBy(F.desc("score"), key).limit(n)
+        order = [F.desc("score"), F.col(key)]
+    elif mode == "vector":
+        found = nearest(rows, vector, n, key, column).select(key, F.round("distance", 6).alias("score"))
+        order = [F.col("score"), F.col(key)]
+    else:
+        found = hybrid(rows, query, vector, n, text, name, key, column).select(key, "score")
+        order = [F.desc("score"), F.col(key)]
+    # At most limit * page rows are left, so one window is small.
+    ranked_rows = found.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    return ranked_rows.filter(F.col("rank") > n - limit).select(key, "rank", "score")
+
+
 def _count(word: str) -> Column:
     return F.size(F.filter("t", lambda x: x == word))
 

@@ -66,6 +66,14 @@ EVENT_SQL = """ev AS (SELECT user_id AS entity, strftime(ts, '%Y-%m-%d %H:%M') A
 decl AS (SELECT * FROM ev WHERE type = 'signup'), call AS (SELECT * FROM ev WHERE type <> 'signup')"""
 
 
+def daily_entities(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The same with a user's day as the entity: some are declared and never called, others called only."""
+    return tuple(rows.withColumn("entity", F.concat_ws("/", F.col("entity").cast("string"), "file")) for rows in event_entities(t))
+
+
+DAILY_SQL = EVENT_SQL.replace("user_id AS entity", "user_id || '/' || strftime(ts, '%Y-%m-%d') AS entity")
+
+
 def event_chunks(t: Tables) -> DataFrame:
     return t.events.groupBy(F.date_format("ts", "yyyy-MM-dd HH:mm").alias("chunk_id")).agg(F.count(F.lit(1)).alias("n_events"))
 

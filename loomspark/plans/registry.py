@@ -15,6 +15,7 @@ from loomspark.functions import names
 from loomspark.operators import build, catalog, chunks, extract, graph, mining, search
 from loomspark.plans import adapters as A
 from loomspark.plans import sources
+from loomspark.sources import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -105,7 +106,22 @@ def print_tree(t):
 @query(f"""{WITH_GRAPH} SELECT e.src, e.dst, k.name FROM key_edges e JOIN key_nodes k ON k.node_id = e.dst WHERE relation = 'called_by'""")
 def related_chunks(t):
     nodes, edges = _graph(t)
-    return edges.filter("relation = 'called_by'").join(nodes.select(F.col("node_id").alias("dst"), "name"), "dst").select("src", "dst", "name")
+    return graph.related(nodes, edges, "called_by").select("src", "dst", "name")
+
+
+@query(f"""{WITH_GRAPH}, r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst, relation) AS rank FROM key_edges) SELECT r.src, r.dst, r.relation, k.name FROM r JOIN key_nodes k ON k.node_id = r.dst WHERE rank BETWEEN 6 AND 10""")
+def related_chunks_page(t):
+    return graph.related(*_graph(t), "all", 5, 2)
+
+
+@query(f"""{WITH_GRAPH}, {BOTH}, near AS (SELECT 'n:0' AS node_id UNION SELECT other FROM both_ways WHERE node_id = 'n:0'),
+x AS (SELECT 'node' AS category, kind AS label, node_id AS id FROM key_nodes WHERE node_id IN (SELECT node_id FROM near) UNION ALL SELECT 'relation', relation, src || '>' || dst FROM key_edges WHERE src IN (SELECT node_id FROM near) AND dst IN (SELECT node_id FROM near)),
+r AS (SELECT *, row_number() OVER (PARTITION BY category, label ORDER BY id) AS rank, count(*) OVER (PARTITION BY category, label) AS n FROM x)
+SELECT category, label, n, string_agg(id, ',' ORDER BY id) AS samples FROM r WHERE rank <= 5 GROUP BY ALL""")
+def subgraph_summary(t):
+    """From a node with neighbours on both sides."""
+    nodes, edges = _graph(t)
+    return graph.summary(*graph.subgraph(nodes, edges, t.spark.createDataFrame([("n:0",)], "node_id string"), 1))
 
 
 @query(f"""{WITH_GRAPH} SELECT src, dst, relation FROM key_edges WHERE src IN (SELECT node_id FROM key_nodes WHERE kind <> 'region') AND dst IN (SELECT node_id FROM key_nodes WHERE kind <> 'region')""")
@@ -139,9 +155,9 @@ def list_all_entities(t):
     return catalog.entity_list(*A.event_entities(t))
 
 
-@query(f"WITH {A.EVENT_SQL} SELECT DISTINCT entity FROM decl WHERE entity NOT IN (SELECT entity FROM call)")
+@query(f"WITH {A.DAILY_SQL} SELECT DISTINCT entity FROM decl WHERE entity NOT IN (SELECT entity FROM call)")
 def list_all_entities_unused(t):
-    return catalog.declared_entities(*A.event_entities(t), called=False)
+    return catalog.declared_entities(*A.daily_entities(t), called=False)
 
 
 @query(f"WITH {A.EVENT_SQL} SELECT DISTINCT entity FROM decl WHERE entity IN (SELECT entity FROM call)")
@@ -149,9 +165,9 @@ def list_all_entities_declared(t):
     return catalog.declared_entities(*A.event_entities(t), called=True)
 
 
-@query(f"WITH {A.EVENT_SQL} SELECT DISTINCT entity FROM call WHERE entity NOT IN (SELECT entity FROM decl)")
+@query(f"WITH {A.DAILY_SQL} SELECT DISTINCT entity FROM call WHERE entity NOT IN (SELECT entity FROM decl)")
 def list_all_entities_external(t):
-    return catalog.external_entities(*A.event_entities(t))
+    return catalog.external_entities(*A.daily_entities(t))
 
 
 @query(f"""WITH {A.EVENT_SQL}, r AS (SELECT entity, chunk_id, pos, row_number() OVER (PARTITION BY entity ORDER BY pos, chunk_id) AS rank, count(*) OVER (PARTITION BY entity) AS n_total FROM decl),
@@ -197,11 +213,13 @@ def html_entities(t):
     return found[0].unionByName(found[1]).groupBy("page_id", "kind", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, ' href="([^"]+)"', 1)) AS called FROM pages), named AS (SELECT page_id AS path, min(called) AS match FROM l WHERE contains(lower(called), 'the') GROUP BY 1)
-SELECT path, 'called_entity' AS match_type, match FROM named""")
+@query(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, ' href="([^"]+)"', 1)) AS called FROM pages), named AS (SELECT page_id AS path, min(called) AS match FROM l WHERE contains(lower(called), 'the') GROUP BY 1),
+c AS (SELECT page_id AS path, ord, regexp_extract(substr(html, CAST(ord * 2000 + 1 AS BIGINT), 2000), '(?i)\b(?:import|from|require|use|include)\b[^\n]*the') AS match FROM pages, (VALUES (0), (1), (2)) AS o(ord)),
+t AS (SELECT path, arg_min(match, ord) AS match FROM c WHERE match <> '' AND path NOT IN (SELECT path FROM named) GROUP BY 1)
+SELECT path, 'called_entity' AS match_type, match FROM named UNION ALL SELECT path, 'import_statement', match FROM t""")
 def files_importing(t):
     calls = t.pages.select(F.col("page_id").alias("path"), F.explode(F.regexp_extract_all("html", F.lit(' href="([^"]+)"'), F.lit(1))).alias("called"))
-    pieces = t.pages.select(F.col("page_id").alias("path"), F.lit(0).alias("ord"), F.lit("").alias("content"))
+    pieces = chunks.fixed_chunks(t.pages.select(F.col("page_id").alias("path"), F.col("html").alias("content")))
     return catalog.files_importing(calls, pieces, "the")
 
 
@@ -262,14 +280,32 @@ def keyword_scan(t):
     return search.keyword_scan(t.documents, "license token", ["text"]).select("doc_id", "lang")
 
 
-@query("""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents),
+BM25_SQL = """WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents),
 c AS (SELECT doc_id, len(t) AS dl, len(list_filter(t, lambda x: x = 'license')) AS a, len(list_filter(t, lambda x: x = 'token')) AS b FROM d),
 f AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c)
-SELECT doc_id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM c, f WHERE a > 0 OR b > 0""")
+SELECT doc_id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM c, f WHERE a > 0 OR b > 0"""
+COMMON_SQL = BM25_SQL.replace("'license'", "'the'").replace("'token'", "'und'")
+
+
+@query(BM25_SQL)
 def bm25(t):
     return search.bm25(t.documents, "doc_id", "text", "license token")
 
 
+@query(BM25_SQL)
+def bm25_index(t):
+    """The same from a stored index."""
+    path = scratch.new_path(t.spark, "index")
+    search.save_index(t.documents, "doc_id", "text", path)
+    return search.indexed_bm25(t.spark, path, "doc_id", "license token")
+
+
+@query(f"""WITH s AS ({COMMON_SQL}), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s) SELECT doc_id, CAST(rank AS INT) AS rank, score FROM r WHERE rank BETWEEN 11 AND 20""")
+def search_page(t):
+    """The second page of a keyword search."""
+    return search.search(t.documents, "the und", mode="keyword", limit=10, page=2, text=["text"], key="doc_id")
+
+
 def _first_vector(t) -> list[float]:
     return [float(x) for x in t.embeddings.orderBy("vec_id").select("embedding").first()[0]]
 
@@ -299,6 +335,13 @@ def decl_call_pairs(t):
     return mining.decl_call_pairs(*A.event_entities(t))
 
 
+@query(f"""WITH {A.EVENT_SQL}, m AS (SELECT d.entity, d.chunk_id AS decl_chunk, c.chunk_id AS call_chunk, row_number() OVER (PARTITION BY d.entity ORDER BY d.pos, c.pos) AS r FROM decl d JOIN call c ON d.entity = c.entity AND d.file <> c.file AND d.chunk_id <> c.chunk_id),
+ch AS (SELECT chunk_id, count(*) AS n FROM ev GROUP BY 1)
+SELECT entity, decl_chunk, call_chunk, a.n AS decl_text, b.n AS call_text, 'entity_declaration_call_specific' AS category FROM m JOIN ch a ON a.chunk_id = decl_chunk JOIN ch b ON b.chunk_id = call_chunk WHERE r = 1""")
+def candidate_pairs(t):
+    return mining.candidate_pairs(mining.decl_call_pairs(*A.event_entities(t)), A.event_chunks(t), "n_events")
+
+
 TRIPLETS = f"""WITH {A.EVENT_SQL}, f AS (SELECT entity, arg_min(chunk_id, pos) AS decl_chunk FROM decl GROUP BY 1), u AS (SELECT DISTINCT c.entity, c.chunk_id, decl_chunk FROM call c JOIN f ON f.entity = c.entity)
 SELECT a.entity AS a, b.entity AS b, min(a.chunk_id) AS chunk_id, min(a.decl_chunk) AS decl_a, min(b.decl_chunk) AS decl_b FROM u a JOIN u b ON a.chunk_id = b.chunk_id AND a.entity <> b.entity GROUP BY 1, 2"""
 
@@ -421,3 +464,17 @@ SELECT DISTINCT page_id, type, name FROM e WHERE name <> ''""")
 def extract_html(t):
     rows = extract.html_entities(t.pages.select(F.col("page_id").alias("path"), F.col("html").alias("content")))
     return rows.select(F.col("path").alias("page_id"), "type", "name")
+
+
+@query(f"""WITH p AS (SELECT {sources.PYTHON.key} AS k, 'part_' || {sources.PYTHON.key} AS file, 'size' || {sources.PYTHON.group} AS folder FROM part)
+SELECT unnest([a || 'show_' || k FOR a IN ['', '.' || file || '.', '.' || folder || '.' || file || '.', '.shop.' || folder || '.' || file || '.', 'shop.' || folder || '.' || file || '.']]) AS alias, 'show_' || k AS canonical FROM p""")
+def alias_paths(t):
+    """Every name by which the route functions of the Python files can be called."""
+    rows = sources.files(t, sources.PYTHON).select("path", F.regexp_extract("path", r"_(\d+)\.py$", 1).cast("long").alias("seq"))
+    return build.alias_table(rows.withColumn("name", F.concat(F.lit("show_"), F.col("seq").cast("string")))).select("alias", "canonical")
+
+
+@query(f"""WITH e AS ({sources.entities_sql(sources.JAVA)}), up AS (SELECT unnest(['', 'src', regexp_extract(path, '^(.*)/[^/]*$', 1)]) AS directory, name, type FROM e WHERE role = 'declared') SELECT DISTINCT directory, name, type FROM up""")
+def directory_entities(t):
+    found = sources.entities(t, sources.JAVA).filter("role = 'declared'")
+    return build.rolled_up(found, ["name", "type"])

@@ -40,8 +40,7 @@ def prepared(path: str) -> str:
 def read_tree(spark: SparkSession, root: str, skip_dirs: list[str] | None = None, skip_pattern: str | None = None) -> DataFrame:
     """(path, name, language, content) of all UTF-8 files below root on any store that Spark reads.
 
-    Files in folders of the given names, or whose path below root holds the pattern, are left out
-    before their content is read.
+    Files in folders of the given names, or whose path below root holds the pattern, are left out.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = re.escape(re.sub(r"^[a-z]+:/*", "/", root).rstrip("/"))
@@ -66,6 +65,11 @@ def read_trees(spark: SparkSession, roots: dict[str, str], **options) -> DataFra
     return out
 
 
+def in_one_graph(trees: DataFrame) -> DataFrame:
+    """Files of several trees with their repo as the first folder of the path, so that equal paths stay apart in one graph."""
+    return trees.withColumn("path", F.concat_ws("/", "repo", "path"))
+
+
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str, fmt: str = "parquet") -> None:
     nodes.write.mode("overwrite").format(fmt).save(f"{path}/nodes")
     edges.write.mode("overwrite").format(fmt).save(f"{path}/edges")

@@ -273,3 +273,54 @@ def test_python_route_methods():
     parsed = extract._Python()
     parsed.visit(ast.parse('@app.route("/a", methods=["POST", "put"])\ndef a(): pass\n@app.route("/b")\ndef b(): pass\n@bp.delete("/c")\ndef c(): pass\n'))
     assert [(r[4], r[5]) for r in parsed.rows if r[2] == "api_endpoint"] == [("/a", "POST"), ("/a", "PUT"), ("/b", "GET"), ("/c", "DELETE")]
+
+
+def test_stored_index_and_modes(spark, tmp_path):
+    d = spark.createDataFrame([(1, "red fish red", [0.0, 1.0]), (2, "blue fish", [1.0, 0.0]), (3, "", [5.0, 5.0]), (4, None, [9.0, 9.0])], "node_id long, text string, embedding array<float>")
+    search.save_index(d, "node_id", "text", str(tmp_path / "i"))
+    for q in ("red fish", "blue", "none"):
+        got = search.indexed_bm25(spark, str(tmp_path / "i"), "node_id", q).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, search.bm25(d, "node_id", "text", q).collect())), q
+    options = {"text": ["text"], "name": "text"}
+    assert [(r.node_id, r["rank"]) for r in search.search(d, "fish red", mode="keyword", limit=1, page=2, **options).collect()] == [(2, 2)]
+    assert [r.node_id for r in search.search(d, "", [0.0, 1.0], "vector", 2, 1, **options).orderBy("rank").collect()] == [1, 2]
+    assert [r.node_id for r in search.search(d, "blue", [0.0, 1.0], "hybrid", 1, 2, **options).collect()] == [2]
+    for bad in ({"mode": "other"}, {"mode": "vector"}, {"mode": "keyword", "page": 0}):
+        with pytest.raises(ValueError, match="mode|vector|start"):
+            search.search(d, "x", **bad)
+
+
+def test_candidates_results_and_repos(spark, tmp_path):
+    c = spark.createDataFrame([(x, x.upper()) for x in "pqr"], "chunk_id string, content string")
+    t = spark.createDataFrame([("a", "b", "p", "q", "r"), ("a", "c", "p", "gone", "r")], "a string, b string, decl_a string, decl_b string, chunk_id string")
+    assert [(r.text_a, r.text_b, r.call_text) for r in mining.candidate_triplets(t, c).collect()] == [("P", "Q", "R")]
+    mining.save_results(c, str(tmp_path / "r"))
+    mining.save_results(c.limit(1), str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).count() == 1
+    for repo in ("x", "y"):
+        (tmp_path / repo).mkdir()
+        (tmp_path / repo / "a.py").write_text("a = 1")
+    trees = tree.in_one_graph(tree.read_trees(spark, {r: str(tmp_path / r) for r in "xy"}))
+    assert sorted(r.path for r in trees.collect()) == ["x/a.py", "y/a.py"]
+
+
+def test_registration_like_a_replay_of_tables(spark):
+    """Against the rule told plainly: a table of all names, made anew at each chunk."""
+    rng = random.Random(11)
+    rows = [(i, i // 3, rng.choice(["a", "b", "m::a", "m::b", "x.a", "n::m::a", "f.a", ".f.a"]), rng.choice(["f.py", "d/f.py", "g.py"]), f"c{i // 3}", "k") for i in range(60)]
+    d = spark.createDataFrame(rows, "occ long, chunk_seq long, name string, path string, chunk_id string, type string")
+    known = {r.occ: r.aliases for r in d.withColumn("aliases", names.aliases(F.col("name"), F.col("path"))).collect()}
+    entities, table, chunk, want = {}, {}, None, {}
+    for occ, seq, name, *_ in rows:
+        if seq != chunk:
+            chunk, table = seq, {}
+            for e, held in entities.items():
+                for a in held:
+                    table.setdefault(a, e)
+            table.update((e, e) for e in entities)
+        found = next((table[a] for a in [name, *known[occ]] if a in table), name)
+        entities.setdefault(found, []).extend(known[occ])
+        table.update((a, found) for a in known[occ])
+        table[found] = found
+        want[occ] = found
+    assert {r.occ: r.entity for r in build.register(d).collect()} == want and len(set(want.values())) > 2
