@@ -12,6 +12,7 @@ null doc_id sorts first; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 import zlib
@@ -24,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import scratch_path, text_bytes, within, word_spans
+from loomspark.llm.common import SEPARATOR, scratch_path, text_bytes, within, word_spans
 
 END_ID = 2
-#: Distinct chunks whose ids a Python worker keeps at once (about 200 MB).
-MEMO = 1_000_000
+#: Distinct pieces whose ids a Python worker keeps at once (about 80 MB).
+MEMO = 400_000
 
 
 def tokenizer_path() -> str:
@@ -44,32 +45,57 @@ _LOWER[65:91] += 32
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
 
 
-def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased bytes, and the ends of contiguous pieces: white space, words, and punctuation at a word's end.
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased pieces of all rows, and for each row the index of its first piece (one more entry than rows).
 
-    Letters of ASCII and Latin-1 are lower-cased, as the tokenizer's own normaliser would; a run of
-    punctuation is split off where a letter of these or a digit stands before it, which always ends
-    a pre-token of the tokenizer.
+    Pieces are words, and punctuation at a word's end. Letters of ASCII and Latin-1 are lower-cased,
+    as the tokenizer's own normaliser would; a run of punctuation is split off where a letter of
+    these or a digit stands before it, which always ends a pre-token of the tokenizer.
     """
     low = _LOWER[data]
-    second = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
-    low[second] += 32
+    after = np.flatnonzero(data[:-1] == 0xC3) + 1
+    second = data[after]
+    low[after[(second >= 0x80) & (second <= 0x9E) & (second != 0x97)]] += 32
     starts, ends, _ = word_spans(data, offsets)
-    last = np.maximum.accumulate(np.where(_PUNCT[data], -1, np.arange(len(data)))) if len(data) else np.zeros(0, np.int64)
-    body = np.maximum(last[ends - 1] + 1, starts)
-    before = low[np.maximum(body - 1, 0)]
-    lead = low[np.maximum(body - 2, 0)]
-    plain = ((before >= 97) & (before <= 122)) | ((before >= 48) & (before <= 57)) | ((lead == 0xC3) & (body - 2 >= starts) & (before >= 0x9F) & (before <= 0xBF) & (before != 0xB7))
-    cut = body[(body > starts) & (body < ends) & plain]
-    mark = np.zeros(len(data) + 1, bool)
-    for x in (starts, cut, ends, offsets):
-        mark[x] = True
-    mark[0] = False
-    return low, np.flatnonzero(mark)
+    tail = np.flatnonzero(_PUNCT[data[ends - 1]])
+    other = np.flatnonzero(~_PUNCT[data])
+    found = np.searchsorted(other, ends[tail]) - 1
+    cut = (other[found] if len(other) else np.zeros(0, np.int64)) + 1
+    inner = np.flatnonzero((found >= 0) & (cut > starts[tail])) if len(other) else np.zeros(0, np.int64)
+    cut, start = cut[inner], starts[tail[inner]]
+    before, lead = low[cut - 1], low[np.maximum(cut - 2, 0)]
+    plain = ((before >= 97) & (before <= 122)) | ((before >= 48) & (before <= 57)) | ((lead == 0xC3) & (cut - 2 >= start) & (before >= 0x9F) & (before <= 0xBF) & (before != 0xB7))
+    cut = cut[plain]
+    heads, tails = (_union(x, cut, len(data) + 1) for x in (starts, ends))
+    bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(tails - heads)])
+    pieces = pa.LargeStringArray.from_buffers(len(heads), pa.py_buffer(bounds), pa.py_buffer(low[~SEPARATOR[data]]))
+    return pieces, np.searchsorted(heads, offsets)
+
+
+def _union(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """Two sets of numbers below `size` as one, in order."""
+    mark = np.zeros(size, bool)
+    mark[a] = True
+    mark[b] = True
+    return np.flatnonzero(mark)
+
+
+#: The normaliser and the pre-tokenisation for which texts may be cut into pieces.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 class Encoder:
-    """Encodes Arrow string columns; keeps the ids of recent pieces, up to MEMO of them."""
+    """Encodes Arrow string columns; keeps the ids of recent pieces, up to MEMO of them.
+
+    A tokenizer that normalises or cuts texts in another way than the above encodes them whole.
+    """
 
     def __init__(self, path: str, end_id: int | None = END_ID):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -78,6 +104,8 @@ class Encoder:
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends_word[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        made = json.loads(self.tokenizer.to_str())
+        self.by_pieces = made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == PRE_TOKENIZER and bool(self.ends_word.any())
         self._forget()
 
     def _forget(self) -> None:
@@ -91,11 +119,9 @@ class Encoder:
 
     def _learn(self, fresh: list[str]) -> None:
         """Words of letters only are one pre-token each, so that many go in one call and end at ids of word ends."""
-        if self.ends_word.any():
-            words = [w for w in fresh if _LETTERS.fullmatch(w)]
-            others = [w for w in fresh if not _LETTERS.fullmatch(w)]
-        else:
-            words, others = [], fresh
+        words, others = [], []
+        for w in fresh:
+            (words if _LETTERS.fullmatch(w) else others).append(w)
         flat, _ = self._encode([" ".join(words[i : i + 200]) for i in range(0, len(words), 200)])
         ends = np.flatnonzero(self.ends_word[flat]) + 1
         assert len(ends) == len(words)
@@ -110,24 +136,25 @@ class Encoder:
     def _codes(self, words: list[str]) -> np.ndarray:
         if len(self.known) > MEMO:
             self._forget()
-        if fresh := [w for w in words if w not in self.known]:
-            self._learn(fresh)
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        codes = list(map(self.known.get, words))
+        if None in codes:
+            self._learn([w for w, c in zip(words, codes, strict=True) if c is None])
+            codes = list(map(self.known.__getitem__, words))
+        return np.array(codes, np.int64)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) and the offsets of each text's ids."""
         data, at = text_bytes(texts)
-        if b"<|" in data.tobytes():  # may hold a special token, whose letters must stay as they are
+        if not self.by_pieces or b"<|" in data.tobytes():  # may hold a special token, whose letters must stay as they are
             ids, n = self._encode(texts.fill_null("").to_pylist())
         else:
-            low, ends = _pieces(data, at)
-            bounds = np.concatenate([np.zeros(1, np.int64), ends])
-            pieces = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(bounds), pa.py_buffer(low)).dictionary_encode()
-            codes = self._codes(pieces.dictionary.to_pylist())[np.asarray(pieces.indices)] if len(pieces) else np.zeros(0, np.int64)
-            counts = self.counts[codes] if len(codes) else codes
-            ids = self.flat[within(self.starts[codes], counts)] if len(codes) else np.zeros(0, np.uint32)
+            pieces, first = _pieces(data, at)
+            pieces = pieces.dictionary_encode()
+            codes, index = self._codes(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), np.asarray(pieces.indices)
+            counts = self.counts[codes][index]
+            ids = self.flat[within(self.starts[codes][index], counts)]
             upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
-            n = np.diff(upto[np.searchsorted(bounds, at)])
+            n = np.diff(upto[first])
         offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
         if self.end_id is None:
             return ids, offsets
@@ -136,6 +163,17 @@ class Encoder:
         return out, offsets + np.arange(len(n) + 1)
 
 
+_ENCODERS: dict[tuple[str, int | None], Encoder] = {}
+
+
+def shared_encoder(path: str, end_id: int | None) -> Encoder:
+    """One encoder for all tasks of a Python worker, so that the pieces of one task are known to the next."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
+
+
 def _texts(batch: pa.RecordBatch) -> pa.Array:
     return batch.column(batch.schema.get_field_index("text")).cast(pa.large_string())
 
@@ -165,7 +203,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     tokenizer = tokenizer or tokenizer_path()
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, base = Encoder(tokenizer, end_id), 0
+        encoder, base = shared_encoder(tokenizer, end_id), 0
         for batch in _small(batches, 2000):
             ids, offsets = encoder(_texts(batch))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
@@ -292,7 +330,7 @@ def _packed(capacity: int, linear: float, quadratic: float, group_tokens: int, t
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]), first + (int(seq[-1]) + 1 if len(seq) else 0)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, first = Encoder(tokenizer, end_id), TaskContext.get().partitionId() << 32
+        encoder, first = shared_encoder(tokenizer, end_id), TaskContext.get().partitionId() << 32
         doc_ids: list = []
         parts: list[np.ndarray] = []
         held = 0

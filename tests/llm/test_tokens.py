@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -21,6 +22,24 @@ def test_pieces_encode_as_whole_texts():
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == plain(texts)
 
 
+def test_words_of_punctuation_and_known_pieces():
+    encoder = T.Encoder(T.tokenizer_path())
+    for texts in (["...", "!! a", "a !!", "--- ---"], ["same words.", "same, words"], ["same words."]):
+        ids, at = encoder(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == plain(texts)
+
+
+def test_other_normalisers_encode_whole_texts(tmp_path):
+    made = json.loads(Tokenizer.from_file(T.tokenizer_path()).to_str())
+    made["normalizer"] = None
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(made))
+    t = Tokenizer.from_file(str(path))
+    texts = [x for x in TEXTS if x is not None]
+    ids, at = T.Encoder(str(path))(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [t.encode(x, add_special_tokens=False).ids + [T.END_ID] for x in texts]
+
+
 def test_format_and_digest(spark, tmp_path):
     rows = [(i * 3 % 17, TEXTS[i % len(TEXTS)], "x") for i in range(17)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string")
