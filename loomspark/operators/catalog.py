@@ -81,10 +81,16 @@ def lines(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.lit(0)).when(text.endswith("\n"), F.size(parts) - 1).otherwise(F.size(parts))
 
 
-def file_stats(files: DataFrame, chunks: DataFrame, key: str = "path") -> DataFrame:
-    """Lines, characters and number of chunks of every file."""
-    n = chunks.groupBy(key).agg(F.count(F.lit(1)).alias("n_chunks"))
-    return files.join(n, key, "left").select(key, lines(F.col("content")).cast("long").alias("n_lines"), F.length("content").cast("long").alias("n_characters"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+def file_stats(files: DataFrame, chunks: DataFrame, key: str = "path", decl: DataFrame | None = None, call: DataFrame | None = None) -> DataFrame:
+    """Lines, characters and number of chunks of every file; with decl(key, name) and call(key, name), how many names it declares and calls."""
+    counts = {"n_chunks": chunks.groupBy(key).agg(F.count(F.lit(1)).alias("n_chunks"))}
+    for column, rows in (("n_declared", decl), ("n_called", call)):
+        if rows is not None:
+            counts[column] = rows.groupBy(key).agg(F.countDistinct("name").alias(column))
+    out = files.select(key, lines(F.col("content")).cast("long").alias("n_lines"), F.length("content").cast("long").alias("n_characters"))
+    for n in counts.values():
+        out = out.join(n, key, "left")
+    return out.fillna(0, list(counts))
 
 
 def glob_pattern(glob: str) -> str:

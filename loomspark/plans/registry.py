@@ -15,7 +15,7 @@ from loomspark.functions import names
 from loomspark.operators import build, catalog, chunks, extract, graph, mining, search
 from loomspark.plans import adapters as A
 from loomspark.plans import sources
-from loomspark.sources import scratch
+from loomspark.sources import scratch, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -478,3 +478,104 @@ def alias_paths(t):
 def directory_entities(t):
     found = sources.entities(t, sources.JAVA).filter("role = 'declared'")
     return build.rolled_up(found, ["name", "type"])
+
+
+@query(f"""WITH e AS ({sources.entities_sql(sources.PYTHON)}), n AS (SELECT path, count(DISTINCT name) FILTER (role = 'declared') AS n_declared, count(DISTINCT name) FILTER (role = 'called') AS n_called FROM e GROUP BY 1), f AS ({sources.files_sql(sources.PYTHON)})
+SELECT path, length(content) - length(replace(content, chr(10), '')) AS n_lines, length(content) AS n_characters, CAST(ceil(length(content) / 200.0) AS BIGINT) AS n_chunks, n_declared, n_called FROM f JOIN n USING (path)""")
+def source_file_stats(t):
+    """The Python files with how many names they declare and call."""
+    rows = sources.files(t, sources.PYTHON)
+    found = extract.entities(rows)
+    return catalog.file_stats(rows, chunks.fixed_chunks(rows, size=200), "path", found.filter("role = 'declared'"), found.filter("role = 'called'"))
+
+
+@query("SELECT 'src/n' || s_nationkey || '/Supplier' || s_suppkey || '.java' AS path, 'com.n' || s_nationkey || '.Supplier' || s_suppkey AS name FROM supplier")
+def classes_inheriting(t):
+    """The Java classes that extend Party, by what was read from their files."""
+    found = extract.entities(sources.files(t, sources.JAVA))
+    bases = found.filter("role = 'called' and type = 'base'").groupBy("path").agg(F.collect_set("name").alias("bases"))
+    return catalog.inheriting(found.filter("role = 'declared' and type = 'class'").join(bases, "path"), "party").select("path", "name")
+
+
+@query("""SELECT 'src/c' || o_custkey || '/order_' || o_orderkey || '.c' AS path, unnest(['stdio', 'order']) AS module FROM orders""")
+def included_modules(t):
+    found = extract.entities(sources.files(t, sources.CLANG)).filter("role = 'called' and type = 'import'")
+    return found.select("path", names.include_path(F.col("name")).alias("module"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{lang}' AS repo, '{lang}/' || path AS path, '{names.LANGUAGES[x.path.rsplit('.', 1)[1]]}' AS language, {str(x.path.rsplit('.', 1)[1] in names.EXTRACTED).lower()} AS extracted FROM ({sources.files_sql(x)})" for lang, x in sources.TEMPLATES.items()))
+def trees_in_one_graph(t):
+    """The source trees of all tables as one, with the languages of their files."""
+    trees = [sources.files(t, x).withColumn("repo", F.lit(lang)) for lang, x in sources.TEMPLATES.items()]
+    rows = trees[0]
+    for more in trees[1:]:
+        rows = rows.unionByName(more)
+    rows = tree.in_one_graph(rows)
+    return rows.select("repo", "path", names.language(F.col("path")).alias("language"), names.extension(F.col("path")).isin(names.EXTRACTED).alias("extracted"))
+
+
+# --- stored graphs, pages of lists, more searches ----------------------------------------------
+
+
+@query(f"""{WITH_GRAPH} SELECT src, dst, relation, k.name FROM key_edges JOIN key_nodes k ON k.node_id = src""")
+def stored_graph(t):
+    """The key graph written and read again."""
+    path = scratch.new_path(t.spark, "graph")
+    tree.save_graph(*_graph(t), path)
+    nodes, edges = tree.load_graph(t.spark, path)
+    return edges.join(nodes.select(F.col("node_id").alias("src"), "name"), "src").select("src", "dst", "relation", "name")
+
+
+@query("""SELECT conv_id, count(*) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS n_characters FROM conversations GROUP BY 1""")
+def flat_export(t):
+    """Conversations with their turns nested, as a flat table of JSON strings and back."""
+    nested = t.conversations.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "text")).alias("turns"))
+    path = scratch.new_path(t.spark, "flat")
+    tree.flat(nested).write.parquet(path)
+    back = tree.unflat(t.spark.read.parquet(path), {"turns": "array<struct<turn: int, text: string>>"})
+    size = F.aggregate("turns", F.lit(0).cast("long"), lambda n, x: n + F.length(x["text"]))
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), size.alias("n_characters"))
+
+
+@query(f"{WITH_GRAPH}, {BOTH} SELECT node_id, other, direction, relation FROM both_ways")
+def entity_relationships(t):
+    return graph.both_ways(A.key_edges(t))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE lower(p_type) = (SELECT min(lower(p_type)) FROM part) ORDER BY lower(p_name), p_partkey LIMIT 5 OFFSET 5")
+def nodes_of_type_page(t):
+    """The second page of one type; no other rows are sorted."""
+    kind = t.part.agg(F.min(F.lower("p_type")).alias("kind"))
+    rows = t.part.join(F.broadcast(kind), F.lower("p_type") == F.col("kind"))
+    return catalog.paged(rows.select("p_partkey", "p_name"), [F.lower("p_name"), F.col("p_partkey")], 5, 2)
+
+
+@query("SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https?://.*/en/.*$') ORDER BY url, page_id LIMIT 10 OFFSET 10")
+def list_files_page(t):
+    return catalog.paged(catalog.list_files(t.pages.select("page_id", "url"), glob="http*://*/en/*", path="url"), [F.col("url"), F.col("page_id")], 10, 2)
+
+
+@query("""WITH d AS (SELECT q.vec_id AS query, e.vec_id, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (z[1] - z[2])::DOUBLE * (z[1] - z[2])::DOUBLE)) AS d FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS rank FROM d) SELECT query, CAST(rank AS INT) AS rank, vec_id, round(d, 5) AS distance FROM r WHERE rank <= 5""")
+def knn_each(t):
+    """The five nearest rows to every row whose id is divisible by 100."""
+    return search.nearest_to_each(t.embeddings, t.embeddings.filter("vec_id % 100 = 0"), 5)
+
+
+@query("""WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS size FROM embeddings) SELECT vec_id, round(embedding[1] / size, 4) AS first, round(embedding[64] / size, 4) AS last FROM n""")
+def unit_vectors(t):
+    unit = t.embeddings.select("vec_id", search.normalised(F.col("embedding")).alias("unit"))
+    return unit.select("vec_id", *[F.round(F.col("unit")[i].cast("double"), 4).alias(name) for i, name in ((0, "first"), (63, "last"))])
+
+
+@query("SELECT doc_id, CASE WHEN lang IS NULL OR doc_id % 3 = 0 THEN text ELSE lang END AS embedded FROM documents")
+def texts_to_embed(t):
+    """A blank or missing description gives way to the content."""
+    described = F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).otherwise(F.col("lang"))
+    return t.documents.select("doc_id", search.text_to_embed(described, F.col("text")).alias("embedded"))
+
+
+@query(f"""{TRIPLETS.replace("SELECT a.entity AS a", ", ch AS (SELECT chunk_id, count(*) AS n FROM ev GROUP BY 1), t AS (SELECT a.entity AS a", 1)})
+SELECT a, b, decl_a, decl_b, t.chunk_id, x.n AS text_a, y.n AS text_b, z.n AS call_text, 'interacting_entities' AS category FROM t JOIN ch x ON x.chunk_id = decl_a JOIN ch y ON y.chunk_id = decl_b JOIN ch z ON z.chunk_id = t.chunk_id""")
+def candidate_triplets(t):
+    return mining.candidate_triplets(mining.interacting(*A.event_entities(t)), A.event_chunks(t), "n_events")

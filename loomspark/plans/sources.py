@@ -163,6 +163,11 @@ def _filled_sql(column: str, t: Template) -> str:
     return f"replace(replace(replace({column}, '{{k}}', CAST({t.key} AS VARCHAR)), '{{n}}', CAST({t.key} + 1 AS VARCHAR)), '{{g}}', CAST({t.group} AS VARCHAR))"
 
 
+def files_sql(t: Template) -> str:
+    """SQL for the files of a template's table."""
+    return f"SELECT {_filled_sql(_text(t.path), t)} AS path, {_filled_sql(_text(t.code), t)} AS content FROM {t.table}"
+
+
 def entities_sql(t: Template) -> str:
     """SQL for the entities of a template's files, with '' for what is missing."""
     values = ", ".join("(" + ", ".join(_text(x or "") for x in row) + ")" for row in t.found)
