@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.llm import langmix, linecrf, mincut, secrets, simhash, substrings, templates, tokens
+from loomspark.llm import langmix, lemp, linecrf, mincut, secrets, simhash, substrings, templates, tokens
 
 QUERIES = {
     "op1_line_crf": linecrf.op1_line_crf,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_template_leaks": templates.op10_template_leaks,
     "op8_minimum_cut": mincut.op8_minimum_cut,
     "op9_token_files": tokens.op9_token_files,
+    "op13_coordinate_pruning": lemp.op13_coordinate_pruning,
 }
 
 OP4_SQL = """
@@ -39,4 +40,12 @@ word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS k, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op4_prefix_free_parse": OP4_SQL, "op6_relative_lempel_ziv": OP6_SQL}
+OP13_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score FROM r AS a, r WHERE a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10"""
+
+ORACLE_SQL: dict[str, str] = {"op4_prefix_free_parse": OP4_SQL, "op6_relative_lempel_ziv": OP6_SQL, "op13_coordinate_pruning": OP13_SQL}
