@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.llm import langmix, lemp, linecrf, mincut, secrets, simhash, substrings, templates, tokens
+from loomspark.llm import auction, langmix, lemp, linecrf, mincut, secrets, simhash, substrings, templates, tokens
 
 QUERIES = {
     "op1_line_crf": linecrf.op1_line_crf,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_template_leaks": templates.op10_template_leaks,
     "op8_minimum_cut": mincut.op8_minimum_cut,
     "op9_token_files": tokens.op9_token_files,
+    "op12_auction_repair": auction.op12_auction_repair,
     "op13_coordinate_pruning": lemp.op13_coordinate_pruning,
 }
 
@@ -48,4 +49,30 @@ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WH
 SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10"""
 
-ORACLE_SQL: dict[str, str] = {"op4_prefix_free_parse": OP4_SQL, "op6_relative_lempel_ziv": OP6_SQL, "op13_coordinate_pruning": OP13_SQL}
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) AS r(i)),
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+h AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 20 AS h FROM named, crc),
+r AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS c FROM h),
+o AS (SELECT *, left(role, 1) AS i, row_number() OVER w AS k, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS seen, lag(left(role, 1)) OVER w AS prior
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM o),
+per AS (SELECT conv_id, max(k) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (prior IS NOT NULL AND prior || i NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1),
+step(q, nx, role) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+ins AS (SELECT q, q AS t, 0 AS c, '' AS l, CAST([] AS VARCHAR[]) AS out FROM step UNION ALL SELECT q, nx, 5, 'I', [role || ':'] FROM step UNION ALL SELECT a.q, b.nx, 10, 'II', [a.role || ':', b.role || ':'] FROM step AS a JOIN step AS b ON a.nx = b.q),
+dp(conv_id, k, q, c, l, out) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), 0, 0, '', CAST([] AS VARCHAR[]) FROM per
+  UNION ALL
+  SELECT conv_id, k, q, c, l, out FROM (
+    SELECT d.conv_id, d.k + 1 AS k, e.q, d.c + ins.c + e.c AS c, d.l || ins.l || e.l AS l, d.out || ins.out || e.out AS out
+    FROM dp AS d JOIN ins ON ins.q = d.q JOIN step ON step.q = ins.t JOIN f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.k = d.k + 1,
+    LATERAL (SELECT ins.t AS q, 2 AS c, 'D' AS l, CAST([] AS VARCHAR[]) AS out
+      UNION ALL SELECT CASE WHEN f.i = 's' THEN 1 ELSE step.nx END, CASE WHEN f.fault = 'truncated' THEN 5 ELSE 0 END, 'K', [f.role || ':' || f.text] WHERE f.fault NOT IN ('blank', 'duplicate') AND (f.i = left(step.role, 1) OR ins.t = 0 AND f.i = 's')
+      UNION ALL SELECT step.nx, CASE WHEN f.fault = 'truncated' THEN 6 ELSE 1 END, 'R', [step.role || ':' || f.text] WHERE f.fault NOT IN ('blank', 'duplicate')) AS e
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, q ORDER BY c, l) = 1),
+ended AS (SELECT d.conv_id, d.c + ins.c AS c, d.l || ins.l AS l, d.out || ins.out AS out FROM dp AS d JOIN per ON per.conv_id IS NOT DISTINCT FROM d.conv_id AND per.n = d.k JOIN ins ON ins.q = d.q WHERE ins.t IN (0, 3) QUALIFY row_number() OVER (PARTITION BY d.conv_id ORDER BY d.c + ins.c, d.l || ins.l) = 1)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(c, 0) AS BIGINT) AS cost, coalesce(l, '') AS audit, sha256(coalesce(array_to_string(out, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS e LEFT JOIN per ON per.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+ORACLE_SQL: dict[str, str] = {"op4_prefix_free_parse": OP4_SQL, "op6_relative_lempel_ziv": OP6_SQL, "op12_auction_repair": OP12_SQL, "op13_coordinate_pruning": OP13_SQL}
