@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import Sums, mixed, split_batches, text_bytes, word_hashes, word_spans
+from loomspark.llm.common import mixed, split_batches, text_bytes, word_hashes, word_spans
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -66,7 +66,7 @@ def analysed(data: np.ndarray, at: np.ndarray) -> tuple[Lines, dict[str, np.ndar
     """The lines of a batch with their features, and the fixed counts of each document."""
     docs = len(at) - 1
     starts, ends, first = word_spans(data, at)
-    hashes = word_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    hashes = word_hashes(data, starts, ends)
     n_words = np.diff(first)
     bounds = np.unique(np.concatenate([at, np.flatnonzero(data == 10) + 1])) if len(data) else np.zeros(1, np.int64)
     head = bounds[:-1]
@@ -76,7 +76,7 @@ def analysed(data: np.ndarray, at: np.ndarray) -> tuple[Lines, dict[str, np.ndar
     has = words > 0
     same = np.zeros(len(head), bool)
     if has.any():
-        key = mixed(Sums(data).of(head[has], tail[has]) + doc[has].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        key = mixed(word_hashes(data, head[has], tail[has]) + doc[has].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         order = np.argsort(key, kind="stable")
         again = np.zeros(len(key), bool)
         again[order[1:]] = key[order[1:]] == key[order[:-1]]

@@ -42,17 +42,17 @@ BROADCAST_KEYS = 1_000_000
 _SALT = np.random.Generator(np.random.PCG64(20240608)).integers(1, 2**63, (2, BANDS * ROWS), dtype=np.uint64) * U64(2) + U64(1)
 
 
-def _shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles, and how many each row has."""
     starts, ends, first = word_spans(data, offsets)
     counts = np.diff(first)
-    n = np.where(counts > 0, np.maximum(counts - SHINGLE + 1, 1), 0)
+    n = np.where(counts > 0, np.maximum(counts - words + 1, 1), 0)
     head = within(first[:-1], n)
-    tail = np.minimum(head + SHINGLE, np.repeat(first[1:], n))
+    tail = np.minimum(head + words, np.repeat(first[1:], n))
     return Sums(word_hashes(_LOWER[data], starts, ends), 1).of(head, tail), n
 
 
-def _sets(hashes: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+def distinct_sets(hashes: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     ends = np.cumsum(n)
     return [np.unique(hashes[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
 
@@ -78,11 +78,11 @@ def _key():
     return F.struct(F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit(1), text, doc_id).alias("b"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("key", _key())
 
 
-def _digest(found: np.ndarray) -> bytes:
+def digest(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
@@ -92,28 +92,28 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in split_batches(whole, "text"):
-                hashes, n = _shingles(*text_bytes(batch.column("text")))
-                sets = _sets(hashes, n)
+                hashes, n = shingle_hashes(*text_bytes(batch.column("text")))
+                sets = distinct_sets(hashes, n)
                 bands = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * BANDS, pa.array(_bands(hashes, n).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), bands], ["doc_id", "key", "own", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), bands], ["doc_id", "key", "own", "n", "bands"])
 
-    return _keyed(docs).mapInArrow(run, f"doc_id long, key {KEY}, own binary, n long, bands array<long>")
+    return keyed(docs).mapInArrow(run, f"doc_id long, key {KEY}, own binary, n long, bands array<long>")
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
+def shingle_sets(texts: DataFrame, words: int = SHINGLE) -> DataFrame:
     """own and the set of shingles of texts(text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in split_batches(whole, "text"):
-                sets = _sets(*_shingles(*text_bytes(batch.column("text"))))
+                sets = distinct_sets(*shingle_hashes(*text_bytes(batch.column("text")), words))
                 at = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(sets).view(np.int64)))], ["own", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(sets).view(np.int64)))], ["own", "shingles"])
 
     return texts.select("text").mapInArrow(run, "own binary, shingles array<long>")
 
 
-def _flat(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def flat_sets(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Names, all shingles in a row, and where each text's begin."""
     lists = table.column("shingles").combine_chunks()
     at = np.asarray(lists.offsets, np.int64)
@@ -123,7 +123,7 @@ def _flat(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 def _to_hub(table: pa.Table) -> pa.Table:
     """Similarity of each text of a tile to the hub, which is in it too."""
     hub = table.column("hub")[0].as_py()
-    own, flat, at = _flat(table)
+    own, flat, at = flat_sets(table)
     mine = own.index(hub)
     common = np.diff(np.concatenate([[0], np.cumsum(np.isin(flat, flat[at[mine] : at[mine + 1]]))])[at])
     n = np.diff(at)
@@ -152,7 +152,7 @@ def overlaps(flat: np.ndarray, at: np.ndarray, columns: int = 4096) -> np.ndarra
 
 def _in_tile(table: pa.Table) -> pa.Table:
     """Links (a, b) that connect the similar texts of a tile: one less than the texts of each component."""
-    own, flat, at = _flat(table)
+    own, flat, at = flat_sets(table)
     common, n = overlaps(flat, at), np.diff(at)
     near = common >= SIMILARITY * (n[:, None] + n[None] - common) - 1e-6
     seen, a, b = np.zeros(len(own), bool), [], []
@@ -206,7 +206,7 @@ def groups(docs: DataFrame) -> DataFrame:
     crowd = crowds(distinct)
     asked = stored(crowd.select("own").distinct().join(distinct.select("own", "key"), "own").select("key"), "asked")
     asked = F.broadcast(asked) if asked.count() <= BROADCAST_KEYS else asked.hint("merge")
-    sets = stored(shingle_sets(_keyed(docs).join(asked, "key", "left_semi")).groupBy("own").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = stored(shingle_sets(keyed(docs).join(asked, "key", "left_semi")).groupBy("own").agg(F.first("shingles").alias("shingles")), "sets")
     found = components(links(crowd, sets))
     return table.join(found.withColumnRenamed("node", "own"), "own", "left").select("doc_id", "key", F.coalesce("root", "own").alias("root"))
 

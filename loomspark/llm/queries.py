@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.llm import auction, langmix, lemp, linecrf, mincut, secrets, simhash, substrings, templates, tokens
+from loomspark.llm import auction, langmix, lemp, linecrf, mincut, oddsketch, secrets, simhash, substrings, templates, tokens
 
 QUERIES = {
     "op1_line_crf": linecrf.op1_line_crf,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_template_leaks": templates.op10_template_leaks,
     "op8_minimum_cut": mincut.op8_minimum_cut,
     "op9_token_files": tokens.op9_token_files,
+    "op11_odd_sketches": oddsketch.op11_odd_sketches,
     "op12_auction_repair": auction.op12_auction_repair,
     "op13_coordinate_pruning": lemp.op13_coordinate_pruning,
 }
@@ -49,14 +50,26 @@ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WH
 SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10"""
 
+OP11_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 1, least(len(w), 1)) + 1), lambda i: array_to_string(list_slice(w, i, i + 1), ' '))) AS s FROM w),
+one AS (SELECT s, min(doc_id) AS a, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM d WHERE len(s) > 0) GROUP BY s),
+x AS (SELECT a, n, unnest(s) AS s FROM one),
+few AS (SELECT a, n, s FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY f, s) AS r FROM x JOIN (SELECT s, count(*) AS f FROM x GROUP BY 1) USING (s)) WHERE r <= n - (80 * n + 99) // 100 + 1),
+pair AS (SELECT DISTINCT l.a, r.a AS b FROM few AS l JOIN few AS r ON l.s = r.s AND l.a < r.a AND 100 * least(l.n, r.n) >= 80 * greatest(l.n, r.n)),
+link AS (SELECT a, b FROM (SELECT p.a, p.b, count(*) AS c FROM pair AS p JOIN x ON x.a = p.a JOIN x AS y ON y.a = p.b AND y.s = x.s GROUP BY 1, 2) AS p JOIN one AS l USING (a) JOIN one AS r ON r.a = p.b WHERE 100 * c >= 80 * (l.n + r.n - c)),
+reach(a, b) AS (SELECT a, a FROM one UNION SELECT e.b, reach.b FROM reach JOIN (SELECT a, b FROM link UNION ALL SELECT b, a FROM link) AS e ON e.a = reach.a AND reach.b < e.b),
+root AS (SELECT a, min(b) AS b FROM reach GROUP BY 1)
+SELECT doc_id, len(d.s) AS n_shingles, coalesce(b, doc_id) AS component_id, doc_id = coalesce(b, doc_id) AS kept FROM d LEFT JOIN one ON one.s = list_sort(d.s) LEFT JOIN root USING (a)"""
+
 OP12_SQL = r"""
 WITH RECURSIVE crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) AS r(i)),
 named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
 h AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 20 AS h FROM named, crc),
 r AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS c FROM h),
-o AS (SELECT *, left(role, 1) AS i, row_number() OVER w AS k, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS seen, lag(left(role, 1)) OVER w AS prior
+o AS (SELECT *, left(role, 1) AS i, row_number() OVER w AS k, lag(left(role, 1)) OVER w AS prior
   FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM o),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM o),
 per AS (SELECT conv_id, max(k) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
   count(*) FILTER (prior IS NOT NULL AND prior || i NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1),
 step(q, nx, role) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
@@ -75,4 +88,4 @@ ended AS (SELECT d.conv_id, d.c + ins.c AS c, d.l || ins.l AS l, d.out || ins.ou
 SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(c, 0) AS BIGINT) AS cost, coalesce(l, '') AS audit, sha256(coalesce(array_to_string(out, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) AS e LEFT JOIN per ON per.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM e.conv_id"""
 
-ORACLE_SQL: dict[str, str] = {"op4_prefix_free_parse": OP4_SQL, "op6_relative_lempel_ziv": OP6_SQL, "op12_auction_repair": OP12_SQL, "op13_coordinate_pruning": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_prefix_free_parse": OP4_SQL, "op11_odd_sketches": OP11_SQL, "op6_relative_lempel_ziv": OP6_SQL, "op12_auction_repair": OP12_SQL, "op13_coordinate_pruning": OP13_SQL}

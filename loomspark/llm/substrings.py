@@ -37,7 +37,7 @@ WORDS = Shape(window=20, gram=6, other_document=False)
 def word_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, at = text_bytes(column)
     starts, ends, first = word_spans(data, at)
-    return word_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64), first
+    return word_hashes(data, starts, ends), first
 
 
 # --- suffixes of dictionary phrases, in corpus order ------------------------------------------
