@@ -5,10 +5,12 @@ pattern: the pieces and the matches alternate, so that running sums of their len
 points) are the matches' places.
 
 Two first-order Markov models over characters are trained from labelled samples: values that
-the patterns found (random strings) and words of letters, perhaps numbered, of ordinary text
-(identifiers). A token of
-letters and digits is a further secret if its log-likelihood ratio exceeds a
-threshold, which short tokens reach only if they look the more random, and it lies in no pattern's match.
+the patterns found (random strings) and ordinary identifiers. These are words of letters, perhaps
+numbered, that LEAST_TEXTS different texts of the sample hold, or LEAST_TEXTS_MIXED if they are candidates themselves; so a
+secret that stands in one text, or in a text and a few near copies, does not train the model that it is held against. A token of
+letters and digits, or of mixed case, is a further secret if its log-likelihood ratio exceeds a
+threshold, which short tokens reach only if they look the more random, and it lies in no pattern's match. One that
+reaches beyond pattern matches is judged, and redacted, as a whole.
 
 Edge cases: a null or empty text has no spans; equal rows give equal results; without any
 random sample no token is added; columns of other names are ignored. Digits and letters are
@@ -39,6 +41,10 @@ WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z_]{4,}[0-9]{0,3}(?![A-Za-z0-9+/_=-])"
 #: Labelled samples for the two models: this many random strings, and the words of this many documents (chosen by hash).
 SAMPLE_STRINGS = 20_000
 SAMPLE_DOCS = 2_000
+#: Texts of the sample (equal ones count once) that hold a word, for it to be an ordinary identifier.
+LEAST_TEXTS = 3
+#: The same for words that are candidates themselves, such as names in mixed case.
+LEAST_TEXTS_MIXED = 20
 THRESHOLD = 0.5
 #: The whole ratio is as large at least as that of a string of so many transitions, so that short strings need more each.
 LEAST_TRANSITIONS = 19
@@ -99,21 +105,27 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _transitions(strings: DataFrame) -> dict[str, int]:
-    """Counts of character pairs of strings(value); at most the square of the alphabet."""
-    pairs = strings.filter(F.length("value") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.col("value").substr(i, F.lit(2)))).alias("pair"))
-    return {r.pair: r["count"] for r in pairs.filter(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$")).groupBy("pair").count().collect()}
+    """Counts of character pairs of strings(value, n), each n times; at most the square of the alphabet."""
+    pairs = strings.filter(F.length("value") > 1).select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.col("value").substr(i, F.lit(2)))).alias("pair"))
+    return {r.pair: r.n for r in pairs.filter(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$")).groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+
+
+def ordinary_words(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """value and n (how many texts hold it) of the ordinary identifiers in a sample of docs(text)."""
+    texts = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null").select(F.xxhash64("text").alias("h"), "text")
+    some = texts.join(F.broadcast(texts.select("h").orderBy("h").limit(sample_docs).distinct()), "h", "left_semi").dropDuplicates(["h"])
+    clear = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ")
+    words = some.select(F.explode(F.array_distinct(F.regexp_extract_all(clear, F.lit(WORD), F.lit(0)))).alias("value"))
+    return words.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.when(F.col("value").rlike(CANDIDATE), LEAST_TEXTS_MIXED).otherwise(LEAST_TEXTS))
 
 
 def likelihood_weights(docs: DataFrame, scan: DataFrame, sample_strings: int = SAMPLE_STRINGS, sample_docs: int = SAMPLE_DOCS) -> dict[str, float]:
     """log P(random) - log P(identifier) of each character pair, smoothed by the characters' own frequencies; empty if there is no random sample."""
     values = scan.select(F.explode(F.concat("x_assign", "x_access", "x_hex")).alias("s")).select(F.col("s.value").alias("value")).distinct()
-    random = _transitions(values.orderBy(F.xxhash64("value"), "value").limit(sample_strings))
+    random = _transitions(values.orderBy(F.xxhash64("value"), "value").limit(sample_strings).withColumn("n", F.lit(1)))
     if not random:
         return {}
-    texts = docs.select(F.xxhash64("text").alias("h"), "text").filter("text is not null")
-    some = texts.join(F.broadcast(texts.select("h").orderBy("h").limit(sample_docs).distinct()), "h", "left_semi")
-    clear = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ")
-    plain = _transitions(some.select(F.explode(F.regexp_extract_all(clear, F.lit(WORD), F.lit(0))).alias("value")))
+    plain = _transitions(ordinary_words(docs, sample_docs))
 
     def logs(counts: dict[str, int]) -> dict[str, float]:
         rows = {a: sum(counts.get(a + b, 0) for b in ALPHABET) for a in ALPHABET}

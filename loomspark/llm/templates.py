@@ -129,8 +129,8 @@ def _key() -> Column:
     return F.struct(F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit(1), text, doc_id).alias("b"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, min_windows: int = MIN_WINDOWS) -> DataFrame:
-    """Pairs (doc_id, item_id) of documents that hold a benchmark item, with counts of windows and slots."""
+def matched(docs: DataFrame, items: DataFrame, min_windows: int = MIN_WINDOWS) -> DataFrame:
+    """doc_id, key (of doc_id and text) and item_id of documents that hold a benchmark item, with counts of windows and slots."""
     named = items.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null")
     first = named.groupBy("text").agg(F.min("item_id").alias("item"))
     asked = stored(item_windows(first), "items")
@@ -154,10 +154,16 @@ def leaks(docs: DataFrame, items: DataFrame, min_windows: int = MIN_WINDOWS) ->
     enough = F.when(F.col("size") == WINDOW, F.least(F.lit(min_windows), F.col("item_windows"))).otherwise(F.col("item_windows"))
     good = aligned.join(total, "item").filter((F.size("slots") == F.col("n_slots")) & (F.col("n") >= enough) | (F.col("n_equal") >= enough))
     changed = F.size(F.filter("slots", lambda s: s["a"] != s["b"]))
-    best = good.groupBy("doc_id", "item").agg(F.max("n").cast("long").alias("n_windows"), F.max("item_windows").cast("long").alias("item_windows"), F.max(F.col("n_slots")).cast("long").alias("n_slots"), F.min(changed).cast("long").alias("n_changed_slots"))
+    best = good.groupBy("doc_id", "key", "item").agg(F.max("n").cast("long").alias("n_windows"), F.max("item_windows").cast("long").alias("item_windows"), F.max(F.col("n_slots")).cast("long").alias("n_slots"), F.min(changed).cast("long").alias("n_changed_slots"))
     # items with one text are matched once
     alike = named.join(first, "text").select("item", "item_id")
-    return best.join(alike, "item").select("doc_id", "item_id", "n_windows", "item_windows", "n_slots", "n_changed_slots")
+    return best.join(alike, "item").select("doc_id", "key", "item_id", "n_windows", "item_windows", "n_slots", "n_changed_slots")
+
+
+def leaks(docs: DataFrame, items: DataFrame, min_windows: int = MIN_WINDOWS) -> DataFrame:
+    """Pairs (doc_id, item_id) with the counts of the best text of that doc_id."""
+    found = matched(docs, items, min_windows).groupBy("doc_id", "item_id")
+    return found.agg(*[F.max(c).alias(c) for c in ("n_windows", "item_windows", "n_slots")], F.min("n_changed_slots").alias("n_changed_slots"))
 
 
 def _small_side(keys: DataFrame) -> DataFrame:
@@ -170,6 +176,8 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that hold no benchmark item; rows without a doc_id stay."""
-    found = stored(leaks(docs, items).select("doc_id").distinct(), "leaks")
-    return docs.join(_small_side(found), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that hold no benchmark item, each judged by its own text, whatever its doc_id."""
+    found = stored(matched(docs, items).select("key").distinct(), "leaks")
+    # the row moves as one column, so that no name of it meets the key's
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key().alias("key"))
+    return packed.join(_small_side(found), "key", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
