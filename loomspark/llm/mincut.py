@@ -18,9 +18,10 @@ content; repeated rows give equal results; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -34,6 +35,7 @@ SAMPLE_PAGES = 400
 NEIGHBOUR = 0.6
 SIBLING = 0.8
 CLIP = 8.0
+EPS = 1e-9
 
 #: Tags that end a block, tags whose content is no text, tags without content, and names of page parts.
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -46,7 +48,11 @@ OTHER_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split
 OTHER_NAMES = re.compile(r"(?:^|[-_ ])(?:nav|navbar|menu|header|footer|sidebar|side|aside|breadcrumbs?|cookies?|consent|notice|banner|popup|modal|overlay|ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|comments?|replies|reply|disqus|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|toolbar|widget|pagination|pager|tags|copyright|legal|skip)(?=$|[-_ 0-9])", re.I)
 CONTENT_NAMES = re.compile(r"(?:^|[-_ ])(?:article|post|entry|story|content|main|body|text)(?=$|[-_ 0-9])", re.I)
 
-TAG = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: What stands in a tag: quoted values, and anything but its end.
+INSIDE = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+")
+QUOTE_OR_END = re.compile(r"[>\"']")
+COMMENT_END = re.compile(r"--!?>")
 RAW = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Elements that a head may hold; any other one, or text, ends it.
@@ -75,6 +81,61 @@ class _Open(NamedTuple):
     layout: bool  # below a layout class, and no article or main since
     named: bool
     silent: bool
+    shown: int  # place of the innermost open element that is not silent
+
+
+class Tags:
+    """Finds the tags of a page one after the other, in time in proportion to the page, whatever is left open in it."""
+
+    def __init__(self, page: str):
+        self.page = page
+        #: Places of quotes and ends, and where a tag that reaches them ends; made when a tag is found open.
+        self.places: list[int] | None = None
+        self.ends: list[int] = []
+        self.no_end = self.no_section_end = False
+
+    def end(self, at: int) -> int:
+        """Where the tag ends whose inside begins here; -1 if it is left open."""
+        if self.places is None:
+            stop = INSIDE.match(self.page, at).end()
+            if stop < len(self.page) and self.page[stop] == ">":
+                return stop
+            found = [(m.start(), m[0]) for m in QUOTE_OR_END.finditer(self.page, at)]
+            self.places, self.ends = [x for x, _ in found], [-1] * (len(found) + 1)
+            closing = {'"': -1, "'": -1}
+            for k in range(len(found) - 1, -1, -1):
+                where, kind = found[k]
+                if kind == ">":
+                    self.ends[k] = where
+                else:
+                    self.ends[k] = self.ends[closing[kind] + 1] if closing[kind] >= 0 else -1
+                    closing[kind] = k
+        return self.ends[bisect.bisect_left(self.places, at)]
+
+    def next(self, at: int) -> tuple[int, int, str, str, str, str | None] | None:
+        """Start, end, slash, name and inside of the next tag, and the text of a section; comments and declarations have no name."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            if page.startswith("<!--", start):
+                m = COMMENT_END.search(page, start + 4)
+                return start, m.end() if m else len(page), "", "", "", None
+            if page.startswith("<![CDATA[", start) and not self.no_section_end:
+                stop = page.find("]]>", start + 9)
+                if stop >= 0:
+                    return start, stop + 3, "", "", "", page[start + 9 : stop]
+                self.no_section_end = True
+            kind = page[at : at + 1]
+            if kind in ("!", "?") and not self.no_end:
+                stop = page.find(">", at)
+                if stop >= 0:
+                    return start, stop + 1, "", "", "", None
+                self.no_end = True
+            elif kind == "/" or (kind.isascii() and kind.isalpha()):
+                stop = self.end(at)
+                if stop >= 0 and (m := NAME.match(page, start, stop)):
+                    return start, stop + 1, m[1], m[2].lower(), page[m.end() : stop], None
+        return None
 
 
 def _marks(label: str) -> tuple[bool, bool]:
@@ -91,16 +152,18 @@ def _marks(label: str) -> tuple[bool, bool]:
 def blocks(page: str) -> list[Block]:
     """Blocks of visible text in page order."""
     out: list[Block] = []
-    stack = [_Open("", 0, False, False, False, False, False)]
+    stack = [_Open("", 0, False, False, False, False, False, 0)]
+    held: Counter[str] = Counter()  # how many elements of each tag are open
     words: list[str] = []
     links = opened = at = linked = 0
+    tags = Tags(page)
 
     def close() -> None:
         nonlocal linked
         if words:
             text = SPACE.sub(" ", html.unescape("".join(words))).strip()
             # words are held only while they show; a silent element that is still open takes none of them back
-            k = max(i for i, x in enumerate(stack) if not x.silent)
+            k = stack[-1].shown
             top = stack[k]
             if text:
                 out.append(Block(text, top.tag, stack[k - 1].number if k else 0, k + 1, linked, top.inside, top.other or top.layout, top.named))
@@ -114,30 +177,30 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked += len(text)
 
+    def leave() -> str:
+        held[stack[-1].tag] -= 1
+        return stack.pop().tag
+
     while at < len(page):
-        m = TAG.search(page, at)
-        if not m:
-            until = len(page)
-        else:
-            until = m.start()
+        tag = tags.next(at)
+        until = tag[0] if tag else len(page)
         if stack[-1].tag == "head" and page[at:until].strip():
-            stack.pop()
+            leave()
         say(page[at:until])
-        if not m:
+        if not tag:
             break
-        at = m.end()
-        name = (m[2] or "").lower()
+        start, at, slash, name, inside, section = tag
         if not name:
-            if m[0].startswith("<![CDATA["):
-                say(html.escape(m[0][9:-3]))
+            if section is not None:
+                say(html.escape(section))
             continue
-        if stack[-1].tag == "head" and not m[1] and name not in HEAD_TAGS:
-            stack.pop()
+        if stack[-1].tag == "head" and not slash and name not in HEAD_TAGS:
+            leave()
         if name == "a":
-            links = 0 if m[1] else 1
+            links = 0 if slash else 1
         elif name == "br":
             say(" ")
-        if name in RAW and not m[1]:
+        if name in RAW and not slash:
             if name in BLOCK_TAGS:
                 close()
             at = RAW[name].search(page, at).end()
@@ -147,19 +210,18 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in BLOCK_TAGS:
             close()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    del stack[k:]
-                    break
+        if slash:
+            if held[name]:
+                while leave() != name:
+                    pass
             continue
-        if name in VOID_TAGS or name in FOREIGN_TAGS and m[0].endswith("/>"):
+        if name in VOID_TAGS or name in FOREIGN_TAGS and inside.endswith("/"):
             continue
         if stack[-1].tag == "p" and name in BLOCK_TAGS or stack[-1].tag == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            stack.pop()
+            leave()
         opened += 1
         found: dict[str, str] = {}
-        for a, b, c, d in ATTRIBUTE.findall(m[3] or ""):
+        for a, b, c, d in ATTRIBUTE.findall(inside):
             found.setdefault(a.lower(), b or c or d)
         label = " ".join(found.get(k, "") for k in ("class", "id", "role"))
         top = stack[-1]
@@ -167,7 +229,9 @@ def blocks(page: str) -> list[Block]:
         own, layout = _marks(label) if name not in ("html", "body") else (False, False)
         other = top.other or name in OTHER_TAGS and not (name == "header" and top.inside) or own
         named = top.named or bool(label and CONTENT_NAMES.search(label))
-        stack.append(_Open(name, opened, top.inside or main, other, layout or top.layout and not main, named, top.silent or silent or "hidden" in found))
+        hidden = top.silent or silent or "hidden" in found
+        stack.append(_Open(name, opened, top.inside or main, other, layout or top.layout and not main, named, hidden, top.shown if hidden else len(stack)))
+        held[name] += 1
     close()
     return out
 
@@ -233,50 +297,72 @@ def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[
     """Which nodes are content, so that the gains lost and the edges cut cost least.
 
     gain[i] > 0 is what node i costs as boilerplate, -gain[i] what it costs as content. Flow goes
-    from nodes with a gain to those with a loss along shortest augmenting paths. A node from which
+    from nodes with a gain to those with a loss, in phases: a breadth-first search gives each node its
+    distance, and all paths along growing distances are filled before the next one. A node from which
     a loss that is left over can still be reached is boilerplate, all others are content.
     """
-    n = len(gain)
-    left = list(gain)
-    room: list[dict[int, float]] = [{} for _ in range(n)]
-    for a, b, c in edges:
-        room[a][b] = room[a].get(b, 0.0) + c
-        room[b][a] = room[b].get(a, 0.0) + c
+    n, left = len(gain), list(gain)
+    to: list[int] = []
+    cap: list[float] = []
+    out: list[list[int]] = [[] for _ in range(n)]
+    for a, b, c in edges:  # each way is the other's way back
+        for x, y in ((a, b), (b, a)):
+            out[x].append(len(to))
+            to.append(y)
+            cap.append(c)
     while True:
-        before: dict[int, int] = {}
-        queue = deque(i for i in range(n) if left[i] > 1e-9)
-        for i in queue:
-            before[i] = -1
-        end = -1
-        while queue and end < 0:
+        level = [0 if x > EPS else -1 for x in left]
+        queue = deque(i for i in range(n) if not level[i])
+        reached = False
+        while queue:
             i = queue.popleft()
-            for j, c in room[i].items():
-                if c > 1e-9 and j not in before:
-                    before[j] = i
-                    if left[j] < -1e-9:
-                        end = j
-                        break
+            for e in out[i]:
+                j = to[e]
+                if level[j] < 0 and cap[e] > EPS:
+                    level[j] = level[i] + 1
+                    reached = reached or left[j] < -EPS
                     queue.append(j)
-        if end < 0:
+        if not reached:
             break
-        path = [end]
-        while before[path[-1]] >= 0:
-            path.append(before[path[-1]])
-        flow = min(left[path[-1]], -left[end], *(room[b][a] for a, b in zip(path, path[1:], strict=False)))
-        left[path[-1]] -= flow
-        left[end] += flow
-        for a, b in zip(path, path[1:], strict=False):
-            room[b][a] -= flow
-            room[a][b] += flow
+        turn = [0] * n
+        for source in range(n):
+            path: list[int] = []  # edges from the source
+            at = source
+            while left[source] > EPS:
+                if left[at] < -EPS and path:
+                    flow = min(left[source], -left[at], *(cap[e] for e in path))
+                    left[source] -= flow
+                    left[at] += flow
+                    keep = len(path)
+                    for k, e in enumerate(path):
+                        cap[e] -= flow
+                        cap[e ^ 1] += flow
+                        if cap[e] <= EPS and k < keep:
+                            keep = k
+                    if keep < len(path):
+                        at = to[path[keep] ^ 1]
+                        del path[keep:]
+                elif turn[at] < len(out[at]):
+                    e = out[at][turn[at]]
+                    if cap[e] > EPS and level[to[e]] == level[at] + 1:
+                        path.append(e)
+                        at = to[e]
+                    else:
+                        turn[at] += 1
+                elif path:
+                    at = to[path.pop() ^ 1]
+                    turn[at] += 1
+                else:
+                    break
     # boilerplate: nodes from which a node with a loss left over can still be reached
-    lost = [left[i] < -1e-9 for i in range(n)]
+    lost = [left[i] < -EPS for i in range(n)]
     queue = deque(i for i in range(n) if lost[i])
     while queue:
         j = queue.popleft()
-        for i in room[j]:
-            if not lost[i] and room[i].get(j, 0.0) > 1e-9:
-                lost[i] = True
-                queue.append(i)
+        for e in out[j]:
+            if not lost[to[e]] and cap[e ^ 1] > EPS:
+                lost[to[e]] = True
+                queue.append(to[e])
     return [not x for x in lost]
 
 
