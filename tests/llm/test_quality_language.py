@@ -9,6 +9,9 @@ from loomspark.llm import langmix, linecrf
 GOOD = "The river ran slowly past the old mill and the people of the town came down to see it."
 BAD = "BUY!! NOW!! $$$ BEST### DEAL*** CLICK!! HERE!! $$$"
 TEXTS = [None, "", " \n\t", GOOD, "\n".join([GOOD] * 8), "a b c a b c\na b c a b c\n\nx", "é # 日本\x0bz <|> &", "one\ntwo \none\n", "w " * 20_000]
+#: Two lines whose bytes have equal polynomial sums.
+ALIKE = "".join("b" if bin(i).count("1") % 2 else "a" for i in range(1024))
+TEXTS.append(ALIKE + "\n" + ALIKE.translate(str.maketrans("ab", "ba")) + "\n" + ALIKE)
 
 
 def test_counts_like_brute_force(spark):

@@ -149,3 +149,12 @@ def test_frequent_triggers_are_split_without_other_results(spark, shape, monkeyp
     else:
         got = {r.doc_id: r.h for r in substrings.repeated_words(df).selectExpr("doc_id", "sha2(cast(kept as binary), 256) as h").collect()}
         assert got == {d: x[2] for d, x in brute.kept_words(docs).items()}
+
+
+def test_long_words_whose_byte_sums_are_equal_stay_apart(spark):
+    x = "".join("b" if bin(i).count("1") % 2 else "a" for i in range(1024))
+    y = x.translate(str.maketrans("ab", "ba"))
+    before, after = " ".join(f"w{i}" for i in range(10)), " ".join(f"v{i}" for i in range(10))
+    docs = [(1, f"{before} {x} {after}"), (2, f"{before} {y} {after}"), (3, f"{before} {x} {after}")]
+    got = {r.doc_id: r.n_removed for r in substrings.repeated_words(spark.createDataFrame(docs, "doc_id long, text string")).selectExpr("doc_id", "aggregate(spans, 0L, (n, s) -> n + s.end - s.start) as n_removed").collect()}
+    assert got == {1: 0, 2: 0, 3: 21}
