@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import names
-from loomspark.operators import build, catalog, chunks, extract, graph, mining, search
+from loomspark.operators import build, catalog, chunks, extract, graph, mining, search, vectors
 from loomspark.plans import adapters as A
 from loomspark.plans import sources
 from loomspark.sources import scratch, tree
@@ -562,6 +562,26 @@ def knn_each(t):
     return search.nearest_to_each(t.embeddings, t.embeddings.filter("vec_id % 100 = 0"), 5)
 
 
+@query("""WITH d AS (SELECT q.vec_id AS query, e.vec_id, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (z[1] - z[2])::DOUBLE * (z[1] - z[2])::DOUBLE)) AS d FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS rank FROM d) SELECT query, CAST(rank AS INT) AS rank, vec_id, round(d, 4) AS distance FROM r WHERE rank <= 10""")
+def knn_index_exact(t):
+    """The ten nearest rows to every row whose id is divisible by 100, from a stored index whose lists come in two parts."""
+    path = scratch.new_path(t.spark, "vectors")
+    vectors.save_index(t.embeddings.filter("vec_id % 2 = 0"), path)
+    vectors.add_to_index(t.embeddings.filter("vec_id % 2 != 0"), path)
+    found = vectors.nearest_exact(t.spark, path, t.embeddings.filter("vec_id % 100 = 0"), 10, other_keys=True)
+    return found.select("query", "rank", F.col("key").alias("vec_id"), F.round("distance", 4).alias("distance"))
+
+
+@query()
+def knn_index(t):
+    """The same from the most promising cells alone; tests hold its recall against the exact rows."""
+    path = scratch.new_path(t.spark, "vectors")
+    vectors.save_index(t.embeddings, path)
+    found = vectors.nearest(t.spark, path, t.embeddings.filter("vec_id % 100 = 0"), 10, other_keys=True)
+    return found.select("query", "rank", F.col("key").alias("vec_id"), F.round("distance", 4).alias("distance"))
+
+
 @query("""WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS size FROM embeddings) SELECT vec_id, round(embedding[1] / size, 4) AS first, round(embedding[64] / size, 4) AS last FROM n""")
 def unit_vectors(t):
     unit = t.embeddings.select("vec_id", search.normalised(F.col("embedding")).alias("unit"))
