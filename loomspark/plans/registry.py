@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import names
-from loomspark.operators import build, catalog, chunks, extract, graph, mining, search, vectors
+from loomspark.operators import build, catalog, chunks, extract, graph, mining, search, trigrams, vectors
 from loomspark.plans import adapters as A
 from loomspark.plans import sources
 from loomspark.sources import scratch, tree
@@ -599,3 +599,31 @@ def texts_to_embed(t):
 SELECT a, b, decl_a, decl_b, t.chunk_id, x.n AS text_a, y.n AS text_b, z.n AS call_text, 'interacting_entities' AS category FROM t JOIN ch x ON x.chunk_id = decl_a JOIN ch y ON y.chunk_id = decl_b JOIN ch z ON z.chunk_id = t.chunk_id""")
 def candidate_triplets(t):
     return mining.candidate_triplets(mining.interacting(*A.event_entities(t)), A.event_chunks(t), "n_events")
+
+
+# --- indexes of texts ---------------------------------------------------------------------------
+
+
+def _gram_index(t, rows: DataFrame, key: str, text: str) -> str:
+    path = scratch.new_path(t.spark, "grams")
+    trigrams.save_index(rows, path, key, text)
+    return path
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'license') OR contains(lower(text), 'token')")
+def indexed_substrings(t):
+    """The rows of keyword_scan from an index of character grams."""
+    return trigrams.containing(t.spark, _gram_index(t, t.documents, "doc_id", "text"), ["license", "token"]).select(F.col("key").alias("doc_id"))
+
+
+@query(r"SELECT page_id, url FROM pages WHERE regexp_matches(url, '/(en|de)/[0-9]*7\.html$') OR regexp_matches(url, '//blog\.[a-z]+th')")
+def indexed_pattern(t):
+    """A regular expression over addresses: the literals that a match cannot do without choose the candidates."""
+    found = trigrams.matching(t.spark, _gram_index(t, t.pages, "page_id", "url"), r"/(en|de)/[0-9]*7\.html$|//blog\.[a-z]+th")
+    return found.select(F.col("key").alias("page_id"), F.col("text").alias("url"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name), 'r.*d.*g')")
+def indexed_subsequence(t):
+    found = trigrams.with_subsequence(t.spark, _gram_index(t, t.part, "p_partkey", "p_name"), FUZZY)
+    return found.select(F.col("key").alias("p_partkey"), F.col("text").alias("p_name"))
