@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import names
-from loomspark.operators import build, catalog, chunks, extract, graph, mining, search, trigrams, vectors
+from loomspark.operators import build, catalog, chunks, extract, graph, mining, postings, search, trigrams, vectors
 from loomspark.plans import adapters as A
 from loomspark.plans import sources
 from loomspark.sources import scratch, tree
@@ -627,3 +627,21 @@ def indexed_pattern(t):
 def indexed_subsequence(t):
     found = trigrams.with_subsequence(t.spark, _gram_index(t, t.part, "p_partkey", "p_name"), FUZZY)
     return found.select(F.col("key").alias("p_partkey"), F.col("text").alias("p_name"))
+
+
+@query(f"SELECT doc_id, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank, score FROM ({COMMON_SQL.replace('FROM documents', 'FROM documents WHERE doc_id % 5 <> 0')}) QUALIFY rank <= 20")
+def bm25_top(t):
+    """The twenty best of a stored index whose documents came in two segments, of which a fifth was deleted."""
+    index = postings.Index.create(t.documents.filter("doc_id % 2 = 0"), scratch.new_path(t.spark, "postings"), "doc_id", "text")
+    index.add(t.documents.filter("doc_id % 2 = 1"), "doc_id", "text")
+    index.delete(t.documents.filter("doc_id % 5 = 0"), "doc_id")
+    return index.top("the und", 20).select(F.col("key").alias("doc_id"), "rank", "score")
+
+
+@query(f"SELECT doc_id, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank, score FROM ({BM25_SQL}) QUALIFY rank <= 20")
+def bm25_top_merged(t):
+    """The same over all documents, after a merge."""
+    index = postings.Index.create(t.documents.filter("doc_id % 2 = 0"), scratch.new_path(t.spark, "postings"), "doc_id", "text")
+    index.add(t.documents.filter("doc_id % 2 = 1"), "doc_id", "text")
+    index.merge()
+    return index.top("license token", 20).select(F.col("key").alias("doc_id"), "rank", "score")
