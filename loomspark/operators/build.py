@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.names import aliases, simple_name
@@ -29,62 +26,55 @@ def resolve_calls(calls: DataFrame, table: DataFrame) -> DataFrame:
     return rows.withColumn("resolved", F.coalesce("exact", "near", "called")).withColumn("match_kind", kind).drop("exact", "near", "simple")
 
 
-def alias_components(occurrences: DataFrame) -> DataFrame:
-    """occurrences(occ, aliases) with the least occ of those connected through shared aliases."""
-    pairs = stored(occurrences.select("occ", F.explode("aliases").alias("alias")).distinct(), "alias_pairs")
-    label = stored(occurrences.select("occ", F.col("occ").alias("component")), "labels")
-    while True:
-        by_alias = pairs.join(label, "occ").groupBy("alias").agg(F.min("component").alias("least"))
-        new = pairs.join(by_alias, "alias").groupBy("occ").agg(F.min("least").alias("component"))
-        jumped = new.join(label.select(F.col("occ").alias("component"), F.col("component").alias("up")), "component", "left").select("occ", F.least("component", "up").alias("component"))
-        changed = jumped.join(label.withColumnRenamed("component", "old"), "occ").filter("component != old").limit(1)
-        jumped = stored(jumped, "labels")
-        if changed.isEmpty():
-            return jumped
-        label = jumped
+#: Occurrences of a name whose running least is found in one window.
+STRETCH = 1 << 16
 
 
 def register(declared: DataFrame) -> DataFrame:
     """declared(occ, chunk_seq, name, path, chunk_id, type, dtype) with the canonical entity that each joins.
 
-    Occurrences are taken in order of occ. One joins the entity that its name or else the first of
-    its aliases stands for; else it is an entity of its own. Which names stand for what is fixed at
-    each new chunk (first entity wins, canonical names win over aliases), and within a chunk the
-    last one wins. Occurrences that share no alias, directly or through others, cannot affect each
-    other. Each connected group's rows reach one task in order of occ and pass through it; it holds
-    the group's names, not its rows.
-    """
-    rows = declared.withColumn("aliases", aliases(F.col("name"), F.col("path"))).select("occ", "chunk_seq", "name", "aliases")
-    grouped = rows.join(alias_components(rows.select("occ", "aliases")), "occ").repartition("component").sortWithinPartitions("component", "occ")
-    return declared.join(grouped.mapInPandas(_joined, "occ long, entity string"), "occ")
-
-
-def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The entity of each occurrence of rows ordered by (component, occ).
+    Occurrences stand in order of occ, those of a chunk together. One joins the entity that its name or else the first of
+    its aliases stands for; else it is an entity of its own. Within a chunk a name stands for what it was last used
+    for there; else an entity's name stands for itself, any other for the oldest entity that had it.
 
-    `first` holds for each alias the earliest entity that has it. A canonical name stands for
-    itself, and what the current chunk has said so far (`now`) goes before both.
+    Each round answers all occurrences at once from the entities of the round before: what a name stood for at an
+    occurrence is the last one of its chunk, or the least of those before it. Right answers for all earlier occurrences give a right one, so
+    the rounds end at the answer of the rule taken in order; they are as many as the longest chain of occurrences whose
+    names hang on each other. A name that very many files share is dealt over stretches of occ: running least values
+    within each, then over the stretches' least values.
     """
-    component, chunk = None, None
-    order: dict[str, int] = {}
-    first: dict[str, str] = {}
-    now: dict[str, str] = {}
-    for batch in batches:
-        out = []
-        for occ, chunk_seq, name, names, group in batch[["occ", "chunk_seq", "name", "aliases", "component"]].itertuples(index=False):
-            if group != component:
-                component, chunk, order, first = group, None, {}, {}
-            if chunk_seq != chunk:
-                chunk, now = chunk_seq, {}
-            found = next((now.get(a) or (a if a in order else first[a]) for a in (name, *names) if a in now or a in order or a in first), name)
-            order.setdefault(found, len(order))
-            for a in names:
-                if a not in first or order[found] < order[first[a]]:
-                    first[a] = found
-                now[a] = found
-            now[found] = found
-            out.append((occ, found))
-        yield pd.DataFrame(out, columns=["occ", "entity"])
+    rows = declared.withColumn("aliases", aliases(F.col("name"), F.col("path"))).select("occ", "chunk_seq", "name", "aliases")
+    rows = stored(rows.withColumn("stretch", F.floor(F.col("occ") / STRETCH)), "occurrences")
+    asked = stored(rows.select("occ", "chunk_seq", "stretch", F.posexplode("aliases").alias("pos", "alias")), "aliases")
+    said = rows.select("occ", F.col("name").alias("entity"))
+    while True:
+        new = stored(_answered(rows, asked, said), "entities")
+        changed = new.join(said.withColumnRenamed("entity", "old"), "occ").filter("entity != old").limit(1)
+        if changed.isEmpty():
+            return declared.join(new, "occ")
+        said = new
+
+
+def _answered(rows: DataFrame, asked: DataFrame, said: DataFrame) -> DataFrame:
+    """(occ, entity) of every occurrence, where said(occ, entity) holds for those before it."""
+    born = said.groupBy("entity").agg(F.min("occ").alias("born"))
+    known = rows.join(said, "occ").join(born, "entity")
+    used = asked.join(known.select("occ", "entity", "born"), "occ")
+    # an occurrence also says what its entity's own name stands for in the chunk
+    own = known.filter(~F.array_contains("aliases", F.col("entity"))).select("occ", "chunk_seq", "stretch", F.lit(None).cast("int").alias("pos"), F.col("entity").alias("alias"), "entity", "born")
+    said_now = F.lag("entity").over(Window.partitionBy("alias", "chunk_seq").orderBy("occ"))
+    oldest = F.when(F.col("pos").isNotNull(), F.struct("born", "entity"))
+    in_stretch = Window.partitionBy("alias", "stretch").orderBy("occ").rowsBetween(Window.unboundedPreceding, -1)
+    every = used.unionByName(own).withColumn("now", said_now).withColumn("here", F.min(oldest).over(in_stretch))
+    least = used.groupBy("alias", "stretch").agg(F.min(F.struct("born", "entity")).alias("least"))
+    earlier = Window.partitionBy("alias").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    least = least.withColumn("earlier", F.min("least").over(earlier)).select("alias", "stretch", "earlier")
+    itself = born.select(F.col("entity").alias("alias"), F.col("born").alias("since"))
+    found = every.filter("pos is not null").join(least, ["alias", "stretch"]).join(itself, "alias", "left")
+    first = F.least("here", "earlier")["entity"]
+    answer = F.coalesce("now", F.when(F.col("since") < F.col("occ"), F.col("alias")), first)
+    chosen = found.select("occ", "pos", answer.alias("answer")).filter("answer is not null").groupBy("occ").agg(F.min_by("answer", "pos").alias("answer"))
+    return rows.join(chosen, "occ", "left").select("occ", F.coalesce("answer", "name").alias("entity"))
 
 
 def directories(path: Column) -> Column:

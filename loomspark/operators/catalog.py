@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.operators.graph import ranked
+from loomspark.sources.scratch import stored
 
 
 def paged(rows: DataFrame, order: list[Column], limit: int, page: int = 1) -> DataFrame:
@@ -18,10 +19,27 @@ def paged(rows: DataFrame, order: list[Column], limit: int, page: int = 1) -> Da
     return rows.orderBy(*order).limit(limit * page).offset(limit * (page - 1))
 
 
+def in_order(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """Rows with their rank (from 1) in their group in the given order, which must be total.
+
+    All rows are sorted by range over all tasks, so that no task sorts a whole group; a row's place within
+    its partition, and how many rows of its group earlier partitions have, make up its rank.
+    """
+    row = F.monotonically_increasing_id()  # the partition in the upper bits, the place in it in the lower 33
+    sorted_rows = stored(rows.repartitionByRange(F.col(group), *order).sortWithinPartitions(F.col(group), *order).withColumn("x_row", row), "sorted")
+    part = F.shiftright("x_row", 33)
+    parts = sorted_rows.groupBy(group, part.alias("x_part")).agg(F.min("x_row").alias("x_first"), F.count(F.lit(1)).alias("x_n"))
+    # a group has a row here for each partition that it reaches into
+    before = F.coalesce(F.sum("x_n").over(Window.partitionBy(group).orderBy("x_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("x_before", before).select(F.col(group).alias("x_group"), "x_part", "x_first", "x_before")
+    found = sorted_rows.withColumn("x_part", part).join(parts, (F.col(group).eqNullSafe(F.col("x_group"))) & (sorted_rows["x_row"] >= F.col("x_first")) & (F.shiftright(sorted_rows["x_row"], 33) == parts["x_part"]))
+    return found.select(*rows.columns, (F.col("x_row") - F.col("x_first") + F.col("x_before") + 1).cast("int").alias("rank"))
+
+
 def nodes_by_type(nodes: DataFrame, kind: str = "kind", name: str = "name", node_id: str = "node_id", limit: int = 20) -> DataFrame:
     """All nodes with their type in lower case, and their place and page in the list of that type by name."""
     rows = nodes.withColumn("node_type", F.lower(kind))
-    return ranked(rows, ["node_type"], [F.lower(name), F.col(node_id)]).withColumn("page", F.ceil(F.col("rank") / limit).cast("long"))
+    return in_order(rows, "node_type", [F.lower(name), F.col(node_id)]).withColumn("page", F.ceil(F.col("rank") / limit).cast("long"))
 
 
 def subsequence_pattern(name: str) -> str:

@@ -645,3 +645,26 @@ def bm25_top_merged(t):
     index.add(t.documents.filter("doc_id % 2 = 1"), "doc_id", "text")
     index.merge()
     return index.top("license token", 20).select(F.col("key").alias("doc_id"), "rank", "score")
+
+
+# --- many pairs, greedy choices -----------------------------------------------------------------
+
+
+@query(f"""{WITH_GRAPH}, ends AS (SELECT 'r:' || o_orderkey % 5 AS src, 'o:' || o_orderkey AS dst FROM orders UNION SELECT 'n:' || o_orderkey % 25, 'o:' || o_orderkey FROM orders UNION SELECT 'c:' || c_custkey, 'c:' || c_custkey FROM customer),
+walk AS (SELECT src AS root, src AS node_id, 0 AS depth, [src] AS path FROM (SELECT DISTINCT src FROM ends) UNION ALL SELECT root, dst, depth + 1, list_append(path, dst) FROM walk JOIN key_edges ON src = node_id WHERE depth < 4),
+best AS (SELECT src, dst, depth, path FROM ends JOIN walk ON root = src AND node_id = dst QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY depth, path) = 1)
+SELECT src, dst, depth AS length, array_to_string(path, '>') AS path FROM best""")
+def paths_between(t):
+    """Shortest paths of all relations: from a region and a nation to each order, through customers or suppliers."""
+    key = F.col("o_orderkey")
+    pairs = [t.orders.select(F.concat(F.lit(p), (key % n).cast("string")).alias("src"), F.concat(F.lit("o:"), key.cast("string")).alias("dst")) for p, n in (("r:", 5), ("n:", 25))]
+    alone = t.customer.select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("src"))
+    return graph.paths_between(A.key_edges(t), pairs[0].union(pairs[1]).union(alone.withColumn("dst", F.col("src"))), 4)
+
+
+@query(TRIPLETS.replace("WITH ", "WITH RECURSIVE ", 1).replace("SELECT a.entity AS a", ", t AS (SELECT a.entity AS a", 1) + """),
+pick AS (SELECT 0 AS n, CAST([] AS BIGINT[]) AS taken, NULL::STRUCT(c VARCHAR, a BIGINT, b BIGINT) AS m UNION ALL
+SELECT n + 1, list_concat(taken, [x.a, x.b]), x FROM (SELECT n, taken, min(struct_pack(c := chunk_id, a := t.a, b := t.b)) AS x FROM pick, t WHERE n < 20 AND NOT list_has_any(taken, [t.a, t.b]) GROUP BY n, taken))
+SELECT m.a AS a, m.b AS b, m.c AS chunk_id FROM pick WHERE n > 0""")
+def diverse_triplets(t):
+    return mining.diverse_triplets(mining.interacting(*A.event_entities(t))).select("a", "b", "chunk_id")

@@ -245,9 +245,9 @@ def test_search(spark):
 
 def test_mining(spark):
     trip = spark.createDataFrame([("a", "b", "c1"), ("b", "c", "c2"), ("c", "d", "c3")], "a string, b string, chunk_id string")
-    assert [(r.a, r.b) for r in mining.diverse_triplets(trip)] == [("a", "b"), ("c", "d")]
+    assert [(r.a, r.b) for r in mining.diverse_triplets(trip).collect()] == [("a", "b"), ("c", "d")]
     many = spark.createDataFrame([("a", x, "c1") for x in "bcdefgh"] + [("x", "y", "c2"), ("y", "z", "c3"), ("u", "v", "c4")], "a string, b string, chunk_id string")
-    assert [(r.a, r.b) for r in mining.diverse_triplets(many, considered=3)] == [("a", "b"), ("x", "y"), ("u", "v")]
+    assert [(r.a, r.b) for r in mining.diverse_triplets(many).collect()] == [("a", "b"), ("x", "y"), ("u", "v")]
     calls = spark.createDataFrame([(1, "GET", "http://h/api/users/7?x=1"), (2, "POST", "/api/users/{id}/")], "call_id long, verb string, url string")
     ends = spark.createDataFrame([(1, "/api/users/{user}", ["GET"])], "endpoint_id long, path string, methods array<string>")
     assert [r.call_id for r in mining.endpoint_matches(calls, ends).collect()] == [1]
