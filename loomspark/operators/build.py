@@ -30,7 +30,7 @@ def resolve_calls(calls: DataFrame, table: DataFrame) -> DataFrame:
 STRETCH = 1 << 16
 
 
-def register(declared: DataFrame) -> DataFrame:
+def register(declared: DataFrame, guess: DataFrame | None = None) -> DataFrame:
     """declared(occ, chunk_seq, name, path, chunk_id, type, dtype) with the canonical entity that each joins.
 
     Occurrences stand in order of occ, those of a chunk together. One joins the entity that its name or else the first of
@@ -39,14 +39,16 @@ def register(declared: DataFrame) -> DataFrame:
 
     Each round answers all occurrences at once from the entities of the round before: what a name stood for at an
     occurrence is the last one of its chunk, or the least of those before it. Right answers for all earlier occurrences give a right one, so
-    the rounds end at the answer of the rule taken in order; they are as many as the longest chain of occurrences whose
-    names hang on each other. A name that very many files share is dealt over stretches of occ: running least values
+    the rounds end at the answer of the rule taken in order, from whatever guess(occ, entity) they begin (by default each
+    occurrence is its own entity); they are as many as the longest chain of occurrences whose names hang on each other. A name that very many files share is dealt over stretches of occ: running least values
     within each, then over the stretches' least values.
     """
     rows = declared.withColumn("aliases", aliases(F.col("name"), F.col("path"))).select("occ", "chunk_seq", "name", "aliases")
     rows = stored(rows.withColumn("stretch", F.floor(F.col("occ") / STRETCH)), "occurrences")
     asked = stored(rows.select("occ", "chunk_seq", "stretch", F.posexplode("aliases").alias("pos", "alias")), "aliases")
     said = rows.select("occ", F.col("name").alias("entity"))
+    if guess is not None:
+        said = said.withColumnRenamed("entity", "x_name").join(guess.select("occ", "entity"), "occ", "left").select("occ", F.coalesce("entity", "x_name").alias("entity"))
     while True:
         new = stored(_answered(rows, asked, said), "entities")
         changed = new.join(said.withColumnRenamed("entity", "old"), "occ").filter("entity != old").limit(1)

@@ -19,7 +19,7 @@ def paged(rows: DataFrame, order: list[Column], limit: int, page: int = 1) -> Da
     return rows.orderBy(*order).limit(limit * page).offset(limit * (page - 1))
 
 
-def in_order(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
+def in_order(rows: DataFrame, group: str, order: list[Column], kind: str = "int") -> DataFrame:
     """Rows with their rank (from 1) in their group in the given order, which must be total.
 
     All rows are sorted by range over all tasks, so that no task sorts a whole group; a row's place within
@@ -33,7 +33,7 @@ def in_order(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
     before = F.coalesce(F.sum("x_n").over(Window.partitionBy(group).orderBy("x_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.withColumn("x_before", before).select(F.col(group).alias("x_group"), "x_part", "x_first", "x_before")
     found = sorted_rows.withColumn("x_part", part).join(parts, (F.col(group).eqNullSafe(F.col("x_group"))) & (sorted_rows["x_row"] >= F.col("x_first")) & (F.shiftright(sorted_rows["x_row"], 33) == parts["x_part"]))
-    return found.select(*rows.columns, (F.col("x_row") - F.col("x_first") + F.col("x_before") + 1).cast("int").alias("rank"))
+    return found.select(*rows.columns, (F.col("x_row") - F.col("x_first") + F.col("x_before") + 1).cast(kind).alias("rank"))
 
 
 def nodes_by_type(nodes: DataFrame, kind: str = "kind", name: str = "name", node_id: str = "node_id", limit: int = 20) -> DataFrame:

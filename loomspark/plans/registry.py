@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from loomspark.functions import names
 from loomspark.operators import build, catalog, chunks, extract, graph, mining, postings, search, trigrams, vectors
 from loomspark.plans import adapters as A
+from loomspark.operators.versions import Versions
 from loomspark.plans import sources
 from loomspark.sources import scratch, tree
+from loomspark.streaming.graphs import Graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -668,3 +670,68 @@ SELECT n + 1, list_concat(taken, [x.a, x.b]), x FROM (SELECT n, taken, min(struc
 SELECT m.a AS a, m.b AS b, m.c AS chunk_id FROM pick WHERE n > 0""")
 def diverse_triplets(t):
     return mining.diverse_triplets(mining.interacting(*A.event_entities(t))).select("a", "b", "chunk_id")
+
+
+# --- versions and streams -----------------------------------------------------------------------
+
+
+def _changed_chunks(t) -> Versions:
+    """Chunks of the documents in two versions: in the second one a fifth of the documents is gone, and a third of the others has other letters."""
+    rows = t.documents.select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    table = Versions(t.spark, scratch.new_path(t.spark, "versions"), "path long, ord int, content string", ["path", "ord"])
+    table.commit(chunks.fixed_chunks(rows), None)
+    other = chunks.fixed_chunks(rows.filter("path % 3 = 0 and path % 5 != 0").withColumn("content", F.replace("content", F.lit("e"), F.lit("a"))))
+    table.commit(other, rows.filter("path % 3 = 0 or path % 5 = 0").select("path"))
+    return table
+
+
+TWO_VERSIONS = """a AS (SELECT doc_id AS path, CAST(i AS INT) AS ord, substr(text, CAST(i * 2000 + 1 AS BIGINT), 2000) AS content FROM documents d, unnest(range(CAST(ceil(length(text) / 2000.0) AS BIGINT))) AS u(i)),
+b AS (SELECT path, ord, CASE WHEN path % 3 = 0 THEN replace(content, 'e', 'a') ELSE content END AS content FROM a WHERE path % 5 <> 0)"""
+
+
+@query(f"""WITH {TWO_VERSIONS} SELECT a.path, a.ord, a.content, 1 AS valid_from, CASE WHEN b.content IS DISTINCT FROM a.content THEN 2 ELSE -1 END AS valid_to FROM a LEFT JOIN b USING (path, ord)
+UNION ALL SELECT b.path, b.ord, b.content, 2, -1 FROM b JOIN a USING (path, ord) WHERE b.content <> a.content""")
+def chunk_history(t):
+    rows = _changed_chunks(t).history()
+    return rows.select("path", "ord", "content", F.col("valid_from").cast("int").alias("valid_from"), F.coalesce(F.col("valid_to").cast("int"), F.lit(-1)).alias("valid_to"))
+
+
+@query(f"WITH {TWO_VERSIONS} SELECT path, ord, content FROM a")
+def chunks_as_of(t):
+    """The first version, read after the second one was made."""
+    return _changed_chunks(t).as_of(1)
+
+
+@query(f"WITH {TWO_VERSIONS} SELECT a.path, a.ord, CASE WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS status, a.content AS old, coalesce(b.content, '') AS new FROM a LEFT JOIN b USING (path, ord) WHERE b.content IS DISTINCT FROM a.content")
+def chunk_changes(t):
+    return _changed_chunks(t).changes(1, 2).select("path", "ord", "status", F.col("old.content").alias("old"), F.coalesce("new.content", F.lit("")).alias("new"))
+
+
+def _streamed(t) -> Graph:
+    """The Python tree as a stream of four batches: old versions of some files, their last ones, files that go again, and versions that come too late."""
+    folder, place = scratch.new_path(t.spark, "stream"), scratch.new_path(t.spark, "graph")
+    rows = sources.files(t, sources.PYTHON).withColumn("k", F.regexp_extract("path", r"_(\d+)\.py$", 1).cast("long"))
+    old = F.when(F.col("k") % 3 == 0, F.concat("content", F.lit("\n\n\nold_value = show(1)\n"))).otherwise(F.col("content"))
+    gone = rows.filter("k % 5 = 0").withColumn("path", F.concat(F.lit("gone/"), "path"))
+    batches = [
+        rows.select("path", old.alias("content"), F.lit(1).cast("long").alias("seq")),
+        rows.filter("k % 3 = 0").select("path", "content", F.lit(2).cast("long").alias("seq")).unionByName(gone.select("path", "content", F.lit(2).cast("long").alias("seq"))),
+        gone.select("path", F.lit(None).cast("string").alias("content"), F.lit(3).cast("long").alias("seq")),
+        gone.unionByName(rows).select("path", F.lit("late = 1").alias("content"), F.lit(0).cast("long").alias("seq")),
+    ]
+    graph_ = Graph(t.spark, place, sources.chunked)
+    for batch in batches:  # a run of the stream takes in what has come since the last one
+        batch.write.mode("append").parquet(folder)
+        graph_.follow(folder, f"{place}/checkpoint").awaitTermination()
+    return graph_
+
+
+@query(ORACLE_SQL["build_edges"])
+def streamed_edges(t):
+    """The edges of the Python tree after all batches are those of one build."""
+    return _streamed(t).graph()[1]
+
+
+@query(ORACLE_SQL["build_nodes"])
+def streamed_nodes(t):
+    return _streamed(t).graph()[0]
