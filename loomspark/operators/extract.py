@@ -179,11 +179,15 @@ def entities(files: DataFrame) -> DataFrame:
     return python_entities(files).unionByName(by_forms(files))
 
 
+#: A string on one line, in either quotes; it stays, and hides what looks like a comment in it.
+STRINGS = r"""(\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+')"""
+
+
 def without_comments(content: Column, lang: str) -> Column:
-    """A chunk without comments (and Python docstrings); each chunk is read by itself."""
+    """A chunk without comments (and Python docstrings), strings aside; each chunk is read by itself."""
     if lang == "python":
-        return F.regexp_replace(F.regexp_replace(content, r'(?s)""".*?(?:"""|\z)|\'\'\'.*?(?:\'\'\'|\z)', ""), r"(?m)#.*$", "")
-    return F.regexp_replace(F.regexp_replace(content, r"(?s)/\*.*?(?:\*/|\z)", ""), r"(?m)//.*$", "")
+        return F.regexp_replace(content, r'(?s)""".*?(?:"""|\z)|\'\'\'.*?(?:\'\'\'|\z)|' + STRINGS + r"|#[^\n]*", "$1")
+    return F.regexp_replace(content, r"(?s)/\*.*?(?:\*/|\z)|" + STRINGS + r"|//[^\n]*", "$1")
 
 
 #: How a declaration or call shows in a chunk, by language and type; {} is its simple name. Types without a rule are not looked up.

@@ -37,29 +37,30 @@ class Form(NamedTuple):
 #: Forms of declarations by language.
 FORMS = {
     "java": [
-        Form("class", r"\b(?:class|record)\s+(?P<name>\w+)[^;{}]*(?=\{)", ("top", "type"), "type", True),
-        Form("interface", r"\binterface\s+(?P<name>\w+)[^;{}]*(?=\{)", ("top", "type"), "type", True),
-        Form("enum", r"\benum\s+(?P<name>\w+)[^;{}]*(?=\{)", ("top", "type"), "enum", True),
-        Form("method", JAVA_TYPE + r"(?P<name>\w+)\s*" + PARAMS + r"\s*(?:throws[\w\s,.]+)?(?=[{;])", ("type",)),
-        Form("constructor", r"\b(?P<name>\w+)\s*" + PARAMS + r"\s*(?:throws[\w\s,.]+)?(?=\{)", ("type",)),
+        Form("class", r"\b(?:class|record)\s+(?P<name>\w+)[^;{}]{0,400}(?=\{)", ("top", "type"), "type", True),
+        Form("interface", r"\binterface\s+(?P<name>\w+)[^;{}]{0,400}(?=\{)", ("top", "type"), "type", True),
+        Form("enum", r"\benum\s+(?P<name>\w+)[^;{}]{0,400}(?=\{)", ("top", "type"), "enum", True),
+        Form("method", JAVA_TYPE + r"(?P<name>\w+)\s*" + PARAMS + r"\s*(?:throws[\w\s,.]{1,300})?(?=[{;])", ("type",)),
+        Form("constructor", r"\b(?P<name>\w+)\s*" + PARAMS + r"\s*(?:throws[\w\s,.]{1,300})?(?=\{)", ("type",)),
         Form("variable", JAVA_TYPE + r"(?P<name>\w+(?:\s*,\s*\w+)*)\s*(?=[=;])", ("type",)),
     ],
     "js": [
-        Form("class", r"\bclass\s+(?P<name>[\w$]+)[^;{}]*(?=\{)", (), "type", True),
-        Form("function", r"\bfunction\s*\*?\s*(?P<name>[\w$]+)\s*" + PARAMS + r"[^{};]{0,120}(?=\{)", (), "body", True),
+        Form("class", r"\bclass\s+(?P<name>[\w$]+)[^;{}]{0,400}(?=\{)", (), "type", True),
+        Form("function", r"\bfunction\s*\*?\s*(?P<name>[\w$]+)\s*(?:<[^(){}]{0,200}>\s*)?" + PARAMS + r"[^{};]{0,120}(?=\{)", (), "body", True),
         Form("function", r"\b(?:const|let|var)\s+(?P<name>[\w$]+)\s*=\s*(?:async\s+)?(?:function\b[^(){}]*" + PARAMS + r"\s*|(?:\([^()]*\)|[\w$]+)\s*=>\s*)", (), "body", True),
         Form("variable", r"\b(?:const|let|var)\s+(?P<name>[\w$]+)\b"),
+        Form("method", r"(?<![\w$#.])(?P<name>[\w$#]+)\s*=\s*(?:async\s+)?(?:\((?P<params>[^()]*)\)|[\w$]+)\s*=>\s*(?=\{)", ("type",)),
         Form("method", r"(?<![\w$#])(?P<name>[\w$#]+)\s*" + PARAMS + r"[^{};()]{0,120}(?=\{)", ("type",)),
     ],
     "c": [
         Form("struct", r"\bstruct\s+(?P<name>\w+)\s*(?=\{)", (), "struct"),
-        Form("typedef", r"\btypedef\b(?:[^;{}]*\{[^{}]*\})?[^;{}()]*?\b(?P<name>\w+)\s*;"),
+        Form("typedef", r"\btypedef\b(?:[^;{}]{0,200}\{[^{}]{0,4000}\})?[^;{}()]{0,200}?\b(?P<name>\w+)\s*;"),
         Form("function", C_TYPE + r"(?P<name>\w+)\s*" + PARAMS + r"\s*(?=[{;])", ("top",)),
         Form("variable", C_TYPE + r"(?P<name>\w+)\s*(?:\[[^\]]*\]\s*)*(?=[=;])", ("top", "body")),
     ],
     "cpp": [
         Form("", r"\bnamespace\s+(?P<name>\w+(?:::\w+)*)\s*(?=\{)", ("top",), "top", True),
-        Form("class", r"\b(?<!enum )(?:class|struct)\s+(?P<name>\w+)[^;{}()]*(?=\{)", ("top", "type"), "type", True),
+        Form("class", r"\b(?<!enum )(?:class|struct)\s+(?P<name>\w+)[^;{}()]{0,400}(?=\{)", ("top", "type"), "type", True),
         Form("method", r"(?<![\w:])(?P<name>[A-Za-z_]\w*::~?\w+)\s*" + PARAMS + r"[^;{}()]{0,60}(?=\{)", ("top",)),
         Form("function", C_TYPE + r"(?P<name>\w+)\s*" + PARAMS + r"[^;{}()]{0,60}(?=[{;])", ("top",)),
         Form("method", r"(?<![\w~])(?P<name>~?\w+)\s*" + PARAMS + r"[^;{}()]{0,60}(?=[{;:])", ("type",)),
@@ -70,8 +71,8 @@ FORMS = {
         Form("struct", r"\bstruct\s+(?P<name>\w+)[^;{}()]*", (), "struct", True),
         Form("enum", r"\benum\s+(?P<name>\w+)[^;{}]*", (), "enum", True),
         Form("trait", r"\btrait\s+(?P<name>\w+)[^;{}]*", (), "type", True),
-        Form("", r"\bimpl\b(?:\s*<[^{}]*?>)?\s+(?:[^{}]*?\bfor\s+)?(?P<name>[\w:]+(?:<[^{}]*?>)?)\s*(?:where[^{}]*)?(?=\{)", (), "type", True),
-        Form("function", r"\bfn\s+(?P<name>\w+)\s*(?:<[^{}()]*>\s*)?" + PARAMS + r"[^{};]*"),
+        Form("", r"\bimpl\b(?:\s*<[^{}]{0,200}?>)?\s+(?:[^{}]{0,200}?\bfor\s+)?(?P<name>[\w:]+(?:<[^{}]{0,200}?>)?)\s*(?:where[^{}]{0,400})?(?=\{)", (), "type", True),
+        Form("function", r"\bfn\s+(?P<name>\w+)\s*(?:<[^{}()]{0,300}>\s*)?" + PARAMS + r"[^{};]{0,400}"),
         Form("type_alias", r"\btype\s+(?P<name>\w+)[^;={}]*="),
         Form("constant", r"\bconst\s+(?P<name>[A-Za-z_]\w*)\s*:\s*" + RUST_TYPE),
         Form("static", r"\bstatic\s+(?:mut\s+)?(?P<name>\w+)\s*:\s*" + RUST_TYPE),
@@ -85,10 +86,18 @@ CALLS = {
     "js": [(r"(?:\bfrom\s+|\bimport\s+|\brequire\(\s*)(['\"][^'\"\n]*['\"])", "import"), (r"\bextends\s+([A-Za-z_$][\w$.]*)", "base"), (r"(?<![\w$])([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\(", "call")],
     "c": [(r"#\s*include\s*([<\"][^>\"\n]+[>\"])", "import"), (r"\b([A-Za-z_]\w*)\s*\(", "call")],
     "cpp": [(r"#\s*include\s*([<\"][^>\"\n]+[>\"])", "import"), (r"(?:[:,]\s*(?:virtual\s+)?(?:public|protected|private)\s+)([A-Za-z_][\w:]*)", "base"), (r"(?<![\w:])((?:[A-Za-z_]\w*::)*[A-Za-z_]\w*)\s*\(", "call")],
-    "rust": [(r"\b(use\s+[^;{}]*(?:\{[^;]*\})?\s*;)", "import"), (r"\bimpl\b(?:\s*<[^{}]*?>)?\s+([\w:]+(?:<[^{}]*?>)?)\s+for\b", "base"), (r"(?<!\w)((?:[A-Za-z_]\w*(?:::|\.))*[A-Za-z_]\w*)\s*\(", "call"), (r"\b([A-Za-z_]\w*!)\s*[(\[{]", "call")],
+    "rust": [(r"\b(use\s+[^;{}]{0,400}(?:\{[^;]{0,4000}\})?\s*;)", "import"), (r"\bimpl\b(?:\s*<[^{}]{0,200}?>)?\s+([\w:]+(?:<[^{}]{0,200}?>)?)\s+for\b", "base"), (r"(?<!\w)((?:[A-Za-z_]\w*(?:::|\.))*[A-Za-z_]\w*)\s*\(", "call"), (r"\b([A-Za-z_]\w*!)\s*[(\[{]", "call")],
 }
-#: Words that are neither types nor names nor called.
-RESERVED = set("if for while switch catch return function sizeof match fn super new else do typeof throw case goto using namespace typedef delete defined import package assert synchronized try async await yield in of loop impl pub move as where let var mut".split())
+#: Words of each language that are neither types nor names nor called, unless a dot stands before them.
+RESERVED = {
+    "java": set("if for while switch catch return super new else do throw case goto import package assert synchronized try yield instanceof".split()),
+    "js": set("if for while switch catch return function super new else do typeof throw case import async await yield in of let var delete".split()),
+    "c": set("if for while switch return sizeof else do case goto typedef defined".split()),
+    "cpp": set("if for while switch catch return sizeof new else do throw case goto using namespace typedef delete defined try".split()),
+    "rust": set("if for while match return fn else in loop impl pub move as where let mut async await use super".split()),
+}
+#: Words that no method of JavaScript can be told from by its form.
+STATEMENTS = set("if for while switch catch function return".split())
 #: Words before a Java name that are no type, and C types that are no reference.
 MODIFIERS = set("public protected private static final abstract synchronized native default transient volatile".split())
 BUILTIN = set("int float double char bool void long short unsigned signed size_t auto".split())
@@ -110,6 +119,12 @@ SPRING = re.compile(r"@(Get|Post|Put|Patch|Delete|Request)Mapping\s*\(((?:[^()\"
 ATTRIBUTE = re.compile(r"#\[(get|post|put|patch|delete|head|options|route)\s*\(\s*\"([^\"]+)\"([^\]]*)\]", re.I)
 
 
+#: What can hide a comment in Rust, and the ends of comments, which nest there.
+RUST_QUIET, NESTED = re.compile(r"//[^\n]*|/\*|\"(?:\\.|[^\"\\])*\"|'(?:\\.[^'\n]{0,8}|[^'\\\n])'", re.S), re.compile(r"/\*|\*/")
+#: Macros, with the lines that they go on over.
+DEFINE = re.compile(r"^[ \t]*#[ \t]*define\b(?:[^\n\\]|\\.)*", re.M | re.S)
+
+
 def _blank(text: str) -> str:
     return re.sub(r"[^\n]", " ", text)
 
@@ -121,7 +136,19 @@ def masked(code: str, lang: str) -> str:
         text = m.group()
         return text[0] + _blank(text[1:-1]) + text[-1] if text[0] in "\"'`" and len(text) > 1 else _blank(text)
 
+    if lang == "rust":
+        out, at = [], 0
+        while m := RUST_QUIET.search(code, at):
+            end, depth = m.end(), m.group() == "/*"
+            while depth:
+                n = NESTED.search(code, end)
+                end, depth = (n.end(), depth + (1 if n.group() == "/*" else -1)) if n else (len(code), 0)
+            out += [code[at : m.start()], hide(m) if m.group() != "/*" else _blank(code[m.start() : end])]
+            at = end
+        return "".join(out) + code[at:]
     out = QUIET["js" if lang == "js" else "c"].sub(hide, code)
+    if lang in ("c", "cpp"):
+        out = DEFINE.sub(lambda m: _blank(m.group()), out)
     return ANNOTATION.sub(lambda m: re.sub(r"[{};]", " ", m.group()), out) if lang == "java" else out
 
 
@@ -192,9 +219,10 @@ class _Reader:
         dtype = " ".join((groups.get("type") or "").split())
         first = re.split(r"[\s*&<:]", dtype)[0]
         kind, base, endpoint, verbs = form.kind, None, None, []
-        if name in RESERVED or first in RESERVED and self.lang != "rust" or (self.lang == "java" and kind in ("method", "variable") and dtype in MODIFIERS):
+        reserved = RESERVED[self.lang]
+        if name in (STATEMENTS if self.lang == "js" and kind == "method" else reserved) or first in reserved and self.lang != "rust" or (self.lang == "java" and kind in ("method", "variable") and dtype in MODIFIERS):
             return None
-        if self.lang == "cpp" and kind == "variable" and first in ("public", "private", "protected", "virtual"):
+        if self.lang == "cpp" and kind == "variable" and (first in ("public", "private", "protected", "virtual") or first == "enum" and self.text.startswith("{", BLANK.match(self.text, m.end()).end())):
             return None
         if kind == "constructor" and name != (self.scopes[-1].name or "").rpartition(".")[2]:
             return None
@@ -270,7 +298,7 @@ class _Reader:
             return None
         last = name.rpartition(".")[2]
         before = self.text[max(0, a - 2) : a]
-        if last in RESERVED or name.split(".")[0] in RESERVED or before.endswith(("@", "~", "#[")):
+        if before.endswith(("@", "~", "#[")) or name.split(".")[0] in RESERVED[self.lang] and not before.endswith("."):
             return None
         if self.lang in ("java", "rust", "js") and before.endswith("."):
             name = last
