@@ -215,11 +215,12 @@ def links(docs: DataFrame, distinct: DataFrame, crowd: DataFrame) -> DataFrame:
     known = met.join(judged, ["hub", "own"], "left").select("hub", "own", "n", "odd", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("j", "most").alias("j"))
     known = stored(known, "known")
     apart = known.filter("not linked").groupBy("hub").agg(F.max("j").alias("nearest"))
-    left = known.join(apart, "hub").filter(~F.col("linked") | (F.col("j") <= F.col("nearest") + (1 - SIMILAR / 100) + 1e-9)).drop("j", "nearest")
+    # written down, so that a hub with very many texts can be split in the join
+    left = stored(known.join(apart, "hub").filter(~F.col("linked") | (F.col("j") <= F.col("nearest") + (1 - SIMILAR / 100) + 1e-9)).drop("j", "nearest"), "left")
     many = left.groupBy("hub").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
     left = left.join(many, "hub").withColumn("t", _tile(F.col("many"))).withColumn("u", _tiles(F.col("many")))
     left = left.select("hub", "own", "n", "odd", "linked", F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u"))
-    admitted = stored(left.groupBy("hub", "t", "u").applyInArrow(_admitted, "hub binary, t long, u long, own binary"), "admitted")
+    admitted = stored(left.repartition("hub", "t", "u").groupBy("hub", "t", "u").applyInArrow(_admitted, "hub binary, t long, u long, own binary"), "admitted")
     more = admitted.select("own").distinct().join(sets.select("own"), "own", "left_anti")
     every = sets.union(_sets_of(docs, more.join(distinct.select("own", "key"), "own")))
     found = admitted.join(every, "own").groupBy("hub", "t", "u").applyInArrow(_in_tile, "a binary, b binary")
