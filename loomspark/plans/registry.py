@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import names
-from loomspark.operators import build, catalog, chunks, extract, graph, mining, postings, search, trigrams, vectors
+from loomspark.operators import build, catalog, chunks, embed, extract, graph, mining, postings, search, trigrams, vectors
 from loomspark.plans import adapters as A
 from loomspark.operators.versions import Versions
 from loomspark.plans import sources
-from loomspark.sources import scratch, tree
+from loomspark.sources import files, scratch, tree
 from loomspark.streaming.graphs import Graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -735,3 +735,34 @@ def streamed_edges(t):
 @query(ORACLE_SQL["build_nodes"])
 def streamed_nodes(t):
     return _streamed(t).graph()[0]
+
+
+# --- trees of files, vectors of a model -----------------------------------------------------------
+
+
+@query(f"SELECT path, list_last(string_split(path, '/')) AS name, 'python' AS language, content FROM ({sources.files_sql(sources.PYTHON)})")
+def written_tree(t):
+    """The Python files as a tree of files, beside a folder that is skipped and files of other kinds, read by the data source."""
+    root = scratch.new_path(t.spark, "tree")
+    python = sources.files(t, sources.PYTHON)
+    skipped = python.withColumn("path", F.concat(F.lit("node_modules/"), "path"))
+    files.write_source_tree(python.unionByName(skipped).unionByName(sources.files(t, sources.JAVA)), root)
+    return files.read_source_tree(t.spark, root, skip_dirs="node_modules,.git", extensions="py")
+
+
+def _letters():
+    """A stand-in for a model: how often five letters occur."""
+    import numpy as np
+
+    return lambda texts: np.array([[text.count(c) for c in "aeiou"] for text in texts], np.float32)
+
+
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, 'a', 'o') ELSE text END AS text FROM documents), n AS (SELECT doc_id, text, CAST(length(text) - length(replace(text, 'a', '')) AS BIGINT) AS a, CAST(length(text) - length(replace(text, 'o', '')) AS BIGINT) AS o FROM d WHERE trim(text, ' ') <> '')
+SELECT doc_id, a, o, text NOT IN (SELECT text FROM documents WHERE text IS NOT NULL) AS fresh FROM n""")
+def texts_embedded_again(t):
+    """Vectors of all documents after a third of them changed: only texts that were not there before reach the model."""
+    path = scratch.new_path(t.spark, "embedded")
+    embed.embed(t.documents, _letters, path, "doc_id")
+    changed = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("a"), F.lit("o"))).otherwise(F.col("text"))
+    found = embed.embed(t.documents.select("doc_id", changed.alias("text")), _letters, path, "doc_id").filter("vector is not null")
+    return found.select("doc_id", F.col("vector")[0].cast("long").alias("a"), F.col("vector")[3].cast("long").alias("o"), "fresh")
