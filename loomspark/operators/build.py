@@ -17,6 +17,11 @@ def alias_table(entities: DataFrame) -> DataFrame:
     return rows.groupBy("alias").agg(F.min_by("canonical", rank).alias("canonical"), F.min(F.struct("seq", "pos")).alias("first")).select("alias", "canonical", F.col("first.seq").alias("alias_seq"), F.col("first.pos").alias("alias_pos"))
 
 
+def by_alias(asked: DataFrame, table: DataFrame) -> DataFrame:
+    """asked(alias) with the canonical entity that each stands for, null where none does."""
+    return asked.join(table.select("alias", "canonical"), "alias", "left")
+
+
 def resolve_calls(calls: DataFrame, table: DataFrame) -> DataFrame:
     """calls(..., called) with resolved and match_kind: exact alias, else the shortest canonical with the same simple name (the first of equal ones), else the name itself."""
     exact = table.select(F.col("alias").alias("called"), F.col("canonical").alias("exact"))

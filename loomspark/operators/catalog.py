@@ -111,6 +111,12 @@ def file_stats(files: DataFrame, chunks: DataFrame, key: str = "path", decl: Dat
     return out.fillna(0, list(counts))
 
 
+def chunks_of(chunks: DataFrame, files: DataFrame, key: str = "path", limit: int | None = None, page: int = 1) -> DataFrame:
+    """The chunks of files(key), in order of place; with a limit one page of them."""
+    rows = chunks.join(files.select(key).distinct(), key, "left_semi")
+    return rows if limit is None else paged(rows, [F.col(key), F.col("ord")], limit, page)
+
+
 def glob_pattern(glob: str) -> str:
     """A regex for a shell pattern in which * also crosses slashes."""
     out, i = "", 0

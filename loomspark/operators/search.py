@@ -108,25 +108,6 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id",
     return vectors.withColumn("distance", distance(F.col(column), q)).orderBy("distance", key).limit(k)
 
 
-def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(query, rank, key, distance): the k nearest rows to each query.
-
-    Queries travel to the data in arrays of about most_queries, one pass over the data for each; a
-    task keeps its k best per query before anything is shuffled.
-    """
-    blocks = max(1, -(-queries.count() // most_queries))
-    parts = [queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [queries]
-    return reduce(DataFrame.unionByName, [_nearest_in_block(vectors, part, k, key, column) for part in parts])
-
-
-def _nearest_in_block(vectors: DataFrame, queries: DataFrame, k: int, key: str, column: str) -> DataFrame:
-    asked = queries.select(F.struct(F.col(key).alias("query"), F.col(column).alias("q")).alias("s")).agg(F.collect_list("s").alias("asked"))
-    pairs = vectors.select(key, column).crossJoin(F.broadcast(asked)).select(key, column, F.explode("asked").alias("a")).filter(F.col(key) != F.col("a.query"))
-    rows = pairs.select(F.col("a.query").alias("query"), key, distance(F.col(column), F.col("a.q")).alias("distance"))
-    w = Window.partitionBy("query").orderBy("distance", key)
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "rank", key, F.round("distance", 5).alias("distance"))
-
-
 def hybrid(rows: DataFrame, query: str, vector: list[float], k: int, text: list[str], name: str, key: str = "node_id", column: str = "embedding", vector_weight: float = 0.7) -> DataFrame:
     """The k best of the min(3k, 100) nearest rows, by 0.7 vector and 0.3 keyword score.
 

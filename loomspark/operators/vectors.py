@@ -16,7 +16,7 @@ one length (another one raises); equal distances go by key; an index may hold mo
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -170,21 +170,8 @@ def _least(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _ranked(spark: SparkSession, path: str, asked: DataFrame, k: int, other_keys: bool) -> DataFrame:
-    """(query, key, cell, distance): the k best of each cell's slice, for asked(query, q, cell). Only the cells that are asked are read."""
-    asked = stored(asked, "asked")
-    cells = [r.cell for r in asked.select("cell").distinct().collect()]  # at most MOST_CELLS
-    rows = _lists(spark, path).filter(F.col("cell").isin(cells)).select("cell", "key", "v")
-    blocks = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("blocks"))
-    sizes = spark.read.parquet(f"{path}/cells").select("cell", F.ceil(F.col("n") / ROWS).alias("slices"))
-    shape = F.broadcast(blocks.join(sizes, "cell"))  # a row for each cell
-
-    def spread(name: str) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
-
-    left = rows.join(shape, "cell").select("cell", F.pmod(F.xxhash64("key", "v"), F.col("slices")).alias("slice"), spread("blocks").alias("block"), "key", "v")
-    right = asked.join(shape.filter("slices > 0"), "cell").select("cell", spread("slices").alias("slice"), F.pmod(F.xxhash64("query"), F.col("blocks")).alias("block"), "query", "q")
-    kinds = dict(rows.dtypes)["key"], dict(asked.dtypes)["query"]
+def _best(k: int, other_keys: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of rows(key, cell, v) of a block the k nearest to each of queries(query, q), equal distances by key."""
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         if not len(a) or not len(b):
@@ -207,7 +194,25 @@ def _ranked(spark: SparkSession, path: str, asked: DataFrame, k: int, other_keys
         who, at = pa.array(who[first]), pa.array(at[first])
         return pa.table({"query": b.column("query").take(who), "key": keys.take(at), "cell": a.column("cell").take(at), "distance": distance[first]})
 
-    return left.groupBy("cell", "slice", "block").cogroup(right.groupBy("cell", "slice", "block")).applyInArrow(best, f"query {kinds[1]}, key {kinds[0]}, cell long, distance double")
+    return best
+
+
+def _ranked(spark: SparkSession, path: str, asked: DataFrame, k: int, other_keys: bool) -> DataFrame:
+    """(query, key, cell, distance): the k best of each cell's slice, for asked(query, q, cell). Only the cells that are asked are read."""
+    asked = stored(asked, "asked")
+    cells = [r.cell for r in asked.select("cell").distinct().collect()]  # at most MOST_CELLS
+    rows = _lists(spark, path).filter(F.col("cell").isin(cells)).select("cell", "key", "v")
+    blocks = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("blocks"))
+    sizes = spark.read.parquet(f"{path}/cells").select("cell", F.ceil(F.col("n") / ROWS).alias("slices"))
+    shape = F.broadcast(blocks.join(sizes, "cell"))  # a row for each cell
+
+    def spread(name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+
+    left = rows.join(shape, "cell").select("cell", F.pmod(F.xxhash64("key", "v"), F.col("slices")).alias("slice"), spread("blocks").alias("block"), "key", "v")
+    right = asked.join(shape.filter("slices > 0"), "cell").select("cell", spread("slices").alias("slice"), F.pmod(F.xxhash64("query"), F.col("blocks")).alias("block"), "query", "q")
+    kinds = dict(rows.dtypes)["key"], dict(asked.dtypes)["query"]
+    return left.groupBy("cell", "slice", "block").cogroup(right.groupBy("cell", "slice", "block")).applyInArrow(_best(k, other_keys), f"query {kinds[1]}, key {kinds[0]}, cell long, distance double")
 
 
 def nearest(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int | None = None, other_keys: bool = False, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -236,3 +241,19 @@ def nearest_exact(spark: SparkSession, path: str, queries: DataFrame, k: int, pr
     more = far.mapInArrow(within, f"query {dict(queries.dtypes)['key']}, q array<double>, cell long").join(asked.select("query", "cell"), ["query", "cell"], "left_anti")
     found = _ranked(spark, path, more.select("query", "q", "cell"), k, other_keys).unionByName(first.select("query", "key", "cell", "distance"))
     return _least(found, k).select("query", "rank", "key", "cell", "distance")
+
+
+def nearest_to_each(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(query, rank, key, distance): the k nearest rows of another key to each query, without an index.
+
+    Rows go in slices and queries in blocks, and each slice meets each block as one product of matrices, which leaves the
+    k best of each query.
+    """
+    rows, queries = _vectors(rows, key, column), _vectors(queries, key, column)
+    slices, blocks = (max(1, -(-x.count() // n)) for x, n in ((rows, ROWS), (queries, QUERIES)))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = rows.select(F.pmod(F.xxhash64("key", "v"), F.lit(slices)).alias("slice"), all_of(blocks).alias("block"), F.lit(0).cast("long").alias("cell"), "key", "v")
+    right = queries.select(all_of(slices).alias("slice"), F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), F.col("key").alias("query"), F.col("v").alias("q"))
+    kind = dict(rows.dtypes)["key"]
+    found = left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInArrow(_best(k, True), f"query {kind}, key {kind}, cell long, distance double")
+    return _least(found, k).select("query", "rank", "key", "distance")

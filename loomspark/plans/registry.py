@@ -561,7 +561,8 @@ def list_files_page(t):
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS rank FROM d) SELECT query, CAST(rank AS INT) AS rank, vec_id, round(d, 5) AS distance FROM r WHERE rank <= 5""")
 def knn_each(t):
     """The five nearest rows to every row whose id is divisible by 100."""
-    return search.nearest_to_each(t.embeddings, t.embeddings.filter("vec_id % 100 = 0"), 5)
+    found = vectors.nearest_to_each(t.embeddings, t.embeddings.filter("vec_id % 100 = 0"), 5)
+    return found.select("query", "rank", F.col("key").alias("vec_id"), F.round("distance", 5).alias("distance"))
 
 
 @query("""WITH d AS (SELECT q.vec_id AS query, e.vec_id, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (z[1] - z[2])::DOUBLE * (z[1] - z[2])::DOUBLE)) AS d FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
@@ -766,3 +767,82 @@ def texts_embedded_again(t):
     changed = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("a"), F.lit("o"))).otherwise(F.col("text"))
     found = embed.embed(t.documents.select("doc_id", changed.alias("text")), _letters, path, "doc_id").filter("vector is not null")
     return found.select("doc_id", F.col("vector")[0].cast("long").alias("a"), F.col("vector")[3].cast("long").alias("o"), "fresh")
+
+
+# --- more lookups and pages ---------------------------------------------------------------------
+
+
+@query(sources.shown_sql("java"))
+def java_entities_in_chunks(t):
+    return sources.shown(t, "java")
+
+
+@query(sources.shown_sql("cpp"))
+def cpp_entities_in_chunks(t):
+    return sources.shown(t, "cpp")
+
+
+@query(f"""{WITH_GRAPH}, walk AS (SELECT node_id AS root, node_id, 0 AS depth, node_id AS path FROM key_nodes WHERE kind = 'region'
+  UNION ALL SELECT root, dst, depth + 1, path || '>' || dst FROM walk JOIN key_edges ON src = node_id WHERE depth < 3)
+SELECT root, k.node_id, kind, name, depth, path FROM walk JOIN key_nodes k USING (node_id)""")
+def print_tree_all_relations(t):
+    nodes, edges = _graph(t)
+    return graph.tree(nodes, edges, nodes.filter("kind = 'region'").select("node_id"), 3, None)
+
+
+@query("""WITH s AS (SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 're' THEN 0 WHEN contains(lower(p_name), 're') THEN 1 WHEN regexp_matches(lower(p_name), 'r.*e') THEN 2 END AS score FROM part WHERE lower(p_type) = (SELECT max(lower(p_type)) FROM part))
+SELECT p_partkey, p_name, score FROM s WHERE score IS NOT NULL ORDER BY score, lower(p_name), p_partkey LIMIT 5 OFFSET 5""")
+def search_by_type_and_name_page(t):
+    """The second page of the parts of one type by how well their names match."""
+    kind = t.part.agg(F.max(F.lower("p_type"))).first()[0]
+    rows = catalog.search_by_type_and_name(t.part, "re", kind, True, "p_type", "p_name")
+    return catalog.paged(rows, [F.col("score"), F.lower("p_name"), F.col("p_partkey")], 5, 2).select("p_partkey", "p_name", "score")
+
+
+@query("SELECT conv_id AS path, turn AS ord, text AS content FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'system')")
+def chunks_of_files(t):
+    """The turns of all conversations with a system turn."""
+    return catalog.chunks_of(A.turns(t), t.conversations.filter("role = 'system'").select(F.col("conv_id").alias("path")))
+
+
+@query("SELECT conv_id AS path, turn AS ord, text AS content FROM conversations ORDER BY conv_id, turn LIMIT 20 OFFSET 20")
+def all_chunks_page(t):
+    rows = A.turns(t)
+    return catalog.chunks_of(rows, rows, limit=20, page=2)
+
+
+@query("""WITH o AS (SELECT p_partkey, replace(p_name, ' ', '.') AS name FROM part), k AS (SELECT name, min(p_partkey) AS seq FROM o WHERE p_partkey % 2 = 0 GROUP BY 1),
+a AS (SELECT name AS alias, name AS canonical, false AS other, seq FROM k UNION ALL SELECT '.' || name, name, true, seq FROM k)
+SELECT p_partkey, '.' || o.name AS alias, coalesce((SELECT arg_min(canonical, (other, seq)) FROM a WHERE a.alias = '.' || o.name), '') AS canonical FROM o""")
+def entities_by_alias(t):
+    """Which entity a dotted name stands for; names of parts with even keys are entities, their aliases those without a path."""
+    rows = t.part.select("p_partkey", F.translate("p_name", " ", ".").alias("name"))
+    known = rows.filter("p_partkey % 2 = 0").groupBy("name").agg(F.min("p_partkey").alias("seq"))
+    table = known.select(F.col("name").alias("canonical"), "seq", F.explode(F.array("name", F.concat(F.lit("."), "name"))).alias("alias"))
+    table = table.groupBy("alias").agg(F.min_by("canonical", F.struct((F.col("alias") != F.col("canonical")), "seq")).alias("canonical"))
+    return build.by_alias(rows.select("p_partkey", F.concat(F.lit("."), "name").alias("alias")), table).select("p_partkey", "alias", F.coalesce("canonical", F.lit("")).alias("canonical"))
+
+
+@query("""WITH q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1), d AS (SELECT vec_id, list_sum(list_transform(list_zip(embedding, q), lambda z: (z[1] - z[2])::DOUBLE * (z[1] - z[2])::DOUBLE)) AS d FROM embeddings, q)
+SELECT vec_id, CAST(row_number() OVER (ORDER BY round(d, 6), vec_id) AS INT) AS rank FROM d QUALIFY rank BETWEEN 11 AND 20""")
+def search_page_vector(t):
+    found = search.search(t.embeddings, "", _first_vector(t), "vector", 10, 2, key="vec_id")
+    return found.select("vec_id", "rank")
+
+
+@query("""WITH q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1), d AS (SELECT vec_id, CAST(label AS VARCHAR) AS text, list_sum(list_transform(list_zip(embedding, q), lambda z: (z[1] - z[2])::DOUBLE * (z[1] - z[2])::DOUBLE)) AS d FROM embeddings, q),
+n AS (SELECT * FROM d ORDER BY d, vec_id LIMIT 60), k AS (SELECT *, CASE WHEN contains(text, '3') THEN 13.0 ELSE 0.0 END AS kw FROM n),
+s AS (SELECT vec_id, round(0.7 * (1 - d / CASE WHEN max(d) OVER () > 0 THEN max(d) OVER () ELSE 1 END) + 0.3 * kw / CASE WHEN max(kw) OVER () > 0 THEN max(kw) OVER () ELSE 1 END, 6) AS score FROM k)
+SELECT vec_id, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INT) AS rank FROM s QUALIFY rank BETWEEN 11 AND 20""")
+def search_page_hybrid(t):
+    rows = t.embeddings.withColumn("text", F.col("label").cast("string"))
+    return search.search(rows, "3", _first_vector(t), "hybrid", 10, 2, ["text"], "text", "vec_id").select("vec_id", "rank")
+
+
+@query("SELECT doc_id, quality, toxic FROM labels")
+def saved_results(t):
+    """Results written twice (the second time replaces the first) and read again."""
+    path = scratch.new_path(t.spark, "results")
+    mining.save_results(t.labels.limit(1), path)
+    mining.save_results(t.labels, path)
+    return t.spark.read.schema(t.labels.schema).json(path)

@@ -221,3 +221,34 @@ def graph(tables: Tables) -> tuple[DataFrame, DataFrame]:
 GRAPH_SQL = f"""WITH {PLACES_SQL}, d AS (SELECT DISTINCT path || '_' || ord AS chunk_id, name AS entity FROM places WHERE role = 'declared'),
 c AS (SELECT DISTINCT path || '_' || ord AS chunk_id, CASE WHEN starts_with(name, 'shop.other.show_') AND k + 1 IN (SELECT {PYTHON.key} FROM part) THEN 'show_' || (k + 1) ELSE name END AS entity FROM places WHERE role = 'called'),
 f AS (SELECT DISTINCT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder FROM places), ch AS (SELECT path, path || '_' || unnest(range(4)) AS chunk_id FROM f)"""
+
+
+# --- where the entities of other languages show --------------------------------------------------
+
+WORD_SQL, CALL_SQL = (f"regexp_matches(code, '\\b\\Q' || base || '\\E{end}')" for end in ("\\b", "\\s*\\("))
+#: When an entity shows in a chunk, told in SQL.
+SHOWS_SQL = {
+    "java": f"CASE WHEN role = 'called' OR type IN ('class', 'variable') THEN {WORD_SQL} WHEN type IN ('function', 'method', 'api_endpoint') THEN {CALL_SQL} ELSE false END",
+    "cpp": f"""CASE WHEN (role = 'called' OR type IN ('class', 'variable')) AND NOT contains(name, '::') AND {WORD_SQL} THEN true WHEN role = 'called' OR type IN ('function', 'method') THEN {CALL_SQL}
+      WHEN type = 'class' THEN regexp_matches(code, '(?m)^\\s*(?:class|struct)\\s+\\Q' || base || '\\E[\\s:{{]') WHEN type = 'variable' THEN {WORD_SQL} ELSE false END""",
+}
+#: Where their files are cut.
+CUTS = {"java": "\n\n", "cpp": "}\n"}
+
+
+def shown(tables: Tables, lang: str) -> DataFrame:
+    """Which chunks of its file an entity of a Java or C++ template shows in."""
+    t = TEMPLATES[lang]
+    rows = files(tables, t)
+    cut = rows.select("path", F.posexplode(F.split("content", CUTS[lang].replace("}", "\\}"))).alias("ord", "content"))
+    pieces = cut.select("path", "ord", F.concat_ws("_", "path", F.col("ord").cast("string")).alias("chunk_id"), F.lit(lang).alias("language"), "content")
+    found = extract.entities_in_chunks(extract.entities(rows), pieces)
+    return found.select("path", "role", "name", F.coalesce("type", F.lit("")).alias("type"), "ord").distinct()
+
+
+def shown_sql(lang: str) -> str:
+    t = TEMPLATES[lang]
+    return f"""WITH f AS ({files_sql(t)}), e AS ({entities_sql(t)}), p AS (SELECT path, string_split(content, {_text(CUTS[lang])}) AS parts FROM f),
+    k AS (SELECT path, regexp_replace(unnest(parts), '(?s)/\\*.*?\\*/|//[^\n]*', '', 'g') AS code, CAST(generate_subscripts(parts, 1) - 1 AS INT) AS ord FROM p),
+    n AS (SELECT DISTINCT path, role, name, type, CASE WHEN contains(name, '::') THEN list_last(string_split(name, '::')) ELSE list_last(string_split(name, '.')) END AS base FROM e)
+    SELECT DISTINCT path, role, name, type, ord FROM n JOIN k USING (path) WHERE {SHOWS_SQL[lang]}"""

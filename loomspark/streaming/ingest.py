@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomspark.operators.chunks import fixed_chunks
+from loomspark.operators.versions import last_of_each
 
 
-def stream_chunks(spark: SparkSession, folder: str, target: str, checkpoint: str, schema: str = "path string, content string", size: int = 2000) -> StreamingQuery:
-    """Reads files(path, content) as they arrive and appends their chunks, once per batch even if it is retried."""
+def stream_chunks(spark: SparkSession, folder: str, target: str, checkpoint: str, schema: str = "path string, content string, seq long", size: int = 2000) -> StreamingQuery:
+    """Reads files(path, content, seq) as they arrive and appends their chunks, once per batch even if it is retried; of several versions of a path in a batch the one with the highest seq counts."""
     files = spark.readStream.schema(schema).parquet(folder)
 
     def write(batch: DataFrame, number: int) -> None:
-        fixed_chunks(batch, size=size).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        fixed_chunks(last_of_each(batch, "path", "seq"), size=size).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

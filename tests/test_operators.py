@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import names
-from loomspark.operators import build, catalog, chunks, extract, graph, mining, search
+from loomspark.operators import build, catalog, chunks, extract, graph, mining, search, vectors
 from loomspark.sources import tree
 from loomspark.streaming import ingest
 
@@ -229,12 +229,14 @@ def test_listing_patterns(spark):
     assert [r.name for r in catalog.inheriting(classes, "base").collect()] == ["A"]
 
 
-def test_search(spark):
+def test_search(spark, monkeypatch):
     v = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(6)], "vec_id long, embedding array<float>")
-    near = search.nearest_to_each(v, v.filter("vec_id in (0, 5)"), 2)
-    assert sorted((r.query, r.rank, r.vec_id) for r in near.collect()) == [(0, 1, 1), (0, 2, 2), (5, 1, 4), (5, 2, 3)]
-    blocks = search.nearest_to_each(v, v, 2, most_queries=2).collect()
-    assert sorted(map(tuple, blocks)) == sorted(map(tuple, search.nearest_to_each(v, v, 2).collect())) and len(blocks) == 12
+    near = vectors.nearest_to_each(v, v.filter("vec_id in (0, 5)"), 2)
+    assert sorted((r["query"], r["rank"], r.key) for r in near.collect()) == [(0, 1, 1), (0, 2, 2), (5, 1, 4), (5, 2, 3)]
+    whole = vectors.nearest_to_each(v, v, 2).collect()
+    monkeypatch.setattr(vectors, "QUERIES", 2)
+    monkeypatch.setattr(vectors, "ROWS", 4)
+    assert sorted(map(tuple, vectors.nearest_to_each(v, v, 2).collect())) == sorted(map(tuple, whole)) and len(whole) == 12
     d = spark.createDataFrame([(1, "red fish red"), (2, "blue fish"), (3, "")], "id long, text string")
     assert [r.id for r in search.bm25(d, "id", "text", "red fish").orderBy(F.desc("score")).collect()] == [1, 2]
     post, size = search.inverted_index(d, "id", "text")
@@ -264,7 +266,7 @@ def test_diff_and_gaps(spark):
 def test_stream_of_files(spark, tmp_path):
     source = str(tmp_path / "in")
     for text in ("x" * 2500, "new"):
-        spark.createDataFrame([("f", text)], "path string, content string").coalesce(1).write.mode("append").parquet(source)
+        spark.createDataFrame([("f", text, 2), ("f", "older", 1)], "path string, content string, seq long").coalesce(1).write.mode("append").parquet(source)
         ingest.stream_chunks(spark, source, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert [r.content for r in ingest.latest_chunks(spark, str(tmp_path / "out")).collect()] == ["new"]
 
