@@ -268,3 +268,9 @@ def line_quality(docs: DataFrame, field: Field | None, content_share: float = CO
 def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return line_quality(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def base_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed counts alone, which SQL can state."""
+    found = line_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), None)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")

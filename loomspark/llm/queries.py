@@ -18,6 +18,8 @@ QUERIES = {
     "op11_odd_sketches": oddsketch.op11_odd_sketches,
     "op12_auction_repair": auction.op12_auction_repair,
     "op13_coordinate_pruning": lemp.op13_coordinate_pruning,
+    "base_line_counts": linecrf.base_line_counts,
+    "base_secret_spans": secrets.base_secret_spans,
 }
 
 OP4_SQL = """
@@ -88,4 +90,24 @@ ended AS (SELECT d.conv_id, d.c + ins.c AS c, d.l || ins.l AS l, d.out || ins.ou
 SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(c, 0) AS BIGINT) AS cost, coalesce(l, '') AS audit, sha256(coalesce(array_to_string(out, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) AS e LEFT JOIN per ON per.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM e.conv_id"""
 
-ORACLE_SQL: dict[str, str] = {"op4_prefix_free_parse": OP4_SQL, "op11_odd_sketches": OP11_SQL, "op6_relative_lempel_ziv": OP6_SQL, "op12_auction_repair": OP12_SQL, "op13_coordinate_pruning": OP13_SQL}
+LINES_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+win AS (SELECT doc_id, s, list_slice(w, s, s + 2) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS s FROM d)),
+again AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+r AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(s, s + 3)) AS i FROM again) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
+FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)"""
+
+SECRETS_SQL = r"""
+WITH kinds(kind, rank, pattern, least) AS (VALUES ('assign', 0, '(?i:(?:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6), ('access', 1, '(AKIA[A-Z0-9]+)', 20), ('hex', 2, '([0-9a-f]+)', 24)),
+d AS (SELECT doc_id, kind, rank, least, regexp_extract_all(text, pattern) AS m, regexp_extract_all(text, pattern, 1) AS v, string_split_regex(text, replace(replace(pattern, '(AKIA', '(?:AKIA'), '([', '(?:[')) AS p
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents), kinds),
+h AS (SELECT doc_id, kind, rank, least, unnest(m) AS m, unnest(v) AS v, unnest(list_slice(p, 1, len(m))) AS p, generate_subscripts(m, 1) AS i FROM d WHERE len(m) > 0),
+s AS (SELECT *, sum(length(p) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM h),
+n AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || CAST(stop - length(m) AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY stop - length(m), rank) AS spans FROM s WHERE length(v) >= least GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(spans, '') AS base_spans FROM documents AS d LEFT JOIN n USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op4_prefix_free_parse": OP4_SQL, "op11_odd_sketches": OP11_SQL, "op6_relative_lempel_ziv": OP6_SQL, "op12_auction_repair": OP12_SQL, "op13_coordinate_pruning": OP13_SQL, "base_line_counts": LINES_SQL, "base_secret_spans": SECRETS_SQL}

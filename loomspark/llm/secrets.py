@@ -182,6 +182,13 @@ def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts[:3], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("x_spans")).alias("spans"), counts[3])
 
 
+def base_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed patterns alone, which SQL can state."""
+    found = scanned(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").cast("string")), ["doc_id"])
+    base = _spans([(k, F.col(f"x_{k}")) for k in KINDS[:3]])
+    return found.select("doc_id", *[F.size(f"x_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]], _joined(base).alias("base_spans"))
+
+
 MARK = "[SECRET]"
 
 

@@ -6,7 +6,7 @@ import pytest
 from loomspark.llm import queries
 
 SF = "/root/testdata/sf0.001"
-NEW = ["op11_odd_sketches", "op12_auction_repair", "op13_coordinate_pruning"]
+NEW = ["op11_odd_sketches", "op12_auction_repair", "op13_coordinate_pruning", "base_line_counts", "base_secret_spans"]
 
 
 def rows(frame):
