@@ -2,7 +2,7 @@
 
 `repeated_bytes` (prefix-free parsing): rolling-hash triggers cut texts into phrases. The
 dictionary holds each distinct phrase once; the parse says where it occurs. The suffixes of
-dictionary phrases are sorted by their bytes, and equal ones by the parse's places, which gives the
+dictionary phrases are ranked by doubling, and equal ones stand by the parse's places, which gives the
 suffixes of the corpus in order up to 50 bytes; a suffix that shares these with one of a smaller
 document is a repeat. Phrases overlap by 49 bytes, so that no suffix needs the phrases after its
 own. Phrases that can share no suffix with another one are not sorted.
@@ -43,17 +43,27 @@ def word_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 # --- suffixes of dictionary phrases, in corpus order ------------------------------------------
 
 
+def ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
+    """The rank of the `depth` symbols from each place on, in their order, by doubling: a run's rank is that of the ranks of its halves, or of two overlapping runs."""
+    rank, size = np.unique(symbols, return_inverse=True)[1].astype(np.uint64), 1
+    while size < depth:
+        step = min(size, depth - size)
+        rank = np.unique(rank[: len(rank) - step] << np.uint64(32) | rank[step:], return_inverse=True)[1].astype(np.uint64)
+        size += step
+    return rank
+
+
 def suffix_order(pieces: Pieces, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The piece and offset of every suffix of `depth` bytes or more, in the order of their first `depth` bytes and then of their places; and which of them differ from the one before."""
     n = np.maximum(np.diff(pieces.at) - depth + 1, 0)
     of, offset = np.repeat(np.arange(len(n)), n), within(np.zeros(len(n), np.int64), n)
     if not len(of):
         return of, offset, np.zeros(0, bool)
-    suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(pieces.symbols, depth)[pieces.at[of] + offset])
+    rank = ranks(pieces.symbols, depth)[pieces.at[of] + offset]
     # the pieces stand in the order of their places, and so do their suffixes: a stable sort keeps that among equal ones
-    order = np.argsort(suffixes.view(f"S{depth}").ravel(), kind="stable")
-    suffixes = suffixes[order]
-    return of[order], offset[order], np.append(True, (suffixes[1:] != suffixes[:-1]).any(axis=1))
+    order = np.argsort(rank, kind="stable")
+    rank = rank[order]
+    return of[order], offset[order], np.append(True, rank[1:] != rank[:-1])
 
 
 def repeated_suffixes(pieces: Pieces, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

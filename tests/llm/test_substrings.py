@@ -158,3 +158,12 @@ def test_long_words_whose_byte_sums_are_equal_stay_apart(spark):
     docs = [(1, f"{before} {x} {after}"), (2, f"{before} {y} {after}"), (3, f"{before} {x} {after}")]
     got = {r.doc_id: r.n_removed for r in substrings.repeated_words(spark.createDataFrame(docs, "doc_id long, text string")).selectExpr("doc_id", "aggregate(spans, 0L, (n, s) -> n + s.end - s.start) as n_removed").collect()}
     assert got == {1: 0, 2: 0, 3: 21}
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 7, 50])
+def test_ranks_by_doubling_like_sorted_windows(depth):
+    rng = np.random.default_rng(depth)
+    data = rng.integers(97, 99, 400).astype(np.uint8)
+    windows_ = [bytes(data[i : i + depth]) for i in range(len(data) - depth + 1)]
+    place = {w: k for k, w in enumerate(sorted(set(windows_)))}
+    assert substrings.ranks(data, depth).tolist() == [place[w] for w in windows_]
