@@ -405,11 +405,39 @@ def alias_resolve(t):
     return build.resolve_calls(calls, table).select("p_partkey", "called", "resolved", "match_kind")
 
 
-@query()
+#: The rule of registration taken in order, for names of which those with different last parts share no alias; {name} is an occurrence's name.
+REGISTER_SQL = """WITH RECURSIVE p AS (SELECT p_partkey AS occ, p_partkey // 8 AS chunk, replace(p_name, ' ', '_') AS base, lower(p_brand) AS b, lower(p_type) AS d FROM part),
+a AS (SELECT row_number() OVER (PARTITION BY base ORDER BY occ) AS r, *, [name, list_last(string_split(name, '::')), '.' || b || '.' || name, '.' || d || '.' || b || '.' || name, d || '.' || b || '.' || name] AS names FROM (SELECT *, {name} AS name FROM p)),
+st AS (
+  SELECT DISTINCT CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS occ, base, '' AS name, '' AS found, CAST(-1 AS BIGINT) AS chunk, CAST(MAP {{}} AS MAP(VARCHAR, BIGINT)) AS born, CAST(MAP {{}} AS MAP(VARCHAR, STRUCT(b BIGINT, e VARCHAR))) AS oldest, CAST(MAP {{}} AS MAP(VARCHAR, VARCHAR)) AS now FROM a
+  UNION ALL
+  SELECT r, occ, base, name, found, chunk, map_concat(born, MAP {{found: since}}),
+    map_concat(oldest, map_from_entries(list_transform(list_filter(list_distinct(names), lambda x: coalesce(oldest[x].b > since, true)), lambda x: (x, {{'b': since, 'e': found}})))),
+    map_concat(now, map_from_entries(list_transform(list_distinct(list_append(names, found)), lambda x: (x, found))))
+  FROM (SELECT *, coalesce(born[found], occ) AS since FROM (
+    SELECT *, coalesce(list_filter(list_transform(names, lambda x: coalesce(now[x], CASE WHEN born[x] IS NOT NULL THEN x END, oldest[x].e)), lambda x: x IS NOT NULL)[1], name) AS found
+    FROM (SELECT a.r, a.occ, a.base, a.name, a.chunk, a.names, born, oldest, CASE WHEN a.chunk = st.chunk THEN now ELSE CAST(MAP {{}} AS MAP(VARCHAR, VARCHAR)) END AS now FROM st JOIN a ON a.base = st.base AND a.r = st.r + 1))))
+SELECT occ, name, found AS entity FROM st WHERE r > 0"""
+
+
+def _parts_as_declarations(t, name) -> DataFrame:
+    rows = t.part.select(F.col("p_partkey").alias("occ"), F.floor(F.col("p_partkey") / 8).alias("chunk_seq"), F.translate("p_name", " ", "_").alias("base"), F.lower("p_brand").alias("b"), F.lower("p_type").alias("d"))
+    return rows.select("occ", "chunk_seq", name.alias("name"), F.concat("d", F.lit("/"), "b", F.lit(".py")).alias("path"))
+
+
+@query(REGISTER_SQL.format(name="base"))
 def register_entities(t):
     """Parts as declarations that may share a name: each joins the first entity that it is an alias of."""
-    rows = t.part.select(F.col("p_partkey").alias("occ"), F.floor(F.col("p_partkey") / 8).alias("chunk_seq"), F.translate("p_name", " ", "_").alias("name"), F.concat(F.lower("p_type"), F.lit("/"), F.lower("p_brand"), F.lit(".py")).alias("path"))
-    return build.register(rows).select("occ", "name", "entity")
+    return build.register(_parts_as_declarations(t, F.col("base"))).select("occ", "name", "entity")
+
+
+@query(REGISTER_SQL.format(name="CASE occ % 5 WHEN 1 THEN 'm' || occ % 3 || '::' || base WHEN 2 THEN '.' || b || '.' || base WHEN 3 THEN d || '.' || b || '.' || base ELSE base END"))
+def register_shared_names(t):
+    """The same with names that are each other's aliases: plain, in a namespace, and with their path."""
+    kind = F.col("occ") % 5
+    space = F.concat(F.lit("m"), (F.col("occ") % 3).cast("string"), F.lit("::"), "base")
+    name = F.when(kind == 1, space).when(kind == 2, F.concat(F.lit("."), "b", F.lit("."), "base")).when(kind == 3, F.concat_ws(".", "d", "b", "base")).otherwise(F.col("base"))
+    return build.register(_parts_as_declarations(t, name)).select("occ", "name", "entity")
 
 
 # --- the build path ---------------------------------------------------------------------------
