@@ -45,7 +45,10 @@ def word_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
     """The rank of the `depth` symbols from each place on, in their order, by doubling: a run's rank is that of the ranks of its halves, or of two overlapping runs."""
-    rank, size = np.unique(symbols, return_inverse=True)[1].astype(np.uint64), 1
+    rank, size = symbols, 1
+    if symbols.dtype == np.uint8 and 8 <= depth <= len(symbols):  # eight bytes in the order of their number
+        rank, size = np.ndarray((len(symbols) - 7,), ">u8", np.ascontiguousarray(symbols), strides=(1,)).astype(np.uint64), 8
+    rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
     while size < depth:
         step = min(size, depth - size)
         rank = np.unique(rank[: len(rank) - step] << np.uint64(32) | rank[step:], return_inverse=True)[1].astype(np.uint64)

@@ -160,7 +160,7 @@ def test_long_words_whose_byte_sums_are_equal_stay_apart(spark):
     assert got == {1: 0, 2: 0, 3: 21}
 
 
-@pytest.mark.parametrize("depth", [1, 2, 3, 7, 50])
+@pytest.mark.parametrize("depth", [1, 2, 3, 7, 8, 9, 50])
 def test_ranks_by_doubling_like_sorted_windows(depth):
     rng = np.random.default_rng(depth)
     data = rng.integers(97, 99, 400).astype(np.uint8)
