@@ -56,15 +56,33 @@ def _cut(text: str, size: int, separators: list[str]) -> Iterator[str]:
         yield from _cut(held, size, rest)
 
 
-def split_source(files: DataFrame, size: int = CHUNK) -> DataFrame:
-    """(path, ord, content) of files(path, language, content), cut at the language's separators; the pieces make up the file again."""
+def split_source(files: DataFrame, size: int = CHUNK, overlap: int = 0) -> DataFrame:
+    """(path, ord, content, shared) of files(path, language, content), cut at the language's separators into pieces of at most `size` characters.
+
+    Each piece begins with `shared` characters of the one before: `overlap`, or all that one added if that is
+    less. A null or empty file has no pieces; `rejoined` gives the files back.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be smaller than size")
+
+    def pieces(text: str, language: str) -> Iterator[tuple[str, int]]:
+        tail = ""
+        for own in _cut(text, size - overlap, [*SEPARATORS.get(language, []), "\n\n", "\n", " "]):
+            yield tail + own, len(tail)
+            tail = own[-overlap:] if overlap else ""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(p, i, c) for p, lang, text in zip(batch["path"], batch["language"], batch["content"], strict=True) if text for i, c in enumerate(_cut(text, size, [*SEPARATORS.get(lang, []), "\n\n", "\n", " "]))]
-            yield pd.DataFrame(rows, columns=["path", "ord", "content"])
+            rows = [(p, i, c, n) for p, lang, text in zip(batch["path"], batch["language"], batch["content"], strict=True) if text for i, (c, n) in enumerate(pieces(text, lang))]
+            yield pd.DataFrame(rows, columns=["path", "ord", "content", "shared"])
+
+    return files.select("path", "language", "content").mapInPandas(run, "path string, ord int, content string, shared int")
+
 
-    return files.select("path", "language", "content").mapInPandas(run, "path string, ord int, content string")
+def rejoined(pieces: DataFrame) -> DataFrame:
+    """(path, n_chunks, longest, content) of the files that `split_source` cut, without what neighbours share."""
+    rows = pieces.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "content", "shared"))).alias("p"), F.max(F.length("content")).alias("longest"))
+    return rows.select("path", F.size("p").alias("n_chunks"), "longest", F.array_join(F.transform("p", lambda x: F.substring(x["content"], x["shared"] + 1, F.length(x["content"]))), "").alias("content"))
 
 
 def joined(pieces: Column) -> Column:

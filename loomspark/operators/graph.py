@@ -86,25 +86,35 @@ def _only(edges: DataFrame, relations: list[str] | None) -> DataFrame:
     return edges if not relations else edges.filter(F.col("relation").isin(relations))
 
 
-def reach(edges: DataFrame, start: DataFrame, depth: int, relations: list[str] | None = None, directed: bool = True) -> DataFrame:
-    """(node_id, depth, parent) of all nodes within `depth` steps of start(node_id), by breadth-first frontiers.
-
-    Each step joins the frontier to the edges and drops nodes seen before; it is written to shared
-    storage, so that plans stay short and lost executors cost one step.
-    """
+def _frontiers(edges: DataFrame, start: DataFrame, depth: int, relations: list[str] | None, directed: bool) -> list[DataFrame]:
+    """(node_id, depth, parent) of the nodes at each number of steps from start(node_id), nearest first."""
     links = _only(edges, relations).select("src", "dst")
     if not directed:
         links = links.union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     seen = stored(start.select("node_id").distinct().select("node_id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")), "reach")
-    frontier = seen
+    out = [seen]
     for d in range(1, depth + 1):
-        found = frontier.select(F.col("node_id").alias("src")).join(links, "src").groupBy("dst").agg(F.min("src").alias("parent"))
+        found = out[-1].select(F.col("node_id").alias("src")).join(links, "src").groupBy("dst").agg(F.min("src").alias("parent"))
         fresh = found.withColumnRenamed("dst", "node_id").join(seen.select("node_id"), "node_id", "left_anti").select("node_id", F.lit(d).alias("depth"), "parent")
         frontier = stored(fresh, "frontier")
         if frontier.isEmpty():
             break
+        out.append(frontier)
         seen = seen.unionByName(frontier)
-    return seen
+    return out
+
+
+def reach(edges: DataFrame, start: DataFrame, depth: int, relations: list[str] | None = None, directed: bool = True) -> DataFrame:
+    """(node_id, depth, parent) of all nodes within `depth` steps of start(node_id), by breadth-first frontiers.
+
+    Each step joins the frontier to the edges and drops nodes seen before; it is written to shared
+    storage, so that plans stay short and lost executors cost one step.
+    """
+    levels = _frontiers(edges, start, depth, relations, directed)
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame, start: DataFrame, depth: int = 2, relations: list[str] | None = None, edges_filtered: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -131,11 +141,15 @@ def find_paths(edges: DataFrame, source: DataFrame, targets: DataFrame, max_dept
 
     status is found, or none within max_depth steps; ties go to the parent with the smallest id.
     """
-    near = reach(edges, source, max_depth, relations)
-    walk = near.join(targets.select(F.col("node_id").alias("target")), near.node_id == F.col("target")).select("target", F.col("node_id").alias("at"), "parent", "depth", F.array("node_id").alias("path"))
-    up = near.select(F.col("node_id").alias("at"), F.col("parent").alias("next"))
-    for _ in range(max_depth):
-        walk = walk.drop("parent").join(up, "at").select("target", F.coalesce("next", "at").alias("at"), F.col("next").alias("parent"), "depth", F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat(F.array("next"), "path")).alias("path"))
+    levels = _frontiers(edges, source, max_depth, relations, True)
+    wanted = stored(targets.select(F.col("node_id").alias("target")), "targets")
+    walk = None
+    for level in reversed(levels):  # a walk meets only the frontier at which it stands
+        ends = level.join(wanted, F.col("node_id") == F.col("target")).select("target", F.col("parent").alias("next"), "depth", F.array("node_id").alias("path"))
+        if walk is not None:
+            up = level.select(F.col("node_id").alias("next"), "parent")
+            ends = ends.unionByName(walk.join(up, "next").select("target", F.col("parent").alias("next"), "depth", F.concat(F.array("next"), "path").alias("path")))
+        walk = ends
     found = walk.select("target", F.lit("found").alias("status"), F.col("depth").alias("length"), F.array_join("path", ">").alias("path"))
     rest = targets.select(F.col("node_id").alias("target")).join(found, "target", "left_anti").select("target", F.lit("none").alias("status"), F.lit(None).cast("int").alias("length"), F.lit("").alias("path"))
     return found.unionByName(rest)

@@ -193,6 +193,15 @@ def file_stats(t):
     return catalog.file_stats(files, chunks.fixed_chunks(files))
 
 
+@query("""SELECT path, length(content) AS n_characters, true AS fits, sha256(content) AS sha256 FROM (SELECT 'd' || doc_id AS path, text AS content FROM documents UNION ALL SELECT 'p' || page_id, html FROM pages) WHERE content <> ''""")
+def split_source(t):
+    """Documents and pages cut at separators with an overlap, and put together again from the pieces."""
+    texts = t.documents.select(F.concat(F.lit("d"), "doc_id").alias("path"), F.lit("markdown").alias("language"), F.col("text").alias("content"))
+    pages = t.pages.select(F.concat(F.lit("p"), "page_id").alias("path"), F.lit("html").alias("language"), F.col("html").alias("content"))
+    back = chunks.rejoined(chunks.split_source(texts.unionByName(pages), 500, 50))
+    return back.select("path", F.length("content").alias("n_characters"), (F.col("longest") <= 500).alias("fits"), F.sha2("content", 256).alias("sha256"))
+
+
 @query("""SELECT d.doc_id AS path, CAST(i AS INT) AS ord, substr(text, CAST(i * 2000 + 1 AS BIGINT), 2000) AS content FROM documents d, unnest(range(CAST(ceil(length(text) / 2000.0) AS BIGINT))) AS u(i)""")
 def chunk_documents(t):
     return chunks.fixed_chunks(t.documents.select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
@@ -457,6 +466,16 @@ for _lang in sources.TEMPLATES:
     _extraction(_lang)
 
 
+@query(" UNION ALL ".join(sources.forms_sql(lang) for lang in sources.FORMS))
+def extract_forms(t):
+    """Entities of files of several forms in each language, by their keys."""
+    out = None
+    for lang in sources.FORMS:
+        found = sources.form_entities(t, lang)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query(f"WITH {sources.PLACES_SQL} SELECT DISTINCT path, role, name, type, ord FROM places")
 def entities_in_chunks(t):
     return sources.mapped(t)[2].select("path", "role", "name", F.coalesce("type", F.lit("")).alias("type"), "ord").distinct()
@@ -556,6 +575,16 @@ def stored_graph(t):
     return edges.join(nodes.select(F.col("node_id").alias("src"), "name"), "src").select("src", "dst", "relation", "name")
 
 
+@query(f"""{WITH_GRAPH} SELECT src, dst, relation, a.kind AS src_kind, b.kind AS dst_kind, b.name AS dst_name FROM key_edges e JOIN key_nodes a ON a.node_id = src JOIN key_nodes b ON b.node_id = dst""")
+def json_graph(t):
+    """The key graph written as JSON graph files and read again."""
+    path = scratch.new_path(t.spark, "graph")
+    tree.save_graph_json(*_graph(t), path)
+    nodes, edges = tree.load_graph_json(t.spark, path)
+    ends = [nodes.select(F.col("node_id").alias(end), F.col("kind").alias(f"{end}_kind"), F.col("name").alias(f"{end}_name")) for end in ("src", "dst")]
+    return edges.join(ends[0], "src").join(ends[1], "dst").select("src", "dst", "relation", "src_kind", "dst_kind", "dst_name")
+
+
 @query("""SELECT conv_id, count(*) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS n_characters FROM conversations GROUP BY 1""")
 def flat_export(t):
     """Conversations with their turns nested, as a flat table of JSON strings and back."""

@@ -143,6 +143,69 @@ mod inner { pub fn deep() {} }
 TEMPLATES = {"python": PYTHON, "java": JAVA, "javascript": JAVASCRIPT, "c": CLANG, "cpp": CPLUSPLUS, "rust": RUST}
 
 
+# --- other forms: what a file looks like follows its key -----------------------------------------
+
+JAVA_STORE = JAVA._replace(
+    path="src/n{g}/Store{k}.java",
+    code='''package com.n{g};
+
+public interface Store{k} extends Shelf { void match(int id); }
+
+@RestController
+class Delete{k} {
+    @DeleteMapping("/s{k}")
+    public void delete(int id) { repo.delete(id); name.match(other{k}); }
+}
+enum Level{k} { LOW, HIGH }
+''',
+    found=_declared(("com.n{g}.Store{k}", "interface"), ("com.n{g}.Store{k}::match", "method"), ("com.n{g}.Store{k}::match.id", "variable", "int"), ("com.n{g}.Delete{k}", "class"), ("com.n{g}.Delete{k}::delete", "api_endpoint", None, "/s{k}", "DELETE"), ("com.n{g}.Delete{k}::delete.id", "variable", "int"), ("com.n{g}.Level{k}", "enum"))
+    + _called("base", "Shelf") + _called("call", "repo.delete", "name.match"),
+)
+JAVASCRIPT_CALLS = JAVASCRIPT._replace(
+    path="web/n{g}/calls_{k}.js",
+    code='''const tools = require('tools{g}');
+export default function main{k}(a) { api.delete(`/parts/p{k}`); p.catch(fail); }
+export class View{k} {
+  static async load(key) { return fetch('/views/{k}'); }
+}
+/* function ghost{k}() {} // */
+const text = "function ghost() {}";
+''',
+    found=_declared(("tools", "variable", "unknown"), ("main{k}", "function"), ("main{k}.a", "variable", "unknown"), ("View{k}", "class"), ("View{k}.load", "method"), ("View{k}.load.key", "variable", "unknown"), ("text", "variable", "unknown"))
+    + _called("import", "tools{g}") + _called("call", "require", "api.delete", "p.catch", "fetch") + _called("api", "API:GET:/views/{k}"),
+)
+CPLUSPLUS_NESTED = CPLUSPLUS._replace(
+    path="src/c{g}/nested_{k}.cpp",
+    code='''#include <vector>
+namespace shop {
+namespace inner {
+enum class Color{k} { RED, BLUE };
+struct Point{k} { int x; };
+}
+template <typename T> T largest{k}(T a, T b) { return pick(a, b); }
+}
+''',
+    found=_declared(("shop::inner::Point{k}", "class"), ("shop::largest{k}", "function"), ("shop::largest{k}.a", "variable", "T"), ("shop::largest{k}.b", "variable", "T"))
+    + _called("import", "vector") + _called("call", "pick"),
+)
+RUST_NEW = RUST._replace(
+    path="src/n{g}/new_{k}.rs",
+    code='''use crate::base::Base;
+pub struct P{k} { id: u64 }
+impl P{k} {
+    pub fn new(id: u64) -> Self { /* a /* b */ fn ghost() {} */ make(id) }
+    fn get(&self) -> u64 { self.id }
+}
+static LIMIT: u32 = {g};
+fn drop_{k}(p: P{k}) { p.delete(); Base::open(p) }
+''',
+    found=_declared(("P{k}", "struct"), ("P{k}.id", "field", "u64"), ("P{k}::new", "method"), ("P{k}::new.id", "variable", "u64"), ("P{k}::get", "method"), ("LIMIT", "static", "u32"), ("drop_{k}", "function"), ("drop_{k}.p", "variable", "P{k}"))
+    + _called("import", "use crate::base::Base;") + _called("call", "make", "p.delete", "Base::open"),
+)
+#: The forms of each language; a row's key says which one its file has.
+FORMS = {"java": [JAVA, JAVA_STORE], "javascript": [JAVASCRIPT, JAVASCRIPT_CALLS], "cpp": [CPLUSPLUS, CPLUSPLUS_NESTED], "rust": [RUST, RUST_NEW]}
+
+
 def _filled(template: str, t: Template) -> Column:
     out = F.lit(template)
     for mark, value in (("{k}", F.col(t.key)), ("{n}", F.col(t.key) + 1), ("{g}", F.col(t.group))):
@@ -180,6 +243,19 @@ def entities(tables: Tables, t: Template) -> DataFrame:
     return found.select("path", "role", "name", *[F.coalesce(c, F.lit("")).alias(c) for c in ("type", "dtype", "endpoint", "method")])
 
 
+def form_entities(tables: Tables, lang: str) -> DataFrame:
+    """Entities of the files of all rows of a language's table, each in the form that its key says."""
+    forms = FORMS[lang]
+    by_key = lambda field: F.element_at(F.array(*[_filled(getattr(f, field), f) for f in forms]), (F.pmod(F.col(forms[0].key), F.lit(len(forms))) + 1).cast("int"))
+    found = extract.entities(getattr(tables, forms[0].table).select(by_key("path").alias("path"), by_key("code").alias("content")))
+    return found.select("path", "role", "name", *[F.coalesce(c, F.lit("")).alias(c) for c in ("type", "dtype", "endpoint", "method")])
+
+
+def forms_sql(lang: str) -> str:
+    forms = FORMS[lang]
+    return " UNION ALL ".join(f"{entities_sql(f)} WHERE {f.key} % {len(forms)} = {i}" for i, f in enumerate(forms))
+
+
 # --- the build path over the Python files ------------------------------------------------------
 
 #: Where the entities of PYTHON show: (role, name, type, chunks of its file).

@@ -14,6 +14,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomspark.functions.names import language
 
@@ -100,6 +101,30 @@ def load_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return nodes, complete_edges(nodes, edges)
 
 
+#: The classes of nodes in graph files, by kind.
+CLASSES = {"file": "FileNode", "chunk": "ChunkNode", "directory": "DirectoryNode", "entity": "EntityNode"}
+
+
+def save_graph_json(nodes: DataFrame, edges: DataFrame, path: str, per_file: int = 10_000) -> None:
+    """Replaces path by JSON graph files of the layout above, each a graph file of its own with about per_file nodes and edges.
+
+    nodes(node_id, kind, name, ...) may have any columns of the layout, others are left out. Nodes and edges are dealt
+    to files one by one, so that a node with very many edges makes no file large. Equal rows stay together.
+    """
+    layout = StructType.fromDDL(GRAPH_JSON)
+    node_type, edge_type = (layout[k].dataType.elementType for k in ("nodes", "edges"))
+    renamed = {"node_type": "kind"}
+    data = [F.col(c).cast(f.dataType).alias(f.name) for f in node_type["data"].dataType for c in [renamed.get(f.name, f.name)] if c in nodes.columns]
+    kinds = F.create_map(*[F.lit(x) for pair in CLASSES.items() for x in pair])
+    one = nodes.select(F.struct(F.col("node_id").alias("id"), F.coalesce(kinds[F.col("kind")], F.lit("Node")).alias("class"), F.struct(*data).alias("data")).alias("node"))
+    linked = [F.col("entities").cast(edge_type["entities"].dataType).alias("entities")] if "entities" in edges.columns else []
+    two = edges.select(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "relation", *linked).alias("edge"))
+    files = max(1, -(-(nodes.count() + edges.count()) // per_file))
+    both = one.withColumn("key", F.xxhash64("node.id")).unionByName(two.withColumn("key", F.xxhash64("edge.source", "edge.target", "edge.relation")), allowMissingColumns=True)
+    whole = both.groupBy(F.pmod("key", F.lit(files)).alias("file")).agg(F.collect_list("node").alias("nodes"), F.collect_list("edge").alias("edges"))
+    whole.select("nodes", "edges").write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+
+
 def flat(table: DataFrame) -> DataFrame:
     """A table with its nested columns as JSON strings, for flat exports; order_in_file is -1 where there is none."""
     nested = [f.name for f in table.schema.fields if f.dataType.typeName() in ("array", "struct", "map")]

@@ -326,3 +326,45 @@ def test_registration_like_a_replay_of_tables(spark):
         table[found] = found
         want[occ] = found
     assert {r.occ: r.entity for r in build.register(d).collect()} == want and len(set(want.values())) > 2
+
+
+def test_split_source_shares_and_joins_again(spark):
+    text = "".join(f"class A{i}:\n    def run(self):\n        return {i}\n\n" for i in range(40)) + "x" * 900
+    rows = [("a.py", "python", text), ("b.txt", "other", "é" * 250), ("short", "python", "x = 1"), ("blank", "python", ""), ("none", "python", None)]
+    files = spark.createDataFrame(rows, "path string, language string, content string")
+    for overlap in (0, 30):
+        pieces = chunks.split_source(files, 100, overlap)
+        assert {r.path: r.content for r in chunks.rejoined(pieces).collect()} == {p: c for p, _, c in rows if c}
+        found = {}
+        for r in pieces.orderBy("path", "ord").collect():
+            assert len(r.content) <= 100 and (r.ord > 0 or r.shared == 0)
+            if r.ord:
+                assert r.shared <= overlap and found[r.path].endswith(r.content[: r.shared]) and bool(r.shared) == bool(overlap)
+            found[r.path] = r.content
+    assert pieces.filter("path = 'a.py' and ord > 0 and substring(content, shared + 1, 7) = '\nclass '").count() > 10
+    with pytest.raises(ValueError):
+        chunks.split_source(files, 10, 10)
+
+
+def test_paths_end_where_they_start_and_repeat_targets(spark):
+    e = edges(spark, [("a", "b"), ("b", "c"), ("a", "x"), ("x", "c"), ("c", "d")])
+    frame = lambda *ids: spark.createDataFrame([(i,) for i in ids], "node_id string")
+    got = sorted((r.target, r.status, r.length, r.path) for r in graph.find_paths(e, frame("a"), frame("a", "d", "d", "b", "z"), 3).collect())
+    assert got == sorted([("a", "found", 0, "a"), ("b", "found", 1, "a>b"), ("d", "found", 3, "a>b>c>d"), ("d", "found", 3, "a>b>c>d"), ("z", "none", None, "")])
+    assert {r.status for r in graph.find_paths(e, frame("a"), frame("d"), 2).collect()} == {"none"}
+
+
+def test_json_graph_files_are_many_and_whole(spark, tmp_path):
+    rows = [(f"n{i}", "entity" if i % 2 else None, f"name {i}", ["al", str(i)], None) for i in range(50)] + [("root", "root", "root", None, None)]
+    n = spark.createDataFrame(rows, "node_id string, kind string, name string, aliases array<string>, extra string")
+    e = edges(spark, [("n0", f"n{i}") for i in range(1, 50)] + [("n1", "absent")])
+    tree.save_graph_json(n, e, str(tmp_path / "g"), per_file=10)
+    assert len(list((tmp_path / "g").glob("*.json"))) > 5
+    n2, e2 = tree.load_graph_json(spark, str(tmp_path / "g"))
+    assert {(r.node_id, r.kind, r.name, tuple(r.aliases or ())) for r in n2.collect()} == {(i, k or "node", m, tuple(a or ())) for i, k, m, a, _ in rows}
+    assert n2.count() == 51
+    assert sorted((r.src, r.dst) for r in e2.collect()) == sorted(("n0", f"n{i}") for i in range(1, 50))
+    classes = spark.read.schema(tree.GRAPH_JSON).json(str(tmp_path / "g")).selectExpr("inline(nodes)").groupBy("class").count().collect()
+    assert {r["class"]: r["count"] for r in classes} == {"EntityNode": 25, "Node": 26}
+    tree.save_graph_json(n.limit(0), e.limit(0), str(tmp_path / "none"))
+    assert tree.load_graph_json(spark, str(tmp_path / "none"))[1].count() == 0
