@@ -5,8 +5,8 @@ tokenizer's pre-tokenisation never joins characters across ASCII white space, so
 text are those of its pieces in order, and each distinct piece of a batch is encoded once. (A test
 holds this against encoding whole texts.)
 
-Edge cases: a null or empty text has the end id alone; repeated rows are separate documents; a
-null doc_id sorts first; extra columns are ignored.
+Edge cases: a null or empty text has the end id alone; repeated rows are separate documents, those
+of one doc_id in the order of their texts' hashes; a null doc_id sorts first; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -193,7 +193,7 @@ def _crc(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int | None = END_ID, row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10) -> None:
-    """Write the ids of docs(doc_id, text) as Parquet in ascending doc_id order.
+    """Write the ids of docs(doc_id, text) as Parquet in ascending doc_id order, rows of one doc_id in the order of their texts' hashes.
 
     A row holds doc_id, start_in_file (ids of the file's documents before it), n_tokens and ids.
     ids are dictionary encoded (the vocabulary's codes take 16 bits), the long columns delta
@@ -210,7 +210,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(base + offsets[:-1]), pa.array(np.diff(offsets)), lists], ["doc_id", "start_in_file", "n_tokens", "ids"])
             base += int(offsets[-1])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # the hash deals the rows of a frequent doc_id over files; rows equal in both are alike
+    keys = ["doc_id", "tie"]
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("tie")
     (
         ordered.mapInArrow(encode, "doc_id long, start_in_file long, n_tokens long, ids array<int>")
         .write.option("compression", "zstd")
@@ -230,9 +233,9 @@ def _rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _started(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    """rows(file, start_in_file, ...) with start, the ids before a document in all files; sizes are summed over files, one row each, in the order of their names."""
+    """rows(file, start_in_file, ...) with start, the ids before a document in all files; sizes are summed over files, one row each, in the order of the numbers in their names (longer names have longer numbers)."""
     files = _rows(spark, path).groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.length("file"), "file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     return rows.join(files, "file").withColumn("start", F.col("before") + F.col("start_in_file"))
 

@@ -46,6 +46,29 @@ def test_recall_of_changed_and_copied_items(spark):
     assert not {d for d, _ in found} & {d for d, _ in clean}
 
 
+def test_recall_of_the_given_items_with_slots_exchanged(spark):
+    """The items of the given table, each name and number replaced by one new value throughout."""
+    rng = random.Random(7)
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    docs, n_exchanged = [], 0
+    for item_id, text in items:
+        new: dict[str, str] = {}
+
+        def value(m):
+            word = m[0]
+            if word.lower() in templates.FUNCTION_WORDS:
+                return word
+            return new.setdefault(word.lower(), str(500 + len(new)) if word[0].isdigit() else f"Q{'abcdefghij'[len(new) % 10]}{'xyz'[len(new) // 10 % 3]}")  # noqa: B023
+
+        put = re.sub(r"\d+|\b[^\W\d_a-z]\w*", lambda m: value(m) if m[0][0].isdigit() or m[0][0].isupper() else m[0], text)
+        n_exchanged += len(new)
+        docs.append((item_id, f"some words before, {put} and {rng.randrange(9)} words after"))
+    found = {(r.doc_id, r.item_id) for r in templates.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    caught = sum((i, i) in found for i, _ in items) / len(items)
+    assert n_exchanged > len(items) and caught >= 0.9, (n_exchanged, caught)
+    assert all(a == b for a, b in found)
+
+
 def plain_windows(text):
     """What one text matches by: (at, template) and (at, words) of all windows."""
     raw = re.findall(r"[0-9]+(?:[.,:/][0-9]+)*|[^\W\d_]+", text)

@@ -55,6 +55,31 @@ def test_format_and_digest(spark, tmp_path):
     assert [(r.doc_id, r.start) for r in one] == [(d, s) for d, s, *_ in want if d == 5]
 
 
+def test_rows_of_one_id_have_an_order_and_are_dealt(spark, tmp_path):
+    rows = [(None if i % 3 else i, f"text {i % 40} " + "w " * (i % 7)) for i in range(900)]
+    files = []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for name, order in (("a", rows), ("b", rows[::-1])):
+            T.write_tokens(spark.createDataFrame(order, "doc_id long, text string").repartition(3), str(tmp_path / name))
+            files.append(T.token_digest(spark, str(tmp_path / name)).orderBy("start").collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files[0] == files[1]
+    assert [r.start for r in files[0]] == np.cumsum([0, *(r.n_tokens for r in files[0])])[:-1].tolist()
+    assert [r.doc_id for r in files[0]] == [None] * 600 + list(range(0, 900, 3))
+    sizes = [pq.ParquetFile(p).metadata.num_rows for p in (tmp_path / "a").glob("*.parquet")]
+    assert len(sizes) > 2 and max(sizes) < 600
+
+
+def test_files_count_in_the_order_of_their_numbers(spark, tmp_path):
+    for number, (first, n) in (("00009", (0, 2)), ("99999", (2, 3)), ("100000", (5, 4))):
+        rows = pa.table({"doc_id": pa.array(range(first, first + n), pa.int64()), "start_in_file": pa.array(range(n), pa.int64()), "n_tokens": pa.array([1] * n, pa.int64()), "ids": pa.array([[7]] * n, pa.list_(pa.int32()))})
+        pq.write_table(rows, tmp_path / f"part-{number}-x.parquet")
+    got = T.read_tokens(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.start) for r in got) == [(i, i) for i in range(9)]
+
+
 def test_packing_covers_each_id_once(spark):
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(["word"] * int(n))) for i, n in enumerate(rng.integers(0, 90, 60))] + [(None, None), (100, "long " * 700), (3, "again")]
