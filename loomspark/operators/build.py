@@ -1,4 +1,8 @@
-"""Building the graph: alias tables, resolution of calls, registration, roll-ups, nodes and edges."""
+"""Building the graph: alias tables, resolution of calls, registration, roll-ups, nodes and edges.
+
+Joins of names, occurrences and edges are merge joins: names that were read from texts outgrow what Spark expects
+of their source, and stored ones shrink so well that a small file may hold more than a driver.
+"""
 
 from __future__ import annotations
 
@@ -26,7 +30,7 @@ def resolve_calls(calls: DataFrame, table: DataFrame) -> DataFrame:
     """calls(..., called) with resolved and match_kind: exact alias, else the shortest canonical with the same simple name (the first of equal ones), else the name itself."""
     exact = table.select(F.col("alias").alias("called"), F.col("canonical").alias("exact"))
     by_name = table.withColumn("simple", simple_name(F.col("alias"))).groupBy("simple").agg(F.min_by("canonical", F.struct(F.length("canonical"), "alias_seq", "alias_pos", "canonical")).alias("near"))
-    rows = calls.join(exact, "called", "left").withColumn("simple", simple_name(F.col("called"))).join(by_name, "simple", "left")
+    rows = calls.join(exact.hint("merge"), "called", "left").withColumn("simple", simple_name(F.col("called"))).join(by_name.hint("merge"), "simple", "left")
     kind = F.when(F.col("exact").isNotNull(), "exact").when(F.col("near").isNotNull(), "simple").otherwise("none")
     return rows.withColumn("resolved", F.coalesce("exact", "near", "called")).withColumn("match_kind", kind).drop("exact", "near", "simple")
 
@@ -53,20 +57,20 @@ def register(declared: DataFrame, guess: DataFrame | None = None) -> DataFrame:
     asked = stored(rows.select("occ", "chunk_seq", "stretch", F.posexplode("aliases").alias("pos", "alias")), "aliases")
     said = rows.select("occ", F.col("name").alias("entity"))
     if guess is not None:
-        said = said.withColumnRenamed("entity", "x_name").join(guess.select("occ", "entity"), "occ", "left").select("occ", F.coalesce("entity", "x_name").alias("entity"))
+        said = said.withColumnRenamed("entity", "x_name").join(guess.select("occ", "entity").hint("merge"), "occ", "left").select("occ", F.coalesce("entity", "x_name").alias("entity"))
     while True:
         new = stored(_answered(rows, asked, said), "entities")
-        changed = new.join(said.withColumnRenamed("entity", "old"), "occ").filter("entity != old").limit(1)
+        changed = new.join(said.withColumnRenamed("entity", "old").hint("merge"), "occ").filter("entity != old").limit(1)
         if changed.isEmpty():
-            return declared.join(new, "occ")
+            return declared.join(new.hint("merge"), "occ")
         said = new
 
 
 def _answered(rows: DataFrame, asked: DataFrame, said: DataFrame) -> DataFrame:
     """(occ, entity) of every occurrence, where said(occ, entity) holds for those before it."""
     born = said.groupBy("entity").agg(F.min("occ").alias("born"))
-    known = rows.join(said, "occ").join(born, "entity")
-    used = asked.join(known.select("occ", "entity", "born"), "occ")
+    known = rows.join(said.hint("merge"), "occ").join(born.hint("merge"), "entity")
+    used = asked.join(known.select("occ", "entity", "born").hint("merge"), "occ")
     # an occurrence also says what its entity's own name stands for in the chunk
     own = known.filter(~F.array_contains("aliases", F.col("entity"))).select("occ", "chunk_seq", "stretch", F.lit(None).cast("int").alias("pos"), F.col("entity").alias("alias"), "entity", "born")
     said_now = F.lag("entity").over(Window.partitionBy("alias", "chunk_seq").orderBy("occ"))
@@ -77,11 +81,11 @@ def _answered(rows: DataFrame, asked: DataFrame, said: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("alias").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     least = least.withColumn("earlier", F.min("least").over(earlier)).select("alias", "stretch", "earlier")
     itself = born.select(F.col("entity").alias("alias"), F.col("born").alias("since"))
-    found = every.filter("pos is not null").join(least, ["alias", "stretch"]).join(itself, "alias", "left")
+    found = every.filter("pos is not null").join(least.hint("merge"), ["alias", "stretch"]).join(itself.hint("merge"), "alias", "left")
     first = F.least("here", "earlier")["entity"]
     answer = F.coalesce("now", F.when(F.col("since") < F.col("occ"), F.col("alias")), first)
     chosen = found.select("occ", "pos", answer.alias("answer")).filter("answer is not null").groupBy("occ").agg(F.min_by("answer", "pos").alias("answer"))
-    return rows.join(chosen, "occ", "left").select("occ", F.coalesce("answer", "name").alias("entity"))
+    return rows.join(chosen.hint("merge"), "occ", "left").select("occ", F.coalesce("answer", "name").alias("entity"))
 
 
 def directories(path: Column) -> Column:
@@ -119,7 +123,7 @@ def build_graph(files: DataFrame, chunks: DataFrame, registered: DataFrame, reso
     ]
     declares = registered.select(F.concat(F.lit("chunk:"), "chunk_id").alias("src"), F.concat(F.lit("entity:"), "entity").alias("dst")).distinct()
     called = resolved.select(F.concat(F.lit("entity:"), "resolved").alias("src"), F.concat(F.lit("chunk:"), "chunk_id").alias("dst")).distinct()
-    called = called.join(declares.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti")
+    called = called.join(declares.select(F.col("dst").alias("src"), F.col("src").alias("dst")).hint("merge"), ["src", "dst"], "left_anti")
     edges = [
         folders.select(above("directory", "path"), F.concat(F.lit("directory:"), "path"), F.lit("contains")),
         files.select(above("file", "path"), F.concat(F.lit("file:"), "path"), F.lit("contains")),

@@ -82,7 +82,7 @@ class Versions:
         version = self.latest() + 1
         old = self._rows()
         if scope is not None:
-            old = old.join(scope.distinct(), scope.columns, "left_semi")
+            old = old.join(scope.distinct().hint("merge"), scope.columns, "left_semi")
         old, new = stored(old, "old"), stored(self._hashed(new).distinct(), "new")
         new.join(old, HASH, "left_anti").write.mode("overwrite").parquet(f"{self.path}/added/version={version}")
         gone = old.join(new, HASH, "left_anti").select(*self.key, *HASH, F.col("version").alias("since"))

@@ -37,7 +37,7 @@ class Graph:
     def apply(self, batch: DataFrame, number: int | None = None) -> int:
         """Takes one batch of files(path, content, seq) in; a batch that was taken in before changes nothing."""
         before = self.files.as_of().select("path", F.col("content").alias("x_content"), F.col("seq").alias("x_seq"))
-        came = last_of_each(batch.select("path", "content", "seq"), "path", "seq").join(before, "path", "left")
+        came = last_of_each(batch.select("path", "content", "seq"), "path", "seq").join(before.hint("merge"), "path", "left")
         fresh = stored(came.filter(F.col("x_seq").isNull() | (F.col("seq") > F.col("x_seq"))), "fresh")
         # a deleted file leaves its seq behind, so that no older version brings it back
         changed = stored(fresh.filter(~F.col("content").eqNullSafe(F.col("x_content"))).select("path", "content"), "changed")
@@ -73,7 +73,7 @@ class Graph:
         return Versions(self.spark, f"{self.path}/answers", "chunk_id string, pos int, name string, type string, entity string", self.PLACE).as_of()
 
     def _guess(self, decl: DataFrame) -> DataFrame:
-        return decl.join(self._answers(), self.PLACE).select("occ", "entity")
+        return decl.join(self._answers().hint("merge"), self.PLACE).select("occ", "entity")
 
     def _keep(self, registered: DataFrame) -> None:
         kept = Versions(self.spark, f"{self.path}/answers", "chunk_id string, pos int, name string, type string, entity string", self.PLACE)
