@@ -155,61 +155,42 @@ def find_paths(edges: DataFrame, source: DataFrame, targets: DataFrame, max_dept
     return found.unionByName(rest)
 
 
-def _levels(start: DataFrame, links: DataFrame, steps: int) -> list[DataFrame]:
-    """(root, node) at each distance 0..steps from start(root), by frontiers that carry their root; links(here, there)."""
-    seen = level = stored(start.select("root", F.col("root").alias("node")).distinct(), "level")
-    out = [level]
-    for _ in range(steps):
-        found = level.join(links, level.node == links.here).select("root", F.col("there").alias("node")).distinct()
-        level = stored(found.join(seen, ["root", "node"], "left_anti"), "level")
-        out.append(level)
-        seen = seen.unionByName(level)
-    return out
+def _levels(start: DataFrame, links: DataFrame, steps: int, ahead: bool) -> DataFrame:
+    """(root, node, steps, path) of the nodes within a number of steps from start(root), with the least of their shortest paths.
 
-
-def _with_depth(levels: list[DataFrame], root: str, depth: str) -> DataFrame:
-    rows = [level.select(F.col("root").alias(root), "node", F.lit(d).alias(depth)) for d, level in enumerate(levels)]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    links(here, there); paths grow behind their root, or (ahead) in front of it where links are followed backwards.
+    """
+    grown = F.concat(F.array("there"), "path") if ahead else F.concat("path", F.array("there"))
+    seen = level = stored(start.select("root", F.col("root").alias("node"), F.lit(0).alias("steps"), F.array("root").alias("path")).distinct(), "level")
+    for d in range(1, steps + 1):
+        found = level.join(links.hint("merge"), level.node == links.here).select("root", F.col("there").alias("node"), grown.alias("path"))
+        fresh = found.join(seen.select("root", "node").hint("merge"), ["root", "node"], "left_anti").groupBy("root", "node").agg(F.min("path").alias("path"))
+        level = stored(fresh.select("root", "node", F.lit(d).alias("steps"), "path"), "level")
+        seen = seen.unionByName(level)
+    return seen
 
 
 def paths_between(edges: DataFrame, pairs: DataFrame, max_depth: int = 5, relations: list[str] | None = None) -> DataFrame:
     """(src, dst, length, path) of the least shortest directed path of each of pairs(src, dst) within max_depth steps, by node ids; no row where there is none.
 
     Frontiers go out from all sources, and backwards from all targets, half of the way each, once for every distinct
-    end however many pairs share it. Where they meet gives the length of a pair; from there only nodes on shortest paths are
-    walked back to both ends, and the least of these is followed from the source.
+    end however many pairs share it; each node keeps its least path to that end. A pair looks up the nodes around that of its ends that
+    has fewer, so an end near very many nodes does not meet all its pairs with them; where both halves meet, the
+    least of the shortest whole paths is one through the least halves.
     """
-    links = _only(edges, relations).select("src", "dst").distinct()
+    links = stored(_only(edges, relations).select("src", "dst").distinct(), "links")
     forth, back = links.select(F.col("src").alias("here"), F.col("dst").alias("there")), links.select(F.col("dst").alias("here"), F.col("src").alias("there"))
     pairs = stored(pairs.select("src", "dst").distinct(), "pairs")
-    near = stored(_with_depth(_levels(pairs.select(F.col("src").alias("root")), forth, (max_depth + 1) // 2), "src", "gone"), "near")
-    far = stored(_with_depth(_levels(pairs.select(F.col("dst").alias("root")), back, max_depth // 2), "dst", "left"), "far")
-    met = pairs.join(near, "src").join(far, ["dst", "node"]).withColumn("length", F.col("gone") + F.col("left"))
-    shortest = stored(met.groupBy("src", "dst").agg(F.min("length").alias("length")), "lengths")
-    level = stored(met.join(shortest, ["src", "dst", "length"]).select("src", "dst", "length", "node", F.col("gone").alias("at")).distinct(), "met")
-    on = level
-    for _ in range((max_depth + 1) // 2):  # towards the sources
-        step = level.filter("at > 0").join(back, F.col("node") == F.col("here")).select("src", "dst", "length", F.col("there").alias("node"), (F.col("at") - 1).alias("at")).distinct()
-        level = stored(step.join(near.select("src", "node", F.col("gone").alias("at")), ["src", "node", "at"], "left_semi").select(*on.columns), "on")
-        on = on.unionByName(level)
-    level = on
-    for _ in range(max_depth // 2):  # towards the targets
-        step = level.filter("at < length").join(forth, F.col("node") == F.col("here")).select("src", "dst", "length", F.col("there").alias("node"), (F.col("at") + 1).alias("at")).distinct()
-        rest = far.select("dst", "node", F.col("left").alias("x_left"))
-        level = stored(step.withColumn("x_left", F.col("length") - F.col("at")).join(rest, ["dst", "node", "x_left"], "left_semi").select(*on.columns), "on")
-        on = on.unionByName(level)
-    on = stored(on.distinct(), "on")
-    walk = shortest.select("src", "dst", "length", F.col("src").alias("node"), F.array("src").alias("path"))
-    done = walk.filter("length = 0")
-    for d in range(1, max_depth + 1):
-        there = on.filter(F.col("at") == d).select("src", "dst", F.col("node").alias("there"))
-        step = walk.filter(F.col("length") >= d).join(links.select(F.col("src").alias("node"), F.col("dst").alias("there")), "node").join(there, ["src", "dst", "there"])
-        walk = stored(step.groupBy("src", "dst", "length").agg(F.min("there").alias("node"), F.first("path").alias("path")).withColumn("path", F.concat("path", F.array("node"))), "walk")
-        done = done.unionByName(walk.filter(F.col("length") == d).select(*done.columns))
-    return done.select("src", "dst", "length", F.array_join("path", ">").alias("path"))
+    near = _levels(pairs.select(F.col("src").alias("root")), forth, (max_depth + 1) // 2, False).select(F.col("root").alias("src"), "node", F.col("steps").alias("gone"), F.col("path").alias("before"))
+    far = _levels(pairs.select(F.col("dst").alias("root")), back, max_depth // 2, True).select(F.col("root").alias("dst"), "node", F.col("steps").alias("left"), F.col("path").alias("after"))
+    around = lambda rows, end: rows.groupBy(end).agg(F.count(F.lit(1)).alias(f"n_{end}")).hint("merge")
+    sized = stored(pairs.join(around(near, "src"), "src").join(around(far, "dst"), "dst"), "sized")
+    near, far = near.hint("merge"), far.hint("merge")
+    met = sized.filter("n_dst <= n_src").select("src", "dst").join(far, "dst").join(near, ["src", "node"])
+    met = met.unionByName(sized.filter("n_dst > n_src").select("src", "dst").join(near, "src").join(far, ["dst", "node"]))
+    whole = met.select("src", "dst", F.struct((F.col("gone") + F.col("left")).alias("length"), F.concat("before", F.slice("after", 2, max_depth + 1)).alias("path")).alias("best"))
+    least = whole.groupBy("src", "dst").agg(F.min("best").alias("best"))
+    return least.select("src", "dst", F.col("best.length").alias("length"), F.array_join("best.path", ">").alias("path"))
 
 
 def tree(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = 3, relation: str | None = "contains") -> DataFrame:
