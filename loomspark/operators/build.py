@@ -6,6 +6,9 @@ of their source, and stored ones shrink so well that a small file may hold more
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +38,10 @@ def resolve_calls(calls: DataFrame, table: DataFrame) -> DataFrame:
     return rows.withColumn("resolved", F.coalesce("exact", "near", "called")).withColumn("match_kind", kind).drop("exact", "near", "simple")
 
 
-#: Occurrences of a name whose running least is found in one window.
-STRETCH = 1 << 16
+#: Occurrences, about, that one task takes in order.
+STRETCH = 1 << 14
+#: What an alias stands for, from the occurrences of a stretch: its oldest entity and when that was born, and when the alias itself became an entity.
+STATE = "alias string, born long, entity string, since long"
 
 
 def register(declared: DataFrame, guess: DataFrame | None = None) -> DataFrame:
@@ -46,46 +51,106 @@ def register(declared: DataFrame, guess: DataFrame | None = None) -> DataFrame:
     its aliases stands for; else it is an entity of its own. Within a chunk a name stands for what it was last used
     for there; else an entity's name stands for itself, any other for the oldest entity that had it.
 
-    Each round answers all occurrences at once from the entities of the round before: what a name stood for at an
-    occurrence is the last one of its chunk, or the least of those before it. Right answers for all earlier occurrences give a right one, so
-    the rounds end at the answer of the rule taken in order, from whatever guess(occ, entity) they begin (by default each
-    occurrence is its own entity); they are as many as the longest chain of occurrences whose names hang on each other. A name that very many files share is dealt over stretches of occ: running least values
-    within each, then over the stretches' least values.
+    Occurrences are dealt over stretches of whole chunks, and a task takes those of a stretch in order, from what
+    the aliases that it holds stood for before it. Each round takes that from all earlier stretches as the round before left them: right
+    answers for all earlier stretches give right ones, so the rounds end at the answer of the rule taken in order, from
+    whatever guess(occ, entity) they begin. They are as many as the longest chain of stretches whose first uses of names hang on
+    each other, not of occurrences: names seen before change nothing. Only aliases that came to stand for something go from round to round.
     """
     rows = declared.withColumn("aliases", aliases(F.col("name"), F.col("path"))).select("occ", "chunk_seq", "name", "aliases")
-    rows = stored(rows.withColumn("stretch", F.floor(F.col("occ") / STRETCH)), "occurrences")
-    asked = stored(rows.select("occ", "chunk_seq", "stretch", F.posexplode("aliases").alias("pos", "alias")), "aliases")
-    said = rows.select("occ", F.col("name").alias("entity"))
-    if guess is not None:
-        said = said.withColumnRenamed("entity", "x_name").join(guess.select("occ", "entity").hint("merge"), "occ", "left").select("occ", F.coalesce("entity", "x_name").alias("entity"))
-    while True:
-        new = stored(_answered(rows, asked, said), "entities")
-        changed = new.join(said.withColumnRenamed("entity", "old").hint("merge"), "occ").filter("entity != old").limit(1)
-        if changed.isEmpty():
-            return declared.join(new.hint("merge"), "occ")
-        said = new
-
-
-def _answered(rows: DataFrame, asked: DataFrame, said: DataFrame) -> DataFrame:
-    """(occ, entity) of every occurrence, where said(occ, entity) holds for those before it."""
-    born = said.groupBy("entity").agg(F.min("occ").alias("born"))
-    known = rows.join(said.hint("merge"), "occ").join(born.hint("merge"), "entity")
-    used = asked.join(known.select("occ", "entity", "born").hint("merge"), "occ")
-    # an occurrence also says what its entity's own name stands for in the chunk
-    own = known.filter(~F.array_contains("aliases", F.col("entity"))).select("occ", "chunk_seq", "stretch", F.lit(None).cast("int").alias("pos"), F.col("entity").alias("alias"), "entity", "born")
-    said_now = F.lag("entity").over(Window.partitionBy("alias", "chunk_seq").orderBy("occ"))
-    oldest = F.when(F.col("pos").isNotNull(), F.struct("born", "entity"))
-    in_stretch = Window.partitionBy("alias", "stretch").orderBy("occ").rowsBetween(Window.unboundedPreceding, -1)
-    every = used.unionByName(own).withColumn("now", said_now).withColumn("here", F.min(oldest).over(in_stretch))
-    least = used.groupBy("alias", "stretch").agg(F.min(F.struct("born", "entity")).alias("least"))
-    earlier = Window.partitionBy("alias").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    least = least.withColumn("earlier", F.min("least").over(earlier)).select("alias", "stretch", "earlier")
-    itself = born.select(F.col("entity").alias("alias"), F.col("born").alias("since"))
-    found = every.filter("pos is not null").join(least.hint("merge"), ["alias", "stretch"]).join(itself.hint("merge"), "alias", "left")
-    first = F.least("here", "earlier")["entity"]
-    answer = F.coalesce("now", F.when(F.col("since") < F.col("occ"), F.col("alias")), first)
-    chosen = found.select("occ", "pos", answer.alias("answer")).filter("answer is not null").groupBy("occ").agg(F.min_by("answer", "pos").alias("answer"))
-    return rows.join(chosen.hint("merge"), "occ", "left").select("occ", F.coalesce("answer", "name").alias("entity"))
+    rows = rows.withColumn("first", F.min("occ").over(Window.partitionBy("chunk_seq")))
+    stretches = max(1, -(-declared.count() // STRETCH))
+    dealt = rows.repartitionByRange(stretches, "first").drop("first")
+    rows = stored(dealt.withColumn("stretch", F.spark_partition_id()), "occurrences")
+    asked = stored(rows.select("stretch", F.explode("aliases").alias("alias")).filter("alias is not null").distinct(), "aliases")
+    left = stored(_guessed(rows, guess), "state") if guess is not None and stretches > 1 else None
+    while stretches > 1:
+        new = stored(_in_order(rows, _before(asked, left), f"stretch int, {STATE}", _left), "state")
+        if left is not None and new.count() == left.count() and new.exceptAll(left).isEmpty():
+            break
+        left = new
+    found = stored(_in_order(rows, _before(asked, left), "occ long, entity string", _answers), "entities")
+    return declared.join(found.hint("merge"), "occ")
+
+
+def _guessed(rows: DataFrame, guess: DataFrame) -> DataFrame:
+    """What each stretch would leave if guess(occ, entity) held, and each other occurrence were its own entity."""
+    said = rows.join(guess.select("occ", "entity").hint("merge"), "occ", "left").withColumn("entity", F.coalesce("entity", "name"))
+    born = said.groupBy("entity").agg(F.min(F.struct(F.col("occ").cast("long").alias("born"), "stretch")).alias("b")).select("entity", "b.born", F.col("b.stretch").alias("at"))
+    used = said.select("entity", "stretch", F.explode("aliases").alias("alias")).distinct().join(born.hint("merge"), "entity").select("stretch", "alias", F.struct("born", "entity").alias("o"), F.lit(None).cast("long").alias("since"))
+    own = born.select(F.col("at").alias("stretch"), F.col("entity").alias("alias"), F.lit(None).cast("struct<born: long, entity: string>").alias("o"), F.col("born").alias("since"))
+    both = used.unionByName(own).groupBy("stretch", "alias").agg(F.min("o").alias("o"), F.min("since").alias("since"))
+    return both.select("stretch", "alias", "o.born", "o.entity", "since")
+
+
+def _before(asked: DataFrame, left: DataFrame | None) -> DataFrame | None:
+    """(stretch, STATE) of what the aliases asked(stretch, alias) stood for before each stretch."""
+    if left is None:
+        return None
+    state = left.select("stretch", "alias", F.when(F.col("entity").isNotNull(), F.struct("born", "entity")).alias("o"), "since", F.lit(False).alias("x_asked"))
+    marks = asked.select("stretch", "alias", F.lit(True).alias("x_asked"))
+    earlier = Window.partitionBy("alias").orderBy("stretch").rangeBetween(Window.unboundedPreceding, -1)
+    every = state.unionByName(marks, allowMissingColumns=True).select("stretch", "alias", "x_asked", F.min("o").over(earlier).alias("o"), F.min("since").over(earlier).alias("since"))
+    return every.filter("x_asked and (o is not null or since is not null)").select("stretch", "alias", "o.born", "o.entity", "since")
+
+
+def _in_order(rows: DataFrame, before: DataFrame | None, schema: str, told: Callable) -> DataFrame:
+    """What `told` makes of each stretch's occurrences, taken in order."""
+    if before is None:
+        return rows.groupBy("stretch").applyInArrow(lambda mine: told(mine, None), schema)
+    return rows.groupBy("stretch").cogroup(before.groupBy("stretch")).applyInArrow(lambda mine, known: told(mine, known), schema)
+
+
+def _taken(mine: pa.Table, known: pa.Table | None) -> tuple[list, list, dict, dict]:
+    """occ and entity of a stretch's occurrences in order; what aliases came to stand for, and which entities were born."""
+    oldest, since, new_oldest, new_since = {}, {}, {}, {}
+    for x in known.to_pylist() if known is not None else ():
+        if x["entity"] is not None:
+            oldest[x["alias"]] = (x["born"], x["entity"])
+        if x["since"] is not None:
+            since[x["alias"]] = x["since"]
+    mine = mine.sort_by("occ")
+    occs, said, chunk, now = mine.column("occ").to_pylist(), [], None, {}
+    for occ, c, name, names in zip(occs, *(mine.column(x).to_pylist() for x in ("chunk_seq", "name", "aliases")), strict=True):
+        if c != chunk:
+            chunk, now = c, {}
+        entity, names = name, [x for x in names if x is not None]
+        for x in names:
+            if x in now:
+                entity = now[x]
+            elif x in since:
+                entity = x
+            elif x in oldest:
+                born, entity = oldest[x]
+                since.setdefault(entity, born)
+            else:
+                continue
+            break
+        said.append(entity)
+        if entity is None:
+            continue
+        if entity not in since:
+            since[entity] = new_since[entity] = occ
+        met = (since[entity], entity)
+        for x in names:
+            now[x] = entity
+            if x not in oldest or met < oldest[x]:
+                oldest[x] = new_oldest[x] = met
+        now[entity] = entity
+    return occs, said, new_oldest, new_since
+
+
+def _left(mine: pa.Table, known: pa.Table | None) -> pa.Table:
+    _, _, oldest, since = _taken(mine, known)
+    names = list(oldest | since)
+    met = [oldest.get(x, (None, None)) for x in names]
+    stretch = pa.array([mine.column("stretch")[0].as_py()] * len(names), pa.int32())
+    return pa.table({"stretch": stretch, "alias": pa.array(names, pa.string()), "born": pa.array([m[0] for m in met], pa.int64()), "entity": pa.array([m[1] for m in met], pa.string()), "since": pa.array([since.get(x) for x in names], pa.int64())})
+
+
+def _answers(mine: pa.Table, known: pa.Table | None) -> pa.Table:
+    occs, said, _, _ = _taken(mine, known)
+    return pa.table({"occ": pa.array(occs, pa.int64()), "entity": pa.array(said, pa.string())})
 
 
 def directories(path: Column) -> Column:
