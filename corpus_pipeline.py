@@ -9,32 +9,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspark.llm import langmix, nearcopies, secrets, templates, tokens
-from loomspark.llm.common import stored
+from loomspark.llm.common import in_small_batches, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language that has half of their words."""
+    docs = in_small_batches(docs)
     return langmix.keep_identified(docs, langmix.train(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies (0.8 of their five-word shingles)."""
-    return nearcopies.keep_one(docs)
+    """Keeps the document with the smallest doc_id of each group of near copies (0.8 of their five-word shingles): SimHash and min-hash give candidates."""
+    return nearcopies.keep_one(in_small_batches(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    return templates.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return templates.without_leaks(in_small_batches(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in texts."""
-    return secrets.redact(docs)
+    return secrets.redact(in_small_batches(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of token ids, as pieces of documents."""
-    return tokens.pack_documents(docs)
+    return tokens.pack_documents(in_small_batches(docs))
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("redact_secrets", redact_secrets), ("pack", pack)]

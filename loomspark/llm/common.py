@@ -43,6 +43,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch with whole texts; Spark's 10,000 take 40 MB and more, several times over in an executor and its Python workers.
+BATCH_ROWS = 1000
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """docs, after its session's Arrow batches were cut to BATCH_ROWS rows, if they were larger."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,11 +1,13 @@
 """Near copies by the similarity of their sets of shingles (runs of five lower-case words).
 
 Two texts are linked if the shingles that they share are at least SIMILARITY of all that they have.
-Candidates agree on all min-hashes of one band at least: at a similarity of exactly 0.8 a pair is
-a candidate with a probability of 1 - (1 - 0.8**4)**20 = 0.99997, above that with more. Every
+Candidates come from SimHash fingerprints of the shingles, which generalised pigeonhole (`simhash`) links at
+MOST or fewer differing bits: that loses no pair within these bits, but most pairs of a similarity near SIMILARITY are farther
+apart. So texts that agree on all min-hashes of one band at least are candidates too: at a similarity of exactly 0.8 a pair is
+one with a probability of 1 - (1 - 0.8**4)**20 = 0.99997, above that with more. Every
 candidate is then compared on its whole sets. Texts with equal sets count once.
 
-The texts that agree on a band form a group, and its hub is the text that meets most others in all
+The texts that agree on a band, or whose fingerprints are linked, form a group, and its hub is the text that meets most others in all
 bands (of a text and its copies mostly the text itself). Groups with one hub are one crowd, in
 which all are compared with the hub, which takes as many comparisons as texts. One minus the
 similarity is a metric; so a text linked to the hub can be linked to one that is not
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import U64, Sums, mixed, split_batches, stored, text_bytes, within, word_hashes, word_spans
+from loomspark.llm import simhash
 from loomspark.llm.simhash import _LOWER, components
 
 SHINGLE = 5
@@ -87,17 +90,19 @@ def digest(found: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of doc_id and text), own (of the set of shingles), its size n and the bands of every row."""
+    """doc_id, key (of doc_id and text), own (of the set of shingles), its size n, the bands and the fingerprint fp of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in split_batches(whole, "text"):
-                hashes, n = shingle_hashes(*text_bytes(batch.column("text")))
+                data, at = text_bytes(batch.column("text"))
+                hashes, n = shingle_hashes(data, at)
                 sets = distinct_sets(hashes, n)
+                fp = simhash._fingerprints(data, at, SHINGLE).view(np.int64)
                 bands = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * BANDS, pa.array(_bands(hashes, n).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), bands], ["doc_id", "key", "own", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), bands, pa.array(fp)], ["doc_id", "key", "own", "n", "bands", "fp"])
 
-    return keyed(docs).mapInArrow(run, f"doc_id long, key {KEY}, own binary, n long, bands array<long>")
+    return keyed(docs).mapInArrow(run, f"doc_id long, key {KEY}, own binary, n long, bands array<long>, fp long")
 
 
 def shingle_sets(texts: DataFrame, words: int = SHINGLE) -> DataFrame:
@@ -169,6 +174,14 @@ def _in_tile(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
+def with_fingerprints(distinct: DataFrame) -> DataFrame:
+    """distinct(own, bands, fp) with one more band: the component of the fingerprint within MOST bits."""
+    fps = distinct.select("fp").distinct()
+    found = components(simhash.links(fps, simhash.plan_groups(fps))).withColumnRenamed("node", "fp")
+    joined = distinct.join(found, "fp", "left")
+    return joined.withColumn("bands", F.concat("bands", F.array(F.coalesce("root", "fp")))).drop("fp", "root")
+
+
 def crowds(distinct: DataFrame) -> DataFrame:
     """(hub, own) of the texts of each crowd, hubs too, from distinct(own, bands)."""
     met = distinct.select("own", F.posexplode("bands").alias("band", "v")).select(F.xxhash64("band", "v").alias("g"), "own")
@@ -202,7 +215,8 @@ def links(crowd: DataFrame, sets: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, key and root (the same for linked texts) of every row of docs."""
     table = stored(sketches(docs), "sketches")
-    distinct = stored(table.groupBy("own").agg(F.min("key").alias("key"), F.first("bands").alias("bands")), "distinct")
+    distinct = stored(table.groupBy("own").agg(F.min("key").alias("key"), F.first("bands").alias("bands"), F.min("fp").alias("fp")), "distinct")
+    distinct = stored(with_fingerprints(distinct), "distinct")
     crowd = crowds(distinct)
     asked = stored(crowd.select("own").distinct().join(distinct.select("own", "key"), "own").select("key"), "asked")
     asked = F.broadcast(asked) if asked.count() <= BROADCAST_KEYS else asked.hint("merge")
