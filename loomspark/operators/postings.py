@@ -80,26 +80,36 @@ class Index:
 
     def _segment(self, docs: DataFrame, number: int) -> None:
         """Writes the blocks, documents and figures of a segment of docs(key, text)."""
-        cut = docs.select("key", tokens(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("t")).select("key", F.size("t").cast("long").alias("dl"), "t")
-        cut = cut.withColumn("size_class", F.floor(2 * F.log2(F.col("dl") + 1)))
-        classes = cut.groupBy("size_class").agg(F.ceil(F.count(F.lit(1)) / RANGE).alias("ranges"))  # a row for each class of lengths
-        cut = cut.join(F.broadcast(classes), "size_class").withColumn("range", F.col("size_class") * 2**40 + F.pmod(F.xxhash64("key"), F.col("ranges")))
+        cut = docs.select("key", F.sort_array(tokens(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("t")).withColumn("dl", F.size("t"))
+        # tokens are counted within their document, as runs of the sorted ones, so that only postings are shuffled
+        first = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+        runs = cut.withColumn("at", F.when(F.col("dl") > 0, first).otherwise(F.array().cast("array<int>")))
+        token, often = F.transform("at", lambda i: F.get("t", i)), F.transform("at", lambda i, k: (F.coalesce(F.get("at", k + 1), F.col("dl")) - i).cast("long"))
+        self._write(stored(runs.select("key", F.col("dl").cast("long").alias("dl"), token.alias("tokens"), often.alias("tfs")), "counted"), number)
+
+    def _write(self, docs: DataFrame, number: int) -> None:
+        """A segment of docs(key, dl, tokens, tfs), which lie in a table: postings are shuffled once, by the ranges of their blocks."""
+        size_class = F.floor(2 * F.log2(F.col("dl") + 1))
+        classes = docs.groupBy(size_class.alias("size_class")).agg(F.ceil(F.count(F.lit(1)) / RANGE).alias("ranges"))  # a row for each class of lengths
+        ranged = docs.withColumn("size_class", size_class).join(F.broadcast(classes), "size_class").withColumn("range", F.col("size_class") * 2**40 + F.pmod(F.xxhash64("key"), F.col("ranges")))
         where = f"{self.path}/segment={number}"
-        counted = stored(cut.select("key", "dl", "range", F.explode("t").alias("token")).groupBy("token", "range", "key").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")), "counted")
+        ranged.select("key", "dl", "range", "tokens", "tfs").write.mode("overwrite").parquet(f"{where}/docs")
+        rows = self.spark.read.parquet(f"{where}/docs").select("key", "dl", "range", F.explode(F.arrays_zip("tokens", "tfs")).alias("e"))
+        counted = rows.select(F.col("e.tokens").alias("token"), "range", "key", F.col("e.tfs").alias("tf"), "dl").repartitionByRange("token", "range")
         # a block holds at most the documents of a range
         entries = F.array_sort(F.collect_list(F.struct("key", "tf", "dl")))
         blocks = counted.groupBy("token", "range").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), entries.alias("entries"))
-        blocks.repartitionByRange("token", "range").sortWithinPartitions("token", "range").write.mode("overwrite").parquet(f"{where}/blocks")
-        cut.select("key", "dl", "range", F.array_distinct("t").alias("tokens")).write.mode("overwrite").parquet(f"{where}/docs")
-        cut.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).write.mode("overwrite").parquet(f"{where}/figures")
+        blocks.sortWithinPartitions("token", "range").write.mode("overwrite").parquet(f"{where}/blocks")
+        docs.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).write.mode("overwrite").parquet(f"{where}/figures")
 
     def living(self) -> DataFrame:
-        """key, dl, range, tokens and segment of the documents that live."""
+        """key, dl, range, tokens, tfs (how often each) and segment of the documents that live."""
         docs, gone = self._read("docs"), self._gone("docs")
         return docs if gone is None else docs.join(gone.select("segment", "key"), ["segment", "key"], "left_anti")
 
     def _delete(self, keys: DataFrame, version: int) -> None:
-        out = stored(self.living().join(keys.select("key").distinct(), "key", "left_semi"), "gone")
+        hit = stored(self.living().select("segment", "key").join(keys.select("key").distinct(), "key", "left_semi"), "hit")  # keys only, without tokens
+        out = stored(self.living().join(hit, ["segment", "key"], "left_semi"), "gone")
         out.select("segment", "key", "dl").write.mode("overwrite").parquet(f"{self.path}/deleted/docs/version={version}")
         out.select("segment", F.explode("tokens").alias("token")).groupBy("segment", "token").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{self.path}/deleted/tokens/version={version}")
 
@@ -120,19 +130,8 @@ class Index:
     def merge(self) -> None:
         """Writes the living documents as one segment; the older ones stay on disk for readers of earlier versions."""
         version, _ = self.manifest()
-        number, where = version + 1, f"{self.path}/segment={version + 1}"
-        living = stored(self.living().select("segment", "key", "dl", "range", "tokens"), "living")
-        blocks = self._read("blocks").select("segment", "token", F.explode("entries").alias("e")).select("segment", "token", "e.*")
-        kept = blocks.join(living.select("segment", "key"), ["segment", "key"], "left_semi")
-        size_class = F.floor(2 * F.log2(F.col("dl") + 1))
-        classes = living.groupBy(size_class.alias("size_class")).agg(F.ceil(F.count(F.lit(1)) / RANGE).alias("ranges"))
-        ranged = lambda rows: rows.withColumn("size_class", size_class).join(F.broadcast(classes), "size_class").withColumn("range", F.col("size_class") * 2**40 + F.pmod(F.xxhash64("key"), F.col("ranges")))
-        entries = F.array_sort(F.collect_list(F.struct("key", "tf", "dl")))
-        new = ranged(kept).groupBy("token", "range").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), entries.alias("entries"))
-        new.repartitionByRange("token", "range").sortWithinPartitions("token", "range").write.mode("overwrite").parquet(f"{where}/blocks")
-        ranged(living.drop("range")).select("key", "dl", "range", "tokens").write.mode("overwrite").parquet(f"{where}/docs")
-        living.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).write.mode("overwrite").parquet(f"{where}/figures")
-        self._publish(version + 1, [number])
+        self._write(stored(self.living().select("key", "dl", "tokens", "tfs"), "living"), version + 1)
+        self._publish(version + 1, [version + 1])
 
     # --- searches ---
 
