@@ -88,18 +88,18 @@ class Index:
         self._write(stored(runs.select("key", F.col("dl").cast("long").alias("dl"), token.alias("tokens"), often.alias("tfs")), "counted"), number)
 
     def _write(self, docs: DataFrame, number: int) -> None:
-        """A segment of docs(key, dl, tokens, tfs), which lie in a table: postings are shuffled once, by the ranges of their blocks."""
+        """A segment of docs(key, dl, tokens, tfs), which are read from tables: postings are shuffled once, by the ranges of their blocks."""
         size_class = F.floor(2 * F.log2(F.col("dl") + 1))
         classes = docs.groupBy(size_class.alias("size_class")).agg(F.ceil(F.count(F.lit(1)) / RANGE).alias("ranges"))  # a row for each class of lengths
         ranged = docs.withColumn("size_class", size_class).join(F.broadcast(classes), "size_class").withColumn("range", F.col("size_class") * 2**40 + F.pmod(F.xxhash64("key"), F.col("ranges")))
         where = f"{self.path}/segment={number}"
-        ranged.select("key", "dl", "range", "tokens", "tfs").write.mode("overwrite").parquet(f"{where}/docs")
+        ranged.select("key", "dl", "range", "tokens", "tfs").write.mode("overwrite").option("compression", "zstd").parquet(f"{where}/docs")
         rows = self.spark.read.parquet(f"{where}/docs").select("key", "dl", "range", F.explode(F.arrays_zip("tokens", "tfs")).alias("e"))
         counted = rows.select(F.col("e.tokens").alias("token"), "range", "key", F.col("e.tfs").alias("tf"), "dl").repartitionByRange("token", "range")
         # a block holds at most the documents of a range
         entries = F.array_sort(F.collect_list(F.struct("key", "tf", "dl")))
         blocks = counted.groupBy("token", "range").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), entries.alias("entries"))
-        blocks.sortWithinPartitions("token", "range").write.mode("overwrite").parquet(f"{where}/blocks")
+        blocks.sortWithinPartitions("token", "range").write.mode("overwrite").option("compression", "zstd").parquet(f"{where}/blocks")
         docs.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).write.mode("overwrite").parquet(f"{where}/figures")
 
     def living(self) -> DataFrame:
@@ -130,7 +130,7 @@ class Index:
     def merge(self) -> None:
         """Writes the living documents as one segment; the older ones stay on disk for readers of earlier versions."""
         version, _ = self.manifest()
-        self._write(stored(self.living().select("key", "dl", "tokens", "tfs"), "living"), version + 1)
+        self._write(self.living().select("key", "dl", "tokens", "tfs"), version + 1)
         self._publish(version + 1, [version + 1])
 
     # --- searches ---
