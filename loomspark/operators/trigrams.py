@@ -1,9 +1,9 @@
 """A stored index of character n-grams that answers substring, regular expression and subsequence searches.
 
-Texts are dealt over blocks (a folder each). Postings say which keys of which block hold a gram of one to three characters
-of the lower-case text. A search becomes a formula over grams that every match must satisfy: the grams of a
+Texts are dealt over blocks (a folder each) and numbered there. Postings are lists: which numbers of a block hold a gram of one to
+three characters of the lower-case text. A search becomes a formula over grams that every match must satisfy: the grams of a
 substring, the literals of a regular expression that cannot be left out (`needed_by_pattern`), the single
-characters of a subsequence. Of grams that are all needed the RAREST are enough. Keys that satisfy the formula are
+characters of a subsequence. Of grams that are all needed the RAREST are enough. Texts that satisfy the formula are
 candidates; only blocks with one are read, and their texts are tested as the search says. A pattern without
 needed literals makes every text a candidate.
 
@@ -14,12 +14,14 @@ match nothing; an empty substring matches every text; rows that share a key are
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from re import _constants as op
 from re import _parser as parser
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.operators.catalog import subsequence_pattern
@@ -28,6 +30,8 @@ from loomspark.sources.scratch import stored
 SIZES = (1, 2, 3)
 #: Texts of a block.
 BLOCK = 2000
+#: Characters of texts whose grams are sorted at once, and blocks whose lists of a gram one task writes.
+CHARS, TOGETHER = 2_000_000, 256
 #: Grams of a conjunction that are looked up.
 RAREST = 6
 
@@ -130,45 +134,93 @@ def holds(formula: Formula, have: Column) -> Column:
 # --- the stored index -------------------------------------------------------------------------
 
 
-def _grams(text: Column) -> Column:
-    """The grams of a text, in time in proportion to it: neighbouring characters are joined list by list."""
-    chars = F.regexp_extract_all(F.lower(text), F.lit("(?s)."), F.lit(0))
-    each, last = [chars], chars
-    for size in SIZES[1:]:
-        n = F.greatest(F.size(chars) - (size - 1), F.lit(0))
-        last = F.zip_with(F.slice(last, F.lit(1), n), F.slice(chars, F.lit(size), n), lambda a, b: F.concat(a, b))
-        each.append(last)
-    return F.array_distinct(F.concat(*each))
+def grams_held(codes: np.ndarray, doc: np.ndarray, n_docs: int, size: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct grams of a size of texts laid end to end: grams in order, which one each posting is of, and its text.
+
+    codes are code points and doc the ascending number of the text of each. A gram and its text are one number, so that one sort
+    gives the postings.
+    """
+    n = max(len(codes) - size + 1, 0)
+    here = np.flatnonzero(doc[:n] == doc[size - 1 :][:n])
+    if not len(here):
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    letters = np.flatnonzero(np.bincount(codes))
+    rank = np.zeros(letters[-1] + 1, np.int64)
+    rank[letters] = np.arange(len(letters))
+    if len(letters) ** size * n_docs >= 2**63 and n_docs > 1:  # very many characters: halves of the texts
+        half = int(doc[-1]) + 1 - n_docs // 2
+        parts = [grams_held(codes[keep], doc[keep], size=size, n_docs=k) for keep, k in ((doc < half, n_docs - n_docs // 2), (doc >= half, n_docs // 2))]
+        return parts[0][0] + parts[1][0], np.concatenate([parts[0][1], parts[1][1] + len(parts[0][0])]), np.concatenate([parts[0][2], parts[1][2]])
+    first = int(doc[0])
+    ranks, number = rank[codes], np.zeros(len(here), np.int64)
+    for i in range(size):
+        number = number * len(letters) + ranks[here + i]
+    number = number * n_docs + (doc[here] - first)
+    number.sort()
+    number = number[np.concatenate([[True], number[1:] != number[:-1]])]
+    gram, text = np.divmod(number, n_docs)
+    starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    which = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(gram))))
+    each, spelled = gram[starts], np.empty((len(starts), size), "<u4")
+    for i in reversed(range(size)):
+        each, last = np.divmod(each, len(letters))
+        spelled[:, i] = letters[last]
+    whole = spelled.tobytes().decode("utf-32-le")
+    return [whole[k : k + size] for k in range(0, len(whole), size)], which, text + first
+
+
+def _postings(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """gram, block and the places in it of the texts that hold the gram, of a batch of texts; CHARS at a time."""
+    texts, blocks, places = batch.column("low").to_pylist(), batch.column("block").to_numpy(), batch.column("at").to_numpy()
+    lengths, order = np.array([len(t) for t in texts], np.int64), np.argsort(blocks, kind="stable")
+    share = np.cumsum(lengths[order]) // CHARS
+    for few in np.split(order, np.flatnonzero(np.diff(share)) + 1):
+        codes = np.frombuffer("".join([texts[i] for i in few]).encode("utf-32-le"), "<u4")
+        doc = np.repeat(np.arange(len(few)), lengths[few])
+        for size in SIZES:
+            grams, which, text = grams_held(codes, doc, len(few), size)
+            if not grams:
+                continue
+            block = blocks[few][text]
+            starts = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (block[1:] != block[:-1])]))
+            at = pa.ListArray.from_arrays(pa.array(np.append(starts, len(text)), pa.int32()), pa.array(places[few][text], pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(grams).take(pa.array(which[starts])), pa.array(block[starts], pa.int64()), at], ["gram", "block", "at"])
 
 
 def save_index(rows: DataFrame, path: str, key: str, text: str) -> None:
-    """Writes texts (a folder for each block), postings (gram, block, key; ordered by gram) and how many texts hold each gram."""
+    """Writes texts (a folder for each block, numbered in it), postings (gram, block, numbers; ordered by gram) and how many texts hold each gram.
+
+    Postings are made as lists where the texts are read, so that what is shuffled is about a number for each gram of a text.
+    """
+    spark = rows.sparkSession
     rows = rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).filter("text is not null")
     blocks = max(1, -(-rows.count() // BLOCK))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
-    dealt.repartition("block").write.mode("overwrite").partitionBy("block").parquet(f"{path}/texts")
-    kind = dict(rows.dtypes)["key"]
-    cut = dealt.select("block", "key", F.explode(_grams(F.col("text"))).alias("gram"))
-    cut.repartitionByRange("gram", "block", "key").sortWithinPartitions("gram", "block", "key").write.mode("overwrite").parquet(f"{path}/postings")
-    postings = rows.sparkSession.read.parquet(f"{path}/postings")
-    postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/often")
-    rows.sparkSession.createDataFrame([(kind,)], "kind string").coalesce(1).write.mode("overwrite").parquet(f"{path}/kind")
+    numbered = dealt.withColumn("at", F.row_number().over(Window.partitionBy("block").orderBy("key", "text")))
+    numbered.write.mode("overwrite").partitionBy("block").parquet(f"{path}/texts")
+    spark.createDataFrame([(dict(rows.dtypes)["key"],)], "kind string").coalesce(1).write.mode("overwrite").parquet(f"{path}/kind")
+    low = _texts(spark, path).select("block", "at", F.lower("text").alias("low"))
+    cut = low.mapInArrow(lambda batches: (out for batch in batches for out in _postings(batch)), "gram string, block long, at array<int>")
+    near = F.floor(F.col("block") / TOGETHER)  # a task has the lists of a gram for so many blocks
+    cut.repartition("gram", near).sortWithinPartitions("gram", "block").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+    counted = spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.sum(F.size("at").cast("long")).alias("n"))
+    counted.repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/often")
 
 
 def _texts(spark: SparkSession, path: str) -> DataFrame:
     kind = spark.read.parquet(f"{path}/kind").first().kind
-    return spark.read.schema(f"key {kind}, text string, block long").parquet(f"{path}/texts")
+    return spark.read.schema(f"key {kind}, text string, at int, block long").parquet(f"{path}/texts")
 
 
 def candidates(spark: SparkSession, path: str, formula: Formula) -> DataFrame | None:
-    """(block, key) of the texts that satisfy a formula; None if it has no condition."""
+    """(block, at) of the texts that satisfy a formula; None if it has no condition."""
     if formula is True:
         return None
     asked = grams_in(formula)
     often = {r.gram: r.n for r in spark.read.parquet(f"{path}/often").filter(F.col("gram").isin(asked)).collect()}
     formula = thinned(formula, often)
-    rows = spark.read.parquet(f"{path}/postings").filter(F.col("gram").isin(grams_in(formula)))
-    return rows.groupBy("block", "key").agg(F.collect_set("gram").alias("have")).filter(holds(formula, F.col("have"))).select("block", "key")
+    rows = spark.read.parquet(f"{path}/postings").filter(F.col("gram").isin(grams_in(formula))).select("gram", "block", F.explode("at").alias("at"))
+    return rows.groupBy("block", "at").agg(F.collect_set("gram").alias("have")).filter(holds(formula, F.col("have"))).select("block", "at")
 
 
 def matches(spark: SparkSession, path: str, formula: Formula, test: Column) -> DataFrame:
@@ -181,7 +233,7 @@ def matches(spark: SparkSession, path: str, formula: Formula, test: Column) -> D
     blocks = [r.block for r in found.select("block").distinct().orderBy("block").limit(10_001).collect()]
     if len(blocks) <= 10_000:  # else the join alone chooses the rows
         texts = texts.filter(F.col("block").isin(blocks))
-    return texts.join(found.distinct(), ["block", "key"], "left_semi").filter(test).select("key", "text")
+    return texts.join(found, ["block", "at"], "left_semi").filter(test).select("key", "text")
 
 
 def containing(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
