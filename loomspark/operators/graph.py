@@ -57,21 +57,40 @@ def ranked(rows: DataFrame, keys: list[str], order: list[Column], first: int | N
     return out if first is None else out.filter(F.col("rank") <= first)
 
 
+#: Rows of a task where work is dealt by its size, and parts into which a node's edges are dealt before its first ones are chosen.
+ROWS_PER_TASK, SALTS = 1_000_000, 32
+
+
+def by_number(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """Rows dealt by keys over as many tasks as n rows take, so that a task's share does not grow with the whole."""
+    return rows.repartition(max(1, -(-n // ROWS_PER_TASK)), *keys)
+
+
+def _salted(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges from both ends with the part of their node to which the other end belongs, and their number."""
+    links = stored(edges.select("src", "dst", "relation"), "edges")
+    return both_ways(links).withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(SALTS))), 2 * links.count()
+
+
 def node_edges(edges: DataFrame, first: int = 20) -> DataFrame:
     """The first edges of each node and direction, with the total and whether there are more."""
-    rows = both_ways(edges)
-    total = rows.groupBy("node_id", "direction").agg(F.count(F.lit(1)).alias("n_total"))
-    few = ranked(rows, ["node_id", "direction"], [F.col("other"), F.col("relation")], first)
-    return few.join(total, ["node_id", "direction"]).select("node_id", "direction", "rank", "other", "relation", "n_total", (F.col("n_total") > first).alias("has_more"))
+    rows, n = _salted(edges)
+    keys = ["node_id", "direction"]
+    order = [F.col("other"), F.col("relation")]
+    few = ranked(by_number(rows, n, *keys, "salt").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "salt"))), [*keys, "salt"], order, first)
+    total = F.sum(F.when(F.col("rank") == 1, F.col("n"))).over(Window.partitionBy(*keys))
+    out = ranked(by_number(few, n, *keys).withColumn("n_total", total), keys, order, first)
+    return out.select("node_id", "direction", "rank", "other", "relation", "n_total", (F.col("n_total") > first).alias("has_more"))
 
 
 def neighbors(nodes: DataFrame, edges: DataFrame, limit: int = 20, page: int = 1) -> DataFrame:
     """A page of each node's distinct neighbours by id; an outgoing edge is preferred where both exist."""
-    rows = both_ways(edges).filter("node_id != other")
-    one = rows.groupBy("node_id", "other").agg(F.max_by(F.struct("direction", "relation"), F.struct("direction", F.col("relation"))).alias("e"))
-    got = ranked(one, ["node_id"], [F.col("other")], limit * page).filter(F.col("rank") > limit * (page - 1))
-    far = nodes.select(F.col("node_id").alias("other"), "kind", "name")
-    return got.join(far, "other").select("node_id", "rank", F.col("other").alias("neighbor"), F.col("e.direction").alias("direction"), F.col("e.relation").alias("relation"), "kind", "name")
+    rows, n = _salted(edges)
+    one = by_number(rows.filter("node_id != other"), n, "node_id", "salt").groupBy("node_id", "salt", "other").agg(F.max(F.struct("direction", "relation")).alias("e"))
+    few = ranked(one, ["node_id", "salt"], [F.col("other")], limit * page).drop("rank", "salt")
+    got = ranked(by_number(few, n, "node_id"), ["node_id"], [F.col("other")], limit * page).filter(F.col("rank") > limit * (page - 1))
+    far = by_number(nodes.select(F.col("node_id").alias("other"), "kind", "name"), n, "other")
+    return by_number(got, n, "other").join(far, "other").select("node_id", "rank", F.col("other").alias("neighbor"), F.col("e.direction").alias("direction"), F.col("e.relation").alias("relation"), "kind", "name")
 
 
 def related(nodes: DataFrame, edges: DataFrame, relation: str = "all", limit: int | None = None, page: int = 1) -> DataFrame:
