@@ -582,7 +582,7 @@ def json_graph(t):
     tree.save_graph_json(*_graph(t), path)
     nodes, edges = tree.load_graph_json(t.spark, path)
     ends = [nodes.select(F.col("node_id").alias(end), F.col("kind").alias(f"{end}_kind"), F.col("name").alias(f"{end}_name")) for end in ("src", "dst")]
-    return edges.join(ends[0], "src").join(ends[1], "dst").select("src", "dst", "relation", "src_kind", "dst_kind", "dst_name")
+    return edges.join(ends[1], "dst").join(ends[0], "src").select("src", "dst", "relation", "src_kind", "dst_kind", "dst_name")
 
 
 @query("""SELECT conv_id, count(*) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS n_characters FROM conversations GROUP BY 1""")

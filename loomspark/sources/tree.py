@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loomspark.functions.names import language
+from loomspark.sources.scratch import stored
 
 
 def prepared(path: str) -> str:
@@ -92,12 +93,17 @@ GRAPH_JSON = "nodes array<struct<id: string, class: string, data: struct<name: s
 
 
 def load_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of JSON graph files of the layout above; an unknown class counts as a plain node, a missing root is added."""
+    """Nodes and edges of JSON graph files of the layout above; an unknown class counts as a plain node, a missing root is added.
+
+    The files are parsed once for nodes and once for edges, into tables: every use of the graph reads those.
+    """
     whole = spark.read.schema(GRAPH_JSON).option("multiLine", "true").json(path)
     nodes = whole.select(F.explode("nodes").alias("n")).select(F.col("n.id").alias("node_id"), F.coalesce("n.data.node_type", F.lit("node")).alias("kind"), F.coalesce("n.data.name", "n.id").alias("name"), "n.data.path", "n.data.content", "n.data.language", "n.data.order_in_file", "n.data.entity_type", "n.data.declared_entities", "n.data.called_entities", "n.data.aliases")
+    nodes = stored(nodes, "nodes")
     root = spark.sql("select 'root' as node_id, 'root' as kind, 'root' as name").join(nodes.select("node_id"), "node_id", "left_anti")
     nodes = nodes.unionByName(root, allowMissingColumns=True)
     edges = whole.select(F.explode("edges").alias("e")).select(F.col("e.source").alias("src"), F.col("e.target").alias("dst"), "e.relation")
+    edges = stored(edges, "edges")
     return nodes, complete_edges(nodes, edges)
 
 
