@@ -7,13 +7,20 @@ normalise them first for cosine order.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspark.sources.scratch import stored
+
 #: Parameters of BM25.
 K1, B = 1.2, 0.75
+#: Parts over which the postings of a token are dealt.
+PARTS = 64
 
 
 def words_of(query: str) -> list[str]:
@@ -30,6 +37,24 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def counted(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, dl, tokens, tfs): each document's distinct tokens and how often it holds them, counted where its text is read."""
+    cut = docs.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").cast("long").alias("dl"), F.coalesce("t", F.array().cast("array<string>")).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("t")
+            words = lists.flatten().dictionary_encode()
+            doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            n = max(len(words.dictionary), 1)
+            pairs, often = np.unique(doc * n + words.indices.to_numpy(), return_counts=True)
+            ends = pa.array(np.searchsorted(pairs, np.arange(len(lists) + 1) * n), pa.int32())
+            held = words.dictionary.take(pa.array(pairs % n))
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("dl"), pa.ListArray.from_arrays(ends, held), pa.ListArray.from_arrays(ends, pa.array(often, pa.int64()))], [key, "dl", "tokens", "tfs"])
+
+    return cut.mapInArrow(run, f"`{key}` {dict(cut.dtypes)[key]}, dl long, tokens array<string>, tfs array<long>")
+
+
 def inverted_index(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Postings (token, key, tf) and lengths (key, dl); tokens are counted before they are shuffled."""
     cut = docs.select(key, tokens(F.col(text)).alias("t"))
@@ -49,10 +74,14 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: fl
 
 
 def save_index(docs: DataFrame, key: str, text: str, path: str) -> None:
-    """Stores what BM25 needs: postings (token, key, tf, dl) ordered by token within files, and the corpus' figures."""
-    cut = docs.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").cast("long").alias("dl"), "t")
-    postings = cut.select(key, "dl", F.explode("t").alias("token")).groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
-    postings.repartitionByRange("token", key).sortWithinPartitions("token", key).write.mode("overwrite").parquet(f"{path}/postings")
+    """Stores what BM25 needs: postings (token, key, tf, dl) ordered by token within files, and the corpus' figures.
+
+    Texts are cut once, and postings shuffled once, a frequent token's in parts.
+    """
+    cut = stored(counted(docs, key, text), "counted")
+    postings = cut.select(key, "dl", F.explode(F.arrays_zip("tokens", "tfs")).alias("e")).select(F.col("e.tokens").alias("token"), key, F.col("e.tfs").alias("tf"), "dl")
+    part = F.pmod(F.xxhash64(key), F.lit(PARTS))
+    postings.repartition("token", part).sortWithinPartitions("token", key).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
     cut.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/figures")
 
 
