@@ -28,10 +28,10 @@ from loomspark.operators.catalog import subsequence_pattern
 from loomspark.sources.scratch import stored
 
 SIZES = (1, 2, 3)
-#: Texts of a block.
-BLOCK = 2000
-#: Characters of texts whose grams are sorted at once, and blocks whose lists of a gram one task writes.
-CHARS, TOGETHER = 2_000_000, 256
+#: Texts of a block; beyond so many blocks, short texts are put together up to so many characters a block.
+BLOCK, BLOCKS, BLOCK_CHARS = 2000, 256, 4_000_000
+#: Characters of texts whose grams are sorted at once, and texts whose lists of a gram one task writes.
+CHARS, TOGETHER = 2_000_000, 512_000
 #: Grams of a conjunction that are looked up.
 RAREST = 6
 
@@ -194,14 +194,17 @@ def save_index(rows: DataFrame, path: str, key: str, text: str) -> None:
     """
     spark = rows.sparkSession
     rows = rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).filter("text is not null")
-    blocks = max(1, -(-rows.count() // BLOCK))
+    count = rows.count()
+    blocks = max(1, -(-count // BLOCK))
+    if blocks > BLOCKS:  # a folder each: very many small ones take longer to write and list than their texts do
+        blocks = min(blocks, max(BLOCKS, -(-rows.agg(F.sum(F.length("text"))).first()[0] // BLOCK_CHARS)))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
     numbered = dealt.withColumn("at", F.row_number().over(Window.partitionBy("block").orderBy("key", "text")))
     numbered.write.mode("overwrite").partitionBy("block").parquet(f"{path}/texts")
     spark.createDataFrame([(dict(rows.dtypes)["key"],)], "kind string").coalesce(1).write.mode("overwrite").parquet(f"{path}/kind")
     low = _texts(spark, path).select("block", "at", F.lower("text").alias("low"))
     cut = low.mapInArrow(lambda batches: (out for batch in batches for out in _postings(batch)), "gram string, block long, at array<int>")
-    near = F.floor(F.col("block") / TOGETHER)  # a task has the lists of a gram for so many blocks
+    near = F.floor(F.col("block") / max(1, TOGETHER * blocks // max(1, count)))  # a task has the lists of a gram for so many texts
     cut.repartition("gram", near).sortWithinPartitions("gram", "block").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
     counted = spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.sum(F.size("at").cast("long")).alias("n"))
     counted.repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/often")
