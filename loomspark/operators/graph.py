@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.sources.scratch import stored
+from loomspark.sources.scratch import by_size, stored
 
 OUT, IN = "outgoing", "incoming"
 
@@ -98,7 +98,7 @@ def related(nodes: DataFrame, edges: DataFrame, relation: str = "all", limit: in
     rows = edges if relation in ("", "all") else edges.filter(F.col("relation") == relation)
     if limit is not None:
         rows = ranked(rows.select("src", "dst", "relation"), ["src"], [F.col("dst"), F.col("relation")], limit * page).filter(F.col("rank") > limit * (page - 1))
-    return rows.join(nodes.select(F.col("node_id").alias("dst"), "name"), "dst").select("src", "dst", "relation", "name")
+    return rows.join(nodes.select(F.col("node_id").alias("dst"), "name").hint("merge"), "dst").select("src", "dst", "relation", "name")
 
 
 def _only(edges: DataFrame, relations: list[str] | None) -> DataFrame:
@@ -113,8 +113,8 @@ def _frontiers(edges: DataFrame, start: DataFrame, depth: int, relations: list[s
     seen = stored(start.select("node_id").distinct().select("node_id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")), "reach")
     out = [seen]
     for d in range(1, depth + 1):
-        found = out[-1].select(F.col("node_id").alias("src")).join(links, "src").groupBy("dst").agg(F.min("src").alias("parent"))
-        fresh = found.withColumnRenamed("dst", "node_id").join(seen.select("node_id"), "node_id", "left_anti").select("node_id", F.lit(d).alias("depth"), "parent")
+        found = links.join(by_size(out[-1].select(F.col("node_id").alias("src"))), "src").groupBy("dst").agg(F.min("src").alias("parent"))
+        fresh = found.withColumnRenamed("dst", "node_id").join(by_size(seen.select("node_id")), "node_id", "left_anti").select("node_id", F.lit(d).alias("depth"), "parent")
         frontier = stored(fresh, "frontier")
         if frontier.isEmpty():
             break
@@ -141,8 +141,9 @@ def subgraph(nodes: DataFrame, edges: DataFrame, start: DataFrame, depth: int =
     near = reach(edges, start, depth, relations, directed=False)
     inside = near.select("node_id")
     among = _only(edges, relations if edges_filtered else None)
+    inside = by_size(inside)
     among = among.join(inside.withColumnRenamed("node_id", "src"), "src", "left_semi").join(inside.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
-    return nodes.join(near.select("node_id", "depth"), "node_id"), among
+    return nodes.join(by_size(near.select("node_id", "depth")), "node_id"), among
 
 
 def summary(nodes: DataFrame, edges: DataFrame, samples: int = 5) -> DataFrame:
@@ -164,13 +165,13 @@ def find_paths(edges: DataFrame, source: DataFrame, targets: DataFrame, max_dept
     wanted = stored(targets.select(F.col("node_id").alias("target")), "targets")
     walk = None
     for level in reversed(levels):  # a walk meets only the frontier at which it stands
-        ends = level.join(wanted, F.col("node_id") == F.col("target")).select("target", F.col("parent").alias("next"), "depth", F.array("node_id").alias("path"))
+        ends = wanted.join(by_size(level), F.col("node_id") == F.col("target")).select("target", F.col("parent").alias("next"), "depth", F.array("node_id").alias("path"))
         if walk is not None:
-            up = level.select(F.col("node_id").alias("next"), "parent")
+            up = by_size(level.select(F.col("node_id").alias("next"), "parent"))
             ends = ends.unionByName(walk.join(up, "next").select("target", F.col("parent").alias("next"), "depth", F.concat(F.array("next"), "path").alias("path")))
         walk = ends
-    found = walk.select("target", F.lit("found").alias("status"), F.col("depth").alias("length"), F.array_join("path", ">").alias("path"))
-    rest = targets.select(F.col("node_id").alias("target")).join(found, "target", "left_anti").select("target", F.lit("none").alias("status"), F.lit(None).cast("int").alias("length"), F.lit("").alias("path"))
+    found = stored(walk.select("target", F.lit("found").alias("status"), F.col("depth").alias("length"), F.array_join("path", ">").alias("path")), "found")
+    rest = wanted.join(found.select("target").hint("merge"), "target", "left_anti").select("target", F.lit("none").alias("status"), F.lit(None).cast("int").alias("length"), F.lit("").alias("path"))
     return found.unionByName(rest)
 
 
@@ -220,4 +221,4 @@ def tree(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int =
     for d in range(1, max_depth + 1):
         level = level.join(links, level.node_id == links.src).filter(~F.array_contains("path", F.col("dst"))).select("root", F.col("dst").alias("node_id"), F.lit(d).alias("depth"), F.concat("path", F.array("dst")).alias("path"))
         out = out.unionByName(level)
-    return out.join(nodes.select("node_id", "kind", "name"), "node_id").select("root", "node_id", "kind", "name", "depth", F.array_join("path", ">").alias("path"))
+    return out.join(nodes.select("node_id", "kind", "name").hint("merge"), "node_id").select("root", "node_id", "kind", "name", "depth", F.array_join("path", ">").alias("path"))

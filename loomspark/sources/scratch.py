@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -23,3 +24,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Characters of a table (and what a row takes besides) that are still broadcast.
+BROADCAST_CHARACTERS = 32_000_000
+
+
+def by_size(table: DataFrame) -> DataFrame:
+    """A stored table as one side of a join: broadcast where its texts fit, else merged.
+
+    Files say little of what a table holds: ids shrink so well that few bytes may be more rows than a driver has room for.
+    """
+    width = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in table.columns), F.lit(40))
+    characters = table.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(table) if characters <= BROADCAST_CHARACTERS else table.hint("merge")
