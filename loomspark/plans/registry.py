@@ -568,7 +568,7 @@ def stored_graph(t):
     path = scratch.new_path(t.spark, "graph")
     tree.save_graph(*_graph(t), path)
     nodes, edges = tree.load_graph(t.spark, path)
-    return edges.join(nodes.select(F.col("node_id").alias("src"), "name"), "src").select("src", "dst", "relation", "name")
+    return edges.join(nodes.select(F.col("node_id").alias("src"), "name").hint("merge"), "src").select("src", "dst", "relation", "name")
 
 
 @query(f"""{WITH_GRAPH} SELECT src, dst, relation, a.kind AS src_kind, b.kind AS dst_kind, b.name AS dst_name FROM key_edges e JOIN key_nodes a ON a.node_id = src JOIN key_nodes b ON b.node_id = dst""")
@@ -577,7 +577,7 @@ def json_graph(t):
     path = scratch.new_path(t.spark, "graph")
     tree.save_graph_json(*_graph(t), path)
     nodes, edges = tree.load_graph_json(t.spark, path)
-    ends = [nodes.select(F.col("node_id").alias(end), F.col("kind").alias(f"{end}_kind"), F.col("name").alias(f"{end}_name")) for end in ("src", "dst")]
+    ends = [nodes.select(F.col("node_id").alias(end), F.col("kind").alias(f"{end}_kind"), F.col("name").alias(f"{end}_name")).hint("merge") for end in ("src", "dst")]
     return edges.join(ends[1], "dst").join(ends[0], "src").select("src", "dst", "relation", "src_kind", "dst_kind", "dst_name")
 
 

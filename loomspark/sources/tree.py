@@ -84,7 +84,8 @@ def load_graph(spark: SparkSession, path: str, fmt: str = "parquet") -> tuple[Da
 
 
 def complete_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    ids = nodes.select("node_id")
+    """Edges of which both ends are there; ids shrink so well in files that Spark would broadcast very many, so they are merged."""
+    ids = nodes.select("node_id").hint("merge")
     return edges.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
 
 
