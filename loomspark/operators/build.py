@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.names import aliases, simple_name
-from loomspark.sources.scratch import stored
+from loomspark.sources.scratch import by_size, stored
 
 
 def alias_table(entities: DataFrame) -> DataFrame:
@@ -38,6 +38,57 @@ def resolve_calls(calls: DataFrame, table: DataFrame) -> DataFrame:
     return rows.withColumn("resolved", F.coalesce("exact", "near", "called")).withColumn("match_kind", kind).drop("exact", "near", "simple")
 
 
+#: Calls of a name beyond which it is joined without a shuffle, so that no task gets them all.
+OFTEN = 10_000
+
+
+def resolved_calls(calls: DataFrame, entities: DataFrame) -> DataFrame:
+    """calls(chunk_id, called) with resolved, by what resolve_calls says over the alias table of entities(name, path, seq).
+
+    Each called name is resolved once, and only entities with an alias of its simple name are given aliases: no other one
+    can be meant. calls should be stored, since they are read several times.
+    """
+    asked = stored(calls.groupBy("called").agg(F.count(F.lit(1)).alias("n")), "asked")
+    last = F.element_at(F.split("name", "::"), -1)
+    simple = F.when(F.col("path").contains("::"), F.transform(aliases(F.col("name"), F.col("path")), simple_name)).otherwise(F.array(simple_name(F.col("name")), simple_name(last)))
+    meant = entities.select("name", "path", "seq", F.explode(F.array_distinct(simple)).alias("simple"))
+    meant = meant.join(by_size(asked.select(simple_name(F.col("called")).alias("simple")).distinct()), "simple", "left_semi")
+    table = stored(alias_table(meant), "aliases")
+    answers = resolve_calls(asked, table).filter(F.col("resolved") != F.col("called"))
+    answers = stored(answers.select("called", "n", "resolved"), "answers")
+    # names that are called very often are few
+    often, seldom = answers.filter(F.col("n") > OFTEN).select("called", "resolved"), answers.filter(F.col("n") <= OFTEN).select("called", "resolved")
+    common = F.broadcast(asked.filter(F.col("n") > OFTEN).select("called"))
+    mine = calls.join(common, "called", "left_semi").join(F.broadcast(often), "called", "left")
+    rest = calls.join(common, "called", "left_anti").join(by_size(seldom), "called", "left")
+    return mine.unionByName(rest).withColumn("resolved", F.coalesce("resolved", "called"))
+
+
+def _keys(name: Column) -> Column:
+    """Hashes by which names that may share an alias meet: (key, own) of a name, of its part after the last `::`, and (not own) of what follows a dot in either.
+
+    Each other alias is the name behind a prefix that ends in a dot, so of two names that share one, the name or last part of one is
+    found at the end of the other, behind a dot, or is equal to its name or last part.
+    """
+    after = lambda x: F.transform(F.sequence(F.lit(1), F.size(F.split(x, r"\."))), lambda i: F.struct(F.xxhash64(F.array_join(F.slice(F.split(x, r"\."), i, F.size(F.split(x, r"\."))), ".")).alias("key"), (i == 1).alias("own")))
+    last = F.element_at(F.split(name, "::"), -1)
+    return F.when(name.contains("::"), F.concat(after(name), after(last))).when(name.contains("."), after(name)).otherwise(F.array(F.struct(F.xxhash64(name).alias("key"), F.lit(True).alias("own"))))
+
+
+def contested(declared: DataFrame) -> DataFrame | None:
+    """(name) of the names of declared(name, ...) that may share an alias with another name; None where there are none.
+
+    A name of which no alias is another's stands for itself wherever it is declared, so only these need to be taken in order.
+    """
+    keys = declared.filter("name is not null").select("name", F.explode(_keys(F.col("name"))).alias("k")).select("name", "k.*")
+    hashes = keys.select("key", F.col("own").cast("int").alias("own"), F.xxhash64("name").alias("a"), F.xxhash64(F.lit(1), "name").alias("b"))
+    met = hashes.groupBy("key").agg(F.max("own").alias("own"), F.min("a").alias("a"), F.max("a").alias("x_a"), F.min("b").alias("b"), F.max("b").alias("x_b"))
+    clash = stored(met.filter("own = 1 and (a != x_a or b != x_b)").select("key"), "clash")
+    if clash.isEmpty():
+        return None
+    return stored(keys.select("name", "key").join(by_size(clash), "key", "left_semi").select("name").distinct(), "contested")
+
+
 #: Occurrences, about, that one task takes in order.
 STRETCH = 1 << 14
 #: What an alias stands for, from the occurrences of a stretch: its oldest entity and when that was born, and when the alias itself became an entity.
@@ -56,7 +107,18 @@ def register(declared: DataFrame, guess: DataFrame | None = None) -> DataFrame:
     answers for all earlier stretches give right ones, so the rounds end at the answer of the rule taken in order, from
     whatever guess(occ, entity) they begin. They are as many as the longest chain of stretches whose first uses of names hang on
     each other, not of occurrences: names seen before change nothing. Only aliases that came to stand for something go from round to round.
+    Names that share no alias with another one are entities of their own and take no part.
     """
+    names = contested(declared)
+    alone = F.col("name").alias("entity")
+    if names is None:
+        return declared.select("*", alone)
+    names = by_size(names)
+    taken = _registered(stored(declared.join(names, "name", "left_semi").select(*declared.columns), "declared"), guess)
+    return declared.join(names, "name", "left_anti").select(*declared.columns, alone).unionByName(taken)
+
+
+def _registered(declared: DataFrame, guess: DataFrame | None) -> DataFrame:
     rows = declared.withColumn("aliases", aliases(F.col("name"), F.col("path"))).select("occ", "chunk_seq", "name", "aliases")
     rows = rows.withColumn("first", F.min("occ").over(Window.partitionBy("chunk_seq")))
     stretches = max(1, -(-declared.count() // STRETCH))
@@ -70,7 +132,7 @@ def register(declared: DataFrame, guess: DataFrame | None = None) -> DataFrame:
             break
         left = new
     found = stored(_in_order(rows, _before(asked, left), "occ long, entity string", _answers), "entities")
-    return declared.join(found.hint("merge"), "occ")
+    return declared.join(found.hint("merge"), "occ").select(*declared.columns, "entity")
 
 
 def _guessed(rows: DataFrame, guess: DataFrame) -> DataFrame:
@@ -186,15 +248,15 @@ def build_graph(files: DataFrame, chunks: DataFrame, registered: DataFrame, reso
         chunks.select(F.concat(F.lit("chunk:"), "chunk_id"), F.lit("chunk"), "chunk_id", "path"),
         entities.select(F.concat(F.lit("entity:"), "entity"), F.lit("entity"), "entity", F.lit("")),
     ]
-    declares = registered.select(F.concat(F.lit("chunk:"), "chunk_id").alias("src"), F.concat(F.lit("entity:"), "entity").alias("dst")).distinct()
-    called = resolved.select(F.concat(F.lit("entity:"), "resolved").alias("src"), F.concat(F.lit("chunk:"), "chunk_id").alias("dst")).distinct()
-    called = called.join(declares.select(F.col("dst").alias("src"), F.col("src").alias("dst")).hint("merge"), ["src", "dst"], "left_anti")
+    # an entity and a chunk make one edge: of the declaration, if there is one
+    uses = registered.select("entity", "chunk_id", F.lit(1).alias("declared")).unionByName(resolved.select(F.col("resolved").alias("entity"), "chunk_id", F.lit(0).alias("declared")))
+    uses = uses.groupBy("entity", "chunk_id").agg(F.max("declared").alias("declared"))
+    entity, chunk, is_declared = F.concat(F.lit("entity:"), "entity"), F.concat(F.lit("chunk:"), "chunk_id"), F.col("declared") == 1
     edges = [
         folders.select(above("directory", "path"), F.concat(F.lit("directory:"), "path"), F.lit("contains")),
         files.select(above("file", "path"), F.concat(F.lit("file:"), "path"), F.lit("contains")),
         chunks.select(F.concat(F.lit("file:"), "path"), F.concat(F.lit("chunk:"), "chunk_id"), F.lit("contains")),
-        declares.select("src", "dst", F.lit("declares")),
-        called.select("src", "dst", F.lit("called_by")),
+        uses.select(F.when(is_declared, chunk).otherwise(entity), F.when(is_declared, entity).otherwise(chunk), F.when(is_declared, "declares").otherwise("called_by")),
     ]
     return _all(nodes, ["node_id", "kind", "name", "path"]), _all(edges, ["src", "dst", "relation"])
 
