@@ -109,16 +109,23 @@ def register(declared: DataFrame, guess: DataFrame | None = None) -> DataFrame:
     each other, not of occurrences: names seen before change nothing. Only aliases that came to stand for something go from round to round.
     Names that share no alias with another one are entities of their own and take no part.
     """
+    alone, rest = apart(declared)
+    return alone if rest is None else alone.unionByName(taken_in_order(rest, guess))
+
+
+def apart(declared: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Occurrences whose names stand for themselves, with their entity, and the others, if there are any."""
     names = contested(declared)
     alone = F.col("name").alias("entity")
     if names is None:
-        return declared.select("*", alone)
+        return declared.select("*", alone), None
     names = by_size(names)
-    taken = _registered(stored(declared.join(names, "name", "left_semi").select(*declared.columns), "declared"), guess)
-    return declared.join(names, "name", "left_anti").select(*declared.columns, alone).unionByName(taken)
+    rest = stored(declared.join(names, "name", "left_semi").select(*declared.columns), "declared")
+    return declared.join(names, "name", "left_anti").select(*declared.columns, alone), rest
 
 
-def _registered(declared: DataFrame, guess: DataFrame | None) -> DataFrame:
+def taken_in_order(declared: DataFrame, guess: DataFrame | None = None) -> DataFrame:
+    """What `register` says, by taking all of declared in order."""
     rows = declared.withColumn("aliases", aliases(F.col("name"), F.col("path"))).select("occ", "chunk_seq", "name", "aliases")
     rows = rows.withColumn("first", F.min("occ").over(Window.partitionBy("chunk_seq")))
     stretches = max(1, -(-declared.count() // STRETCH))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomspark.sources.scratch import stored
+from loomspark.sources.scratch import by_size, stored
 
 HASH = ["x_a", "x_b"]
 
@@ -56,13 +56,17 @@ class Versions:
         values = [*self.columns, F.concat(*[F.isnull(c).cast("int").cast("string") for c in self.columns])]
         return rows.select(*self.columns, F.xxhash64(*values).alias("x_a"), F.xxhash64(F.lit(1), *values).alias("x_b"))
 
-    def _rows(self, version: int | None = None) -> DataFrame:
-        """The rows of a version with their hashes and the version that added them."""
+    def _rows(self, version: int | None = None, scope: DataFrame | None = None) -> DataFrame:
+        """The rows of a version with their hashes and the version that added them; with a scope those that agree with one of its rows."""
         last = self.latest()
         version = last if version is None else min(version, last)
-        added = self._added().filter(F.col("version") <= version)
-        gone = self._removed().filter(F.col("version") <= version).select(*HASH, F.col("since").alias("version"))
-        return added.join(gone, [*HASH, "version"], "left_anti")
+        added, gone = (rows.filter(F.col("version") <= version) for rows in (self._added(), self._removed()))
+        if scope is not None:  # before what is gone is looked for
+            scope = by_size(scope.distinct())
+            added = added.join(scope, scope.columns, "left_semi")
+            gone = gone.join(scope, scope.columns, "left_semi") if set(scope.columns) <= set(self.key) else gone
+        gone = gone.select(*HASH, F.col("since").alias("version"))
+        return added.join(by_size(gone), [*HASH, "version"], "left_anti")
 
     def as_of(self, version: int | None = None) -> DataFrame:
         return self._rows(version).select(*self.columns)
@@ -72,21 +76,23 @@ class Versions:
         last = self.latest()
         added = self._added().filter(F.col("version") <= last).withColumnRenamed("version", "valid_from")
         gone = self._removed().filter(F.col("version") <= last).select(*HASH, F.col("since").alias("valid_from"), F.col("version").alias("valid_to"))
-        return added.join(gone, [*HASH, "valid_from"], "left").select(*self.columns, "valid_from", "valid_to")
+        return added.join(by_size(gone), [*HASH, "valid_from"], "left").select(*self.columns, "valid_from", "valid_to")
 
-    def commit(self, new: DataFrame, scope: DataFrame | None, batch: int | None = None) -> int:
-        """Rows that agree with one of scope (on all its columns; None: all rows) become `new`; returns the version."""
+    def commit(self, new: DataFrame, scope: DataFrame | None, batch: int | None = None, distinct: bool = False) -> int:
+        """Rows that agree with one of scope (on all its columns; None: all rows) become `new`, of which the caller may know that no two are equal (distinct); returns the version."""
         known = self.log().filter(F.col("batch") == batch).agg(F.max("version")).first()[0] if batch is not None else None
         if known:
             return known
         version = self.latest() + 1
-        old = self._rows()
-        if scope is not None:
-            old = old.join(scope.distinct().hint("merge"), scope.columns, "left_semi")
-        old, new = stored(old, "old"), stored(self._hashed(new).distinct(), "new")
-        new.join(old, HASH, "left_anti").write.mode("overwrite").parquet(f"{self.path}/added/version={version}")
-        gone = old.join(new, HASH, "left_anti").select(*self.key, *HASH, F.col("version").alias("since"))
-        gone.write.mode("overwrite").parquet(f"{self.path}/removed/version={version}")
+        came, went = f"{self.path}/added/version={version}", f"{self.path}/removed/version={version}"
+        new = self._hashed(new) if distinct else self._hashed(new).distinct()
+        if version == 1:  # there is nothing that could go
+            new.write.mode("overwrite").parquet(came)
+        else:
+            old, new = stored(self._rows(scope=scope), "old"), stored(new, "new")
+            new.join(by_size(old.select(*HASH)), HASH, "left_anti").write.mode("overwrite").parquet(came)
+            gone = old.join(by_size(new.select(*HASH)), HASH, "left_anti").select(*self.key, *HASH, F.col("version").alias("since"))
+            gone.write.mode("overwrite").parquet(went)
         self.spark.createDataFrame([(version, batch)], "version long, batch long").coalesce(1).write.mode("append").parquet(f"{self.path}/log")
         return version
 

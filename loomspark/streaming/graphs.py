@@ -3,8 +3,8 @@
 Files come as (path, content, seq); a null content is a deletion, and of several versions of a path the one with the highest
 seq counts, whether they come in one batch or late. For each batch only files whose content differs from the
 known one are cut, read and mapped to chunks; their old chunks and names are retracted and the new ones added, in tables
-with versions (`operators.versions`). Names are unified over all files when a graph is asked for: the answers of the
-last graph are the first guess, so that few rounds follow a small change.
+with versions (`operators.versions`). Names are unified over all files when a graph is asked for, those that share an alias with
+another one in order of place: the answers of the last graph are the first guess, so that few rounds follow a small change.
 """
 
 from __future__ import annotations
@@ -23,6 +23,10 @@ from loomspark.sources.scratch import stored
 FILES = "path string, content string, seq long"
 CHUNKS = "path string, ord int, chunk_id string, language string, content string"
 NAMES = "path string, role string, pos int, name string, type string, chunk_id string, ord int"
+#: Files that one task cuts and reads.
+FILES_PER_TASK = 20_000
+#: The order of declarations.
+PLACE = ["path", "ord", "pos", "name", "type"]
 
 
 class Graph:
@@ -42,11 +46,13 @@ class Graph:
         # a deleted file leaves its seq behind, so that no older version brings it back
         changed = stored(fresh.filter(~F.col("content").eqNullSafe(F.col("x_content"))).select("path", "content"), "changed")
         scope, new = changed.select("path"), changed.filter("content is not null")
+        new = new.repartition(max(1, -(-changed.count() // FILES_PER_TASK)))  # few bytes can be very many files
         pieces = stored(self.cut(new), "pieces")
-        found = extract.entities_in_chunks(extract.entities(new), pieces)
-        self.chunks.commit(pieces, scope, number)
-        self.names.commit(found.select(*self.names.columns), scope, number)
-        return self.files.commit(fresh.select("path", "content", "seq"), fresh.select("path"), number)
+        found = extract.located(new, self.cut)
+        # each path is one row, and the entities and chunks of a file have places of their own: no two rows are equal
+        self.chunks.commit(pieces, scope, number, True)
+        self.names.commit(found.select(*self.names.columns), scope, number, True)
+        return self.files.commit(fresh.select("path", "content", "seq"), fresh.select("path"), number, True)
 
     def follow(self, folder: str, checkpoint: str, files_at_once: int = 1000) -> StreamingQuery:
         """Takes in all files that a folder of Parquet has, batch by batch."""
@@ -56,25 +62,28 @@ class Graph:
     def graph(self, version: int | None = None) -> tuple[DataFrame, DataFrame]:
         """Nodes and edges as of a version."""
         files = self.files.as_of(version).filter("content is not null").select("path")
-        pieces, found = self.chunks.as_of(version), self.names.as_of(version)
-        decl = found.filter("role = 'declared'").withColumn("x_all", F.lit(0))
-        # occurrences in order of path, chunk and place; a chunk's number is only told from others
-        decl = in_order(decl, "x_all", [F.col(c) for c in ("path", "ord", "pos", "name", "type")], "long").drop("x_all").withColumnRenamed("rank", "occ")
-        decl = stored(decl.withColumn("chunk_seq", F.xxhash64("chunk_id")), "declared")
-        registered = stored(build.register(decl, self._guess(decl)), "registered")
-        self._keep(registered)
-        table = build.alias_table(registered.select(F.col("entity").alias("name"), "path", F.col("occ").alias("seq")))
-        resolved = build.resolve_calls(found.filter("role = 'called'").select("chunk_id", F.col("name").alias("called")), table)
+        pieces, found = self.chunks.as_of(version), stored(self.names.as_of(version), "found")
+        registered, rest = build.apart(found.filter("role = 'declared'"))
+        if rest is not None:
+            # occurrences in order of path, chunk and place; a chunk's number is only told from others
+            rest = in_order(rest.withColumn("x_all", F.lit(0)), "x_all", [F.col(c) for c in PLACE], "long").drop("x_all").withColumnRenamed("rank", "occ")
+            rest = stored(rest.withColumn("chunk_seq", F.xxhash64("chunk_id")), "declared")
+            taken = stored(build.taken_in_order(rest, self._guess(rest)), "registered")
+            self._keep(taken)
+            registered = registered.unionByName(taken.select(*registered.columns))
+        entities = registered.select(F.col("entity").alias("name"), "path", F.struct(*PLACE).alias("seq"))
+        resolved = build.resolved_calls(found.filter("role = 'called'").select("chunk_id", F.col("name").alias("called")), entities)
         return build.build_graph(files, pieces, registered, resolved)
 
-    PLACE = ["chunk_id", "pos", "name", "type"]
+    KEY = ["chunk_id", "pos", "name", "type"]
 
     def _answers(self) -> DataFrame:
-        return Versions(self.spark, f"{self.path}/answers", "chunk_id string, pos int, name string, type string, entity string", self.PLACE).as_of()
+        return Versions(self.spark, f"{self.path}/answers", "chunk_id string, pos int, name string, type string, entity string", self.KEY).as_of()
 
     def _guess(self, decl: DataFrame) -> DataFrame:
-        return decl.join(self._answers().hint("merge"), self.PLACE).select("occ", "entity")
+        return decl.join(self._answers().hint("merge"), self.KEY).select("occ", "entity")
 
     def _keep(self, registered: DataFrame) -> None:
-        kept = Versions(self.spark, f"{self.path}/answers", "chunk_id string, pos int, name string, type string, entity string", self.PLACE)
-        kept.commit(registered.select(*self.PLACE, "entity"), None)
+        """Only answers that differ from the name: a name without an answer is guessed to stand for itself."""
+        kept = Versions(self.spark, f"{self.path}/answers", "chunk_id string, pos int, name string, type string, entity string", self.KEY)
+        kept.commit(registered.filter("entity != name").select(*self.KEY, "entity"), None)
