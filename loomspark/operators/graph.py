@@ -176,14 +176,15 @@ def find_paths(edges: DataFrame, source: DataFrame, targets: DataFrame, max_dept
 
 
 def _levels(start: DataFrame, links: DataFrame, steps: int, ahead: bool) -> DataFrame:
-    """(root, node, steps, path) of the nodes within a number of steps from start(root), with the least of their shortest paths.
+    """(root, node, steps, path) of the nodes within a number of steps from start(root), with what the least of their shortest paths has between both.
 
     links(here, there); paths grow behind their root, or (ahead) in front of it where links are followed backwards.
     """
-    grown = F.concat(F.array("there"), "path") if ahead else F.concat("path", F.array("there"))
-    seen = level = stored(start.select("root", F.col("root").alias("node"), F.lit(0).alias("steps"), F.array("root").alias("path")).distinct(), "level")
+    passed = F.when(F.col("steps") > 0, F.array("node")).otherwise(F.array().cast("array<string>"))
+    grown = F.concat(passed, "path") if ahead else F.concat("path", passed)
+    seen = level = stored(start.select("root", F.col("root").alias("node"), F.lit(0).alias("steps"), F.array().cast("array<string>").alias("path")).distinct(), "level")
     for d in range(1, steps + 1):
-        found = level.join(links.hint("merge"), level.node == links.here).select("root", F.col("there").alias("node"), grown.alias("path"))
+        found = level.join(links.hint("merge"), level.node == links.here).select("root", F.col("there").alias("x_there"), grown.alias("path")).withColumnRenamed("x_there", "node")
         fresh = found.join(seen.select("root", "node").hint("merge"), ["root", "node"], "left_anti").groupBy("root", "node").agg(F.min("path").alias("path"))
         level = stored(fresh.select("root", "node", F.lit(d).alias("steps"), "path"), "level")
         seen = seen.unionByName(level)
@@ -196,7 +197,8 @@ def paths_between(edges: DataFrame, pairs: DataFrame, max_depth: int = 5, relati
     Frontiers go out from all sources, and backwards from all targets, half of the way each, once for every distinct
     end however many pairs share it; each node keeps its least path to that end. A pair looks up the nodes around that of its ends that
     has fewer, so an end near very many nodes does not meet all its pairs with them; where both halves meet, the
-    least of the shortest whole paths is one through the least halves.
+    least of the shortest whole paths is one through the least halves. A path is met once: where its way back is whole, or,
+    if it is no longer than that, at its source.
     """
     links = stored(_only(edges, relations).select("src", "dst").distinct(), "links")
     forth, back = links.select(F.col("src").alias("here"), F.col("dst").alias("there")), links.select(F.col("dst").alias("here"), F.col("src").alias("there"))
@@ -205,10 +207,20 @@ def paths_between(edges: DataFrame, pairs: DataFrame, max_depth: int = 5, relati
     far = _levels(pairs.select(F.col("dst").alias("root")), back, max_depth // 2, True).select(F.col("root").alias("dst"), "node", F.col("steps").alias("left"), F.col("path").alias("after"))
     around = lambda rows, end: rows.groupBy(end).agg(F.count(F.lit(1)).alias(f"n_{end}")).hint("merge")
     sized = stored(pairs.join(around(near, "src"), "src").join(around(far, "dst"), "dst"), "sized")
-    near, far = near.hint("merge"), far.hint("merge")
-    met = sized.filter("n_dst <= n_src").select("src", "dst").join(far, "dst").join(near, ["src", "node"])
-    met = met.unionByName(sized.filter("n_dst > n_src").select("src", "dst").join(near, "src").join(far, ["dst", "node"]))
-    whole = met.select("src", "dst", F.struct((F.col("gone") + F.col("left")).alias("length"), F.concat("before", F.slice("after", 2, max_depth + 1)).alias("path")).alias("best"))
+    back, none = F.col("left") == max_depth // 2, F.array().cast("array<string>")
+    ways, wide = sized.filter("n_dst <= n_src").select("src", "dst"), sized.filter("n_dst > n_src").select("src", "dst")
+    halves = ways.join(far.hint("merge"), "dst").filter(back | (F.col("node") == F.col("src")))
+    at_source = halves.filter("node = src").withColumns({"gone": F.lit(0), "before": none})
+    # few nodes may be that far from all targets, and then no half needs to be shuffled to meet them
+    ahead = near.filter("gone > 0").join(by_size(far.filter(back).select("node").distinct()), "node", "left_semi")
+    met = at_source.unionByName(halves.filter(back).join(by_size(stored(ahead, "ahead")), ["src", "node"]))
+    mine = by_size(wide.select("dst").distinct())
+    other = wide.join(near.join(by_size(wide.select("src").distinct()), "src", "left_semi").hint("merge"), "src")
+    other = other.join(far.join(mine, "dst", "left_semi").hint("merge"), ["dst", "node"])
+    met = met.unionByName(other.filter(back | (F.col("gone") == 0)))
+    first = F.when(F.col("gone") > 0, F.concat(F.array("src"), "before")).otherwise(none)
+    last = F.when(F.col("left") > 0, F.concat("after", F.array("dst"))).otherwise(none)
+    whole = met.select("src", "dst", F.struct((F.col("gone") + F.col("left")).alias("length"), F.concat(first, F.array("node"), last).alias("path")).alias("best"))
     least = whole.groupBy("src", "dst").agg(F.min("best").alias("best"))
     return least.select("src", "dst", F.col("best.length").alias("length"), F.array_join("best.path", ">").alias("path"))
 
